@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recallgrid.llm import representative, splitting, tokenizing
+from recallgrid.llm import conversations, representative, splitting, tokenizing
 
-MODULES = (representative, splitting, tokenizing)
+MODULES = (conversations, representative, splitting, tokenizing)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in MODULES:
