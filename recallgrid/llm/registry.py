@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recallgrid.llm import conversations, personal, representative, splitting, tokenizing
+from recallgrid.llm import conversations, personal, representative, splitting, tokenizing, truncation
 
-MODULES = (personal, conversations, representative, splitting, tokenizing)
+MODULES = (personal, conversations, representative, splitting, tokenizing, truncation)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in MODULES:
