@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recallgrid.llm import conversations, leakage, personal, representative, splitting, tokenizing, truncation
+from recallgrid.llm import clusters, conversations, leakage, neighbours, personal, representative, splitting, tokenizing, truncation
 
-MODULES = (personal, conversations, leakage, representative, splitting, tokenizing, truncation)
+MODULES = (personal, clusters, neighbours, conversations, leakage, representative, splitting, tokenizing, truncation)
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in MODULES:
