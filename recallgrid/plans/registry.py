@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from recallgrid.plans import core_orphans
+from recallgrid.plans import core_orphans, relational
 
 FLAGSHIP = "p4_found"
-MODULES = (core_orphans,)
-QUERIES: dict = {}
-ORACLE: dict = {}
-for _m in MODULES:
-    QUERIES |= _m.QUERIES
-    ORACLE |= _m.ORACLE
+QUERIES: dict = {**core_orphans.QUERIES}
+ORACLE: dict = {**core_orphans.ORACLE}
+for _m in (relational,):
+    QUERIES |= _m.R.queries
+    ORACLE |= _m.R.oracle
