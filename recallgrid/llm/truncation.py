@@ -26,11 +26,12 @@ LENGTHS = (3, 4, 6, 8, 12, 16, 24)
 #: Contexts that also know the first ``HEAD`` characters of their line ("Tags:", "user:").
 HEAD, HEADED = 5, (4, 6, 12)
 SUPPORT, HEAD_SUPPORT, HEAD_GOOD = 6, 3, 12
-FILTER_WORDS = 1 << 18
+FILTER_WORDS = 1 << 19
+SECOND = 29  # the second bit's place is the hash without its last SECOND bits
 #: Log-odds of an end below which a text is cut, before a language's own level is taken into account.
 THRESHOLD = -1.7
 #: What the facts about the source add to the log-odds of a cut.
-LIMIT_BONUS, REPORT_BONUS, BROKEN_BONUS = 4.0, 1.0, 20.0
+LIMIT_BONUS, REPORT_BONUS, BROKEN_BONUS = 4.0, 0.4, 20.0
 #: A length is a source's limit if that many texts of the source end there and that share of them is cut by the model.
 LIMIT_TEXTS, LIMIT_SHARE = 4, 0.5
 
@@ -167,8 +168,9 @@ def final_contexts(docs: DataFrame) -> DataFrame:
 
 
 def context_filter(finals: DataFrame) -> np.ndarray:
-    """Bits of all final contexts: ``FILTER_WORDS`` words, however many texts there are."""
+    """Two bits for each final context in ``FILTER_WORDS`` words, however many texts there are."""
     h = finals.select(F.explode("ctx").alias("h")).where(F.col("h").isNotNull())
+    h = h.select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", SECOND))).alias("h"))
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(FILTER_WORDS - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
     words = np.zeros(FILTER_WORDS, dtype=np.uint64)
@@ -177,6 +179,10 @@ def context_filter(finals: DataFrame) -> np.ndarray:
     return words
 
 
+def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bits[((h >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1
+
+
 def count_contexts(docs: DataFrame, words: np.ndarray) -> DataFrame:
     """(h, ends, goes) over the whole corpus for the contexts that pass the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
@@ -204,17 +210,17 @@ def count_contexts(docs: DataFrame, words: np.ndarray) -> DataFrame:
                 hashes = context_hashes(codes)
                 heads, deep = headed(hashes, codes, place)
                 for n, h, fits in [(n, hashes[n], place >= n - 1) for n in LENGTHS] + [(n, heads[n], deep & (place >= n - 1)) for n in HEADED]:
-                    hit = (bits[((h >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1
-                    hit &= fits
+                    at = np.flatnonzero(fits & _holds(bits, h))
+                    hit = at[_holds(bits, h[at] >> np.uint64(SECOND))]
                     e = ends[hit]
                     held.append((h[hit], e.astype(np.float64), (~e).astype(np.float64)))
                     size += len(e)
-            if size > 3_000_000:
-                held = [combine()]
-                size = len(held[0][0])
-                if size > 1_500_000:
-                    yield out(held[0])
-                    held, size = [], 0
+                if size > 500_000:
+                    held = [combine()]
+                    size = len(held[0][0])
+                    if size > 250_000:
+                        yield out(held[0])
+                        held, size = [], 0
         if held:
             yield out(combine())
 
