@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from recallgrid.plans import core_orphans, relational, vectors_text
+from recallgrid.plans import core_orphans, relational, retrieval, vectors_text
 
 FLAGSHIP = "p4_found"
 QUERIES: dict = {**core_orphans.QUERIES}
 ORACLE: dict = {**core_orphans.ORACLE}
-for _m in (relational, vectors_text):
+for _m in (relational, vectors_text, retrieval):
     QUERIES |= _m.R.queries
     ORACLE |= _m.R.oracle
