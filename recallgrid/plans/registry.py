@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from recallgrid.plans import core_orphans, relational, retrieval, vectors_text
+from recallgrid.plans import core_orphans, graph_dream, relational, retrieval, vectors_text
 
-FLAGSHIP = "p4_found"
+FLAGSHIP = "rt1_recall"
 QUERIES: dict = {**core_orphans.QUERIES}
 ORACLE: dict = {**core_orphans.ORACLE}
-for _m in (relational, vectors_text, retrieval):
+for _m in (relational, vectors_text, retrieval, graph_dream):
     QUERIES |= _m.R.queries
     ORACLE |= _m.R.oracle
