@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from recallgrid.plans import core_orphans, graph_dream, relational, retrieval, vectors_text
 
-FLAGSHIP = "rt1_recall"
+FLAGSHIP = "dr3_nrem"
 QUERIES: dict = {**core_orphans.QUERIES}
 ORACLE: dict = {**core_orphans.ORACLE}
 for _m in (relational, vectors_text, retrieval, graph_dream):
