@@ -147,14 +147,14 @@ _BW = C.BOTH
 
 
 @R.add(_V + _SEM + ", " + C.BOTH.replace("ce0 as", "ce0 as") + """, h0 as (select query_id, id, score from sem where rank <= 10), h1 as (select h.query_id, b.dst id, max(0.3 * h.score * b.w) score from h0 h join bw b on b.src = h.id where not exists (select 1 from h0 z where z.query_id = h.query_id and z.id = b.dst) group by 1, 2)
-  select query_id, id, round(score, 6) as score, 'seed' as via from h0 union all select query_id, id, round(score, 6), 'hop1' from h1""")
+  select query_id, id, round(score, 9) as score, 'seed' as via from h0 union all select query_id, id, round(score, 9), 'hop1' from h1""")
 def rt13_with_neighbours(t: Tables) -> DataFrame:
     """Seeds and the rows one edge away, at 0.3 of the seed's score times the weight, the best over all parents."""
     seeds = semantic(t, 10).select("query_id", "id", "score")
     e = E.both_ways(E.pair_weights(E.clean_edges(t("connections"))))
     one = seeds.withColumnRenamed("id", "src").join(e, "src").groupBy("query_id", F.col("dst").alias("id")).agg(F.max(0.3 * F.col("score") * F.col("w")).alias("score"))
     one = one.join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    return seeds.withColumn("via", F.lit("seed")).unionByName(one.withColumn("via", F.lit("hop1"))).select("query_id", "id", F.round("score", 6).alias("score"), "via")
+    return seeds.withColumn("via", F.lit("seed")).unionByName(one.withColumn("via", F.lit("hop1"))).select("query_id", "id", F.round("score", 9).alias("score"), "via")
 
 
 @R.add(_FUSED + """, w as (select 'all' cfg, 1.0 s, 0.9 l, 1.2 r union all select 'no_semantic', 0, 0.9, 1.2 union all select 'no_bm25', 1.0, 0, 1.2 union all select 'no_recency', 1.0, 0.9, 0),
