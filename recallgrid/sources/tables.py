@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recallgrid.sources.shipping import ship_package
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The Parquet table ``name`` (a file or a folder) under ``root``."""
+    ship_package(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
