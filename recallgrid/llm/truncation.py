@@ -32,8 +32,9 @@ SECOND = 29  # the second bit's place is the hash without its last SECOND bits
 THRESHOLD = -1.7
 #: What the facts about the source add to the log-odds of a cut.
 LIMIT_BONUS, REPORT_BONUS, BROKEN_BONUS = 4.0, 0.4, 20.0
-#: A length is a source's limit if that many texts of the source end there and that share of them is cut by the model.
-LIMIT_TEXTS, LIMIT_SHARE = 4, 0.5
+#: A length is a source's limit if at least that many and that part of the source's texts have it and that share of them
+#: is cut by the model alone.
+LIMIT_TEXTS, LIMIT_PART, LIMIT_SHARE = 4, 0.02, 0.5
 
 MARK = re.compile(r"(?:\s*(?:…|\.\.\.|\[(?:more|…|\.\.\.|truncated|cut|continued)\]|\((?:more|truncated|continued)\)|<(?:truncated|snip)>|�))+\s*$", re.I)
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -267,6 +268,8 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     marked = scored.withColumn("sure", sure)
     lengths = marked.select("source", "sure", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("chars").alias("len")), F.struct(F.lit("b").alias("unit"), F.col("bytes").alias("len")))).alias("l"))
     limits = lengths.groupBy("source", "l").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("sure").cast("double")).alias("share")).where((F.col("n") >= LIMIT_TEXTS) & (F.col("share") >= LIMIT_SHARE))
+    totals = marked.groupBy(F.col("source").alias("_of")).agg(F.count(F.lit(1)).alias("texts"))
+    limits = limits.join(totals, F.col("source").eqNullSafe(F.col("_of"))).where(F.col("n") >= LIMIT_PART * F.col("texts")).drop("_of", "texts")
     at = lambda unit, col: limits.where(F.col("l.unit") == unit).select(F.col("source").alias("_s"), F.col("l.len").alias("_l"), F.lit(True).alias(f"at_{unit}"))
     for unit, col in (("c", "chars"), ("b", "bytes")):
         marked = marked.join(at(unit, col), F.col("source").eqNullSafe(F.col("_s")) & (F.col(col) == F.col("_l")), "left").drop("_s", "_l")
