@@ -21,7 +21,7 @@ from recallgrid.llm.vectors import DIM, bounded_sample, matrix, pack, unit, unpa
 from recallgrid.sources.tables import table
 
 THRESHOLD, TOP = 0.80, 5
-PROBES = 5
+PROBES = 6
 #: Rows of a cell that one task searches; larger cells are cut into blocks that meet pairwise.
 CELL_ROWS = 24_000
 ROUND = 12
