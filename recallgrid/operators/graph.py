@@ -65,17 +65,39 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, alpha: float
     return rank.select("id", (F.col("score") / top).alias("score"))
 
 
-def common_neighbours(edges: DataFrame) -> DataFrame:
-    """(a, b, common, aa): for pairs a < b that share a neighbour, how many, and Adamic-Adar (sum of 1 / ln degree).
+def _adamic(edges: DataFrame) -> DataFrame:
+    """(m, d, v): degree of each node and 1 / ln degree (0 for degree 1)."""
+    deg = edges.groupBy(F.col("src").alias("m")).agg(F.count(F.lit(1)).alias("d"))
+    return deg.select("m", "d", F.when(F.col("d") > 1, 1 / F.log(F.col("d").cast("double"))).otherwise(0.0).alias("v"))
 
-    The pairs of a node with d neighbours are d * d / 2: nodes of a degree above ``HUB`` would dominate, but none may be
-    dropped; their neighbour lists are joined in hashed blocks so that no task holds a whole list.
+
+def two_hop(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, id, common, aa): what each asked node (id) shares with the nodes two hops away that it isn't joined to.
+
+    common counts the shared neighbours, aa is Adamic-Adar (the sum of 1 / ln degree).  The work is the sum of the
+    degrees of the asked nodes' neighbours; pairs of a hub's neighbours among each other are never formed.
+    """
+    near = edges.join(asked.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("query_id"), F.col("dst").alias("m"))
+    far = near.join(_adamic(edges), "m").join(edges.select(F.col("src").alias("m"), F.col("dst").alias("id")), "m").where(F.col("id") != F.col("query_id"))
+    shared = far.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("common"), F.sum("v").alias("aa"))
+    return shared.join(near.select("query_id", F.col("m").alias("id")), ["query_id", "id"], "left_anti")
+
+
+def shared_by_edge(pairs: DataFrame) -> DataFrame:
+    """(a, b, common, aa): for edges a < b in a triangle, the neighbours that both ends share, and their Adamic-Adar.
+
+    Triangles are found from their end of the lowest degree: edges point from lower to higher degree, where no node has
+    more than the root of twice the edges, so that a hub's neighbours are never paired.
     """
-    deg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    e = edges.join(deg, "src").select(F.col("src").alias("m"), F.col("dst").alias("n"), F.when(F.col("d") > 1, 1 / F.log(F.col("d").cast("double"))).otherwise(0.0).alias("v"))
-    left = e.select("m", F.col("n").alias("a"), "v")
-    right = e.select("m", F.col("n").alias("b"))
-    return left.join(right, "m").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.sum("v").alias("aa"))
+    deg = _adamic(pairs.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))))
+    e = pairs.join(deg.select(F.col("m").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("m").alias("b"), F.col("d").alias("db")), "b")
+    up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    out = shared_checkpoint(e.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("hi")))
+    wedge = out.select("lo", F.col("hi").alias("x")).join(out.select("lo", F.col("hi").alias("y")), "lo").where(F.col("x") < F.col("y"))
+    closed = wedge.join(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"])
+    side = lambda p, q, m: F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"), F.col(m).alias("m"))
+    sides = closed.select(F.inline(F.array(side("x", "y", "lo"), side("lo", "x", "y"), side("lo", "y", "x"))))
+    return sides.join(deg.select("m", "v"), "m").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.sum("v").alias("aa"))
 
 
 def modularity(pairs: DataFrame, labels: DataFrame) -> float:

@@ -224,7 +224,7 @@ def mt2_connection_strength(t: Tables) -> DataFrame:
     """Cosine, nearness in time and shared neighbours of the ends of every edge."""
     m = vecs(t).join(t("memories").select("id", "created_at"), "id")
     end = lambda s: m.select(F.col("id").alias(s), F.col("vec").alias(f"v{s}"), F.col("created_at").alias(f"t{s}"))
-    x = pairs(t).join(end("a"), "a").join(end("b"), "b").join(G.common_neighbours(graph(t)), ["a", "b"], "left")
+    x = pairs(t).join(end("a"), "a").join(end("b"), "b").join(G.shared_by_edge(pairs(t)), ["a", "b"], "left")
     gap = F.coalesce(F.abs(S.seconds_between(F.col("ta"), F.col("tb"))), F.lit(0.0))
     return x.select("a", "b", F.round(0.5 * V.cosine(F.col("va"), F.col("vb")) + 0.3 * F.exp(-gap / 60) + F.least(F.lit(0.3), 0.1 * F.coalesce("common", F.lit(0))), 6).alias("strength"))
 

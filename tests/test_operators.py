@@ -60,8 +60,13 @@ def test_pagerank_against_numpy(spark):
 
 def test_link_prediction_and_modularity(spark):
     g = both(spark, [(1, 2, 1.0), (2, 3, 1.0)])
-    r = G.common_neighbours(g).collect()
-    assert [(x.a, x.b, x.common, round(x.aa, 6)) for x in r] == [(1, 3, 1, 1.442695)]
+    r = G.two_hop(g, spark.createDataFrame([(1,)], "id long")).collect()
+    assert [(x.query_id, x.id, x.common, round(x.aa, 6)) for x in r] == [(1, 3, 1, 1.442695)]
+    rng = np.random.default_rng(3)
+    e = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 25, (120, 2)).tolist() if a != b} | {(0, k) for k in range(1, 25)}
+    near = {n: {b for a, b in e if a == n} | {a for a, b in e if b == n} for n in range(25)}
+    got = {(x.a, x.b): (x.common, round(x.aa, 6)) for x in G.shared_by_edge(spark.createDataFrame([(a, b, 1.0) for a, b in e], "a long, b long, w double")).collect()}
+    assert got == {(a, b): (len(c), round(sum(1 / np.log(len(near[m])) for m in c), 6)) for a, b in e if (c := near[a] & near[b])}
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9), (1, 3, 0.9), (4, 5, 0.9), (5, 6, 0.9), (4, 6, 0.9), (3, 4, 0.08)], "a long, b long, w double")
     roots = spark.createDataFrame([(i, 1) for i in range(1, 7)], "id long, root long")
     labels = Q.louvain(pairs, roots)
