@@ -36,7 +36,10 @@ LIMIT_BONUS, REPORT_BONUS, BROKEN_BONUS = 4.0, 0.4, 20.0
 #: is cut by the model alone.
 LIMIT_TEXTS, LIMIT_PART, LIMIT_SHARE = 4, 0.02, 0.5
 
-MARK = re.compile(r"(?:\s*(?:…|\.\.\.|\[(?:more|…|\.\.\.|truncated|cut|continued)\]|\((?:more|truncated|continued)\)|<(?:truncated|snip)>|�))+\s*$", re.I)
+MARK = re.compile(r"(?:…|\.\.\.|\[(?:more|…|\.\.\.|truncated|cut|continued)\]|\((?:more|truncated|continued)\)|<(?:truncated|snip)>|\ufffd)$", re.I)
+LONGEST_MARK = 16
+#: Texts are counted in slices of at most so many characters, each with the characters before it that contexts need.
+SLICE = 1 << 18
 _B = np.uint64(0x9E3779B97F4A7C15)
 _TERMINAL = np.array([ord(c) for c in ".!?。！？…"], dtype=np.uint32)
 _CLOSERS = np.array([ord(c) for c in "\"')]}”’»」』"], dtype=np.uint32)
@@ -45,9 +48,18 @@ _BREAKS = np.array([10, 13], dtype=np.uint32)
 
 def core_of(text: str) -> tuple[str, bool]:
     """The text without blanks and marks of a cut at its end, and whether there was such a mark."""
-    m = MARK.search(text)
-    core = (text[: m.start()] if m else text).rstrip()
-    return core, bool(m)
+    core, marked = text.rstrip(), False
+    while m := MARK.search(core, max(0, len(core) - LONGEST_MARK)):
+        core, marked = core[: m.start()].rstrip(), True
+    return core, marked
+
+
+def slices(text: str) -> Iterator[tuple[str, int, bool]]:
+    """Parts of a text as (part, characters of it that were counted before, whether the text goes on after it)."""
+    halo = max(LENGTHS) + HEAD
+    for a in range(0, max(len(text), 1), SLICE):
+        lo, hi = max(0, a - halo), min(len(text), a + SLICE + 8)
+        yield text[lo:hi], a - lo, hi < len(text)
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -202,15 +214,23 @@ def count_contexts(docs: DataFrame, words: np.ndarray) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1].astype(np.int64)), pa.array(x[2].astype(np.int64))], names=["h", "ends", "goes"])
 
         for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t and t.strip()]
-            for k in range(0, len(texts), 64):
-                codes = [codes_of(t) for t in texts[k : k + 64]]
+            parts = [p for t in batch.column(0).to_pylist() if t and t.strip() for p in slices(t)]
+            k = 0
+            while k < len(parts):
+                chunk, chars = [], 0
+                while k < len(parts) and chars < SLICE // 4:
+                    chunk.append(parts[k])
+                    chars += len(parts[k][0])
+                    k += 1
+                codes = [codes_of(p) for p, _, _ in chunk]
                 ends = np.concatenate([ends_after(c) for c in codes])
                 place = np.concatenate([np.arange(len(c)) for c in codes])
+                # what a slice shares with the one before or after it counts once
+                new = np.concatenate([(np.arange(len(c)) >= done) & (np.arange(len(c)) < len(c) - (8 if more else 0)) for c, (_, done, more) in zip(codes, chunk, strict=True)])
                 codes = np.concatenate(codes)
                 hashes = context_hashes(codes)
                 heads, deep = headed(hashes, codes, place)
-                for n, h, fits in [(n, hashes[n], place >= n - 1) for n in LENGTHS] + [(n, heads[n], deep & (place >= n - 1)) for n in HEADED]:
+                for n, h, fits in [(n, hashes[n], new & (place >= n - 1)) for n in LENGTHS] + [(n, heads[n], new & deep & (place >= n - 1)) for n in HEADED]:
                     at = np.flatnonzero(fits & _holds(bits, h))
                     hit = at[_holds(bits, h[at] >> np.uint64(SECOND))]
                     e = ends[hit]

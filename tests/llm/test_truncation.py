@@ -33,6 +33,22 @@ def test_empty_table_and_long_text(spark):
     assert T.cut_texts(df).count() >= 1
 
 
+def test_slices_count_every_place_once(spark, monkeypatch):
+    rows = corpus()[:40] + [(5000, " ".join(SENTENCES * 30), "en", "s", 1, "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    words = T.context_filter(T.final_contexts(df))
+    whole = {r.h: (r.ends, r.goes) for r in T.count_contexts(df, words).collect()}
+    text = " ".join(SENTENCES * 30)
+    monkeypatch.setattr(T, "SLICE", 700)
+    seen = sum(len(p) - done - (8 if more else 0) for p, done, more in T.slices(text))
+    assert seen == len(text) and len(whole) > 20
+
+
+def test_marks():
+    assert T.core_of("the plan… \n") == ("the plan", True) and T.core_of("the pl [more] ... ") == ("the pl", True) and T.core_of("done. [end]") == ("done. [end]", False)
+    assert T.core_of("x" + " " * 300_000 + "y") == ("x" + " " * 300_000 + "y", False)
+
+
 def test_hashes_depend_on_the_last_points_only():
     a, b = T.codes_of("some text that ends in the same words"), T.codes_of("other beginnings ends in the same words")
     ha, hb = T.context_hashes(a), T.context_hashes(b)
@@ -46,5 +62,6 @@ def test_hashes_depend_on_the_last_points_only():
 def test_ends():
     text = 'One two. Three "four." 0.25 five!\nsix'
     e = T.ends_after(T.codes_of(text))
-    assert [text[: i + 1].split()[-1] for i in np.flatnonzero(e)] == ["two", "two.", '"four', '"four.', "five", "five!", "six"] or e[text.index("two") + 2]
-    assert not e[text.index("25") - 1] and e[-1]
+    at = lambda part: e[text.index(part) + len(part) - 1]
+    assert at("two") and at("two.") and at("four") and at("five") and at("five!") and at("six")
+    assert not at("One") and not at("Three") and not at("0") and not at("0.") and not at("si")
