@@ -151,23 +151,33 @@ def ends_after(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def final_hashes(cores: list[str]) -> list[list[int | None]]:
+    """For each text the hashes of its final contexts, as ``context_hashes`` and ``headed`` give them at its last place."""
+    most = max(LENGTHS)
+    lines = [max(c.rfind("\n"), c.rfind("\r")) + 1 for c in cores]
+    tail = codes_of("".join(c[-most:].rjust(most, "\0") for c in cores)).reshape(-1, most).astype(np.uint64) + np.uint64(1)
+    head = codes_of("".join(c[a : a + HEAD].ljust(HEAD, "\0") for c, a in zip(cores, lines, strict=True))).reshape(-1, HEAD).astype(np.uint64) + np.uint64(1)
+    size = np.array([len(c) for c in cores])
+    deep = size - np.array(lines) >= HEAD
+    with np.errstate(over="ignore"):
+        powers = np.array([1, *(_POWER[j] for j in range(1, most))], dtype=np.uint64)
+        back = np.cumsum(tail[:, ::-1] * powers, axis=1, dtype=np.uint64)  # [:, n - 1]: of the last n points
+        first = _mix((head[:, ::-1] * powers[:HEAD]).sum(1, dtype=np.uint64))
+        plain = {n: _mix(back[:, n - 1] ^ np.uint64(n)) for n in LENGTHS}
+        cols = [(plain[n], size >= n) for n in LENGTHS] + [(_mix(plain[n] + first * np.uint64(3)), deep & (size >= n)) for n in HEADED]
+    return [list(row) for row in zip(*([int(v) if ok else None for v, ok in zip(h.view(np.int64).tolist(), fits.tolist(), strict=True)] for h, fits in cols), strict=True)]
+
+
 def _finals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
+        rows, cores = [], []
         for doc_id, text, source, lang, n_chars in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if not text or not text.strip():
                 continue
             core, mark = core_of(text)
-            if not core:
-                core = text.strip()
-            line = max(core.rfind("\n"), core.rfind("\r")) + 1
-            codes = codes_of(core[min(line, max(0, len(core) - max(LENGTHS))) :] if len(core) - line < 4096 else core[line : line + HEAD] + core[-max(LENGTHS) :])
-            h = context_hashes(codes)
-            heads, deep = headed(h, codes, np.arange(len(codes)))
-            ctx = [int(h[n][-1].astype(np.int64)) if len(core) >= n else None for n in LENGTHS]
-            ctx += [int(heads[n][-1].astype(np.int64)) if len(core) >= n and deep[-1] else None for n in HEADED]
-            rows.append((doc_id, source, lang, len(text), len(text.encode("utf-8", "replace")), n_chars, mark, text.rstrip().endswith("\ufffd"), ctx))
-        cols = list(zip(*rows, strict=True)) or [()] * 9
+            cores.append(core or text.strip())
+            rows.append((doc_id, source, lang, len(text), len(text.encode("utf-8", "replace")), n_chars, mark, text.rstrip().endswith("\ufffd")))
+        cols = [*(zip(*rows, strict=True) if rows else [()] * 8), final_hashes(cores) if cores else []]
         types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "source", "lang", "chars", "bytes", "n_chars", "mark", "broken", "ctx"])
 

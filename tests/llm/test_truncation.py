@@ -44,6 +44,16 @@ def test_slices_count_every_place_once(spark, monkeypatch):
     assert seen == len(text) and len(whole) > 20
 
 
+def test_final_hashes_are_those_of_the_last_place():
+    texts = ["user: the night job", "a", "Tags: amber, wren", "two\nlines of 25 words here", "数据库的内容", "x" * 50]
+    for text, got in zip(texts, T.final_hashes(texts), strict=True):
+        codes = T.codes_of(text)
+        h = T.context_hashes(codes)
+        heads, deep = T.headed(h, codes, np.arange(len(codes)))
+        want = [int(h[n][-1].astype(np.int64)) if len(text) >= n else None for n in T.LENGTHS] + [int(heads[n][-1].astype(np.int64)) if len(text) >= n and deep[-1] else None for n in T.HEADED]
+        assert got == want, text
+
+
 def test_marks():
     assert T.core_of("the plan… \n") == ("the plan", True) and T.core_of("the pl [more] ... ") == ("the pl", True) and T.core_of("done. [end]") == ("done. [end]", False)
     assert T.core_of("x" + " " * 300_000 + "y") == ("x" + " " * 300_000 + "y", False)
