@@ -3,6 +3,10 @@
 Queries are handed out in blocks of at most ``BLOCK`` vectors, one broadcast each, whatever their number; every partition
 of the collection is multiplied with a block at once and keeps its best k per query, so that k rows per query and
 partition are shuffled and no pair is.
+
+Self-joins by similarity (``similar_links``, ``similar_groups``, ``similar_counts``) compare every pair of rows: hashed
+blocks of the collection meet pairwise, one task per pair of blocks.  No index and no cap leaves a pair out, so the work
+grows with the square of the rows; what is shuffled is each row once per block.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+#: Rows of a block of a self-join, and rows of it that are multiplied at once.
+JOIN_ROWS, JOIN_CHUNK = 16_384, 512
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -71,3 +77,111 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, dim: int, exclude_self:
         out = spark.createDataFrame([], "query_id long, id long, sim double")
     w = W.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Unite the components of ``a`` and ``b``, pair by pair, in place; ``root`` is the smallest index of a component."""
+    while True:
+        x, y = root[a], root[b]
+        differ = x != y
+        if not differ.any():
+            return
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root[:] = up
+
+
+def _self_join(rows: DataFrame, dim: int, least: float, block: int, decimals: int, meet, schema: str) -> DataFrame:
+    """Every pair of ``rows`` (id, vec; ids unique) passes ``meet`` once.
+
+    ``meet(ids, hits)`` gets the ids of two blocks that meet (or of one that meets itself) and an iterator of
+    (i, j, sim) arrays with the pairs of at least ``least``, and returns the arrays of ``schema``.
+    """
+    m = max(1, -(-rows.count() // block))
+    own, y = F.pmod(F.xxhash64("id"), F.lit(m)), F.col("_y")
+    placed = rows.select("id", "vec", own.alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_y"))
+    placed = placed.select((F.least("_b", y) * m + F.greatest("_b", y)).alias("key"), (F.col("_b") <= y).alias("left"), (F.col("_b") == y).alias("alone"), "id", "vec")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def hits(a: np.ndarray, b: np.ndarray, alone: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for lo in range(0, len(a), JOIN_CHUNK):
+            first = lo if alone else 0
+            s = a[lo : lo + JOIN_CHUNK] @ b[first:].T
+            i, j = np.nonzero(s >= least - 10.0**-decimals)
+            v = np.round(s[i, j], decimals)
+            fine = v >= least - 1e-12
+            if alone:
+                fine &= i < j
+            yield i[fine] + lo, j[fine] + first + (0 if alone else len(a)), v[fine]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = [], None
+
+        def met() -> pa.RecordBatch:
+            left, alone, ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            if alone[0]:
+                got = meet(ids, hits(x, x, True))
+            else:
+                got = meet(np.concatenate([ids[left], ids[~left]]), hits(x[left], x[~left], False))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=names)
+
+        for batch in batches:  # sorted by key: two blocks are held at a time
+            if not batch.num_rows:
+                continue
+            key, left, alone, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            x = _matrix(batch.column(4), dim)
+            cuts = np.flatnonzero(np.diff(key)) + 1
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(key)], strict=True):
+                if current is not None and key[lo] != current:
+                    yield met()
+                    held = []
+                current = key[lo]
+                held.append((left[lo:hi], alone[lo:hi], ids[lo:hi], x[lo:hi]))
+        if held:
+            yield met()
+
+    return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def similar_links(rows: DataFrame, dim: int, least: float, decimals: int = 6, block: int = JOIN_ROWS) -> DataFrame:
+    """(a, b, sim): each unordered pair of ``rows`` with a similarity of at least ``least``, a < b."""
+
+    def meet(ids, hits):
+        got = [(ids[i], ids[j], v) for i, j, v in hits]
+        a, b, v = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (ids[:0], ids[:0], np.zeros(0))
+        return np.minimum(a, b), np.maximum(a, b), v
+
+    return _self_join(rows, dim, least, block, decimals, meet, "a long, b long, sim double")
+
+
+def similar_groups(rows: DataFrame, dim: int, least: float, decimals: int = 6, block: int = JOIN_ROWS) -> DataFrame:
+    """(a, b): links that join the same rows into groups as all pairs of at least ``least`` do.
+
+    Two blocks that meet give one link per row at most, to the first row of its group there, however many pairs there are.
+    """
+
+    def meet(ids, hits):
+        root = np.arange(len(ids))
+        for i, j, _ in hits:
+            _merge(root, i, j)
+        far = root != np.arange(len(ids))
+        return ids[far], ids[root[far]]
+
+    return _self_join(rows, dim, least, block, decimals, meet, "a long, b long")
+
+
+def similar_counts(rows: DataFrame, dim: int, least: float, decimals: int = 6, block: int = JOIN_ROWS) -> DataFrame:
+    """(id, n, least): how many others each row has at ``least`` or more, and the weakest of them; rows without are left out."""
+
+    def meet(ids, hits):
+        n, low = np.zeros(len(ids), np.int64), np.full(len(ids), np.inf)
+        for i, j, v in hits:
+            for end in (i, j):
+                n += np.bincount(end, minlength=len(ids))
+                np.minimum.at(low, end, v)
+        some = n > 0
+        return ids[some], n[some], low[some]
+
+    found = _self_join(rows, dim, least, block, decimals, meet, "id long, n long, least double")
+    return found.groupBy("id").agg(F.sum("n").alias("n"), F.min("least").alias("least"))

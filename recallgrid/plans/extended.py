@@ -13,7 +13,7 @@ from recallgrid.functions import text as X
 from recallgrid.functions import vectors as V
 from recallgrid.operators import edges as E
 from recallgrid.operators import graph as G
-from recallgrid.operators import lsh
+from recallgrid.operators import lsh, search
 from recallgrid.operators import sequential as Q
 from recallgrid.operators.components import connected_components
 from recallgrid.plans import ctes as C
@@ -270,8 +270,8 @@ def gr7_many_seeds(t: Tables) -> DataFrame:
 
 @R.add(REC(_SEM + ", e as (select query_id a, id b from sem where score >= 0.85), bw as (select a src, b dst from e union select b, a from e), r(id, root) as (select distinct src, src from bw union select b.dst, r.root from r join bw b on b.src = r.id where r.root < b.dst) select id, min(root) as root from r group by 1"))
 def gr15_similarity_groups(t: Tables) -> DataFrame:
-    """Groups that the queries' hits of 0.85 and more link together."""
-    return connected_components(semantic(t).where(F.col("score") >= 0.85).select(F.col("query_id").alias("a"), F.col("id").alias("b")))
+    """Groups that all pairs of 0.85 and more link together; rows without such a pair are in none."""
+    return connected_components(search.similar_groups(vecs(t), DIM, 0.85))
 
 
 @R.add("with " + C.PAIRS + " select a, b, w as weight from pw where a not in (select memory_id from memory_revisions where memory_id is not null) and b not in (select memory_id from memory_revisions where memory_id is not null)")

@@ -41,9 +41,8 @@ def tk1_cosine_top10(t: Tables) -> DataFrame:
 
 @R.add(_HITS + " select query_id, count(*) as n, min(sim) as least from h where sim >= 0.3 group by 1")
 def jn8_similar_above_threshold(t: Tables) -> DataFrame:
-    """How many rows each query reaches at a threshold: counted per block, no list of pairs."""
-    hits = search.top_k(asking(t), vecs(t), 1 << 30, DIM, least=0.3)
-    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("least"))
+    """How many others each row reaches at a threshold: counted per pair of blocks, no list of pairs."""
+    return search.similar_counts(vecs(t), DIM, 0.3).withColumnRenamed("id", "query_id")
 
 
 @R.add("select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as sim from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0 and round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) >= 0.3")
