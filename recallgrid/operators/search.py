@@ -4,7 +4,7 @@ Queries are handed out in blocks of at most ``BLOCK`` vectors, one broadcast eac
 of the collection is multiplied with a block at once and keeps its best k per query, so that k rows per query and
 partition are shuffled and no pair is.
 
-Self-joins by similarity (``similar_links``, ``similar_groups``, ``similar_counts``) compare every pair of rows: hashed
+Self-joins by similarity (``similar_links``, ``similar_groups``, ``similar_counts``, ``nearest``) compare every pair of rows: hashed
 blocks of the collection meet pairwise, one task per pair of blocks.  No index and no cap leaves a pair out, so the work
 grows with the square of the rows; what is shuffled is each row once per block.
 """
@@ -92,11 +92,11 @@ def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def _self_join(rows: DataFrame, dim: int, least: float, block: int, decimals: int, meet, schema: str) -> DataFrame:
+def _self_join(rows: DataFrame, dim: int, block: int, meet, schema: str) -> DataFrame:
     """Every pair of ``rows`` (id, vec; ids unique) passes ``meet`` once.
 
-    ``meet(ids, hits)`` gets the ids of two blocks that meet (or of one that meets itself) and an iterator of
-    (i, j, sim) arrays with the pairs of at least ``least``, and returns the arrays of ``schema``.
+    ``meet(ids, a, b)`` gets the ids and unit vectors of two blocks that meet, ids of ``a`` first, or of one that meets
+    itself (``b`` is None), and returns the arrays of ``schema``.
     """
     m = max(1, -(-rows.count() // block))
     own, y = F.pmod(F.xxhash64("id"), F.lit(m)), F.col("_y")
@@ -104,26 +104,12 @@ def _self_join(rows: DataFrame, dim: int, least: float, block: int, decimals: in
     placed = placed.select((F.least("_b", y) * m + F.greatest("_b", y)).alias("key"), (F.col("_b") <= y).alias("left"), (F.col("_b") == y).alias("alone"), "id", "vec")
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def hits(a: np.ndarray, b: np.ndarray, alone: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for lo in range(0, len(a), JOIN_CHUNK):
-            first = lo if alone else 0
-            s = a[lo : lo + JOIN_CHUNK] @ b[first:].T
-            i, j = np.nonzero(s >= least - 10.0**-decimals)
-            v = np.round(s[i, j], decimals)
-            fine = v >= least - 1e-12
-            if alone:
-                fine &= i < j
-            yield i[fine] + lo, j[fine] + first + (0 if alone else len(a)), v[fine]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, current = [], None
 
         def met() -> pa.RecordBatch:
             left, alone, ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
-            if alone[0]:
-                got = meet(ids, hits(x, x, True))
-            else:
-                got = meet(np.concatenate([ids[left], ids[~left]]), hits(x[left], x[~left], False))
+            got = meet(ids, x, None) if alone[0] else meet(np.concatenate([ids[left], ids[~left]]), x[left], x[~left])
             return pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=names)
 
         for batch in batches:  # sorted by key: two blocks are held at a time
@@ -144,15 +130,28 @@ def _self_join(rows: DataFrame, dim: int, least: float, block: int, decimals: in
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
+def _hits(a: np.ndarray, b: np.ndarray | None, least: float, decimals: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, sim) of the pairs of at least ``least``, in parts; rows of ``b`` are numbered after those of ``a``."""
+    for lo in range(0, len(a), JOIN_CHUNK):
+        other = a[lo:] if b is None else b
+        s = a[lo : lo + JOIN_CHUNK] @ other.T
+        i, j = np.nonzero(s >= least - 10.0**-decimals)
+        v = np.round(s[i, j], decimals)
+        fine = v >= least - 1e-12
+        if b is None:
+            fine &= i < j
+        yield i[fine] + lo, j[fine] + (lo if b is None else len(a)), v[fine]
+
+
 def similar_links(rows: DataFrame, dim: int, least: float, decimals: int = 6, block: int = JOIN_ROWS) -> DataFrame:
     """(a, b, sim): each unordered pair of ``rows`` with a similarity of at least ``least``, a < b."""
 
-    def meet(ids, hits):
-        got = [(ids[i], ids[j], v) for i, j, v in hits]
+    def meet(ids, x, y):
+        got = [(ids[i], ids[j], v) for i, j, v in _hits(x, y, least, decimals)]
         a, b, v = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (ids[:0], ids[:0], np.zeros(0))
         return np.minimum(a, b), np.maximum(a, b), v
 
-    return _self_join(rows, dim, least, block, decimals, meet, "a long, b long, sim double")
+    return _self_join(rows, dim, block, meet, "a long, b long, sim double")
 
 
 def similar_groups(rows: DataFrame, dim: int, least: float, decimals: int = 6, block: int = JOIN_ROWS) -> DataFrame:
@@ -161,27 +160,99 @@ def similar_groups(rows: DataFrame, dim: int, least: float, decimals: int = 6, b
     Two blocks that meet give one link per row at most, to the first row of its group there, however many pairs there are.
     """
 
-    def meet(ids, hits):
+    def meet(ids, x, y):
         root = np.arange(len(ids))
-        for i, j, _ in hits:
+        for i, j, _ in _hits(x, y, least, decimals):
             _merge(root, i, j)
         far = root != np.arange(len(ids))
         return ids[far], ids[root[far]]
 
-    return _self_join(rows, dim, least, block, decimals, meet, "a long, b long")
+    return _self_join(rows, dim, block, meet, "a long, b long")
 
 
 def similar_counts(rows: DataFrame, dim: int, least: float, decimals: int = 6, block: int = JOIN_ROWS) -> DataFrame:
     """(id, n, least): how many others each row has at ``least`` or more, and the weakest of them; rows without are left out."""
 
-    def meet(ids, hits):
+    def meet(ids, x, y):
         n, low = np.zeros(len(ids), np.int64), np.full(len(ids), np.inf)
-        for i, j, v in hits:
+        for i, j, v in _hits(x, y, least, decimals):
             for end in (i, j):
                 n += np.bincount(end, minlength=len(ids))
                 np.minimum.at(low, end, v)
         some = n > 0
         return ids[some], n[some], low[some]
 
-    found = _self_join(rows, dim, least, block, decimals, meet, "id long, n long, least double")
+    found = _self_join(rows, dim, block, meet, "id long, n long, least double")
     return found.groupBy("id").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+
+
+def _bound(s: np.ndarray, k: int, groups: int = 64) -> np.ndarray:
+    """A value that at least ``k`` numbers of each column of ``s`` reach, near to the k-th best: from the best of 64 groups."""
+    wide = len(s) // groups
+    if k > groups or not wide:
+        return np.full(s.shape[1], -2.0, s.dtype)
+    best = s[: wide * groups].reshape(wide, groups, -1).max(0)
+    return np.partition(best, groups - k, axis=0)[groups - k]
+
+
+def _bound_of_rows(s: np.ndarray, k: int, groups: int = 64) -> np.ndarray:
+    wide = s.shape[1] // groups
+    if k > groups or not wide:
+        return np.full(len(s), -2.0, s.dtype)
+    best = s[:, : wide * groups].reshape(len(s), groups, wide).max(2)
+    return np.partition(best, groups - k, axis=1)[:, groups - k]
+
+
+def _exact(x: np.ndarray, i: np.ndarray, j: np.ndarray, decimals: int, part: int = 1 << 16) -> np.ndarray:
+    """Rounded products of rows ``i`` and ``j`` of ``x`` in double precision."""
+    out = np.empty(len(i))
+    for lo in range(0, len(i), part):
+        out[lo : lo + part] = np.einsum("ij,ij->i", x[i[lo : lo + part]], x[j[lo : lo + part]])
+    return np.round(out, decimals)
+
+
+def _take(best_s: np.ndarray, best_i: np.ndarray, ids: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, decimals: int) -> None:
+    """Merge the candidates ``j`` of the rows ``i`` into the rows' best, in place."""
+    k = best_s.shape[1]
+    touched, row = np.unique(i, return_inverse=True)
+    if not len(touched):
+        return
+    row = np.concatenate([row, np.repeat(np.arange(len(touched)), k)])
+    v = np.concatenate([_exact(x, i, j, decimals), best_s[touched].ravel()])
+    other = np.concatenate([ids[j], best_i[touched].ravel()])
+    o = np.lexsort((other, -v, row))
+    row, v, other = row[o], v[o], other[o]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    fine = rank < k
+    best_s[touched[row[fine]], rank[fine]] = v[fine]
+    best_i[touched[row[fine]], rank[fine]] = other[fine]
+
+
+def nearest(rows: DataFrame, dim: int, k: int, decimals: int = 12, block: int = JOIN_ROWS) -> DataFrame:
+    """(id, other, sim, rank): for every row of ``rows`` (id, vec) the k most similar others, exactly; ties to the smaller id.
+
+    Candidates are screened in single precision with room for its error and computed again in double.
+    """
+
+    def meet(ids, a, b):
+        x = a if b is None else np.concatenate([a, b])
+        n, from_b = len(a), 0 if b is None else len(a)
+        low, other = x[:n].astype(np.float32), x[from_b:].astype(np.float32).T
+        best_s, best_i = np.full((len(ids), k), -2.0), np.zeros((len(ids), k), np.int64)
+        for lo in range(0, n, JOIN_CHUNK):
+            s = low[lo : lo + JOIN_CHUNK] @ other
+            if b is None:
+                s[np.arange(len(s)), lo + np.arange(len(s))] = -2.0
+            least = np.maximum(np.maximum(_bound_of_rows(s, k), best_s[lo : lo + len(s), -1]), -1.5).astype(np.float32) - np.float32(1e-5)
+            i, j = np.nonzero(s >= least[:, None])
+            _take(best_s, best_i, ids, x, i + lo, j + from_b, decimals)
+            if b is not None:
+                least = np.maximum(np.maximum(_bound(s, k), best_s[n:, -1]), -1.5).astype(np.float32) - np.float32(1e-5)
+                i, j = np.nonzero(s >= least[None, :])
+                _take(best_s, best_i, ids, x, j + from_b, i + lo, decimals)
+        r, c = np.nonzero(best_s > -1.5)
+        return ids[r], best_i[r, c], best_s[r, c]
+
+    found = _self_join(rows, dim, block, meet, "id long, other long, sim double")
+    w = W.partitionBy("id").orderBy(F.desc("sim"), "other")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

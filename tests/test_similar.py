@@ -67,3 +67,30 @@ def test_links_across_blocks(spark, block):
     assert {(r.a, r.b, round(r.sim, 6)) for r in search.similar_links(rows, 64, 0.85, block=block).collect()} == want
     ok = (s >= 0.85) & ~np.eye(len(x), dtype=bool)
     assert {tuple(r) for r in connected_components(search.similar_groups(rows, 64, 0.85, block=block)).select("id", "root").collect()} == roots(ids, ok)
+
+
+def best(ids, x, k=5):
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -2)
+    return {(int(ids[i]), r + 1, int(ids[j])) for i in range(len(ids)) for r, j in enumerate(np.lexsort((ids, -s[i]))[: min(k, len(ids) - 1)])}
+
+
+def test_p6_neighbours_has_five_of_every_row(spark, tmp_path):
+    from recallgrid.llm.neighbours import p6_neighbours
+
+    ids, x = collection(10)
+    frame(spark, ids, x).write.parquet(str(tmp_path / "memories.parquet"))
+    got = {(r.id, r.rank, r.other) for r in p6_neighbours(spark, str(tmp_path)).collect()}
+    assert got == best(ids, x) and len(got) == 5 * len(ids)
+
+
+@pytest.mark.parametrize("size, block", [(286, 40), (286, 130), (3, 1000), (1, 1000)])
+def test_nearest_across_blocks(spark, size, block):
+    ids, x = collection(11)
+    ids, x = ids[:size], x[:size]
+    x[-1] = x[0]  # copies
+    x[size // 2] = x[0]
+    rows = search.usable(frame(spark, ids, x), "id", "embedding", 64)
+    assert {(r.id, r.rank, r.other) for r in search.nearest(rows, 64, 5, block=block).collect()} == best(ids, x)
