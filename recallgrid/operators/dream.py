@@ -71,6 +71,11 @@ def supersedes(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     left = rows.select(F.col("id").alias("a"), F.col("numbers").alias("na"), F.col("created_at").alias("ta"))
     right = rows.select(F.col("id").alias("b"), F.col("numbers").alias("nb"), F.col("created_at").alias("tb"))
     p = pairs.join(left, "a").join(right, "b").where((F.size("na") > 0) & (F.size("nb") > 0) & (F.col("na") != F.col("nb")))
+    return older_to_newer(p)
+
+
+def older_to_newer(p: DataFrame) -> DataFrame:
+    """The superseding edges of pairs (a, b, sim) with their times ta and tb."""
     newer_b = (F.col("ta") < F.col("tb")) | (F.coalesce(F.col("ta") == F.col("tb"), F.lit(True)) & (F.col("a") < F.col("b")))
     return p.select(F.when(newer_b, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(newer_b, F.col("b")).otherwise(F.col("a")).alias("t"), F.lit("supersedes").alias("edge_type"), F.col("sim").alias("weight"))
 

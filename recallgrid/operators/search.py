@@ -24,11 +24,11 @@ BLOCK = 2048
 JOIN_ROWS, JOIN_CHUNK = 16_384, 512
 
 
-def usable(rows: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """id, vec of the rows whose vector has ``dim`` numbers, is finite and not zero."""
+def usable(rows: DataFrame, id_col: str, vec_col: str, dim: int, *keep: str) -> DataFrame:
+    """id, vec (and ``keep``) of the rows whose vector has ``dim`` numbers, is finite and not zero."""
     v = F.col(vec_col)
     square = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return rows.where(F.col(id_col).isNotNull() & (F.size(v) == dim) & (square > 0) & (square < float("inf"))).select(F.col(id_col).alias("id"), v.alias("vec"))
+    return rows.where(F.col(id_col).isNotNull() & (F.size(v) == dim) & (square > 0) & (square < float("inf"))).select(F.col(id_col).alias("id"), v.alias("vec"), *keep)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -92,40 +92,43 @@ def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def _self_join(rows: DataFrame, dim: int, block: int, meet, schema: str) -> DataFrame:
+def _self_join(rows: DataFrame, dim: int, block: int, meet, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every pair of ``rows`` (id, vec; ids unique) passes ``meet`` once.
 
     ``meet(ids, a, b)`` gets the ids and unit vectors of two blocks that meet, ids of ``a`` first, or of one that meets
-    itself (``b`` is None), and returns the arrays of ``schema``.
+    itself (``b`` is None), and yields arrays of ``schema``.  The columns ``carry`` (long) follow as further arrays.
     """
     m = max(1, -(-rows.count() // block))
     own, y = F.pmod(F.xxhash64("id"), F.lit(m)), F.col("_y")
-    placed = rows.select("id", "vec", own.alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_y"))
-    placed = placed.select((F.least("_b", y) * m + F.greatest("_b", y)).alias("key"), (F.col("_b") <= y).alias("left"), (F.col("_b") == y).alias("alone"), "id", "vec")
+    placed = rows.select("id", "vec", *carry, own.alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_y"))
+    placed = placed.select((F.least("_b", y) * m + F.greatest("_b", y)).alias("key"), (F.col("_b") <= y).alias("left"), (F.col("_b") == y).alias("alone"), "id", "vec", *carry)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, current = [], None
 
-        def met() -> pa.RecordBatch:
-            left, alone, ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
-            got = meet(ids, x, None) if alone[0] else meet(np.concatenate([ids[left], ids[~left]]), x[left], x[~left])
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=names)
+        def met() -> Iterator[pa.RecordBatch]:
+            left, alone, x, *of_rows = (np.concatenate(c) for c in zip(*held, strict=True))
+            if not alone[0]:
+                of_rows = [np.concatenate([c[left], c[~left]]) for c in of_rows]
+            for got in meet(of_rows[0], *((x, None) if alone[0] else (x[left], x[~left])), *of_rows[1:]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=names)
 
         for batch in batches:  # sorted by key: two blocks are held at a time
             if not batch.num_rows:
                 continue
             key, left, alone, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
             x = _matrix(batch.column(4), dim)
+            more = [batch.column(5 + c).to_numpy(zero_copy_only=False) for c in range(len(carry))]
             cuts = np.flatnonzero(np.diff(key)) + 1
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(key)], strict=True):
                 if current is not None and key[lo] != current:
-                    yield met()
+                    yield from met()
                     held = []
                 current = key[lo]
-                held.append((left[lo:hi], alone[lo:hi], ids[lo:hi], x[lo:hi]))
+                held.append(tuple(c[lo:hi] for c in (left, alone, x, ids, *more)))
         if held:
-            yield met()
+            yield from met()
 
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
@@ -143,15 +146,20 @@ def _hits(a: np.ndarray, b: np.ndarray | None, least: float, decimals: int) -> I
         yield i[fine] + lo, j[fine] + (lo if b is None else len(a)), v[fine]
 
 
-def similar_links(rows: DataFrame, dim: int, least: float, decimals: int = 6, block: int = JOIN_ROWS) -> DataFrame:
-    """(a, b, sim): each unordered pair of ``rows`` with a similarity of at least ``least``, a < b."""
+def similar_links(rows: DataFrame, dim: int, least: float, carry: tuple[str, ...] = (), decimals: int = 6, block: int = JOIN_ROWS) -> DataFrame:
+    """(a, b, sim): each unordered pair of ``rows`` with a similarity of at least ``least``, a < b.
 
-    def meet(ids, x, y):
-        got = [(ids[i], ids[j], v) for i, j, v in _hits(x, y, least, decimals)]
-        a, b, v = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (ids[:0], ids[:0], np.zeros(0))
-        return np.minimum(a, b), np.maximum(a, b), v
+    For each column of ``carry`` (long, not null) the pair has its value at both ends, as a_name and b_name, without a join.
+    """
+
+    def meet(ids, x, y, *more):
+        for i, j, v in _hits(x, y, least, decimals):
+            turn = ids[i] > ids[j]
+            i, j = np.where(turn, j, i), np.where(turn, i, j)
+            yield ids[i], ids[j], v, *(c[e] for c in more for e in (i, j))
 
-    return _self_join(rows, dim, block, meet, "a long, b long, sim double")
+    ends = "".join(f", {e}_{c} long" for c in carry for e in "ab")
+    return _self_join(rows, dim, block, meet, "a long, b long, sim double" + ends, carry)
 
 
 def similar_groups(rows: DataFrame, dim: int, least: float, decimals: int = 6, block: int = JOIN_ROWS) -> DataFrame:
@@ -165,7 +173,7 @@ def similar_groups(rows: DataFrame, dim: int, least: float, decimals: int = 6, b
         for i, j, _ in _hits(x, y, least, decimals):
             _merge(root, i, j)
         far = root != np.arange(len(ids))
-        return ids[far], ids[root[far]]
+        yield ids[far], ids[root[far]]
 
     return _self_join(rows, dim, block, meet, "a long, b long")
 
@@ -180,7 +188,7 @@ def similar_counts(rows: DataFrame, dim: int, least: float, decimals: int = 6, b
                 n += np.bincount(end, minlength=len(ids))
                 np.minimum.at(low, end, v)
         some = n > 0
-        return ids[some], n[some], low[some]
+        yield ids[some], n[some], low[some]
 
     found = _self_join(rows, dim, block, meet, "id long, n long, least double")
     return found.groupBy("id").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
@@ -251,7 +259,7 @@ def nearest(rows: DataFrame, dim: int, k: int, decimals: int = 12, block: int =
                 i, j = np.nonzero(s >= least[None, :])
                 _take(best_s, best_i, ids, x, j + from_b, i + lo, decimals)
         r, c = np.nonzero(best_s > -1.5)
-        return ids[r], best_i[r, c], best_s[r, c]
+        yield ids[r], best_i[r, c], best_s[r, c]
 
     found = _self_join(rows, dim, block, meet, "id long, other long, sim double")
     w = W.partitionBy("id").orderBy(F.desc("sim"), "other")

@@ -10,12 +10,13 @@ from recallgrid.functions import vectors as V
 from recallgrid.operators import dream as D
 from recallgrid.operators import edges as E
 from recallgrid.operators import graph as G
+from recallgrid.operators import search
 from recallgrid.operators import sequential as Q
 from recallgrid.operators.components import connected_components
 from recallgrid.plans import ctes as C
 from recallgrid.plans.base import Registry, Tables
 from recallgrid.plans.retrieval import relevant, semantic
-from recallgrid.plans.vectors_text import vecs
+from recallgrid.plans.vectors_text import DIM, vecs
 
 R = Registry()
 REC = lambda body: "with recursive " + body
@@ -202,9 +203,13 @@ def dr8_rem_bridges(t: Tables) -> DataFrame:
   p as (select sm.*, x.created_at ta, y.created_at tb from sm join n x on x.id = a join n y on y.id = b where len(x.w) > 0 and len(y.w) > 0 and x.w <> y.w),
   o as (select case when ta < tb or (coalesce(ta = tb, true) and a < b) then a else b end s, case when ta < tb or (coalesce(ta = tb, true) and a < b) then b else a end t, sim from p) select distinct s, t, sim as weight from o""")
 def dr7_supersedes(t: Tables) -> DataFrame:
-    rows = t("memories").where(F.col("content").isNotNull()).select("id", "created_at", X.numeric_tokens(F.col("content")).alias("numbers"))
-    near = semantic(t).where(F.col("score") >= 0.85).select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("sim"))
-    return D.supersedes(rows, near).select("s", "t", "weight").distinct()
+    """Superseding edges of all pairs of 0.85 and more whose numbers differ; sets of numbers are compared by a 64-bit hash."""
+    numbers = X.numeric_tokens(F.col("content"))
+    rows = t("memories").where(F.size(numbers) > 0).withColumns({"numbers": F.xxhash64(numbers), "timed": F.col("created_at").isNotNull().cast("long"), "at": F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0))})
+    carry = ("numbers", "timed", "at")
+    p = search.similar_links(search.usable(rows, "id", "embedding", DIM, *carry), DIM, 0.85, carry).where(F.col("a_numbers") != F.col("b_numbers"))
+    at = lambda e: F.when(F.col(f"{e}_timed") == 1, F.col(f"{e}_at"))
+    return D.older_to_newer(p.select("a", "b", "sim", at("a").alias("ta"), at("b").alias("tb"))).select("s", "t", "weight")
 
 
 _BIG = REC(C.EDGES + ", e as (select s, t from ce where weight >= 0.05 and edge_type <> 'derived_from'), bw as (select s src, t dst from e union select t, s from e), r(id, root) as (select distinct src, src from bw union select b.dst, r.root from r join bw b on b.src = r.id where r.root < b.dst), c as (select id, min(root) root from r group by 1)")
@@ -279,11 +284,10 @@ _AUTO = "with recursive " + C.VECTORS + ", sp as (select a.id a, b.id b, round(l
 @R.add(_AUTO + f""" select least(a, b) as s, greatest(a, b) as t, max(case when regexp_matches(lower(concat_ws(' ', x.content, y.content)), '{"|".join(X.CAUSAL_WORDS)}') then 'causal' when regexp_matches(lower(concat_ws(' ', x.content, y.content)), '{"|".join(X.SUPERSEDING_WORDS)}') then 'supersedes' else 'similar' end) as edge_type,
   max(sim) as weight from sm join memories x on x.id = a join memories y on y.id = b group by 1, 2""")
 def dr23_auto_connect(t: Tables) -> DataFrame:
-    """Edges from each query row to the rows with a cosine above 0.7, typed by their words."""
-    near = semantic(t).where(F.col("score") > 0.7)
-    m = t("memories").select("id", "content")
-    x = near.join(m.select(F.col("id").alias("query_id"), F.col("content").alias("ca")), "query_id").join(m.select("id", F.col("content").alias("cb")), "id")
-    return x.groupBy(F.least("query_id", "id").alias("s"), F.greatest("query_id", "id").alias("t")).agg(F.max(X.edge_type(F.col("ca"), F.col("cb"))).alias("edge_type"), F.max("score").alias("weight"))
+    """Edges between all pairs of rows with a cosine above 0.7, typed by their words."""
+    flags = X.edge_words(F.col("content"))
+    p = search.similar_links(search.usable(t("memories").withColumn("words", flags), "id", "embedding", DIM, "words"), DIM, 0.7, ("words",)).where(F.col("sim") > 0.7)
+    return p.select(F.col("a").alias("s"), F.col("b").alias("t"), X.edge_type_of_words(F.col("a_words"), F.col("b_words")).alias("edge_type"), F.col("sim").alias("weight"))
 
 
 # Sequential by nature ------------------------------------------------------------------------------------------------

@@ -94,3 +94,32 @@ def test_nearest_across_blocks(spark, size, block):
     x[size // 2] = x[0]
     rows = search.usable(frame(spark, ids, x), "id", "embedding", 64)
     assert {(r.id, r.rank, r.other) for r in search.nearest(rows, 64, 5, block=block).collect()} == best(ids, x)
+
+
+def test_dr7_dr23_link_every_pair(spark):
+    import datetime as dt
+
+    from recallgrid.functions import text as X
+    from recallgrid.plans import graph_dream
+
+    ids, x = collection(13)
+    s = cosines(x)
+    said = ["it cost 5", "it cost 7", "because of 5", "replaces 9", "no number", None, "so it is due", "to us"]
+    times = [dt.datetime(2025, 1, 1), None, dt.datetime(2024, 6, 1)]
+    rows = [(int(i), [float(a) for a in v], said[n % 8], times[n % 3]) for n, (i, v) in enumerate(zip(ids, x, strict=True))]
+    t = spark.createDataFrame(rows, SCHEMA + ", content string, created_at timestamp_ntz")
+    numbers = lambda c: set(w for w in (c or "").split() if w.isdigit())
+    newer, linked = set(), set()
+    for i in range(len(ids)):
+        for j in range(i + 1, len(ids)):
+            (a, _, ca, ta), (b, _, cb, tb) = rows[i], rows[j]
+            if s[i, j] >= 0.85 and numbers(ca) and numbers(cb) and numbers(ca) != numbers(cb):
+                later = (ta is not None and tb is not None and ta < tb) or ((ta is None or tb is None or ta == tb) and a < b)
+                newer.add((a, b) if later else (b, a))
+            if s[i, j] > 0.7:
+                text = " ".join(c for c in (ca, cb) if c is not None)
+                kind = "causal" if any(w in text for w in X.CAUSAL_WORDS) else "supersedes" if any(w in text for w in X.SUPERSEDING_WORDS) else "similar"
+                linked.add((a, b, kind, float(s[i, j])))
+    got = [tuple(r)[:2] for r in graph_dream.dr7_supersedes(lambda _: t).select("s", "t").collect()]
+    assert set(got) == newer and len(got) == len(newer) > 1000
+    assert {(r.s, r.t, r.edge_type, round(r.weight, 6)) for r in graph_dream.dr23_auto_connect(lambda _: t).collect()} == linked
