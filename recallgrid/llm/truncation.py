@@ -1,12 +1,16 @@
 """Problem 10: texts cut off by field limits or broken transfers.
 
-A backward character n-gram model: for each text's final context (its last n characters, marks of a cut put aside) the
+A backward character n-gram model: for each text's final context (its last n characters, a mark of a cut put aside) the
 whole corpus says how often that context was followed by an end (of a sentence, a line or a text) and how often by more
-text.  The log-odds of the longest context with enough support are compared with a threshold per language and column.
-Only final contexts are counted: a filter of fixed size holds them all, and each worker sums up what passes before
-anything is shuffled.  Where the odds leave a text open, two facts about its source decide: that it ends exactly at a
-length at which the source cuts, and that the source itself has reported more characters.  A last character that is no
-whole one (U+FFFD) shows a broken transfer by itself.
+text.  The log-odds of the longest context with enough support are compared with a threshold per language and end
+symbol.  End symbols are nothing, a mark ("…", "[truncated]") and U+FFFD; what a mark says is learned too, as the share
+of its texts that their contexts alone show to be cut.  U+FFFD stands for bytes whose rest is missing: to the model a
+text goes on after it.
+
+Only final contexts are counted.  A Bloom filter, sized by their number, holds them; contexts of one place are nested, so
+a place is looked up from the shortest context on and dropped at the first that no text ends with.  More contexts than
+one filter takes are counted in several passes, each with the places whose shortest context falls into its range.  Each worker sorts and sums up what
+passes before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -25,25 +29,59 @@ from recallgrid.sources.tables import table
 LENGTHS = (3, 4, 6, 8, 12, 16, 24)
 #: Contexts that also know the first ``HEAD`` characters of their line ("Tags:", "user:").
 HEAD, HEADED = 5, (4, 6, 12)
+LEVELS = len(LENGTHS) + len(HEADED) + 1  # the last: a final U+FFFD by itself
 SUPPORT, HEAD_SUPPORT, HEAD_GOOD = 6, 3, 12
-FILTER_WORDS = 1 << 19
-SECOND = 29  # the second bit's place is the hash without its last SECOND bits
-#: Log-odds of an end below which a text is cut, before a language's own level is taken into account.
-THRESHOLD = -1.7
-#: What the facts about the source add to the log-odds of a cut.
-LIMIT_BONUS, REPORT_BONUS, BROKEN_BONUS = 4.0, 0.4, 20.0
-#: A length is a source's limit if at least that many and that part of the source's texts have it and that share of them
-#: is cut by the model alone.
-LIMIT_TEXTS, LIMIT_PART, LIMIT_SHARE = 4, 0.02, 0.5
-
-MARK = re.compile(r"(?:…|\.\.\.|\[(?:more|…|\.\.\.|truncated|cut|continued)\]|\((?:more|truncated|continued)\)|<(?:truncated|snip)>|\ufffd)$", re.I)
+#: Bits of the filter for each final context, and the most words of 64 bits that one pass broadcasts (32 MB).
+FILTER_BITS, MOST_WORDS, PASS_SHIFT = 16, 1 << 22, 24
+#: Log-odds of an end below which a text is cut, before its language's and its end symbol's level are taken into account.
+THRESHOLD = -1.5
+#: A final U+FFFD has been followed by the rest of a text that often before any text is counted.
+BROKEN_PRIOR = 8
+
+MARK = re.compile(r"(?:…|\.\.\.|\[(?:more|…|\.\.\.|truncated|cut|continued)\]|\((?:more|truncated|continued)\)|<(?:truncated|snip)>)$", re.I)
 LONGEST_MARK = 16
+BROKEN = "�"
 #: Texts are counted in slices of at most so many characters, each with the characters before it that contexts need.
-SLICE = 1 << 18
-_B = np.uint64(0x9E3779B97F4A7C15)
-_TERMINAL = np.array([ord(c) for c in ".!?。！？…"], dtype=np.uint32)
-_CLOSERS = np.array([ord(c) for c in "\"')]}”’»」』"], dtype=np.uint32)
-_BREAKS = np.array([10, 13], dtype=np.uint32)
+SLICE, AFTER = 1 << 18, 8
+#: Characters that a worker hashes at once, hits that it sorts at once, and sorted runs that it merges at once.
+CHUNK, RUN, RUNS = 1 << 16, 1 << 20, 12
+
+_B = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_SPACE, _TERM, _CLOSE, _BREAK, _WIDE = 1, 2, 4, 8, 16
+
+
+def _classes() -> np.ndarray:
+    out = np.zeros(1 << 16, np.uint8)
+    out[0x2E80:] |= _WIDE
+    for flag, chars in ((_SPACE, " \t\xa0　\n\r"), (_TERM, ".!?。！？…"), (_CLOSE, "\"')]}”’»」』"), (_BREAK, "\n\r")):
+        out[[ord(c) for c in chars]] |= flag
+    return out
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+    out = np.ones(n, np.uint64)
+    done = 1
+    with np.errstate(over="ignore"):
+        while done < n:
+            out[done : 2 * done] = out[: min(done, n - done)] * np.uint64(pow(base, done, 1 << 64))
+            done *= 2
+    return out
+
+
+_CLASS = _classes()
+_TABLE: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """Powers for at least ``n`` places, kept per worker."""
+    got = _TABLE.get(base)
+    if got is None or len(got) < n:
+        got = _TABLE[base] = _powers(base, 1 << max(17, (n - 1).bit_length()))
+    return got[:n]
+
+
+_Q = pow(_B, -1, 1 << 64)
 
 
 def core_of(text: str) -> tuple[str, bool]:
@@ -55,11 +93,18 @@ def core_of(text: str) -> tuple[str, bool]:
 
 
 def slices(text: str) -> Iterator[tuple[str, int, bool]]:
-    """Parts of a text as (part, characters of it that were counted before, whether the text goes on after it)."""
+    """Parts of a text as (part, characters of it that count elsewhere, whether the text goes on after it).
+
+    A part that begins within a line has the line's head put before it.
+    """
     halo = max(LENGTHS) + HEAD
+    line, seen = 0, 0
     for a in range(0, max(len(text), 1), SLICE):
-        lo, hi = max(0, a - halo), min(len(text), a + SLICE + 8)
-        yield text[lo:hi], a - lo, hi < len(text)
+        lo, hi = max(0, a - halo), min(len(text), a + SLICE + AFTER)
+        line = max(line, text.rfind("\n", seen, lo) + 1, text.rfind("\r", seen, lo) + 1)
+        seen = lo
+        head = text[line : line + HEAD] if line < lo else ""
+        yield head + text[lo:hi], a - lo + len(head), hi < len(text)
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -69,194 +114,240 @@ def codes_of(text: str) -> np.ndarray:
     return a
 
 
-def _powers() -> dict[int, np.uint64]:
-    out, p = {}, np.uint64(1)
+def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        for n in range(1, max(LENGTHS) + 1):
-            p = p * _B
-            out[n] = p
-    return out
+        x = x * np.uint64(0xFF51AFD7ED558CCD)
+        return x ^ (x >> np.uint64(32))
 
 
-_POWER = _powers()
+def _key(h: np.ndarray) -> np.ndarray:
+    """A context's key: its hash without the last bit, which is free for the event that follows."""
+    return h & ~np.uint64(1)
 
 
-def context_hashes(codes: np.ndarray) -> dict[int, np.ndarray]:
-    """Hash of the n code points that end at each place; places with fewer hold what the array before gives."""
-    with np.errstate(over="ignore"):
-        h = {1: codes.astype(np.uint64) + np.uint64(1)}
-
-        def join(a: int, b: int) -> np.ndarray:
-            """Of a+b points: the last a and the b before them."""
-            out = h[a].copy()
-            out[a:] += _POWER[a] * h[b][:-a]
-            return out
-
-        if len(codes) < max(LENGTHS):
-            codes = np.concatenate([np.zeros(max(LENGTHS) - len(codes), np.uint32), codes])
-            full = context_hashes(codes)
-            return {n: v[len(v) - len(h[1]) :] for n, v in full.items()}
-        h[2] = join(1, 1)
-        h[3] = join(2, 1)
-        h[4] = join(2, 2)
-        h[5] = join(4, 1)
-        h[6] = join(4, 2)
-        h[8] = join(4, 4)
-        h[12] = join(8, 4)
-        h[16] = join(8, 8)
-        h[24] = join(16, 8)
-        out = {n: _mix(h[n] ^ np.uint64(n)) for n in LENGTHS}
-        out[0] = _mix(h[HEAD])  # of the HEAD points that end here
-    return out
+class Contexts:
+    """Hashes of the contexts that end at given places of a text or of several texts put together.
 
+    With S the running sum of c[j] * B ** j, the n characters up to place i hash to (S[i] - S[i - n]) * B ** -i: any
+    context of any place takes one subtraction and one product.
+    """
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = x * np.uint64(0xFF51AFD7ED558CCD)
-        return x ^ (x >> np.uint64(32))
+    def __init__(self, codes: np.ndarray):
+        with np.errstate(over="ignore"):
+            self.sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _power(_B, len(codes)), dtype=np.uint64, out=self.sums[1:])
+        self.back = _power(_Q, len(codes))
 
+    def raw(self, n: int, at: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[at + 1] - self.sums[at + 1 - n]) * self.back[at]
 
-def headed(hashes: dict[int, np.ndarray], codes: np.ndarray, place: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
-    """Contexts of each place together with the head of its line, and whether the place has one."""
-    n = len(codes)
-    start = (place == 0) | np.isin(np.append(np.uint32(0), codes[:-1]), _BREAKS)
-    since = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-    deep = np.arange(n) - since >= HEAD - 1
-    head = hashes[0][np.minimum(since + HEAD - 1, n - 1)]
-    with np.errstate(over="ignore"):
-        return {k: _mix(hashes[k] + head * np.uint64(3)) for k in HEADED}, deep
+    def plain(self, n: int, at: np.ndarray) -> np.ndarray:
+        return _mix(self.raw(n, at) ^ np.uint64(n))
+
+    def headed(self, n: int, at: np.ndarray, head_end: np.ndarray) -> np.ndarray:
+        """Context together with the head of its line, of which ``head_end`` is the last place."""
+        with np.errstate(over="ignore"):
+            return _mix(self.plain(n, at) + _mix(self.raw(HEAD, head_end)) * np.uint64(3))
 
 
 def ends_after(codes: np.ndarray) -> np.ndarray:
-    """For each place of a text whether an end follows it: a line's or text's end, or the terminal marks of a sentence."""
+    """For each place whether an end follows it: a line's or text's end, or the terminal marks of a sentence."""
     n = len(codes)
-    space = (codes == 32) | (codes == 9) | (codes == 160) | (codes == 0x3000) | np.isin(codes, _BREAKS)
-    term, close = np.isin(codes, _TERMINAL), np.isin(codes, _CLOSERS)
-    wide = codes >= 0x2E80
-    # done[i]: from i on there are only terminal marks and closers up to a space, a wide character or the end
-    done = np.ones(n + 1, dtype=bool)
-    done[:n] = space | wide
-    run = term | close
-    idx = np.where(~run, np.arange(n), n)
-    after = np.minimum.accumulate(idx[::-1])[::-1] if n else idx  # next place that is neither
-    ended = done[np.minimum(after, n)] if n else done[:0]
-    out = np.zeros(n, dtype=bool)
-    if n:
-        nxt = np.append(codes[1:], np.uint32(10))
-        out = np.isin(nxt, _BREAKS)  # a line ends
-        out[-1] = True
-        out[:-1] |= term[1:] & ended[1:]  # terminal marks follow
-        out |= term & (np.append(space[1:], True))  # it ends with one and a blank follows
-        out[:-1] |= (codes[:-1] >= 0x3000) & term[:-1]
+    if not n:
+        return np.zeros(0, bool)
+    f = _CLASS[np.minimum(codes, 0xFFFF)]
+    space, term = (f & _SPACE) != 0, (f & _TERM) != 0
+    # done[i]: after the terminal marks and closers from i on comes a blank, a wide character or the end
+    stop = np.where((f & (_TERM | _CLOSE)) == 0, np.arange(n), n)
+    after = np.minimum.accumulate(stop[::-1])[::-1]
+    ended = np.append((f & (_SPACE | _WIDE)) != 0, True)[after]
+    out = np.empty(n, bool)
+    out[-1] = True
+    out[:-1] = (f[1:] & _BREAK) != 0
+    out[:-1] |= term[1:] & ended[1:]
+    out[:-1] |= term[:-1] & (space[1:] | (codes[:-1] >= 0x3000))
     return out
 
 
 def final_hashes(cores: list[str]) -> list[list[int | None]]:
-    """For each text the hashes of its final contexts, as ``context_hashes`` and ``headed`` give them at its last place."""
-    most = max(LENGTHS)
+    """For each text the keys of its final contexts by level, as ``Contexts`` gives them at its last place."""
+    if not cores:
+        return []
     lines = [max(c.rfind("\n"), c.rfind("\r")) + 1 for c in cores]
-    tail = codes_of("".join(c[-most:].rjust(most, "\0") for c in cores)).reshape(-1, most).astype(np.uint64) + np.uint64(1)
-    head = codes_of("".join(c[a : a + HEAD].ljust(HEAD, "\0") for c, a in zip(cores, lines, strict=True))).reshape(-1, HEAD).astype(np.uint64) + np.uint64(1)
-    size = np.array([len(c) for c in cores])
+    most = max(LENGTHS)
+    tails = [c[-most:].rjust(most, "\0") for c in cores]
+    heads = [c[a : a + HEAD].ljust(HEAD, "\0") for c, a in zip(cores, lines, strict=True)]
+    codes = codes_of("".join(t + h for t, h in zip(tails, heads, strict=True)))
+    c = Contexts(codes)
+    last = np.arange(len(cores)) * (most + HEAD) + most - 1
+    size = np.array([len(x) for x in cores])
     deep = size - np.array(lines) >= HEAD
-    with np.errstate(over="ignore"):
-        powers = np.array([1, *(_POWER[j] for j in range(1, most))], dtype=np.uint64)
-        back = np.cumsum(tail[:, ::-1] * powers, axis=1, dtype=np.uint64)  # [:, n - 1]: of the last n points
-        first = _mix((head[:, ::-1] * powers[:HEAD]).sum(1, dtype=np.uint64))
-        plain = {n: _mix(back[:, n - 1] ^ np.uint64(n)) for n in LENGTHS}
-        cols = [(plain[n], size >= n) for n in LENGTHS] + [(_mix(plain[n] + first * np.uint64(3)), deep & (size >= n)) for n in HEADED]
-    return [list(row) for row in zip(*([int(v) if ok else None for v, ok in zip(h.view(np.int64).tolist(), fits.tolist(), strict=True)] for h, fits in cols), strict=True)]
+    cols = [(c.plain(n, last), size >= n) for n in LENGTHS]
+    cols += [(c.headed(n, last, last + HEAD), deep & (size >= n)) for n in HEADED]
+    cols.append((c.plain(1, last), codes[last] == ord(BROKEN)))
+    rows = ([v if ok else None for v, ok in zip(_key(h).view(np.int64).tolist(), fits.tolist(), strict=True)] for h, fits in cols)
+    return [list(row) for row in zip(*rows, strict=True)]
 
 
 def _finals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, cores = [], []
-        for doc_id, text, source, lang, n_chars in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc_id, text, source, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if not text or not text.strip():
                 continue
             core, mark = core_of(text)
-            cores.append(core or text.strip())
-            rows.append((doc_id, source, lang, len(text), len(text.encode("utf-8", "replace")), n_chars, mark, text.rstrip().endswith("\ufffd")))
-        cols = [*(zip(*rows, strict=True) if rows else [()] * 8), final_hashes(cores) if cores else []]
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "source", "lang", "chars", "bytes", "n_chars", "mark", "broken", "ctx"])
+            core = core or text.strip()
+            cores.append(core)
+            rows.append((doc_id, source, lang, "broken" if core.endswith(BROKEN) else "mark" if mark else "none"))
+        cols = [*(zip(*rows, strict=True) if rows else [()] * 4), final_hashes(cores)]
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "source", "lang", "symbol", "ctx"])
 
 
-FINAL_SCHEMA = "doc_id long, source string, lang string, chars long, bytes long, n_chars long, mark boolean, broken boolean, ctx array<long>"
+FINAL_SCHEMA = "doc_id long, source string, lang string, symbol string, ctx array<long>"
 
 
 def final_contexts(docs: DataFrame) -> DataFrame:
-    """One row per text with content: its lengths, whether it bears a mark, and the hashes of its final contexts."""
-    return docs.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(_finals, FINAL_SCHEMA)
+    """One row per text with content: its end symbol and the keys of its final contexts by level."""
+    return docs.select("doc_id", "text", "source", "lang").mapInArrow(_finals, FINAL_SCHEMA)
 
 
-def context_filter(finals: DataFrame) -> np.ndarray:
-    """Two bits for each final context in ``FILTER_WORDS`` words, however many texts there are."""
-    h = finals.select(F.explode("ctx").alias("h")).where(F.col("h").isNotNull())
-    h = h.select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", SECOND))).alias("h"))
-    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(FILTER_WORDS - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
-    words = np.zeros(FILTER_WORDS, dtype=np.uint64)
-    got = h.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
-    words[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
-    return words
+def filter_shape(contexts: int) -> tuple[int, int]:
+    """(words, passes) for so many distinct contexts, both powers of two."""
+    want = max(64, contexts * FILTER_BITS // 64)
+    passes = 1 << max(0, -(-want // MOST_WORDS) - 1).bit_length()
+    return min(MOST_WORDS, 1 << (max(1, want // passes) - 1).bit_length()), passes
 
 
-def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return (bits[((h >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1
-
+def context_filter(contexts: DataFrame, words: int) -> np.ndarray:
+    """Two bits of one word for each of ``contexts`` (h)."""
+    h = F.col("h")
+    bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int"))
+    got = contexts.groupBy(F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(words - 1)).alias("w")).agg(F.bit_or(bit(58).bitwiseOR(bit(52))).alias("b")).toPandas()
+    out = np.zeros(words, dtype=np.uint64)
+    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+    return out
 
-def count_contexts(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(h, ends, goes) over the whole corpus for the contexts that pass the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
 
+def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    mask = (np.uint64(1) << (h >> np.uint64(58))) | (np.uint64(1) << ((h >> np.uint64(52)) & np.uint64(63)))
+    return bits[((h >> np.uint64(1)) & np.uint64(len(bits) - 1)).astype(np.int64)] & mask == mask
+
+
+def _hits(parts: list[tuple[str, int, bool]], bits: np.ndarray, number: int = 0, passes: int = 1) -> Iterator[np.ndarray]:
+    """Keys of the contexts that pass the filter, the last bit telling whether an end follows."""
+    mine = lambda h: ((h >> np.uint64(PASS_SHIFT)) & np.uint64(passes - 1)) == number
+    text = "\n".join(p for p, _, _ in parts)
+    codes = codes_of(text)
+    sizes = np.array([len(p) for p, _, _ in parts])
+    starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+    place = np.arange(len(codes)) - np.repeat(starts, sizes + 1)[: len(codes)]
+    ends = ends_after(codes)
+    ends &= codes != ord(BROKEN)
+    # what a slice shares with the one before or after it counts once; the line break between texts counts never
+    new = place < np.repeat(sizes - np.array([AFTER * more for _, _, more in parts]), sizes + 1)[: len(codes)]
+    for s, (_, done, _) in zip(starts.tolist(), parts, strict=True):
+        if done:
+            new[s : s + done] = False
+    event = ends.astype(np.uint64)
+    ctx = Contexts(codes)
+    broken = np.flatnonzero(new & (codes == ord(BROKEN)))
+    if len(broken):
+        h = ctx.plain(1, broken)
+        yield (_key(h) | event[broken])[_holds(bits, h) & mine(h)]
+    at = np.flatnonzero(new & (place >= LENGTHS[0] - 1))
+    head_end = None
+    for n in LENGTHS:
+        at = at[place[at] >= n - 1]
+        h = ctx.plain(n, at)
+        ok = _holds(bits, h)
+        if passes > 1 and n == LENGTHS[0]:
+            ok &= mine(h)
+        at, h = at[ok], h[ok]
+        yield _key(h) | event[at]
+        if n in HEADED and len(at):
+            if head_end is None:
+                brk = np.r_[True, (_CLASS[np.minimum(codes[:-1], 0xFFFF)] & _BREAK) != 0]
+                head_end = np.maximum.accumulate(np.where(brk, np.arange(len(codes)), 0)) + HEAD - 1
+                head_end = np.where(head_end <= np.arange(len(codes)), head_end, -1)
+            deep = at[head_end[at] >= 0]
+            h = ctx.headed(n, deep, head_end[deep])
+            ok = _holds(bits, h)
+            yield _key(h[ok]) | event[deep[ok]]
+
+
+def _runs(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each stands."""
+    packed = np.sort(packed)
+    first = np.flatnonzero(np.r_[True, packed[1:] != packed[:-1]]) if len(packed) else np.zeros(0, np.int64)
+    return packed[first], np.diff(np.r_[first, len(packed)])
+
+
+def _merge(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    v, n = (np.concatenate(x) for x in zip(*runs, strict=True))
+    o = np.argsort(v, kind="stable")
+    v, n = v[o], n[o]
+    first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
+    return v[first], np.add.reduceat(n, first) if len(v) else n
+
+
+def asked_contexts(finals: DataFrame) -> DataFrame:
+    """(doc_id, level, h, k) of the final contexts; k, the key of the shortest of the place, decides on the pass."""
+    asked = finals.select("doc_id", F.col("ctx")[0].alias("s"), F.posexplode("ctx").alias("level", "h")).where(F.col("h").isNotNull())
+    return asked.select("doc_id", "level", "h", F.when(F.col("level") == LEVELS - 1, F.col("h")).otherwise(F.col("s")).alias("k"))
+
+
+def count_contexts(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(h, ends, goes) over the whole corpus for ``contexts`` (h, k; each once)."""
+    words, passes = filter_shape(contexts.count())
+    out = None
+    for p in range(passes):
+        some = contexts.where(F.shiftrightunsigned("k", PASS_SHIFT).bitwiseAND(F.lit(passes - 1)) == p) if passes > 1 else contexts
+        shared = docs.sparkSession.sparkContext.broadcast(context_filter(some, words))
+        part = docs.select("text").mapInArrow(_counter(shared, p, passes), "h long, ends long, goes long")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("h").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
+
+
+def _counter(shared, number: int, passes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
+        runs: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def combine() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            h = np.concatenate([x[0] for x in held])
-            keys, inv = np.unique(h, return_inverse=True)
-            return keys, np.bincount(inv, np.concatenate([x[1] for x in held]), len(keys)), np.bincount(inv, np.concatenate([x[2] for x in held]), len(keys))
-
-        def out(x: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1].astype(np.int64)), pa.array(x[2].astype(np.int64))], names=["h", "ends", "goes"])
+        def out(x: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            ends = (x[0] & np.uint64(1)).astype(np.int64)
+            n = x[1].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(_key(x[0]).view(np.int64)), pa.array(n * ends), pa.array(n * (1 - ends))], names=["h", "ends", "goes"])
 
         for batch in batches:
+            chunk, chars = [], 0
             parts = [p for t in batch.column(0).to_pylist() if t and t.strip() for p in slices(t)]
-            k = 0
-            while k < len(parts):
+            for k, part in enumerate(parts):
+                chunk.append(part)
+                chars += len(part[0])
+                if chars < CHUNK and k + 1 < len(parts):
+                    continue
+                for hits in _hits(chunk, bits, number, passes):
+                    held.append(hits)
+                    size += len(hits)
                 chunk, chars = [], 0
-                while k < len(parts) and chars < SLICE // 4:
-                    chunk.append(parts[k])
-                    chars += len(parts[k][0])
-                    k += 1
-                codes = [codes_of(p) for p, _, _ in chunk]
-                ends = np.concatenate([ends_after(c) for c in codes])
-                place = np.concatenate([np.arange(len(c)) for c in codes])
-                # what a slice shares with the one before or after it counts once
-                new = np.concatenate([(np.arange(len(c)) >= done) & (np.arange(len(c)) < len(c) - (8 if more else 0)) for c, (_, done, more) in zip(codes, chunk, strict=True)])
-                codes = np.concatenate(codes)
-                hashes = context_hashes(codes)
-                heads, deep = headed(hashes, codes, place)
-                for n, h, fits in [(n, hashes[n], new & (place >= n - 1)) for n in LENGTHS] + [(n, heads[n], new & deep & (place >= n - 1)) for n in HEADED]:
-                    at = np.flatnonzero(fits & _holds(bits, h))
-                    hit = at[_holds(bits, h[at] >> np.uint64(SECOND))]
-                    e = ends[hit]
-                    held.append((h[hit], e.astype(np.float64), (~e).astype(np.float64)))
-                    size += len(e)
-                if size > 500_000:
-                    held = [combine()]
-                    size = len(held[0][0])
-                    if size > 250_000:
-                        yield out(held[0])
-                        held, size = [], 0
+                if size >= RUN:
+                    runs.append(_runs(np.concatenate(held)))
+                    held, size = [], 0
+                    if len(runs) >= RUNS:
+                        runs = [_merge(runs)]
+                        if len(runs[0][0]) > RUN:
+                            yield out(runs[0])
+                            runs = []
         if held:
-            yield out(combine())
+            runs.append(_runs(np.concatenate(held)))
+        if runs:
+            yield out(_merge(runs))
 
-    part = docs.select("text").mapInArrow(run, "h long, ends long, goes long")
-    return part.groupBy("h").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
+    return run
 
 
 def _language(lang):
@@ -264,21 +355,26 @@ def _language(lang):
 
 
 def end_scores(docs: DataFrame) -> DataFrame:
-    """Each text with content: doc_id, source, lang, chars, bytes, n_chars, mark, odds (log-odds that it may end there)."""
+    """Each text with content: doc_id, source, lang, symbol, odds (log-odds that it may end there)."""
     finals = shared_checkpoint(final_contexts(docs))
-    counts = count_contexts(docs, context_filter(finals))
-    asked = finals.select("doc_id", F.posexplode("ctx").alias("level", "h")).where(F.col("h").isNotNull())
+    asked = asked_contexts(finals)
+    counts = count_contexts(docs, shared_checkpoint(asked.select("h", "k").distinct()))
     # the text's own end is no evidence
-    ends = F.greatest(F.lit(0), F.col("ends") - 1)
+    broken = F.col("level") == LEVELS - 1
+    ends = F.when(broken, F.col("ends")).otherwise(F.greatest(F.lit(0), F.col("ends") - 1))
+    goes = F.when(broken, F.greatest(F.lit(0), F.col("goes") - 1) + BROKEN_PRIOR).otherwise(F.col("goes"))
     least = F.when(F.col("level") < len(LENGTHS), SUPPORT).otherwise(HEAD_SUPPORT)
-    judged = asked.join(counts, "h").select("doc_id", "level", ends.alias("ends"), "goes").where(F.col("ends") + F.col("goes") >= least)
+    judged = asked.join(counts, "h").select("doc_id", "level", ends.alias("ends"), goes.alias("goes")).where(F.col("ends") + F.col("goes") >= least)
     odds = F.struct("level", F.log((F.col("ends") + 0.5) / (F.col("goes") + 0.5)).alias("odds"), "ends")
-    plain = F.col("level") < len(LENGTHS)
+    plain, line = F.col("level") < len(LENGTHS), F.col("level").between(len(LENGTHS), LEVELS - 2)
     best_head = F.struct((F.col("ends") + F.col("goes") >= HEAD_GOOD).alias("good"), odds.alias("o"))
-    best = judged.groupBy("doc_id").agg(F.max(F.when(plain, odds)).alias("p"), F.max(F.when(~plain, best_head)).alias("hh")).select("doc_id", "p", F.col("hh.o").alias("h"))
+    best = judged.groupBy("doc_id").agg(
+        F.max(F.when(plain, odds)).alias("p"), F.max(F.when(line, best_head)).alias("hh"), F.max(F.when(broken, odds)).alias("b")
+    ).select("doc_id", "p", F.col("hh.o").alias("h"), "b")
     # the longest context that is known; one that knows its line instead if it has seen an end and finds it likelier
     headed_odds = F.when(F.col("h.ends") > 0, F.col("h.odds"))
-    return finals.drop("ctx").join(best.select("doc_id", F.greatest(F.coalesce("p.odds", "h.odds"), headed_odds).alias("odds")), "doc_id", "left")
+    best = best.select("doc_id", F.coalesce("b.odds", F.greatest(F.coalesce("p.odds", "h.odds"), headed_odds)).alias("odds"))
+    return finals.drop("ctx").join(best, "doc_id", "left")
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
@@ -294,17 +390,13 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     limit = F.when(F.col("n") >= 50, F.least(F.lit(THRESHOLD), F.col("low") - 0.5)).otherwise(F.lit(THRESHOLD))
     scored = scored.join(F.broadcast(level.select("language", F.greatest(F.lit(THRESHOLD - 1.0), limit).alias("limit"))), "language", "left")  # one row per two letters
     scored = scored.withColumn("limit", F.coalesce("limit", F.lit(THRESHOLD)))
-    sure = F.coalesce(F.col("odds") < F.col("limit"), F.lit(False))
-    marked = scored.withColumn("sure", sure)
-    lengths = marked.select("source", "sure", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("chars").alias("len")), F.struct(F.lit("b").alias("unit"), F.col("bytes").alias("len")))).alias("l"))
-    limits = lengths.groupBy("source", "l").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("sure").cast("double")).alias("share")).where((F.col("n") >= LIMIT_TEXTS) & (F.col("share") >= LIMIT_SHARE))
-    totals = marked.groupBy(F.col("source").alias("_of")).agg(F.count(F.lit(1)).alias("texts"))
-    limits = limits.join(totals, F.col("source").eqNullSafe(F.col("_of"))).where(F.col("n") >= LIMIT_PART * F.col("texts")).drop("_of", "texts")
-    at = lambda unit, col: limits.where(F.col("l.unit") == unit).select(F.col("source").alias("_s"), F.col("l.len").alias("_l"), F.lit(True).alias(f"at_{unit}"))
-    for unit, col in (("c", "chars"), ("b", "bytes")):
-        marked = marked.join(at(unit, col), F.col("source").eqNullSafe(F.col("_s")) & (F.col(col) == F.col("_l")), "left").drop("_s", "_l")
-    bonus = F.when(F.col("at_c") | F.col("at_b"), LIMIT_BONUS).otherwise(0.0) + F.when(F.col("n_chars") > F.col("chars") + 2, REPORT_BONUS).otherwise(0.0) + F.when(F.col("mark"), REPORT_BONUS).otherwise(0.0) + F.when(F.col("broken"), BROKEN_BONUS).otherwise(0.0)
-    return marked.select("doc_id", "source", "lang", "odds", F.coalesce(F.col("odds") - bonus < F.col("limit"), F.lit(False)).alias("cut"))
+    sure = F.coalesce(F.col("odds") < F.col("limit"), F.lit(False)).cast("double")
+    # per end symbol: how much likelier a cut is than after no symbol, as far as the contexts alone show
+    share = scored.groupBy("symbol").agg(F.log((F.sum(sure) + 1) / (F.sum(1 - sure) + 19)).alias("prior"))
+    none = share.where(F.col("symbol") == "none").select(F.col("prior").alias("base"))
+    prior = share.join(F.broadcast(none), F.lit(True), "left").select("symbol", F.greatest(F.lit(0.0), F.col("prior") - F.coalesce("base", "prior")).alias("more"))
+    judged = scored.join(F.broadcast(prior), "symbol")  # at most one row per symbol
+    return judged.select("doc_id", "source", "lang", "odds", F.coalesce(F.col("odds") < F.col("limit") + F.col("more"), F.lit(False)).alias("cut"))
 
 
 def source_report(cut: DataFrame) -> DataFrame:

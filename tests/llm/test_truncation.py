@@ -33,40 +33,90 @@ def test_empty_table_and_long_text(spark):
     assert T.cut_texts(df).count() >= 1
 
 
-def test_slices_count_every_place_once(spark, monkeypatch):
-    rows = corpus()[:40] + [(5000, " ".join(SENTENCES * 30), "en", "s", 1, "")]
-    df = spark.createDataFrame(rows, SCHEMA)
-    words = T.context_filter(T.final_contexts(df))
-    whole = {r.h: (r.ends, r.goes) for r in T.count_contexts(df, words).collect()}
+def hits_of(parts):
+    full = np.full(64, np.uint64(2**64 - 1))  # lets everything pass
+    v, n = T._runs(np.concatenate(list(T._hits(parts, full))))
+    return dict(zip(v.tolist(), n.tolist(), strict=True))
+
+
+def test_slices_count_every_place_once(monkeypatch):
     text = " ".join(SENTENCES * 30)
+    whole = hits_of([(text, 0, False)])
     monkeypatch.setattr(T, "SLICE", 700)
-    seen = sum(len(p) - done - (8 if more else 0) for p, done, more in T.slices(text))
-    assert seen == len(text) and len(whole) > 20
+    parts = list(T.slices(text))
+    assert sum(len(p) - done - (T.AFTER if more else 0) for p, done, more in parts) == len(text) and len(parts) > 5
+    assert hits_of(parts) == whole
+    apart: dict = {}
+    for p in parts:
+        for k, n in hits_of([p]).items():
+            apart[k] = apart.get(k, 0) + n
+    assert apart == whole
+
+
+def test_counts_equal_a_plain_count(spark):
+    rows = corpus()[:40] + [(5000, " ".join(SENTENCES * 30), "en", "s", 1, ""), (5001, "", "en", "s", 1, ""), (5002, None, "en", "s", 1, "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    finals = T.final_contexts(df).collect()
+    asked = spark.createDataFrame([(h, h) for h in {h for f in finals for h in f.ctx if h is not None}], "h long, k long")
+    got = {r.h: (r.ends, r.goes) for r in T.count_contexts(df, asked).collect()}
+    want: dict = {}
+    for _, text, *_ in rows:
+        if text:
+            e = T.ends_after(T.codes_of(text))
+            for i in range(len(text)):
+                for h in T.final_hashes([text[: i + 1]])[0]:
+                    if h is not None:
+                        a, b = want.get(h, (0, 0))
+                        want[h] = (a + int(e[i]), b + int(not e[i]))
+    for r in asked.collect():
+        assert got[r.h] == want[r.h]
+
+
+def test_several_passes_count_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(corpus()[:30], SCHEMA)
+    asked = T.asked_contexts(T.final_contexts(df)).select("h", "k").distinct()
+    hs = {r.h for r in asked.collect()}
+    one = {tuple(r) for r in T.count_contexts(df, asked).collect() if r.h in hs}
+    monkeypatch.setattr(T, "filter_shape", lambda n: (64, 4))
+    assert {tuple(r) for r in T.count_contexts(df, asked).collect() if r.h in hs} == one and one
+
+
+def test_filter_grows_with_the_contexts():
+    assert T.filter_shape(0) == (64, 1) and T.filter_shape(1_000_000) == (1 << 18, 1)
+    words, passes = T.filter_shape(1_000_000_000)
+    assert words == T.MOST_WORDS and words * passes * 64 >= 1_000_000_000 * T.FILTER_BITS
 
 
 def test_final_hashes_are_those_of_the_last_place():
-    texts = ["user: the night job", "a", "Tags: amber, wren", "two\nlines of 25 words here", "数据库的内容", "x" * 50]
+    texts = ["user: the night job", "a", "Tags: amber, wren", "two\nlines of 25 words here", "数据库的内容", "x" * 50, "bro\ufffd"]
     for text, got in zip(texts, T.final_hashes(texts), strict=True):
         codes = T.codes_of(text)
-        h = T.context_hashes(codes)
-        heads, deep = T.headed(h, codes, np.arange(len(codes)))
-        want = [int(h[n][-1].astype(np.int64)) if len(text) >= n else None for n in T.LENGTHS] + [int(heads[n][-1].astype(np.int64)) if len(text) >= n and deep[-1] else None for n in T.HEADED]
+        c, last = T.Contexts(codes), np.array([len(text) - 1])
+        line = max(text.rfind("\n"), text.rfind("\r")) + 1
+        one = lambda h: int((h & ~np.uint64(1)).view(np.int64)[0])
+        want = [one(c.plain(n, last)) if len(text) >= n else None for n in T.LENGTHS]
+        want += [one(c.headed(n, last, np.array([line + T.HEAD - 1]))) if len(text) >= n and len(text) - line >= T.HEAD else None for n in T.HEADED]
+        want.append(one(c.plain(1, last)) if text.endswith("\ufffd") else None)
         assert got == want, text
 
 
+def test_a_broken_character_is_a_cut(spark):
+    rows = corpus() + [(7000, SENTENCES[0] + " Nobody had\ufffd", "en", "s", None, ""), (7001, SENTENCES[0] + "\n\ufffd", None, None, None, "")]
+    cut = {r.doc_id: r.cut for r in T.cut_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert cut[7000] and cut[7001]
+
+
 def test_marks():
     assert T.core_of("the plan… \n") == ("the plan", True) and T.core_of("the pl [more] ... ") == ("the pl", True) and T.core_of("done. [end]") == ("done. [end]", False)
     assert T.core_of("x" + " " * 300_000 + "y") == ("x" + " " * 300_000 + "y", False)
 
 
 def test_hashes_depend_on_the_last_points_only():
-    a, b = T.codes_of("some text that ends in the same words"), T.codes_of("other beginnings ends in the same words")
-    ha, hb = T.context_hashes(a), T.context_hashes(b)
-    for n in (3, 4, 6, 8, 12, 16):
-        assert ha[n][-1] == hb[n][-1]
-    assert ha[24][-1] != hb[24][-1] or a[-24:].tolist() == b[-24:].tolist()
-    short = T.context_hashes(T.codes_of("words"))
-    assert short[4][-1] == ha[4][-1] and len(short[4]) == 5
+    a, b = "some text that ends in the same words", "other beginnings ends in the same words"
+    ha, hb, short = T.final_hashes([a, b, "words"])
+    for k, n in enumerate(T.LENGTHS):
+        assert (ha[k] == hb[k]) == (a[-n:] == b[-n:])
+    assert short[1] == ha[1] and short[2] is None
 
 
 def test_ends():
