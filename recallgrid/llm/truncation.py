@@ -40,7 +40,7 @@ BROKEN_PRIOR = 8
 
 MARK = re.compile(r"(?:…|\.\.\.|\[(?:more|…|\.\.\.|truncated|cut|continued)\]|\((?:more|truncated|continued)\)|<(?:truncated|snip)>)$", re.I)
 LONGEST_MARK = 16
-BROKEN = "�"
+BROKEN, BROKEN_CODE, SEPARATOR = "\ufffd", 0xFFFD, 0x110000
 #: Texts are counted in slices of at most so many characters, each with the characters before it that contexts need.
 SLICE, AFTER = 1 << 18, 8
 #: Characters that a worker hashes at once, hits that it sorts at once, and sorted runs that it merges at once.
@@ -185,7 +185,7 @@ def final_hashes(cores: list[str]) -> list[list[int | None]]:
     deep = size - np.array(lines) >= HEAD
     cols = [(c.plain(n, last), size >= n) for n in LENGTHS]
     cols += [(c.headed(n, last, last + HEAD), deep & (size >= n)) for n in HEADED]
-    cols.append((c.plain(1, last), codes[last] == ord(BROKEN)))
+    cols.append((c.plain(1, last), codes[last] == BROKEN_CODE))
     rows = ([v if ok else None for v, ok in zip(_key(h).view(np.int64).tolist(), fits.tolist(), strict=True)] for h, fits in cols)
     return [list(row) for row in zip(*rows, strict=True)]
 
@@ -236,45 +236,66 @@ def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _hits(parts: list[tuple[str, int, bool]], bits: np.ndarray, number: int = 0, passes: int = 1) -> Iterator[np.ndarray]:
-    """Keys of the contexts that pass the filter, the last bit telling whether an end follows."""
+    """Keys of the contexts that pass the filter, the last bit telling whether an end follows.
+
+    The texts stand one after the other behind separators that are no character, so that a context which reaches beyond
+    its text's start is one that no text ends with.
+    """
     mine = lambda h: ((h >> np.uint64(PASS_SHIFT)) & np.uint64(passes - 1)) == number
-    text = "\n".join(p for p, _, _ in parts)
-    codes = codes_of(text)
+    most = max(LENGTHS)
+    codes = codes_of("\n" * most + "".join(p + "\n" for p, _, _ in parts))
     sizes = np.array([len(p) for p, _, _ in parts])
-    starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-    place = np.arange(len(codes)) - np.repeat(starts, sizes + 1)[: len(codes)]
+    stops = most + np.cumsum(sizes + 1) - 1
     ends = ends_after(codes)
-    ends &= codes != ord(BROKEN)
-    # what a slice shares with the one before or after it counts once; the line break between texts counts never
-    new = place < np.repeat(sizes - np.array([AFTER * more for _, _, more in parts]), sizes + 1)[: len(codes)]
-    for s, (_, done, _) in zip(starts.tolist(), parts, strict=True):
-        if done:
-            new[s : s + done] = False
+    ends &= codes != BROKEN_CODE
     event = ends.astype(np.uint64)
+    brk = (_CLASS[np.minimum(codes, 0xFFFF)] & _BREAK) != 0
+    codes[:most] = codes[stops] = SEPARATOR
+    fresh = None
+    for (_, done, more), size, stop in zip(parts, sizes.tolist(), stops.tolist(), strict=True):
+        if done or more:  # what a slice shares with the one before or after it counts once
+            fresh = np.ones(len(codes), bool) if fresh is None else fresh
+            fresh[stop - size : stop - size + done] = False
+            fresh[stop - AFTER * more : stop] = False
     ctx = Contexts(codes)
-    broken = np.flatnonzero(new & (codes == ord(BROKEN)))
+    broken = np.flatnonzero(codes == BROKEN_CODE)
     if len(broken):
+        if fresh is not None:
+            broken = broken[fresh[broken]]
         h = ctx.plain(1, broken)
         yield (_key(h) | event[broken])[_holds(bits, h) & mine(h)]
-    at = np.flatnonzero(new & (place >= LENGTHS[0] - 1))
-    head_end = None
-    for n in LENGTHS:
-        at = at[place[at] >= n - 1]
-        h = ctx.plain(n, at)
+    with np.errstate(over="ignore"):
+        first, sums = LENGTHS[0], ctx.sums
+        h = _mix(((sums[first:] - sums[:-first]) * ctx.back[first - 1 :]) ^ np.uint64(first))
         ok = _holds(bits, h)
-        if passes > 1 and n == LENGTHS[0]:
+        if passes > 1:
             ok &= mine(h)
-        at, h = at[ok], h[ok]
-        yield _key(h) | event[at]
-        if n in HEADED and len(at):
-            if head_end is None:
-                brk = np.r_[True, (_CLASS[np.minimum(codes[:-1], 0xFFFF)] & _BREAK) != 0]
-                head_end = np.maximum.accumulate(np.where(brk, np.arange(len(codes)), 0)) + HEAD - 1
-                head_end = np.where(head_end <= np.arange(len(codes)), head_end, -1)
-            deep = at[head_end[at] >= 0]
-            h = ctx.headed(n, deep, head_end[deep])
-            ok = _holds(bits, h)
-            yield _key(h[ok]) | event[deep[ok]]
+        if fresh is not None:
+            ok &= fresh[first - 1 :]
+        ok = np.flatnonzero(ok)
+        at = ok + (first - 1)
+        upto, back, ev = sums[1:].take(at), ctx.back.take(at), event.take(at)
+        yield _key(h.take(ok)) | ev
+        head = line_of = None
+        for n in LENGTHS[1:]:
+            h = _mix(((upto - sums.take(at + (1 - n), mode="wrap")) * back) ^ np.uint64(n))
+            ok = np.flatnonzero(_holds(bits, h))
+            if len(ok) < len(at):
+                at, upto, back, ev, h = (x.take(ok) for x in (at, upto, back, ev, h))
+            yield _key(h) | ev
+            if head is not None:
+                line_of = line_of.take(ok)
+            elif n in HEADED:
+                starts = np.flatnonzero(np.r_[True, brk[:-1]])
+                head = _mix(ctx.raw(HEAD, np.minimum(starts + HEAD - 1, len(codes) - 1))) * np.uint64(3)
+                line_of = (np.cumsum(np.r_[True, brk[:-1]]) - 1)[at]
+                line_of[at - starts[line_of] < HEAD - 1] = -1
+            if n in HEADED:
+                deep = np.flatnonzero(line_of >= 0)
+                hh = _mix(h[deep] + head[line_of[deep]])
+                ok = _holds(bits, hh)
+                yield _key(hh[ok]) | ev[deep[ok]]
+                line_of[deep[~ok]] = -1  # a longer context with this head is no final one either
 
 
 def _runs(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
