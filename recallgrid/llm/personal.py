@@ -1,12 +1,14 @@
 """Problem 1: personal information inside free text.
 
-Bootstrapped contextual extraction.  One pass over the texts collects candidates by shape: well-formed ones (an address
-with a street word, a number after "passport no.", a title with a surname ...) are the seeds, the others (two
-capitalised words, ten bare digits ...) are unknown.  Each candidate is an instance in a left and a right lexical
-pattern.  Spark scores the graph of patterns and instances in rounds of growing strictness: a pattern is worth the share
-of its occurrences that hold a believed instance, an instance the mean of its patterns.  The result is a set of
-patterns and a lexicon of name parts; a second pass finds with them what has no telling shape, in any letter case,
-settles overlaps, numbers the items and can put typed placeholders in their place.
+Bootstrapped contextual extraction.  One pass over the texts collects candidates of every kind: seeds, which nothing else
+looks like (name@host.tld, +44 20 ..., a number after "passport number", a street with its full English word, a title
+with a surname), and others that only might be personal data (bare and foreign number formats, any word with a code
+after it, numbers before capitalised words, spelled-out addresses, two capitalised words).  Each candidate is an
+instance in a left and a right lexical pattern and, other than names, in a shape.  Spark scores the graph of patterns and
+instances in rounds of growing strictness: a pattern is worth the share of its occurrences that hold a believed
+instance, an instance the mean of its patterns; contexts alone begin, shapes follow.  The result is a set of patterns and
+a lexicon of name parts, with which a second pass decides all candidates but the seeds, settles overlaps, numbers the
+items and can put typed placeholders in their place.
 """
 
 from __future__ import annotations
@@ -17,21 +19,25 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallgrid.operators.orphans import bloom_words
 from recallgrid.operators.skew import shared_checkpoint
 from recallgrid.sources.tables import table
 
 KINDS = ("email", "phone", "id", "address", "name")
 #: The share of the seeds' mean score that an instance needs to be believed, by round.
-ROUNDS = (0.3, 0.4, 0.5, 0.5)
+ROUNDS = (0.15, 0.2, 0.3, 0.4, 0.5, 0.5)
 #: The score of a pattern that no believed instance stands in, and the one from which a pattern is believed.
 FLOOR, SURE = 0.005, 0.5
-EXACT_ENTRIES = 1 << 20
-BLOOM_WORDS = 1 << 20
+#: The score from which a shape needs no believed context.
+CERTAIN = 0.65
+#: The most patterns or name parts that are handed to the workers, 8 bytes each.
+MOST_ENTRIES = 1 << 24
+#: Values kept in a worker's memory of what it has looked up.
+REMEMBERED = 200_000
 
 # Shapes --------------------------------------------------------------------------------------------------------------
 
@@ -41,12 +47,14 @@ EMAIL = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9])", re.I)
 SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]* at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+(?![A-Za-z0-9])", re.I)
 
-_ID_WORD = (
-    r"(?:national insurance(?: number| no\.?)?|NI(?:NO| no\.?| number)|social security(?: number| no\.?)?|SSN|tax(?:payer)? (?:ID|identification)(?: number| no\.?)?|TIN"
-    r"|Steuer-?(?:ID|nummer|Identifikationsnummer)|passport(?: number| no\.?)?|pasaporte|passeport|Reisepass(?:nummer)?|identity card(?: number| no\.?)?|ID card(?: number| no\.?)?"
-    r"|Personalausweis(?:nummer)?|national ID(?: number| no\.?)?|driv(?:ing|er'?s) licen[cs]e(?: number| no\.?)?|Führerschein(?:nummer)?|permis de conduire|DNI|NIE|NIF|CPF|numéro de sécurité sociale)"
-)
-ID = re.compile(rf"(?<!\w){_ID_WORD}(?:\s*[:#=]|\s+(?:is|ist|es|est))?\s*(?:[A-Z]{{1,3}}[ -]?)?\d[0-9A-Z]*(?:[ .-][0-9A-Z]*\d[0-9A-Z]*)*(?:[ -]?[A-Z](?![\w]))?(?!\w)", re.I)
+#: Words that make the code after them a seed; further ones ("DNI", "SSN") are for the graph to find.
+_ID_WORD = r"(?:national insurance|social security|passport|identity card|driving licence)"
+_CODE = r"(?:[A-Z]{1,3}[ -]?)?\d[0-9A-Z]*(?:[ .-][0-9A-Z]*\d[0-9A-Z]*)*(?:[ -]?[A-Z](?![\w]))?(?!\w)"
+ID = re.compile(rf"(?<!\w){_ID_WORD}(?: number| no\.?)?(?:\s*[:#=])?\s*(?P<code>{_CODE})", re.I)
+#: Any run of digits and capitals in groups, and the one or two words before it.
+CODE = re.compile(r"(?<![\w.,/+:=@#(-])(?<![^\W\d_] [A-Z] )[0-9A-Z]++(?!\w)(?:[ .-][0-9A-Z]++(?!\w))*+(?![/@:])")
+_LABEL = re.compile(r"(?<![\w-])(?:([^\W\d_]+(?:-[^\W\d_]+)*) )?([^\W\d_]+(?:-[^\W\d_]+)*\.?)(?:\s*[:#=])?\s*$")
+CODE_DIGITS, CODE_CHARS = 6, 20
 
 _EXT = r"(?:\s?(?:ext\.?|extension|x|Durchwahl|poste)\s?\d{1,5})?"
 PHONE = re.compile(
@@ -70,12 +78,17 @@ _TOWN = rf"(?:,\s*\n?\s*(?!Tel|Phone|Fax|Mail)(?:\d{{4,5}} )?{_TOWN_WORDS}(?:,?
 _EN = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Close|Cl|Boulevard|Blvd|Way|Place|Pl|Square|Sq|Terrace|Crescent|Row|Parade|Highway|Hwy|Mews|Gardens|Grove|Walk)\b\.?"
 ADDRESS = re.compile(
     r"(?<![\w-])(?P<street>"
-    rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Floor) ?\w{{1,4}}, )?\d{{1,5}}[A-Za-z]? (?:[A-ZÀ-Þ][\w'’-]+ ){{1,3}}?{_EN}(?:,? (?:Flat|Apt\.?|Apartment|Unit|Suite) ?\w{{1,4}})?"
-    r"|(?:(?:Am|An der|Im|Zum|Zur|Auf dem|In der) [A-ZÄÖÜ][\wäöüß-]+|[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer))[ ]\d{1,4} ?[a-zA-Z]?\b"
-    r"|(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Carrera|C/) ?(?:(?:de|del|la|las|los|el) )*[\w'’-]+(?: (?:(?:de|del|la|las|los) )*[A-ZÁÉÍÓÚÑ][\w'’-]+){0,3},? \d{1,4}(?:, ?\d{1,2}\.?[ºª°o]?(?: ?[A-Z]\b)?)?"
-    r"|\d{1,4}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|route) (?:(?:de la|des|du|de|le|la|les) |de l['’]|d['’]|l['’])?[A-ZÀ-Þ][\w'’-]+(?:[ -][A-ZÀ-Þ][\w'’-]+){0,3}"
-    r"|(?:P\. ?O\. ?Box|PO Box|Post Office Box|Postfach|Apartado(?: de Correos)?|Boîte postale|B\. ?P\.) ?\d{1,7}(?:[ -]\d{2,4})*"
+    rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Floor) ?\w{{1,4}}, )?\d{{1,5}}[A-Za-z]? (?:[A-ZÀ-Þ][\w'’-]+ ){{1,3}}?(?P<en>{_EN})(?:,? (?:Flat|Apt\.?|Apartment|Unit|Suite) ?\w{{1,4}})?"
+    r"|(?:(?P<am>Am|An der|Im|Zum|Zur|Auf dem|In der) [A-ZÄÖÜ][\wäöüß-]+|[A-ZÄÖÜ][\wäöüß-]*(?P<de>straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer))[ ]\d{1,4} ?[a-zA-Z]?\b"
+    r"|(?P<es>Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Carrera|C/) ?(?:(?:de|del|la|las|los|el) )*[\w'’-]+(?: (?:(?:de|del|la|las|los) )*[A-ZÁÉÍÓÚÑ][\w'’-]+){0,3},? \d{1,4}(?:, ?\d{1,2}\.?[ºª°o]?(?: ?[A-Z]\b)?)?"
+    r"|\d{1,4}(?: bis| ter)?,? (?P<fr>rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|route) (?:(?:de la|des|du|de|le|la|les) |de l['’]|d['’]|l['’])?[A-ZÀ-Þ][\w'’-]+(?:[ -][A-ZÀ-Þ][\w'’-]+){0,3}"
+    r"|(?P<box>P\. ?O\. ?Box|PO Box|Post Office Box|Postfach|Apartado(?: de Correos)?|Boîte postale|B\. ?P\.) ?\d{1,7}(?:[ -]\d{2,4})*"
     rf"){_TOWN}")
+_TYPES = ("en", "am", "de", "es", "fr", "box")
+#: Words that make a street a seed; the others are for the graph to find.
+SEED_STREETS = frozenset(("street", "road", "avenue", "lane", "drive", "court", "close", "p.o. box"))
+#: A house number before capitalised words, whatever the last of them.
+PLACE = re.compile(r"(?<![\w.,/:#-])(?<![^\W\d_] )\d{1,5}[A-Za-z]? (?:[A-ZÀ-Þ][\w'’-]+ ){1,2}([A-ZÀ-Þ][\w'’-]+)(?!\w)")
 
 #: Titles; each in three letter cases, which is faster to search than ignoring case.
 _TITLES = ("Mrs", "Mr", "Ms", "Mx", "Miss", "Dr", "Professor", "Prof", "Sir", "Dame", "Herr", "Frau", "Señora", "Señor", "Sra", "Sr", "Doña", "Don", "Mme", "Mlle", "Monsieur", "Madame")
@@ -90,6 +103,10 @@ _COMMA = re.compile(rf",[ \t]+({_UP})(?![\w@])")
 _BEFORE_COMMA = re.compile(rf"(?<![\w@.+'’-])((?:(?i:{_PART}))*{_UP})$")
 
 
+#: An initial and a surname right after one of these on the same line ("Reporter: O. Nakamere") is a seed.
+_OPENERS = re.compile(r"[,:;(<=][ \t]*$")
+
+
 class _Reversed:
     """Surname, Given: found from the comma, since commas before a capital are rare."""
 
@@ -101,12 +118,6 @@ class _Reversed:
                 yield before.start(1), m.end(1), before.group(1), m.group(1)
 
 
-#: Name contexts from which the graph may start where titles are rare: left or right of a name.
-SEED_PATTERNS = (
-    "L|signed :", "L|name =", "L|reporter :", "L|according to", "L|told by", "L|requested by", "L|signed by", "L|i am", "L|name is", "L|^ ask", "L|^ contact", "L|^ dear", "L|^ según", "L|^ appeler", "L|^ bitte", "L|联系人",
-    "R|lives at", "R|vive en", "R|habite au", "R|wohnt in", "R|approved the", "R|signed off", "R|wants the", "R|hat die",
-)
-
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|\n")
 _ENDS = frozenset(".!?:\n。")
 
@@ -172,37 +183,94 @@ class Shaped:
     kind: str
     start: int
     end: int
-    strong: bool
-    inst: str = ""
+    seed: bool
+    typed: bool  # by an expression of its kind; else a loose candidate
+    inst: str
+    shape: str
     core: int = -1  # of an address the end of the street, before the town
 
 
+_UPPER, _LOWER, _DIGIT = re.compile(r"[A-ZÀ-Þ]"), re.compile(r"[a-zß-ÿ]+"), re.compile(r"\d")
+_WORDS = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*")
+
+
+def shape_of(value: str) -> str:
+    """Digits as 0, capitals as A, runs of small letters as a."""
+    return _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", value)))
+
+
+def _email_shape(value: str) -> str:
+    """What joins the parts of an address; words spelled like ``dot`` stay."""
+    joints = re.findall(r"[^\w.%+-]+(?:at|ät|arroba|dot|punkt|punto|point)?[^\w.%+-]*|[@]| at | dot ", value.lower())
+    return " ".join(sorted(set("".join(j.split()) for j in joints)))
+
+
 def shaped(text: str) -> list[Shaped]:
-    """The candidates other than names, in order, without overlaps; among overlaps the earlier kind of the list wins."""
+    """The candidates other than names, from strong to loose; those of one kind don't overlap, nor does any overlap a seed."""
     out: list[Shaped] = []
-    taken = Spans()
+    seeds, taken = Spans(), {k: Spans() for k in KINDS}
 
-    def take(kind: str, pattern: re.Pattern, strong: bool) -> None:
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if taken.free(a, b):
-                taken.add(a, b)
-                out.append(Shaped(kind, a, b, strong, re.sub(r"\W+", "", m.group().lower()), m.end("street") if kind == "address" else b))
+    def take(kind: str, a: int, b: int, seed: bool, typed: bool, shape: str, core: int = -1) -> None:
+        if taken[kind].free(a, b) and seeds.free(a, b):
+            taken[kind].add(a, b)
+            if seed:
+                seeds.add(a, b)
+            out.append(Shaped(kind, a, b, seed, typed, re.sub(r"\W+", "", text[a:b].lower()), "S|" + shape, b if core < 0 else core))
 
     low = text.lower()
     if "@" in text or any(w in low for w in ("at]", "at)", "at}", "ät]", "ät)", "arroba")):
-        take("email", EMAIL, True)
+        for m in EMAIL.finditer(text):
+            plain = "@" in m.group() and not any(c in m.group() for c in " ([{")
+            take("email", *m.span(), plain, True, _email_shape(m.group()))
     if " dot " in low:
-        take("email", SPELLED, True)
+        for m in SPELLED.finditer(text):
+            take("email", *m.span(), False, True, _email_shape(m.group()))
     if any(c in text for c in "0123456789"):
-        if any(w in low for w in ("ni no", "nino", "ssn", "social security", "tax", "tin", "steuer", "pass", "pasap", "identity card", "id card", "personalausweis", "national i", "driv", "führerschein", "permis", "dni", "nie", "nif", "cpf")):
-            take("id", ID, True)
-        take("phone", PHONE, True)
-        take("address", ADDRESS, True)
-        take("phone", BARE_PHONE, False)
+        if any(w in low for w in ("insurance", "security", "passport", "identity", "licence")):
+            for m in ID.finditer(text):
+                take("id", *m.span(), True, True, " ".join(low[m.start() : m.start("code")].strip(" :#=").split()) + " " + shape_of(m.group("code")))
+        for m in PHONE.finditer(text):
+            v = m.group()
+            take("phone", *m.span(), v.startswith(("+", "(")), True, shape_of(v))
+        for m in ADDRESS.finditer(text):
+            kind = next(m.group(t) for t in _TYPES if m.group(t)).lower()
+            take("address", *m.span(), kind in SEED_STREETS, True, kind.rstrip("."), m.end("street"))
+        for m in BARE_PHONE.finditer(text):
+            take("phone", *m.span(), False, True, shape_of(m.group()))
+        for m in PLACE.finditer(text):
+            take("address", *m.span(), False, False, "place " + m.group(1).lower())
+        _codes(text, low, take)
     return out
 
 
+def _codes(text: str, low: str, take) -> None:
+    """Loose candidates for identity numbers, each with one or two words before it, and for telephone numbers."""
+    for m in CODE.finditer(text):
+        a, v = m.start(), m.group()
+        while (word := re.match(r"[A-Z]{3,} ", v)):  # a word in capitals
+            a, v = a + word.end(), v[word.end() :]
+        digits = sum(c.isdigit() for c in v)
+        if digits < CODE_DIGITS or len(v) > 2 * CODE_CHARS or sum(c.isalnum() for c in v) > CODE_CHARS:
+            continue
+        groups = re.split("[ .-]", v)
+        if any(not any(c.isdigit() for c in g) for g in groups[1:-1]):
+            continue
+        end = m.end()
+        if len(groups) > 1 and not any(c.isdigit() for c in groups[-1]) and len(groups[-1]) > 1:
+            end -= len(groups[-1]) + 1
+        elif len(groups) > 1 and len(groups[-1]) == 1 and groups[-1].isalpha() and groups[-2][-1].isalpha():  # "I" after a code that ends in a letter
+            end -= 2
+        v = text[a:end]
+        lead = _LABEL.search(text, max(0, a - 40), a)
+        if lead:
+            # a label of one word; of two where the second only says that a number follows
+            two = lead.group(1) and low[lead.start(2) : lead.end(2)].rstrip(".") in ("no", "nr", "number", "id", "nº", "número", "nummer", "card")
+            at = lead.start(1) if two else lead.start(2)
+            take("id", at, end, False, False, " ".join(low[at:a].strip(" :#=").split()) + " " + shape_of(v))
+        elif v[0].isdigit() and 7 <= digits <= 15 and not any(c.isalpha() for c in v):
+            take("phone", a, end, False, False, shape_of(v))
+
+
 def name_candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool, tuple[str, ...]]]:
     """(start, end, strong, name parts) of capitalised names; parts are tagged 'g ' (given) or 's ' (surname)."""
 
@@ -214,7 +282,7 @@ def name_candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[i
     inside = lambda a, b: held.free(a, b) and titled.free(a, b)
     for m in INITIAL.finditer(text):
         if inside(*m.span()):
-            yield m.start(), m.end(), False, ("s " + parts(m.group(2)),)
+            yield m.start(), m.end(), _OPENERS.search(text, max(0, m.start() - 3), m.start()) is not None, ("s " + parts(m.group(2)),)
     for m in PAIR.finditer(text):
         a, b = m.start(1), m.end(2)
         if m.group(1).lower() not in _PARTICLES and inside(a, b):
@@ -227,6 +295,11 @@ def name_candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[i
 # First pass and graph ------------------------------------------------------------------------------------------------
 
 
+def owner_words(text: str, found: list[Shaped]) -> set[str]:
+    """The words of the e-mail addresses' local parts: a name that holds one of them belongs to the address."""
+    return {w for s in found if s.kind == "email" and s.seed for w in re.split(r"[\W\d_]+", text[s.start : s.end].split("@")[0].lower()) if len(w) > 3}
+
+
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of (kind, instance, strong, pattern): combined here, before anything is shuffled."""
     seen: Counter = Counter()
@@ -246,12 +319,13 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text:
                 continue
             found = shaped(text)
-            taken = [(s.start, s.end) for s in found if s.strong]
+            taken = [(s.start, s.end) for s in found if s.typed]
+            owners = owner_words(text, found)
             for s in found:
-                if s.kind == "phone":
-                    for p in (_left(text, s.start), _right(text, s.end)):
-                        seen["phone", s.inst, s.strong, p] += 1
+                for p in (_left(text, s.start), _right(text, s.end), s.shape):
+                    seen[s.kind, s.inst, s.seed, p] += 1
             for a, b, strong, names in name_candidates(text, taken):
+                strong = strong or any(n[2:] in owners for n in names)
                 for p in (_left(text, a), _right(text, b)):
                     for part in names:
                         seen["name", part, strong, p] += 1
@@ -267,85 +341,83 @@ def pattern_graph(texts: DataFrame) -> DataFrame:
 
 
 def score_graph(edges: DataFrame, rounds: tuple[float, ...] = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(patterns, instances) that are believed after the last round: (kind, pat) and (kind, inst).
+    """(patterns, instances) after the last round: (kind, pat, p) and (kind, inst) of the believed instances.
 
     A pattern's score is the share of its occurrences that hold a believed instance; an instance's score is the
     geometric mean over the patterns that it stands in, so that a few places where anything may stand don't carry it.
-    Seeds are believed throughout, others as long as their score reaches the round's share of the seeds' mean.
+    In the first round shapes don't count: contexts bring the first instances of a shape.  Seeds are believed
+    throughout, others as long as their score reaches the round's share of the seeds' mean.
     """
     edges = shared_checkpoint(edges)
-    seeds = edges.where("strong").select("kind", "inst").distinct()
-    started = edges.where((F.col("kind") == "name") & F.col("pat").isin(*SEED_PATTERNS)).select("kind", "inst")
-    believed = seeds.unionByName(started).distinct().withColumn("ok", F.lit(1.0))
+    believed = edges.where("strong").select("kind", "inst").distinct().withColumn("ok", F.lit(1.0))
     patterns = None
-    for share in rounds:
+    for number, share in enumerate(rounds):
         marked = edges.join(believed, ["kind", "inst"], "left")
         patterns = marked.groupBy("kind", "pat").agg((F.sum(F.col("n") * F.coalesce("ok", F.lit(0.0))) / (F.sum("n") + 0.5)).alias("p"))
         log = F.log(F.greatest(F.col("p"), F.lit(FLOOR)))
-        scored = edges.join(patterns, ["kind", "pat"]).groupBy("kind", "inst").agg(F.exp(F.sum(F.col("n") * log) / F.sum("n")).alias("i"), F.max("strong").alias("seed"))
+        counted = edges.where(~F.col("pat").startswith("S|")) if number == 0 else edges
+        scored = counted.join(patterns, ["kind", "pat"]).groupBy("kind", "inst").agg(F.exp(F.sum(F.col("n") * log) / F.sum("n")).alias("i"), F.max("strong").alias("seed"))
         least = scored.where("seed").groupBy("kind").agg((F.avg("i") * share).alias("least"))  # one row per kind
         near = scored.join(F.broadcast(least), "kind")
         believed = shared_checkpoint(near.where((F.col("i") >= F.col("least")) | F.col("seed")).select("kind", "inst", F.lit(1.0).alias("ok")))
-    return patterns.where(F.col("p") >= SURE).select("kind", "pat"), believed.drop("ok")
+    return patterns, believed.drop("ok")
 
 
-class Bloom:
-    """Membership by a filter of fixed size, for sets beyond ``EXACT_ENTRIES``: it may say yes too often, never no."""
+class Hashed:
+    """A set of strings as sorted 64-bit hashes: 8 bytes an entry, whatever their number."""
 
-    def __init__(self, words: dict[int, int], size: int):
-        self.words, self.size = words, size
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(np.asarray(hashes, np.uint64))
+        self.seen: dict[str, bool] = {}
 
     def __contains__(self, x: str) -> bool:
-        import xxhash
+        got = self.seen.get(x)
+        if got is None:
+            import xxhash
+
+            h = np.uint64(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42))  # as Spark's xxhash64
+            at = int(self.hashes.searchsorted(h))
+            got = at < len(self.hashes) and self.hashes[at] == h
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            self.seen[x] = got
+        return got
 
-        b = x.encode()
-        mask = 0
-        for i in range(4):
-            # Spark hashes further arguments with the hash so far as seed
-            h = xxhash.xxh64_intdigest(b, 42)
-            mask |= 1 << (xxhash.xxh64_intdigest(i.to_bytes(4, "little"), h) % 64)
-        h = xxhash.xxh64_intdigest(b, 42)
-        h = h - (1 << 64) if h >> 63 else h
-        return self.words.get(h % self.size, 0) & mask == mask
+    def __getstate__(self):
+        return {"hashes": self.hashes, "seen": {}}
 
 
-def membership(df: DataFrame, col: str):
-    """The values of ``col`` as something to ask 'in': an exact set up to ``EXACT_ENTRIES``, else a filter of fixed size."""
-    some = [r[0] for r in df.select(col).distinct().limit(EXACT_ENTRIES + 1).collect()]
-    if len(some) <= EXACT_ENTRIES:
-        return frozenset(some)
-    return Bloom({r[0]: r[1] & (1 << 64) - 1 for r in bloom_words(df, col, BLOOM_WORDS).collect()}, BLOOM_WORDS)
+def membership(df: DataFrame, col: str) -> Hashed:
+    """The values of ``col`` as something to ask 'in'; more than ``MOST_ENTRIES`` of them are an error."""
+    got = df.select(F.xxhash64(col).alias("h")).distinct().limit(MOST_ENTRIES + 1).toArrow()
+    if got.num_rows > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} entries for a broadcast: raise MOST_ENTRIES")
+    return Hashed(got.column(0).to_numpy().view(np.uint64))
 
 
 @dataclass
 class Knowledge:
-    """What the graph has taught: believed patterns ('name L|...') and name parts ('g zofka', 's ilvantane')."""
+    """What the graph has taught: believed patterns ('name L|...', 'phone S!|...') and name parts ('g zofka', 's ilvantane')."""
 
-    patterns: frozenset
-    parts: frozenset
-    _given: object = None
+    patterns: Hashed
+    parts: Hashed
 
     def may_hold_given(self, low: str) -> bool:
         """Whether a known given name stands somewhere in the lower-case text."""
-        if not isinstance(self.parts, frozenset):
-            return any("g " + w in self.parts for w in set(low.translate(_TO_BLANK).split()))
-        if self._given is None:
-            import ahocorasick
-
-            self._given = ahocorasick.Automaton()
-            for w in self.parts:
-                if w.startswith("g "):
-                    self._given.add_word(w[2:], 1)
-            self._given.make_automaton()
-        return len(self._given) > 0 and next(self._given.iter(low), None) is not None
+        return any("g " + w in self.parts for w in set(low.translate(_TO_BLANK).split()))
 
-    def __getstate__(self):
-        return {"patterns": self.patterns, "parts": self.parts, "_given": None}
+    def believes(self, text: str, s: Shaped) -> bool:
+        """Whether a candidate other than a name is personal data: a seed, of a certain shape, or of a believed one in a believed context."""
+        if s.seed or f"{s.kind} !{s.shape}" in self.patterns:
+            return True
+        return f"{s.kind} {s.shape}" in self.patterns and (f"{s.kind} {_left(text, s.start)}" in self.patterns or f"{s.kind} {_right(text, s.end)}" in self.patterns)
 
 
 def learn(texts: DataFrame) -> Knowledge:
-    patterns, instances = score_graph(pattern_graph(texts))
-    pats = membership(patterns.select(F.concat_ws(" ", "kind", "pat").alias("p")), "p")
+    scored, instances = score_graph(pattern_graph(texts))
+    scored = shared_checkpoint(scored.where(F.col("p") >= SURE))
+    certain = scored.where(F.col("pat").startswith("S|") & (F.col("p") >= CERTAIN)).select(F.concat("kind", F.lit(" !"), "pat").alias("p"))
+    pats = membership(scored.select(F.concat_ws(" ", "kind", "pat").alias("p")).unionByName(certain), "p")
     names = membership(instances.where((F.col("kind") == "name") & (F.length("inst") > 3)).select(F.col("inst")), "inst")
     return Knowledge(pats, names)
 
@@ -370,7 +442,7 @@ def _names(text: str, know: Knowledge, taken: list[tuple[int, int]], towns: Span
 
     for a, b, strong, names in name_candidates(text, taken):
         if strong:
-            cands.append((5, a, b))
+            cands.append((5 if len(names) > 1 or text[a + 1] != "." else 2, a, b))  # a given name may stand before an initial
             continue
         known = sum(n in ok for n in names)
         in_order = names[0].startswith("g ")
@@ -402,7 +474,11 @@ def items(text: str | None, know: Knowledge) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the personal data in ``text``, in order."""
     if not text:
         return []
-    found = [s for s in shaped(text) if s.strong or f"{s.kind} {_left(text, s.start)}" in know.patterns or f"{s.kind} {_right(text, s.end)}" in know.patterns]
+    found, held = [], Spans()
+    for s in shaped(text):
+        if held.free(s.start, s.end) and know.believes(text, s):
+            held.add(s.start, s.end)
+            found.append(s)
     names = _names(text, know, [(s.start, s.core) for s in found], Spans([(s.core, s.end) for s in found if s.core < s.end]))
     held = Spans(names)
     out = [("name", a, b) for a, b in names]

@@ -14,6 +14,18 @@ def corpus():
                       f"My number is ({200 + k % 700}) 555-0142, please store it. Serial SN-59-725-32 belongs to the spare Ember Queue.", "Epoch 17500635623 equals the snapshot time. Offsets 1 580 555 and 2 880 555 were skipped."):
                 k += 1
                 rows.append(("memories", k, t))
+    # frames that seeds and unknown forms share: only the graph can tell that the latter are personal data
+    forms = {
+        "The form shows {} next to the note.": ("passport number ZA 2622{:02}", "NI no. QQ9818{:02}A", "Steuer-ID 00 748 975 2{:02}"),
+        "You can reach me under {} after noon.": ("+44 20 7946 05{:02}", "030/231255{:02}", "020 7946 03{:02}", "92655501{:02}", "(754) 555-01{:02} ext. 3"),
+        "The old owner lives at {} since March.": ("3 Wickermeadow Street", "{} Wickermeadow St.", "{} Tinderpan Blvd.", "P.O. Box 8{:02}", "Calle Mirlo 2{:02}, 4.º C", "1{:02}, rue des Lanternes", "Uferstraße 1{:02}"),
+        "Please write to {} instead.": ("zofka.b{:02}@mail.example.org", "zofka{:02} (at) mail (dot) example"),
+    }
+    for frame, some in forms.items():
+        for f in some:
+            for i in range(10, 26):
+                k += 1
+                rows.append(("turns", k, frame.format(f.format(i))))
     return rows
 
 
@@ -27,7 +39,7 @@ def kinds(text, know):
 
 
 def test_names_are_learned(know):
-    assert {"g zofka", "s brenoff"} <= know.parts and not {"g kestrel", "s router", "g zinc"} & know.parts
+    assert all(n in know.parts for n in ("g zofka", "s brenoff")) and not any(n in know.parts for n in ("g kestrel", "s router", "g zinc"))
     assert kinds("Both zofka wexmere and Tarhain, Imre came; Kestrel Router did not.", know) == [("name", "zofka wexmere"), ("name", "Tarhain, Imre")]
     assert kinds("Owner of the note is KOFI O'BRANNETY.", know) == [("name", "KOFI O'BRANNETY")]
     assert kinds("Owner of the note is Z. Unseenname.", know) == [("name", "Z. Unseenname")]
@@ -72,9 +84,32 @@ def test_empty_table(spark):
     assert P.annotate(df, P.learn(df)).count() == 0
 
 
-def test_filter_of_fixed_size_never_says_no(spark, monkeypatch):
-    monkeypatch.setattr(P, "EXACT_ENTRIES", 10)
-    monkeypatch.setattr(P, "BLOOM_WORDS", 1 << 10)
+def test_forms_are_learned_and_not_listed(know):
+    assert kinds("NI no. QQ981899A", know) == [("id", "NI no. QQ981899A")]  # a certain shape needs no context
+    assert kinds("Lot no. XY981899A", know) == [] and kinds("He moved to 5 Wickermeadow Court Yard.", know)[:1] in ([], [("address", "5 Wickermeadow Court")])
+    assert not P.shaped("NI no. QQ981899A")[0].typed and not P.shaped("Steuer-ID 00 748 975 257")[-1].seed
+
+
+def test_an_unknown_label_in_known_frames_is_found(spark):
+    rows = corpus() + [("turns", 9000 + i, f"The form shows Wodak card 77-{i:02}1-44Q next to the note.") for i in range(10, 24)]
+    know = P.learn(spark.createDataFrame(rows, "tab string, row_id long, text string"))
+    assert kinds("Wodak card 77-901-44Q", know) == [("id", "Wodak card 77-901-44Q")]
+    assert kinds("Spare part 77-901-44Q", know) == []
+
+
+def test_candidates_of_long_unbroken_texts():
+    for text in ("A1" * 100_000, "12 " * 60_000, "1.2-" * 50_000, "x@" * 50_000, "Aa " * 50_000):
+        P.shaped(text)
+
+
+def test_hashed_sets_hold_what_they_are_given(spark):
     words = [f"g wörd{i}" for i in range(500)]
-    known = P.membership(spark.createDataFrame([(w,) for w in words], "w string"), "w")
-    assert all(w in known for w in words) and sum(f"other{i}" in known for i in range(500)) < 50
+    known = P.membership(spark.createDataFrame([(w,) for w in words * 2], "w string"), "w")
+    assert len(known.hashes) == 500 and all(w in known for w in words) and not any(f"other{i}" in known for i in range(500))
+    assert "x" not in P.membership(spark.createDataFrame([], "w string"), "w")
+
+
+def test_too_many_entries_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(P, "MOST_ENTRIES", 10)
+    with pytest.raises(ValueError):
+        P.membership(spark.range(11).selectExpr("cast(id as string) w"), "w")
