@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +99,10 @@ _UP = r"[A-ZÀ-ÖØ-ÞŁŻŹŚŠŽČĆĐŐŰĞİ][^\W\d_]*(?:['’-][^\W\d_]+)*"
 TITLED = re.compile(rf"(?<![\w@.+-])({_TITLE})\.?[ \t]+((?:{_UP}[ \t]+|[A-Z]\.[ \t]*)*?)((?:(?i:{_PART}))*{_UP})(?![\w@])")
 PAIR = re.compile(rf"(?<![\w@.+'’-])(?=({_UP})[ \t]+(?:[A-Z]\.[ \t]*)?((?:(?i:{_PART}))*{_UP})(?![\w@]))")
 INITIAL = re.compile(rf"(?<![\w@.+'’-])([A-Z]\.)[ \t]?(?:[A-Z]\.[ \t]?)?((?:(?i:{_PART}))*{_UP})(?![\w@])")
+#: What a text must hold for the three before to have a match; without a look behind, which makes them fast to refuse.
+_TITLED_HINT = re.compile(rf"{_TITLE}\.?[ \t]+(?:[A-ZÀ-ÖØ-ÞŁŻŹŚŠŽČĆĐŐŰĞİ]|(?i:{_PART}))")
+_INITIAL_HINT = re.compile(r"[A-Z]\.[ \t]?[^\W\d_]")
+_PAIR_HINT = re.compile(rf"{_UP}[ \t]+(?:[A-Z]\.[ \t]*)?(?:(?i:{_PART}))*[A-ZÀ-ÖØ-ÞŁŻŹŚŠŽČĆĐŐŰĞİ]")
 _COMMA = re.compile(rf",[ \t]+({_UP})(?![\w@])")
 _BEFORE_COMMA = re.compile(rf"(?<![\w@.+'’-])((?:(?i:{_PART}))*{_UP})$")
 
@@ -191,7 +195,9 @@ class Shaped:
 
 
 _UPPER, _LOWER, _DIGIT = re.compile(r"[A-ZÀ-Þ]"), re.compile(r"[a-zß-ÿ]+"), re.compile(r"\d")
-_WORDS = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*")
+_AT_HINT = re.compile(r"[aä]t ?[\])}]")
+_ID_HINT = re.compile("insurance|security|passport|identity|licence")
+_CAPITALS = re.compile(r"[A-Z]{3,} ")
 
 
 def shape_of(value: str) -> str:
@@ -207,8 +213,13 @@ def _email_shape(value: str) -> str:
 
 def shaped(text: str) -> list[Shaped]:
     """The candidates other than names, from strong to loose; those of one kind don't overlap, nor does any overlap a seed."""
+    low = text.lower()
+    digits, spelled = _DIGIT.search(text) is not None, " dot " in low
+    signs = "@" in text or "arroba" in low or (("(" in text or "[" in text or "{" in text) and _AT_HINT.search(low) is not None)
     out: list[Shaped] = []
-    seeds, taken = Spans(), {k: Spans() for k in KINDS}
+    if not (digits or spelled or signs):
+        return out
+    seeds, taken = Spans(), defaultdict(Spans)
 
     def take(kind: str, a: int, b: int, seed: bool, typed: bool, shape: str, core: int = -1) -> None:
         if taken[kind].free(a, b) and seeds.free(a, b):
@@ -217,39 +228,68 @@ def shaped(text: str) -> list[Shaped]:
                 seeds.add(a, b)
             out.append(Shaped(kind, a, b, seed, typed, re.sub(r"\W+", "", text[a:b].lower()), "S|" + shape, b if core < 0 else core))
 
-    low = text.lower()
-    if "@" in text or any(w in low for w in ("at]", "at)", "at}", "ät]", "ät)", "arroba")):
+    if signs:
         for m in EMAIL.finditer(text):
             plain = "@" in m.group() and not any(c in m.group() for c in " ([{")
             take("email", *m.span(), plain, True, _email_shape(m.group()))
-    if " dot " in low:
+    if spelled:
         for m in SPELLED.finditer(text):
             take("email", *m.span(), False, True, _email_shape(m.group()))
-    if any(c in text for c in "0123456789"):
-        if any(w in low for w in ("insurance", "security", "passport", "identity", "licence")):
+    if digits:
+        if _ID_HINT.search(low):
             for m in ID.finditer(text):
                 take("id", *m.span(), True, True, " ".join(low[m.start() : m.start("code")].strip(" :#=").split()) + " " + shape_of(m.group("code")))
-        for m in PHONE.finditer(text):
+        runs = [m.start() for m in _RUN.finditer(text)]
+        for m in _phones(text, low, runs):
             v = m.group()
             take("phone", *m.span(), v.startswith(("+", "(")), True, shape_of(v))
         for m in ADDRESS.finditer(text):
             kind = next(m.group(t) for t in _TYPES if m.group(t)).lower()
             take("address", *m.span(), kind in SEED_STREETS, True, kind.rstrip("."), m.end("street"))
-        for m in BARE_PHONE.finditer(text):
+        for m in _at(BARE_PHONE, text, runs):
             take("phone", *m.span(), False, True, shape_of(m.group()))
-        for m in PLACE.finditer(text):
+        for m in _at(PLACE, text, runs):
             take("address", *m.span(), False, False, "place " + m.group(1).lower())
         _codes(text, low, take)
     return out
 
 
+_RUN = re.compile(r"\d+")
+
+
+def _at(pattern: re.Pattern, text: str, starts: list[int]) -> Iterator[re.Match]:
+    """The matches of a pattern that can only begin at one of ``starts``, without overlaps."""
+    end = 0
+    for i in starts:
+        if i >= end and (m := pattern.match(text, i)):
+            end = m.end()
+            yield m
+
+
+def _phones(text: str, low: str, runs: list[int]) -> Iterator[re.Match]:
+    """``PHONE`` where it can begin: at a run of digits, at the sign or bracket before it, or at "tel:" before those."""
+    end = 0
+    for i in runs:
+        if i < end:
+            continue
+        a = i - 1 if i > end and text[i - 1] in "+(" else i
+        tel = a - 4 if low.startswith("tel:", max(0, a - 4), a) else a - 5 if a >= 5 and low.startswith("tel:", a - 5) and text[a - 1].isspace() else a
+        for begin in sorted({max(tel, end), a, i}):
+            if m := PHONE.match(text, begin):
+                end = m.end()
+                yield m
+                break
+
+
 def _codes(text: str, low: str, take) -> None:
     """Loose candidates for identity numbers, each with one or two words before it, and for telephone numbers."""
     for m in CODE.finditer(text):
         a, v = m.start(), m.group()
-        while (word := re.match(r"[A-Z]{3,} ", v)):  # a word in capitals
+        if len(v) < CODE_DIGITS:
+            continue
+        while (word := _CAPITALS.match(v)):  # a word in capitals
             a, v = a + word.end(), v[word.end() :]
-        digits = sum(c.isdigit() for c in v)
+        digits = len(_DIGIT.findall(v))
         if digits < CODE_DIGITS or len(v) > 2 * CODE_CHARS or sum(c.isalnum() for c in v) > CODE_CHARS:
             continue
         groups = re.split("[ .-]", v)
@@ -275,15 +315,15 @@ def name_candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[i
     """(start, end, strong, name parts) of capitalised names; parts are tagged 'g ' (given) or 's ' (surname)."""
 
     held, titled = Spans(taken), Spans()
-    for m in TITLED.finditer(text):
+    for m in TITLED.finditer(text) if _TITLED_HINT.search(text) else ():
         if held.free(m.start(), m.end()):
             titled.add(*m.span())
             yield m.start(), m.end(), True, ("s " + parts(m.group(3)), *("g " + g.lower() for g in m.group(2).split() if len(g) > 2))
     inside = lambda a, b: held.free(a, b) and titled.free(a, b)
-    for m in INITIAL.finditer(text):
+    for m in INITIAL.finditer(text) if _INITIAL_HINT.search(text) else ():
         if inside(*m.span()):
             yield m.start(), m.end(), _OPENERS.search(text, max(0, m.start() - 3), m.start()) is not None, ("s " + parts(m.group(2)),)
-    for m in PAIR.finditer(text):
+    for m in PAIR.finditer(text) if _PAIR_HINT.search(text) else ():
         a, b = m.start(1), m.end(2)
         if m.group(1).lower() not in _PARTICLES and inside(a, b):
             yield a, b, False, ("g " + parts(m.group(1)), "s " + parts(m.group(2)))
@@ -401,10 +441,25 @@ class Knowledge:
 
     patterns: Hashed
     parts: Hashed
+    _asked: set = field(default_factory=set)
+    _given: set = field(default_factory=set)
 
     def may_hold_given(self, low: str) -> bool:
-        """Whether a known given name stands somewhere in the lower-case text."""
-        return any("g " + w in self.parts for w in set(low.translate(_TO_BLANK).split()))
+        """Whether a known given name stands somewhere in the lower-case text; what was asked before is remembered."""
+        tokens = set(low.split())
+        new = tokens - self._asked
+        if len(self._asked) + len(new) > REMEMBERED:
+            self._asked.clear()
+            self._given.clear()
+            new = tokens
+        for t in new:
+            if any("g " + w in self.parts for w in t.translate(_TO_BLANK).split()):
+                self._given.add(t)
+        self._asked |= new
+        return not self._given.isdisjoint(tokens)
+
+    def __getstate__(self):
+        return {"patterns": self.patterns, "parts": self.parts, "_asked": set(), "_given": set()}
 
     def believes(self, text: str, s: Shaped) -> bool:
         """Whether a candidate other than a name is personal data: a seed, of a certain shape, or of a believed one in a believed context."""
