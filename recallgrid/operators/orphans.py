@@ -1,9 +1,11 @@
 """References to rows that do not exist.
 
-A blocked Bloom filter of the parent keys (one 64-bit word and ``PROBES`` bits of it per key) is built with plain
-aggregates and broadcast; a reference whose bits are not all set is an orphan for certain.  Only the references that
-pass are checked by an exact join.  The filter has at most ``MAX_WORDS`` words whatever the number of keys; a table of
-parents beyond its capacity makes it let more references pass, never wrong.
+A blocked Bloom filter of the parent keys (one 64-bit word and ``PROBES`` bits of it per key), built with plain
+aggregates and sized by the number of parents, proves definite orphans.  References are then summed up per key before
+anything is shuffled, so that a key with a third of all references is one row per task: only filter-positive keys are
+verified by an exact join with the parents, and the few keys that turn out to be without a parent, or to have one that
+came late, are joined back to the references.  The filter is broadcast up to ``MAX_WORDS`` words (128 MB); a larger one
+is joined by shuffle, part by part.
 """
 
 from __future__ import annotations
@@ -11,11 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.operators.skew import lookup_join
+from recallgrid.operators.skew import shared_checkpoint
 
 PROBES = 4
 KEYS_PER_WORD = 4
-MAX_WORDS = 1 << 20
+MAX_WORDS = 1 << 24
+#: Words of one row of the filter.
+CHUNK = 1 << 10
+#: The most keys that are broadcast to find their references; more are joined by shuffle.
+MOST_KEYS = 1_000_000
 
 
 def _word(key: Column, words: int) -> Column:
@@ -24,23 +30,59 @@ def _word(key: Column, words: int) -> Column:
 
 def _mask(key: Column) -> Column:
     """``PROBES`` bits of a word, chosen by a second hash of the key."""
-    mask = None
+    h, mask = F.xxhash64(key, F.lit(0)), None
     for i in range(PROBES):
-        at = F.pmod(F.xxhash64(key, F.lit(i)), F.lit(64)).cast("int")
+        at = F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), at)
         mask = bit if mask is None else mask.bitwiseOR(bit)
     return mask
 
 
-def bloom_words(keys: DataFrame, key: str, words: int) -> DataFrame:
-    """(word, bits) of the non-null keys."""
+def filter_words(n_keys: int) -> int:
+    """Words for ``n_keys``: a power of two, at least one row of the filter."""
+    return max(CHUNK, 1 << (max(1, n_keys // KEYS_PER_WORD) - 1).bit_length())
+
+
+def bloom_filter(keys: DataFrame, key: str, words: int) -> DataFrame:
+    """(chunk, bits): rows of ``CHUNK`` words of the filter of the non-null keys."""
     c = F.col(key)
-    return keys.where(c.isNotNull()).groupBy(_word(c, words).alias("word")).agg(F.bit_or(_mask(c)).alias("bits"))
+    filled = keys.where(c.isNotNull()).groupBy(_word(c, words).alias("word")).agg(F.bit_or(_mask(c)).alias("bits"))
+    chunk = F.shiftright("word", CHUNK.bit_length() - 1)
+    rows = filled.groupBy(chunk.alias("chunk")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(F.lit(CHUNK - 1)).cast("int").alias("at"), "bits"))).alias("m"))
+    return rows.select("chunk", F.transform(F.sequence(F.lit(0), F.lit(CHUNK - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("bits"))
 
 
-def filter_words(n_keys: int) -> int:
-    """Words for ``n_keys``: a power of two, at most ``MAX_WORDS``."""
-    return min(MAX_WORDS, 1 << max(6, (max(1, n_keys) // KEYS_PER_WORD - 1).bit_length()))
+def may_hold(rows: DataFrame, key: str, filt: DataFrame, words: int) -> DataFrame:
+    """``rows`` with maybe: false where the filter proves that it doesn't hold the key."""
+    c = F.col(key)
+    if words <= MAX_WORDS:
+        filt = F.broadcast(filt)  # at most MAX_WORDS * 8 bytes
+    at = (_word(c, words).bitwiseAND(F.lit(CHUNK - 1)) + 1).cast("int")
+    found = F.element_at("bits", at).bitwiseAND(_mask(c)) == _mask(c)
+    placed = rows.withColumn("chunk", F.shiftright(_word(c, words), CHUNK.bit_length() - 1))
+    return placed.join(filt, "chunk", "left").withColumn("maybe", F.coalesce(found, F.lit(False))).drop("chunk", "bits")
+
+
+def orphan_keys(refs: DataFrame, parents: DataFrame, removed: DataFrame) -> DataFrame:
+    """(ref_id, born, known): the keys without a parent (born is null), and those of which some reference may be early.
+
+    known: whether ``removed`` holds the key.
+    """
+    words = filter_words(parents.count())
+    keys = refs.where(F.col("ref_id").isNotNull()).groupBy("ref_id").agg(F.min("row_time").alias("first"))
+    probed = may_hold(keys, "ref_id", bloom_filter(parents, "id", words), words)
+    born = (
+        parents.where(F.col("id").isNotNull())
+        .groupBy(F.col("id").alias("ref_id"))
+        .agg(F.min("created_at").alias("t"), F.max(F.col("created_at").isNull()).alias("timeless"))
+        .select("ref_id", F.when(~F.col("timeless"), F.col("t")).alias("born"), F.lit(True).alias("there"))
+    )
+    verified = probed.where("maybe").join(born, "ref_id", "left")
+    late = verified.where(F.col("there") & (F.col("born") > F.col("first"))).select("ref_id", "born", F.lit(False).alias("known"))
+    gone = probed.where(~F.col("maybe")).select("ref_id").unionByName(verified.where(F.col("there").isNull()).select("ref_id"))
+    revised = removed.select(F.col("memory_id").alias("ref_id")).where(F.col("ref_id").isNotNull()).distinct().withColumn("_known", F.lit(True))
+    gone = gone.join(revised, "ref_id", "left").select("ref_id", F.lit(None).cast(dict(parents.dtypes)["created_at"]).alias("born"), F.coalesce("_known", F.lit(False)).alias("known"))
+    return late.unionByName(gone)
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame, removed: DataFrame) -> DataFrame:
@@ -52,28 +94,12 @@ def orphan_references(refs: DataFrame, parents: DataFrame, removed: DataFrame) -
     earliest time, and as without a time if one of them has none.  Null references and null parents are left out; with
     no parents at all every reference is an orphan.
     """
-    words = filter_words(parents.count())
-    ref = F.col("ref_id")
-    filt = F.broadcast(bloom_words(parents, "id", words))
-    probed = (
-        refs.where(ref.isNotNull())
-        .withColumn("word", _word(ref, words))
-        .join(filt, "word", "left")
-        .withColumn("_maybe", F.coalesce(F.col("bits").bitwiseAND(_mask(ref)) == _mask(ref), F.lit(False)))
-        .drop("word", "bits")
-    )
-    known = (
-        parents.where(F.col("id").isNotNull())
-        .groupBy(F.col("id").alias("ref_id"))
-        .agg(F.min("created_at").alias("_t"), F.max(F.col("created_at").isNull()).alias("_timeless"))
-        .select("ref_id", F.when(~F.col("_timeless"), F.col("_t")).alias("_born"), F.lit(True).alias("_exists"))
-    )
-    verified = lookup_join(probed.where("_maybe").drop("_maybe"), known, "ref_id")
-    late = verified.where(F.col("_exists") & (F.col("_born") > F.col("row_time"))).drop("_exists", "_born").withColumn("ref_state", F.lit("late"))
-    gone = probed.where(~F.col("_maybe")).drop("_maybe").unionByName(verified.where(F.col("_exists").isNull()).drop("_exists", "_born"))
-    revised = removed.select(F.col("memory_id").alias("ref_id")).where(F.col("ref_id").isNotNull()).distinct().withColumn("_known", F.lit(True))
-    gone = lookup_join(gone, revised, "ref_id").withColumn("ref_state", F.when(F.col("_known"), "deleted").otherwise("missing")).drop("_known")
-    return late.unionByName(gone)
+    keys = shared_checkpoint(orphan_keys(refs.select("ref_id", "row_time"), parents, removed).withColumnsRenamed({"born": "_born", "known": "_known"}))
+    if keys.count() <= MOST_KEYS:
+        keys = F.broadcast(keys)
+    found = refs.join(keys, "ref_id").where(F.col("_born").isNull() | (F.col("_born") > F.col("row_time")))
+    state = F.when(F.col("_born").isNotNull(), "late").when(F.col("_known"), "deleted").otherwise("missing")
+    return found.withColumn("ref_state", state).drop("_born", "_known")
 
 
 def reference_rows(connections: DataFrame, insights: DataFrame) -> DataFrame:

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SENTENCE = re.compile(r"(?<=[.!?])\s+")
-
+from recallgrid.functions import text as X
 
 def diversify(ids: np.ndarray, rel: np.ndarray, x: np.ndarray, k: int, lam: float) -> list[int]:
     """Maximal marginal relevance: the order in which k of the rows are picked; the rest follows as it was.
@@ -51,79 +50,144 @@ def mmr(hits: DataFrame, k: int = 10, lam: float = 0.7) -> DataFrame:
     return hits.groupBy("query_id").applyInPandas(one, "query_id long, id long, rank long")
 
 
-def chunks_of(text: str, size: int = 512, overlap: int = 64) -> list[str]:
-    """Whole sentences packed to about ``size`` characters; each chunk begins with the last words of the one before."""
-    if len(text) <= size:
-        return [text]
-    packed: list[str] = []
-    room = ""
-    for s in (s for s in SENTENCE.split(text.strip()) if s.strip()):
-        if room and len(room) + 1 + len(s) > size:
-            packed.append(room)
-            room = ""
-        room = f"{room} {s}" if room else s
-        if len(s) > size:
-            packed.append(room)
-            room = ""
-    if room:
-        packed.append(room)
-    if not packed:
-        return [text]
-    reach = min(overlap, max(1, size // 2))
-    out = packed[:1]
-    for before, chunk in zip(packed, packed[1:], strict=False):
-        tail = before[-reach:] if reach else ""
-        cut = tail.find(" ")
-        tail = tail[cut + 1 :] if cut > 0 else tail
-        out.append(f"{tail} {chunk}".strip())
+def fitting_runs(lengths: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """(first, count) of the runs into which items of these lengths go, joined by one character, at most ``size`` each.
+
+    A run takes all items that fit; an item that is longer by itself forms a run of its own.  Running sums say where a
+    run must end, so that every run takes one binary search.
+    """
+    upto = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64) + 1)])
+    out, first = [], 0
+    while first < len(lengths):
+        last = int(np.searchsorted(upto, upto[first] + size + 1, side="right")) - 1
+        last = max(last, first + 1)
+        out.append((first, last - first))
+        first = last
     return out
 
 
-def sentence_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 512, overlap: int = 64) -> DataFrame:
-    """(id, chunk_no, n_chunks, chunk) of every text; null and blank texts have none."""
+def _runs(lengths: Column, size: int) -> Column:
+    @F.pandas_udf("array<struct<first: int, count: int>>")
+    def runs(s: pd.Series) -> pd.Series:
+        return pd.Series([[{"first": a, "count": n} for a, n in fitting_runs(x, size)] for x in s])
+
+    return runs(lengths)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                if text and text.strip():
-                    parts = chunks_of(text, size, overlap)
-                    rows += [(i, k, len(parts), p) for k, p in enumerate(parts, 1)]
-            yield pd.DataFrame(rows, columns=["id", "chunk_no", "n_chunks", "chunk"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, chunk_no long, n_chunks long, chunk string")
+def _bridge(before: Column, chunk: Column, overlap: int, size: int) -> Column:
+    """What a chunk repeats of the one before: whole words of its last ``overlap`` characters, fewer if the chunk begins with them anyhow."""
+    reach = min(overlap, max(1, size // 2))
+    tail = F.right(before, F.lit(reach))
+    blank = F.instr(tail, " ")
+    usual = F.when(blank > 1, F.substr(tail, blank + 1)).otherwise(tail)
+    quarter = F.right(before, F.greatest(F.lit(1), F.floor(F.char_length(before) / 4).cast("int")))
+    at = F.instr(F.trim(quarter), " ")
+    short = F.when(at > 0, F.substr(quarter, at + 1)).otherwise(quarter)
+    return F.when(F.trim(tail) == F.trim(F.left(chunk, F.lit(reach))), short).otherwise(usual)
+
+
+def sentence_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 512, overlap: int = 64) -> DataFrame:
+    """(id, chunk_no, n_chunks, chunk) of every text; null and blank texts have none.
+
+    Chunks are runs of whole sentences of at most ``size`` characters, a longer sentence is a chunk of its own, and each
+    chunk but the first begins with the last words of the one before.  Texts of at most ``size`` characters stay whole.
+    """
+    text = F.col("text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.trim(text) != "")
+    parts = F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+    rows = rows.withColumn("parts", F.when(F.char_length(text) <= size, F.array(text)).otherwise(parts))
+    runs = rows.withColumn("runs", _runs(F.transform("parts", lambda s: F.char_length(s)), size))
+    whole = runs.withColumn("whole", F.transform("runs", lambda r: F.array_join(F.slice("parts", r["first"] + 1, r["count"]), " ")))
+    linked = F.transform("whole", lambda c, i: F.when(i == 0, c).otherwise(F.trim(F.concat(_bridge(F.get("whole", F.greatest(i - 1, F.lit(0))), c, overlap, size), F.lit(" "), c))))
+    if overlap <= 0:
+        linked = F.col("whole")
+    return whole.select("id", F.size("whole").cast("long").alias("n_chunks"), F.posexplode(linked).alias("no", "chunk")).select("id", (F.col("no") + 1).cast("long").alias("chunk_no"), "n_chunks", "chunk")
 
 
-_HEAD = re.compile(r"^#{2,6}\s+\*\*([^*]+?)\*\*\s*$")
-_BOLD = re.compile(r"^[-*+]\s+\*\*([^*]+?)\*\*\s*:\s*(.+?)\s*$")
-_PLAIN = re.compile(r"^[-*+]\s+([A-Z][A-Za-z][A-Za-z\s]{1,60}?)\s*:\s+(.+?)\s*$")
-_INLINE = re.compile(r"\*\*([^*]+?)\*\*\s*[:\-]\s+([^.;\n]+)")
 FACT = T.ArrayType(T.StructType([T.StructField("entity", T.StringType()), T.StructField("predicate", T.StringType()), T.StructField("value", T.StringType()), T.StructField("text", T.StringType())]))
+#: Keys of bullets that state nothing.
+EMPTY_KEYS = frozenset(("note", "here", "for example", "tip", "warning", "important"))
+_MEASURED, _NAMED = re.compile(X.NUMERIC_FACT), re.compile(X.PROPER_NAME)
+
+
+def is_atomic(text: str) -> bool:
+    """``functions.text.atomic`` for one text."""
+    t = text.strip()
+    return 4 <= len(t) <= 280 and (t.lower().startswith(("user ", "the user ")) or bool(_MEASURED.search(t) or _NAMED.search(t)))
+
+
+def bold_at(text: str, at: int) -> tuple[str, int] | None:
+    """The bold words that open at ``at`` and the place after them."""
+    end = text.find("*", at + 2)
+    return (text[at + 2 : end], end + 2) if text.startswith("**", at) and end > at + 2 and text.startswith("**", end) else None
+
+
+def bullet(line: str) -> tuple[bool, str, str] | None:
+    """(bold key?, key, value) of a line "- **Key**: value" or "- Key: value"; a plain key is 3 to 62 letters and blanks from a capital on."""
+    if line[:1] not in ("-", "*", "+") or not line[1:2].isspace():
+        return None
+    body = line[1:].strip()
+    if strong := bold_at(body, 0):
+        key, rest = strong[0], body[strong[1] :].lstrip()
+        return (True, key.strip(), rest[1:].strip()) if rest.startswith(":") and rest[1:].strip() else None
+    key, colon, value = body.partition(":")
+    key = key.rstrip()
+    letters = key.replace(" ", "").replace("\t", "")
+    plain = 3 <= len(key) <= 62 and letters.isascii() and letters.isalpha() and key[0].isupper() and key[1].isalpha()
+    return (False, key, value.strip()) if plain and colon and value[:1].isspace() and value.strip() else None
+
+
+def heading(line: str) -> str | None:
+    """The entity of a heading of level 2 to 6 that is all bold."""
+    level = len(line) - len(line.lstrip("#"))
+    body = line[level:].strip()
+    strong = bold_at(body, 0) if 2 <= level <= 6 and line[level : level + 1].isspace() else None
+    return strong[0].strip() if strong and strong[1] == len(body) else None
+
+
+def assignments(text: str) -> Iterator[tuple[str, str]]:
+    """(bold words, what stands after the colon or dash that follows them up to the end of the clause)."""
+    at = 0
+    while (at := text.find("**", at)) >= 0:
+        strong = bold_at(text, at)
+        rest = text[strong[1] : strong[1] + 400].lstrip() if strong else ""
+        if not strong or rest[:1] not in (":", "-") or not rest[1:2].isspace():
+            at += 1
+            continue
+        begin = text.index(rest[0], strong[1]) + 1
+        end = min((e for c in ".;\n" if (e := text.find(c, begin + len(text[begin:]) - len(text[begin:].lstrip()))) >= 0), default=len(text))
+        value = text[begin:end].strip()
+        if value:
+            yield strong[0].strip(), value
+        at = max(end, at + 1) if value else at + 1
 
 
 def facts_of(text: str | None) -> list[tuple]:
-    """Facts of a markdown text: "- **Field**: value", "- Field: value" and "**Entity**: brief", under the last bold heading; each once."""
-    out, seen, entity = [], set(), None
-    for line in (text or "").splitlines():
-        if m := _HEAD.match(line):
-            entity = m.group(1).strip()
-            continue
-        if m := _BOLD.match(line) or _PLAIN.match(line):
-            found = [(entity, m.group(1).strip(), m.group(2).strip())]
-        else:
-            found = [(a.strip(), None, b.strip()) for a, b in _INLINE.findall(line)]
-        for e, p, v in found:
-            t = ": ".join(x for x in (e, p, v) if x)
-            if len(t) >= 4 and len(t) <= 280 and t.lower() not in seen:
-                seen.add(t.lower())
-                out.append((e, p, v, t))
-    return out
+    """Atomic facts of a markdown text as (entity, predicate, value, text), each text once: bullets with a bold key, then
+    with a plain key, both under the last all-bold heading, then bold words with a value that no bullet has as entity."""
+    lines = (text or "").split("\n")
+    entity, bullets = None, []
+    for line in lines:
+        entity = heading(line) or entity
+        if b := bullet(line):
+            bullets.append((entity, *b))
+    found = [(e, k, v, ", ".join(x for x in (e, f"{k}: {v}") if x)) for bold in (True, False) for e, is_bold, k, v in bullets if is_bold == bold and (bold or k.lower() not in EMPTY_KEYS)]
+    found = [f for f in found if is_atomic(f[3])]
+    known = {f[0] for f in found}
+    for e, v in assignments(text or ""):
+        if e not in known and is_atomic(f"{e}: {v}"):
+            known.add(e)
+            found.append((e, None, v, f"{e}: {v}"))
+    once = {}
+    for f in found:
+        once.setdefault(f[3].lower(), f)
+    return list(once.values())
 
 
 def markdown_facts(text: Column) -> Column:
     @F.pandas_udf(FACT)
     def facts(s: pd.Series) -> pd.Series:
-        return s.map(facts_of)
+        return pd.Series([facts_of(t) for t in s], dtype=object)
 
     return facts(text)
 

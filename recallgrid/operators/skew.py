@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +15,25 @@ HOT_SHARE = 1 / 128
 def shared_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; only a session without it (a test on one
-    machine) gets a folder of its own.
+    The folder is the one that the cluster names in spark.checkpoint.dir.  A session on a cluster without it is an
+    error; a session on one machine gets a folder of its own, which is removed when the process ends.
     """
-    spark = df.sparkSession
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of the session's checkpoints, which every executor can reach."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recallgrid-"))
-    return df.checkpoint(eager)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="recallgrid-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:

@@ -157,13 +157,10 @@ def flt9_score_percentile(t: Tables) -> DataFrame:
     return ranked.where(F.col("k") <= F.greatest(F.lit(1.0), F.bround(F.col("n") * 0.5, 0))).select("id", "weight")
 
 
-@R.add(r"""select turn_id, content from turns where content is not null and length(trim(content)) between 4 and 280
-  and (lower(trim(content)) like 'user %' or lower(trim(content)) like 'the user %' or regexp_matches(content, '\d+(\.\d+)?\s*(%|GB|MB|KB|TB|kg|km)|\d{4}-\d{1,2}-\d{1,2}|\d+(\.\d+)+') or regexp_matches(content, '\b[A-Z][a-z]+ [A-Z][a-z]+'))""")
+@R.add(rf"""select turn_id, content from turns where content is not null and length(trim(content)) between 4 and 280
+  and (lower(trim(content)) like 'user %' or lower(trim(content)) like 'the user %' or regexp_matches(content, '{X.NUMERIC_FACT}') or regexp_matches(content, '{X.PROPER_NAME}'))""")
 def flt10_atomic_facts(t: Tables) -> DataFrame:
-    c = F.col("content")
-    s = F.lower(F.trim(c))
-    number = r"\d+(\.\d+)?\s*(%|GB|MB|KB|TB|kg|km)|\d{4}-\d{1,2}-\d{1,2}|\d+(\.\d+)+"
-    return t("turns").where(F.char_length(F.trim(c)).between(4, 280) & (s.startswith("user ") | s.startswith("the user ") | c.rlike(number) | c.rlike(r"\b[A-Z][a-z]+ [A-Z][a-z]+"))).select("turn_id", "content")
+    return t("turns").where(X.atomic(F.col("content"))).select("turn_id", "content")
 
 
 _CATEGORY = "case when label like 'peer:%' then 'Peer' when label like 'turn:%' or label like 'msg:%' then 'Conversation' when label like 'session:%' then 'Session' when label like 'doc:%' then 'Document' when label like 'skill:%' then 'Skill' else 'Other' end"

@@ -177,7 +177,7 @@ def tx7_time_cues(t: Tables) -> DataFrame:
     return t("turns").where(F.col("content").isNotNull()).select("turn_id", X.time_window(F.col("content")).alias("window_s"))
 
 
-_INTENT = "case " + " ".join(f"when regexp_matches(lower(content), '{p.replace(chr(39), chr(39) * 2)}') then '{n}'" for n, p in X.INTENTS) + " else 'general' end"
+_INTENT = "case " + " ".join(f"when regexp_matches(lower(content), '{'|'.join(f'({p})' for p in ps).replace(chr(39), chr(39) * 2)}') then '{n}'" for n, ps in X.INTENTS) + " else 'general' end"
 
 
 @R.add(f"select turn_id, {_INTENT} as intent from turns where content is not null")
@@ -203,13 +203,17 @@ def tx11_numeric_tokens(t: Tables) -> DataFrame:
     return t("memories").where(F.col("content").isNotNull()).select("id", X.numeric_tokens(F.col("content")).alias("numbers"))
 
 
-@R.add(r"""with x as (select id, list_sort(list_distinct(regexp_extract_all(old_content, '\d+\.?\d*'))) a, list_sort(list_distinct(regexp_extract_all(new_content, '\d+\.?\d*'))) b, trim(old_content) o, trim(new_content) n from memory_revisions where old_content is not null and new_content is not null)
-  select id, (a <> b and len(a) > 0 and len(b) > 0) or o <> n as differs from x""")
+_MARKED = "trim(" + "replace(" * len(X.MARKERS) + "old_content" + "".join(f", '{m}', '')" for m in X.MARKERS) + ")"
+_NEGATED = "list_has_any(regexp_split_to_array(lower({}), '\\s+'), [" + ", ".join("'" + n.replace("'", "''") + "'" for n in X.NEGATIONS) + "])"
+
+
+@R.add(rf"""with o as (select id, {_MARKED} o, new_content n from memory_revisions where old_content is not null and new_content is not null),
+  x as (select id, o, n, list_sort(list_distinct(regexp_extract_all(o, '\d+\.?\d*'))) a, list_sort(list_distinct(regexp_extract_all(n, '\d+\.?\d*'))) b, list_sort(list_distinct(regexp_extract_all(o, '{X.DATE}'))) c, list_sort(list_distinct(regexp_extract_all(n, '{X.DATE}'))) d from o)
+  select id, a <> b and len(a) > 0 and len(b) > 0 as numbers, {_NEGATED.format("o")} <> {_NEGATED.format("n")} as negation, c <> d and len(c) > 0 and len(d) > 0 as dates, o <> trim(n) as text from x""")
 def tx12_content_differs(t: Tables) -> DataFrame:
-    num = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\d+\.?\d*)"), 1)))
+    """The four tests of whether a revision says something else; any of them makes it differ."""
     r = t("memory_revisions").where(F.col("old_content").isNotNull() & F.col("new_content").isNotNull())
-    a, b = num(F.col("old_content")), num(F.col("new_content"))
-    return r.select("id", (((a != b) & (F.size(a) > 0) & (F.size(b) > 0)) | (F.trim("old_content") != F.trim("new_content"))).alias("differs"))
+    return r.select("id", X.difference(F.col("old_content"), F.col("new_content")).alias("d")).select("id", "d.*")
 
 
 @R.add("select id, case when regexp_matches(lower(concat_ws(' ', old_content, new_content)), '" + "|".join(X.CAUSAL_WORDS) + "') then 'causal' when regexp_matches(lower(concat_ws(' ', old_content, new_content)), '" + "|".join(X.SUPERSEDING_WORDS) + "') then 'supersedes' else 'similar' end as edge_type from memory_revisions")

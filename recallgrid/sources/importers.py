@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallgrid.operators.skew import shared_checkpoint
+from recallgrid.operators.skew import checkpoint_folder
 
 CONVERSATION = "conv_id long, messages array<struct<seq: int, role: string, content: string, turn_id: long>>"
 PULSE = "schema string, topic string, memories array<struct<label: string, kind: string, content: string, entities: array<string>, source_urls: array<string>, salience: double, dedup_key: string>>"
@@ -30,10 +30,7 @@ def pulse_rows(json: DataFrame, col: str = "json") -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder beside the session's checkpoints, which every executor can reach."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared_checkpoint(spark.range(1))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def through_json_lines(rows: DataFrame) -> DataFrame:

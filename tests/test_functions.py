@@ -53,3 +53,23 @@ def test_tokens_numbers_intent(spark):
     r = one(spark, a=X.query_tokens(F.lit("What is the 12/2 romex a- of lot-27 about?")), b=X.numeric_tokens(F.lit("cost $1,200 vs 15GB, 15 and 1200")), c=X.intent(F.lit("What does the user prefer last week")), d=X.intent(F.lit("When was it")), e=X.intent(F.lit("how much")), f=X.intent(F.lit("hm")),
             g=X.edge_type(F.lit("this leads to"), F.lit(None).cast("string")), h=X.time_window(F.lit("gestern war es")), i=X.jaccard(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3))))
     assert r.a == ["12/2", "romex", "lot-27"] and r.b == ["$1200", "1200", "15"] and (r.c, r.d, r.e, r.f, r.g, r.h, round(r.i, 6)) == ("preference", "temporal", "factual", "general", "causal", 172800, 0.333333)
+
+
+def test_intents(spark):
+    from recallgrid.functions import text as X
+
+    want = {
+        "What does the user prefer for lunch?": "preference", "which editor does the user like": "preference", "Her favourite colour": "preference", "could you recommend a book": "preference",
+        "any tips for packing?": "preference", "what would you suggest": "preference", "the user's choice": "preference", "advice about my garden": "preference", "When did the job run": "temporal", "who came in may": "temporal",
+        "how many days until then": "temporal", "how many rows": "factual", "The price of it": "factual", "hello there": "general",
+    }
+    rows = spark.createDataFrame([(q,) for q in want], "q string")
+    assert {r.q: r.i for r in rows.select("q", X.intent(F.col("q")).alias("i")).collect()} == want
+
+
+def test_difference(spark):
+    from recallgrid.functions import text as X
+
+    rows = spark.createDataFrame([("[CANONICAL] takes 5 ms", "takes 6 ms"), ("it is on", "it is not on"), ("on 2024-01-02", "on 2024-01-03"), ("same", " same "), ("a", "b")], "o string, n string")
+    got = [tuple(r.d) for r in rows.select(X.difference(F.col("o"), F.col("n")).alias("d")).collect()]
+    assert got == [(True, False, False, True), (False, True, False, True), (True, False, True, True), (False, False, False, False), (False, False, False, True)]

@@ -5,12 +5,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from recallgrid.functions import text as X
 from recallgrid.operators import dream, search
 from recallgrid.operators import edges as E
 from recallgrid.operators import graph as G
 from recallgrid.operators import sequential as Q
 from recallgrid.operators.index import bm25
-from recallgrid.operators.orphans import filter_words, orphan_references, orphan_report
+from recallgrid.operators.orphans import CHUNK, KEYS_PER_WORD, filter_words, orphan_references, orphan_report
 from recallgrid.operators.skew import global_order, hot_keys, lookup_join
 
 CONN = "id long, source_id long, target_id long, weight double, edge_type string, created_at timestamp_ntz, event_time timestamp_ntz, ingestion_time timestamp_ntz, valid_from timestamp_ntz, valid_to timestamp_ntz"
@@ -113,16 +114,100 @@ def test_diversity_and_chunks():
     x = np.array([[1, 0], [1, 0.01], [0, 1]])
     assert Q.diversify(np.arange(3), np.array([1.0, 0.9, 0.5]), x, 2, 0.5) == [0, 2, 1]
     assert Q.diversify(np.arange(3), np.array([1.0, 0.9, 0.5]), x, 3, 1.0) == [0, 1, 2]
-    text = "First sentence here. " * 60
-    parts = Q.chunks_of(text, 200, 40)
-    assert all(p.rstrip().endswith(".") for p in parts) and len(parts) > 5 and Q.chunks_of("short") == ["short"]
-    facts = Q.facts_of("## **Bay**\n- **Cost**: $70\n- Cost: $70\n**Zed** - fine\n- **cost**: $70")
-    assert facts[0] == ("Bay", "Cost", "$70", "Bay: Cost: $70") and len(facts) == 2
 
 
-@pytest.mark.parametrize("n", [0, 1, 100, 10**9])
-def test_filter_size_is_bounded(n):
-    assert 64 <= filter_words(n) <= 1 << 20
+def chunks_by_hand(text, size, overlap):
+    """The same rules one sentence at a time."""
+    if len(text) <= size:
+        return [text]
+    import re
+
+    whole = [[]]
+    for s in filter(str.strip, re.split(r"(?<=[.!?])\s+", text.strip())):
+        if whole[-1] and len(" ".join([*whole[-1], s])) > size:
+            whole.append([])
+        whole[-1].append(s)
+    whole = [" ".join(w) for w in whole]
+    out, reach = whole[:1], min(overlap, max(1, size // 2))
+    for before, chunk in zip(whole, whole[1:]):
+        tail = before[-reach:]
+        if tail.strip() == chunk[:reach].strip():
+            tail = before[-max(1, len(before) // 4) :]
+            at = tail.strip().find(" ")
+            tail = tail[at + 1 :] if at >= 0 else tail
+        elif tail.find(" ") > 0:
+            tail = tail[tail.find(" ") + 1 :]
+        out.append(f"{tail} {chunk}".strip())
+    return out
+
+
+def test_chunks_equal_those_made_by_hand(spark):
+    long = " ".join(f"Sentence number {i} says {'very ' * (i % 9)}little!" for i in range(90))
+    texts = ["short", long, "word " * 300 + "end.", "One two. " * 200, "same tail here. same tail here. " * 8, "a. " * 400, None, "  ", "Ünïcode ümlaut. 数据库。 " * 60, "x" * 700 + ". " + "y" * 700 + "."]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    for size, overlap in ((512, 64), (60, 40), (40, 0)):
+        got: dict = {}
+        for r in Q.sentence_chunks(df, "k", "t", size, overlap).orderBy("id", "chunk_no").collect():
+            got.setdefault(r.id, []).append(r.chunk)
+            assert r.chunk_no == len(got[r.id]) <= r.n_chunks
+        for k, t in enumerate(texts):
+            want = [] if not t or not t.strip() else chunks_by_hand(t, size, overlap) if overlap or len(t) <= size else None
+            if want is not None:
+                assert got.get(k, []) == want, (k, size)
+
+
+def test_markdown_facts():
+    text = "## **Bay Medical**\n- **Cost**: $70\n- Phone number: 850 718-2000\n- Note: $5\n* Opening hours: whenever\n**Zed Hall** - built 2019-04-05; later\n**plain** word\n- **cost**: $70\nThe end"
+    assert Q.facts_of(text) == [
+        ("Bay Medical", "Cost", "$70", "Bay Medical, Cost: $70"), ("Bay Medical", "Phone number", "850 718-2000", "Bay Medical, Phone number: 850 718-2000"),
+        ("Bay Medical", "Opening hours", "whenever", "Bay Medical, Opening hours: whenever"), ("Zed Hall", None, "built 2019-04-05", "Zed Hall: built 2019-04-05"), ("cost", None, "$70", "cost: $70"),
+    ]
+    assert Q.facts_of("- **k**: the user prefers it") == [] and Q.facts_of("- user name: Ann Lee") == [] and Q.facts_of("- User name: Ann Lee") == [(None, "User name", "Ann Lee", "User name: Ann Lee")]
+    assert Q.facts_of(None) == [] == Q.facts_of("***") == Q.facts_of("**a** b **c**: plain prose")
+    assert Q.facts_of("- Version: 1.2.3\n- version: 1.2.3") == [(None, "Version", "1.2.3", "Version: 1.2.3")]
+
+
+def test_atomic_facts_of_both_engines(spark):
+    texts = ["user likes tea", "The user sleeps", "plain prose here", "It costs $5", "about 5 kg", "in 3 hours", "call (850) 718-2000", "v 1.26.0 now", "on 2024/9/15", "Ann Lee came", "ok", "x" * 281 + " $5", "99 monkeys"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.a for r in df.select("t", X.atomic(F.col("t")).alias("a")).collect()}
+    assert got == {t: Q.is_atomic(t) for t in texts}
+    assert [t for t in texts if not got[t]] == ["plain prose here", "ok", "x" * 281 + " $5"]  # 99 m(onkeys) is a measure to the rule
+
+
+@pytest.mark.parametrize("n", [0, 1, 100, 10**6, 10**9])
+def test_filter_grows_with_the_keys(n):
+    words = filter_words(n)
+    assert words >= CHUNK and words & (words - 1) == 0 and words * KEYS_PER_WORD >= n and words <= max(CHUNK, n)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 24])
+def test_filter_never_denies_a_key(spark, monkeypatch, most):
+    from recallgrid.operators import orphans as O
+
+    monkeypatch.setattr(O, "MAX_WORDS", most)  # 0: joined by shuffle
+    keys = spark.range(0, 20000, 2).withColumnRenamed("id", "k")
+    words = filter_words(10000)
+    got = O.may_hold(spark.range(20000), "id", O.bloom_filter(keys, "k", words), words)
+    wrong = got.where("id % 2 = 1 and maybe").count()
+    assert got.where("id % 2 = 0 and not maybe").count() == 0 and got.count() == 20000 and wrong < 600
+
+
+def test_orphans_of_a_hot_key_and_many_keys(spark, monkeypatch):
+    from recallgrid.operators import orphans as O
+
+    parents = spark.range(100).select("id", F.lit(D(2024, 6, 1)).alias("created_at"))
+    refs = spark.range(6000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, 5000).otherwise(F.col("id") % 120).alias("ref_id"), F.when(F.col("id") % 2 == 0, F.lit(D(2024, 1, 1))).otherwise(F.lit(D(2025, 1, 1))).alias("row_time"))
+    removed = spark.createDataFrame([(5000,), (110,)], "memory_id long")
+    want: dict = {}
+    for i in range(6000):
+        r = 5000 if i % 3 == 0 else i % 120
+        s = ("late" if i % 2 == 0 else None) if r < 100 else "deleted" if r in (5000, 110) else "missing"
+        if s:
+            want[i] = s
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(O, "MOST_KEYS", most)
+        assert {r.row_id: r.ref_state for r in orphan_references(refs, parents, removed).collect()} == want
 
 
 def test_orphans(spark):
