@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from recallgrid.llm.splitting import best_cut, boundary_table, cut_at, file_pieces, geometry, pieces
+from recallgrid.llm.splitting import best_cut, cut_at, file_pieces, geometry, giant_pieces, p7_files, pieces
 
 
 def texts():
@@ -44,10 +44,29 @@ def test_pieces_against_brute_force(spark, size, overlap):
 
 def test_boundaries_are_natural(spark):
     df = spark.createDataFrame([(1, "A sentence of some words. " * 300)], "id long, content string")
-    assert {r["kind"] for r in boundary_table(df).collect()} == {"sentence"}
+    got = [r["piece"] for r in pieces(df).orderBy("piece_no").collect()]
+    assert len(got) > 5 and all(p.endswith(". ") for p in got)
     assert best_cut("ab\n\ncd. ef gh") == 4 and best_cut("ab cd. ef gh") == 7 and best_cut("abcd ef") == 5 and best_cut("abc") == 3
 
 
+@pytest.mark.parametrize("range_chars", [1500, 2111, 100_000])
+def test_ranges_of_giant_items_equal_whole_items(spark, range_chars):
+    t = {k: v for k, v in texts().items() if v and len(v) > 1500}
+    df = spark.createDataFrame(list(t.items()), "id long, content string")
+    got: dict = {}
+    for r in giant_pieces(df, 1500, 120, range_chars).orderBy("id", "piece_no").collect():
+        got.setdefault(r["id"], []).append(r["piece"])
+        assert r["piece_no"] == len(got[r["id"]])
+    assert got == {k: brute(v, 1500, 120) for k, v in t.items()}
+
+
+def test_files_of_a_table(spark, tmp_path):
+    t = [(k, v.replace("\n", " ")) for k, v in texts().items() if v is not None] + [(99, None)]
+    spark.createDataFrame(t, "id long, content string").write.parquet(f"{tmp_path}/memories.parquet")
+    got = p7_files(spark, str(tmp_path), parts=3, range_bytes=30_000).collect()
+    assert sum(r["chars"] for r in got) == sum(len(v) + 1 for _, v in t if v is not None) and all(0 < r["longest"] <= 1500 for r in got)
+
+
 def test_empty_table(spark):
     assert pieces(spark.createDataFrame([], "id long, content string")).count() == 0
 
