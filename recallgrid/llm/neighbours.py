@@ -25,6 +25,8 @@ THRESHOLD, TOP = 0.80, 5
 PROBES = 6
 #: Rows of a cell that one task searches; larger cells are cut into blocks that meet pairwise.
 CELL_ROWS = 24_000
+#: A key is a cell (16 bits) and the numbers of the two blocks of it that meet (23 bits each).
+BLOCK_BITS, CELL_SHIFT = 23, 46
 ROUND = 12
 
 
@@ -80,6 +82,25 @@ def cells_of(u: np.ndarray, books: tuple[np.ndarray, np.ndarray], probes: int =
     return out
 
 
+def cell_loads(vecs: DataFrame, books, cells: int, probes: int) -> np.ndarray:
+    """How many vectors stand in each cell: counted over all rows, one array of ``cells`` numbers per partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(cells, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                of = np.sort(cells_of(unit(matrix(batch.column(1))), books.value, probes), axis=1)
+                once = np.c_[np.ones(len(of), bool), of[:, 1:] != of[:, :-1]]
+                n += np.bincount(of[once], minlength=cells)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+
+    got = vecs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(cells, np.int64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
+
+
 def best_in_block(ids: np.ndarray, u: np.ndarray, other_ids: np.ndarray, other: np.ndarray, threshold: float, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, neighbour, cosine) of the ``top`` best of ``other`` for each row, cosine at least ``threshold``, ties to the smaller id.
 
@@ -163,10 +184,9 @@ def neighbours(memories: DataFrame, top: int = TOP, threshold: float = THRESHOLD
     k = centroids_per_half(n)
     books = spark.sparkContext.broadcast(tuple(codebook(h, k, seed=11 + s) for s, h in enumerate((sample[:, : DIM // 2], sample[:, DIM // 2 :]))))
 
-    # cells of more than CELL_ROWS rows are known from the sample's share of them, with room to spare
-    load = np.bincount(np.concatenate([np.unique(c) + 0 * c[:1] for c in cells_of(sample, books.value, probes)]), minlength=k * k) * (n / len(sample))
-    blocks = {int(c): int(np.ceil(load[c] / CELL_ROWS)) for c in np.flatnonzero(load > CELL_ROWS)}
-    shared = spark.sparkContext.broadcast(blocks)
+    # cells of more than CELL_ROWS rows are cut into blocks that meet pairwise
+    load = cell_loads(vecs, books, k * k, probes)
+    shared = spark.sparkContext.broadcast({int(c): int(-(-load[c] // CELL_ROWS)) for c in np.flatnonzero(load > CELL_ROWS)})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, side, id, vec): side 2 where a cell is one block, else 0 and 1 for the two blocks that meet."""
@@ -183,14 +203,14 @@ def neighbours(memories: DataFrame, top: int = TOP, threshold: float = THRESHOLD
             c = cells[r, p]
             big = np.isin(c, list(shared.value)) if shared.value else np.zeros(len(c), bool)
             row.append(r[~big])
-            key.append(c[~big] << 24)
+            key.append(c[~big] << CELL_SHIFT)
             side.append(np.full((~big).sum(), 2, np.int8))
             for x, cell in zip(r[big].tolist(), c[big].tolist(), strict=True):
                 m = shared.value[cell]
                 b = int(ids[x] * 2654435761 % 4294967296) % m
                 for y in range(m):
                     row.append(np.array([x]))
-                    key.append(np.array([(cell << 24) | (min(b, y) << 12) | max(b, y)]))
+                    key.append(np.array([(cell << CELL_SHIFT) | (min(b, y) << BLOCK_BITS) | max(b, y)]))
                     side.append(np.array([2 if b == y else 0 if b < y else 1], np.int8))
             row, key, side = np.concatenate(row), np.concatenate(key), np.concatenate(side)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(ids[row]), pack(raw[row])], names=["key", "side", "id", "vec"])
