@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recallgrid.llm.vectors import DIM, bounded_sample, matrix, pack, unit, unpack, vectors
+from recallgrid.llm.vectors import DIM, bounded_sample, matrix, pack, tasks_for, unit, unpack, vectors
 from recallgrid.operators.search import nearest
 from recallgrid.sources.tables import table
 
@@ -216,7 +216,7 @@ def neighbours(memories: DataFrame, top: int = TOP, threshold: float = THRESHOLD
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(ids[row]), pack(raw[row])], names=["key", "side", "id", "vec"])
 
     placed = vecs.mapInArrow(place, "key long, side byte, id long, vec binary")
-    hits = placed.repartition("key").sortWithinPartitions("key").mapInArrow(_search(threshold, top), "id long, other long, cosine double")
+    hits = placed.repartition(tasks_for(n * probes), "key").sortWithinPartitions("key").mapInArrow(_search(threshold, top), "id long, other long, cosine double")
     ranked = hits.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     return ranked.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))).where(F.col("rank") <= top)
 

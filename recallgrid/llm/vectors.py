@@ -11,6 +11,8 @@ from recallgrid.sources.tables import usable_vectors
 
 DIM = 64
 SAMPLE = 8192
+#: Rows with a vector that one task of a shuffle gets.
+TASK_ROWS = 50_000
 #: Cosines this near to a threshold are computed again in double precision.
 NEAR = 1e-5
 
@@ -46,6 +48,11 @@ def vectors(memories: DataFrame, dim: int = DIM) -> DataFrame:
     return usable_vectors(memories, dim)
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks for a shuffle of so many rows with a vector each: ``TASK_ROWS`` a task, at least four."""
+    return max(4, -(-rows // TASK_ROWS))
+
+
 def bounded_sample(vecs: DataFrame, size: int = SAMPLE) -> np.ndarray:
     """At most ``size`` of the vectors, chosen by the hash of their ids, as unit rows."""
     rows = vecs.select("id", "embedding", F.xxhash64("id", F.lit("sample")).alias("h")).orderBy("h", "id").limit(size).select("embedding").toArrow()
@@ -67,9 +74,18 @@ def leaders(x: np.ndarray, threshold: float, chunk: int = 1024) -> np.ndarray:
 
     Work and memory are rows times leaders, not pairs: a block of mutually similar rows has one leader.
     """
+    return leading(x, threshold, chunk)[0]
+
+
+def leading(x: np.ndarray, threshold: float, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``leaders`` and (row, leader) of every further leader within ``threshold`` of a row.
+
+    Rows that two leaders share are what joins the groups of similar rows that overlap.
+    """
     n = len(x)
     lead = np.arange(n)
     heads = np.zeros(0, np.int64)
+    rows, others = [], []
     for a in range(0, n, chunk):
         part = x[a : a + chunk]
         rest = np.arange(len(part))
@@ -77,18 +93,26 @@ def leaders(x: np.ndarray, threshold: float, chunk: int = 1024) -> np.ndarray:
             ok = similar(part, x[heads], threshold)
             hit = ok.any(1)
             lead[a + np.flatnonzero(hit)] = heads[ok[hit].argmax(1)]
+            r, h = np.nonzero(ok)
+            rows.append(a + r)
+            others.append(heads[h])
             rest = np.flatnonzero(~hit)
-        if len(rest):
-            ok = similar(part[rest], part[rest], threshold)
-            free = np.ones(len(rest), bool)
-            new = []
-            for q in range(len(rest)):
-                if free[q]:
-                    mine = ok[q] & free
-                    lead[a + rest[mine]] = a + rest[q]
-                    free &= ~mine
-                    free[q] = False
-                    lead[a + rest[q]] = a + rest[q]
-                    new.append(a + rest[q])
-            heads = np.concatenate([heads, np.array(new, np.int64)])
-    return lead
+        ok = similar(part, part[rest], threshold) if len(rest) else np.zeros((len(part), 0), bool)
+        free = np.ones(len(rest), bool)
+        new = []
+        for q in range(len(rest)):
+            if free[q]:
+                mine = ok[rest, q] & free
+                lead[a + rest[mine]] = a + rest[q]
+                free &= ~mine
+                free[q] = False
+                lead[a + rest[q]] = a + rest[q]
+                new.append(q)
+        if new:
+            r, q = np.nonzero(ok[:, new])
+            rows.append(a + r)
+            others.append(a + rest[np.array(new)][q])
+            heads = np.concatenate([heads, a + rest[np.array(new)]])
+    r, h = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, others))
+    more = (h != lead[r]) & (h != r)
+    return lead, r[more], h[more]

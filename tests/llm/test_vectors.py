@@ -3,7 +3,7 @@ import pytest
 
 from recallgrid.llm import clusters as C
 from recallgrid.llm import neighbours as N
-from recallgrid.llm.vectors import leaders, similar
+from recallgrid.llm.vectors import leaders, leading, similar
 
 SCHEMA = "id long, embedding array<float>, root string, vec string, cosine string"
 
@@ -56,10 +56,35 @@ def test_loose_groups_are_split(spark):
     centre = {r.cluster_id: r.typical_id for r in found}
     at = lambda i: x[(i - 100) // 3]
     assert len(centre) >= 2
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for c in centre:  # any two members are similar
+        m = [(r.id - 100) // 3 for r in found if r.cluster_id == c]
+        assert len(m) >= 3 and (u[m] @ u[m].T).min() >= 0.8 - 1e-6 and min(r.id for r in found if r.cluster_id == c) == c
     assert all(at(r.id) @ at(centre[r.cluster_id]) / np.linalg.norm(at(r.id)) / np.linalg.norm(at(centre[r.cluster_id])) >= 0.8 - 1e-6 for r in found)
     assert len({r.id for r in found}) == len(found)
 
 
+def test_big_groups_are_compared_block_by_block(spark, monkeypatch):
+    x = collection(8, singles=40, groups=(3, 90, 200))
+    monkeypatch.setattr(C, "GROUP_BLOCK", 32)
+    rows = spark.createDataFrame([(1 if i % 2 else 2, i, bytearray(v.tobytes())) for i, v in enumerate(x)], "root long, id long, vec binary")
+    sizes = rows.groupBy("root").count().withColumnRenamed("count", "size")
+    got = {r.id: r for r in C.degrees(rows.join(sizes, "root"), block=32).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    for i in range(len(x)):
+        same = [j for j in range(len(x)) if j % 2 == i % 2 and j != i]
+        c = u[same] @ u[i]
+        assert got[i].degree == (c >= 0.8).sum() and abs(got[i].mean - c.mean()) < 1e-9
+    assert {(r.cluster_id, r.id, r.typical_id) for r in C.clusters(frame(spark, x)).collect()} == truth(x)[1]
+
+
+def test_rows_within_reach_of_two_leaders_join_them():
+    a, b = np.eye(64)[0], np.eye(64)[1]
+    x = np.array([np.cos(t) * a + np.sin(t) * b for t in (0, 1.0, 0.5, 0.55)])  # the last two lie within reach of both others
+    lead, row, other = leading(x, 0.8)
+    assert lead.tolist() == [0, 1, 0, 0] and set(zip(row.tolist(), other.tolist())) == {(2, 1), (3, 1)}
+
+
 def test_neighbours_against_brute_force(spark):
     x = collection(2)
     got = {tuple(r) for r in N.pairs(N.neighbours(frame(spark, x), probes=16)).collect()}
