@@ -28,41 +28,95 @@ def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def activation(edges: DataFrame, seeds: DataFrame, decay: float = 0.85, least: float = 0.01, depth: int = 5) -> DataFrame:
-    """(id, act): spreading activation, the best product of weight and decay over paths of at most ``depth`` edges.
+def activation(edges: DataFrame, seeds: DataFrame, decay: float = 0.85, least: float = 0.01, depth: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, id, act): spreading activation, the best product of weight and decay over paths of at most ``depth`` edges.
 
-    seeds: (id, act).  Nodes below ``least`` don't spread; seeds are left out of the result.
+    seeds: (*by, id, act); activations of different ``by`` don't meet.  Nodes below ``least`` don't spread; seeds are left
+    out of the result.  Every step is the step before joined with the edges, so that up to ``EVERY`` steps are one job.
     """
-    best = seeds.select("id", F.col("act").cast("double").alias("act"))
-    front = best
+    key = [*by, "id"]
+    front = seeds.select(*key, F.col("act").cast("double").alias("act")).where(F.col("act") >= least)
+    steps = None
     for d in range(depth):
-        step = front.where(F.col("act") >= least).select(F.col("id").alias("src"), "act").join(edges, "src").select(F.col("dst").alias("id"), (F.col("act") * F.col("w") * decay).alias("act"))
-        step = step.groupBy("id").agg(F.max("act").alias("act")).where(F.col("act") >= least)
-        old = best.select("id", F.col("act").alias("had"))
-        front = shared_checkpoint(step.join(old, "id", "left").where(F.col("had").isNull() | (F.col("act") > F.col("had"))).select("id", "act"))
-        best = best.unionByName(front).groupBy("id").agg(F.max("act").alias("act"))
-        best = _cut(best, d)
-    return best.join(seeds.select("id"), "id", "left_anti")
+        spread = front.withColumnRenamed("id", "src").join(edges, "src").select(*by, F.col("dst").alias("id"), (F.col("act") * F.col("w") * decay).alias("act"))
+        front = _cut(spread.where(F.col("act") >= least).groupBy(*key).agg(F.max("act").alias("act")), d)
+        steps = front if steps is None else steps.unionByName(front)
+    best = steps.groupBy(*key).agg(F.max("act").alias("act"))
+    return best.join(seeds.select(*key).distinct(), key, "left_anti")
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, alpha: float = 0.15) -> DataFrame:
-    """(id, score): personalised PageRank with restart ``alpha``; scores of each round are scaled to sum 1, the last to maximum 1.
+def think(edges: DataFrame, start: DataFrame, decay: float = 0.85, least: float = 0.01, depth: int = 3) -> DataFrame:
+    """(id, act): activation in which a node spreads only once, with what it got in the step that first reached it.
+
+    start: (id).  Later steps may still raise a node's own activation.
+    """
+    front = start.select("id", F.lit(1.0).alias("act"))
+    seen, steps = start.select("id"), None
+    for d in range(depth):
+        got = front.withColumnRenamed("id", "src").join(edges, "src").select(F.col("dst").alias("id"), (F.col("act") * F.col("w") * decay).alias("act")).where(F.col("act") >= least)
+        got = _cut(got.groupBy("id").agg(F.max("act").alias("act")), d)
+        steps = got if steps is None else steps.unionByName(got)
+        front = got.join(seen, "id", "left_anti")
+        seen = seen.unionByName(front.select("id"))
+    return steps.groupBy("id").agg(F.max("act").alias("act")).join(start.select("id"), "id", "left_anti")
+
+
+def paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """(id, hop, path): a shortest path from a node of ``start`` to every node within ``depth`` edges.
 
-    seeds: (id, share) with shares that sum to 1.  Mass of nodes without edges is dropped, which the scaling makes good.
+    Of several shortest paths the one that is first when compared node by node.
     """
+    front = start.select("id", F.lit(0).alias("hop"), F.array("id").alias("path"))
+    out = front
+    for d in range(1, depth + 1):
+        step = front.select(F.col("id").alias("src"), "path").join(edges, "src").select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
+        front = shared_checkpoint(step.join(out.select("id"), "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")).select("id", F.lit(d).alias("hop"), "path"))
+        out = out.unionByName(front)
+        if front.limit(1).count() == 0:
+            break
+    return out
+
+
+def _transitions(edges: DataFrame) -> DataFrame:
+    """(src, dst, p): where a walk goes from a node."""
     out = edges.groupBy("src").agg(F.sum("w").alias("total")).where(F.col("total") > 0)
-    step = shared_checkpoint(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
+    return edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p"))
+
+
+def walks(edges: DataFrame, seeds: DataFrame, top: int = 20, rounds: int = 3, alpha: float = 0.15, least: float = 1e-3) -> DataFrame:
+    """(seed, id, score, rank): the ``top`` nodes of a personalised PageRank of each seed (id), the seed left out.
+
+    The walks of all seeds are taken together, ``rounds`` steps far; a step that carries less than ``least`` of a seed's
+    mass is not taken, so that a seed keeps at most 1 / ``least`` nodes a round, whatever the degrees it meets.
+    """
+    from pyspark.sql import Window as W
+
+    step = shared_checkpoint(_transitions(edges))
+    mass = seeds.select(F.col("id").alias("seed"), "id", F.lit(1.0).alias("m"))
+    reached = None
+    for _ in range(rounds):
+        moved = mass.withColumnRenamed("id", "src").join(step, "src").select("seed", F.col("dst").alias("id"), (F.col("m") * F.col("p") * (1 - alpha)).alias("m"))
+        mass = moved.where(F.col("m") >= least).groupBy("seed", "id").agg(F.sum("m").alias("m"))
+        reached = mass if reached is None else reached.unionByName(mass)
+    scored = reached.where(F.col("id") != F.col("seed")).groupBy("seed", "id").agg(F.round(F.sum("m") * alpha, 9).alias("score"))
+    w = W.partitionBy("seed").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
+
+
+def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, alpha: float = 0.15) -> DataFrame:
+    """(id, score): personalised PageRank with restart ``alpha``, scaled to maximum 1.
+
+    seeds: (id, share) with shares that sum to 1.  The rounds are linear, so that they need no scaling in between; mass
+    of nodes without edges is dropped.
+    """
+    step = shared_checkpoint(_transitions(edges))
     base = seeds.select("id", (F.col("share") * alpha).alias("m"))
     rank = seeds.select("id", F.col("share").alias("score"))
     for r in range(rounds):
         moved = rank.withColumnRenamed("id", "src").join(step, "src").select(F.col("dst").alias("id"), (F.col("score") * F.col("p") * (1 - alpha)).alias("m"))
-        rank = moved.unionByName(base).groupBy("id").agg(F.sum("m").alias("score"))
-        rank = _cut(rank, r)
-        if r % EVERY == EVERY - 1 or r == rounds - 1:
-            total = rank.agg(F.sum("score")).first()[0] or 1.0
-            rank = rank.select("id", (F.col("score") / total).alias("score"))
-    top = rank.agg(F.max("score")).first()[0] or 1.0
-    return rank.select("id", (F.col("score") / top).alias("score"))
+        rank = _cut(moved.unionByName(base).groupBy("id").agg(F.sum("m").alias("score")), r)
+    rank = shared_checkpoint(rank)
+    return rank.join(F.broadcast(rank.agg(F.max("score").alias("_top")))).select("id", (F.col("score") / F.col("_top")).alias("score"))  # one row
 
 
 def _adamic(edges: DataFrame) -> DataFrame:

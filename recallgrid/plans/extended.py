@@ -16,9 +16,10 @@ from recallgrid.operators import graph as G
 from recallgrid.operators import lsh, search
 from recallgrid.operators import sequential as Q
 from recallgrid.operators.components import connected_components
+from recallgrid.operators.skew import shared_checkpoint
 from recallgrid.plans import ctes as C
 from recallgrid.plans.base import Registry, Tables
-from recallgrid.plans.graph_dream import graph, hub, pairs
+from recallgrid.plans.graph_dream import FACTS_SQL, fact_notes, graph, hub, pairs
 from recallgrid.plans.retrieval import semantic
 from recallgrid.plans.vectors_text import DIM, asking, now, vecs
 from recallgrid.sources import importers as I  # noqa: E741
@@ -232,12 +233,23 @@ def mt2_connection_strength(t: Tables) -> DataFrame:
 _HUB = C.BOTH + ", hub as (select src id from bw group by 1 order by count(*) desc, src limit 1)"
 
 
-@R.add(REC(_HUB + ", " + _SEM + """, r(d, id, act) as (select 0, id, 1.0::double from hub union all select d + 1, id, max(act) from (select r.d d, b.dst id, r.act * b.w * 0.85 act from r join bw b on b.src = r.id where r.d < 2) where act >= 0.01 group by 1, 2), ac as (select id, max(act) act from r where id not in (select id from hub) group by 1)
-  select s.query_id, s.id, round(0.5 * s.score + 0.5 * coalesce(ac.act, 0), 9) as score from sem s left join ac using (id) where s.rank <= 20"""))
+@R.add(REC(C.BOTH + ", " + _SEM + """, hit as (select query_id, id, score from sem where rank <= 5), sd as (select distinct id from hit)""" + C.walk("sd") + """,
+  sc as (select wk.*, s / max(s) over (partition by seed) act from wk), ac as (select h.query_id, sc.id, max(sc.act) act from hit h join sc on sc.seed = h.id where not exists (select 1 from hit z where z.query_id = h.query_id and z.id = sc.id) and sc.id <> h.query_id group by 1, 2),
+  al as (select query_id, id, score, 0 hop from hit union all select ac.query_id, ac.id, round(0.5 * coalesce(list_cosine_similarity(q.e, v.e), 0) + 0.5 * act, 6), 1 from ac join vec q on q.id = ac.query_id left join vec v on v.id = ac.id),
+  rk as (select *, row_number() over (partition by query_id order by score desc, id) rank from al) select query_id, id, round(score, 6) as score, hop::bigint as hop, rank from rk where rank <= 10"""))
 def rt14_multihop(t: Tables) -> DataFrame:
-    """Direct hits blended with activation spread from the hub."""
-    act = G.activation(graph(t), hub(t).withColumn("act", F.lit(1.0)), depth=2)
-    return semantic(t, 20).join(act, "id", "left").select("query_id", "id", F.round(0.5 * F.col("score") + 0.5 * F.coalesce("act", F.lit(0.0)), 9).alias("score"))
+    """Each query's five direct hits and what walks from them reach: half similarity, half activation, the ten best."""
+    hit = shared_checkpoint(semantic(t, 5).select("query_id", "id", "score"))
+    walk = G.walks(graph(t), hit.select("id").distinct())
+    walk = walk.withColumn("act", F.col("score") / F.max("score").over(W.partitionBy("seed"))).select("seed", "id", "act")
+    act = hit.select("query_id", F.col("id").alias("seed")).join(walk, "seed").where(F.col("id") != F.col("query_id")).groupBy("query_id", "id").agg(F.max("act").alias("act"))
+    act = act.join(hit.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    v = vecs(t).select("id", V.doubles(F.col("vec")).alias("vec"))
+    x = act.join(v.select(F.col("id").alias("query_id"), F.col("vec").alias("q")), "query_id").join(v, "id", "left")
+    far = x.select("query_id", "id", F.round(0.5 * F.coalesce(V.cosine(F.col("q"), F.col("vec")), F.lit(0.0)) + 0.5 * F.col("act"), 6).alias("score"), F.lit(1).cast("long").alias("hop"))
+    both = hit.withColumn("hop", F.lit(0).cast("long")).unionByName(far)
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return both.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= 10).select("query_id", "id", F.round("score", 6).alias("score"), "hop", "rank")
 
 
 @R.add("with q as (select 'token budget' q union all select 'routing hint'), s as (select q, id, (case when contains(lower(content), q) then 0.2 else 0 end + case when contains(lower(coalesce(label, '')), q) then 0.3 else 0 end)::double boost from memories, q where content is not null) select q as query, id, round(boost, 6) as boost from s where boost > 0")
@@ -268,7 +280,7 @@ def gr7_many_seeds(t: Tables) -> DataFrame:
     return G.activation(g, seeds, depth=2).select("id", F.round("act", 9).alias("activation"))
 
 
-@R.add(REC(_SEM + ", e as (select query_id a, id b from sem where score >= 0.85), bw as (select a src, b dst from e union select b, a from e), r(id, root) as (select distinct src, src from bw union select b.dst, r.root from r join bw b on b.src = r.id where r.root < b.dst) select id, min(root) as root from r group by 1"))
+@R.add(REC(C.VECTORS + ", e as (select a.id a, b.id b from vec a join vec b on a.id < b.id where round(list_cosine_similarity(a.e, b.e), 6) >= 0.85), bw as (select a src, b dst from e union select b, a from e), r(id, root) as (select distinct src, src from bw union select b.dst, r.root from r join bw b on b.src = r.id where r.root < b.dst) select id, min(root) as root from r group by 1"))
 def gr15_similarity_groups(t: Tables) -> DataFrame:
     """Groups that all pairs of 0.85 and more link together; rows without such a pair are in none."""
     return connected_components(search.similar_groups(vecs(t), DIM, 0.85))
@@ -307,11 +319,10 @@ def dr11_theme_medoid(t: Tables) -> DataFrame:
     return x.groupBy("label").agg(F.max_by(F.struct("vec_id", "sim"), F.struct("sim", -F.col("vec_id"))).alias("m")).select("label", F.col("m.vec_id").alias("medoid"), "m.sim")
 
 
-@R.add()
+@R.add(FACTS_SQL + " select doc_id as source_id, coalesce(source, '') || '::afe::A' || no as label, text as content, 'supports' as edge_type, 0.95::double as weight from f")
 def dr12_fact_rows(t: Tables) -> DataFrame:
-    """Facts of long texts as rows with a supporting edge to their source."""
-    x = t("documents").where(F.char_length("text") >= 500)
-    f = x.select("doc_id", "source", F.posexplode(Q.markdown_facts(F.col("text"))).alias("no", "f"))
+    """Facts of notes as rows with a supporting edge to their source."""
+    f = fact_notes(t).select("doc_id", "source", F.posexplode(Q.markdown_facts(F.col("note"))).alias("no", "f"))
     return f.select(F.col("doc_id").alias("source_id"), F.concat(F.coalesce("source", F.lit("")), F.lit("::afe::A"), F.col("no").cast("string")).alias("label"), F.col("f.text").alias("content"), F.lit("supports").alias("edge_type"), F.lit(0.95).alias("weight"))
 
 

@@ -15,9 +15,10 @@ from recallgrid.operators import dream as D
 from recallgrid.operators import edges as E
 from recallgrid.operators import graph as G
 from recallgrid.operators import search
+from recallgrid.operators.skew import shared_checkpoint
 from recallgrid.plans import ctes as C
 from recallgrid.plans.base import Registry, Tables
-from recallgrid.plans.graph_dream import active_pairs, graph, hub, start
+from recallgrid.plans.graph_dream import ACTIVE, active_pairs, graph, hub, start
 from recallgrid.plans.retrieval import channels, fuse, semantic
 from recallgrid.plans.vectors_text import DIM, asking, now, vecs
 
@@ -132,20 +133,28 @@ def rt4_modes(t: Tables) -> DataFrame:
 _HUB = C.BOTH + ", hub as (select src id from bw group by 1 order by count(*) desc, src limit 1)"
 
 
-@R.add(REC(_HUB + ", r(d, id, act) as (select 0, id, 1.0::double from hub union all select d + 1, id, max(act) from (select r.d d, b.dst id, r.act * b.w * 0.85 act from r join bw b on b.src = r.id where r.d < 1) where act >= 0.01 group by 1, 2), x as (select id, round(max(act), 6) act from r where id not in (select id from hub) group by 1) select id, act as activation from x order by act desc, id limit 20"))
+_THINK = "with " + _HUB + "".join(f""", p{d} as (select b.dst id, max(l.act * b.w * 0.85) act from {f"l{d - 1}" if d > 1 else "(select id, 1.0 act from hub)"} l join bw b on b.src = l.id where l.act * b.w * 0.85 >= 0.01 group by 1),
+  l{d} as (select * from p{d} where id not in (select id from hub) {"".join(f"and id not in (select id from l{k})" for k in range(1, d))})""" for d in (1, 2, 3))
+
+
+@R.add(_THINK + ", x as (select id, round(max(act), 6) act from (select * from p1 union all select * from p2 union all select * from p3) where id not in (select id from hub) group by 1) select id, act as activation from x order by act desc, id limit 20")
 def gr3_think(t: Tables) -> DataFrame:
-    """The twenty most activated nodes one step from the hub."""
-    return G.activation(graph(t), hub(t).withColumn("act", F.lit(1.0)), depth=1).select("id", F.round("act", 6).alias("activation")).orderBy(F.desc("activation"), "id").limit(20)
+    """The twenty most activated nodes within three steps of the hub; a node spreads once, when it is first reached."""
+    g = shared_checkpoint(graph(t))
+    return G.think(g, hub(t, g)).select("id", F.round("act", 6).alias("activation")).orderBy(F.desc("activation"), "id").limit(20)
 
 
-@R.add()
+@R.add(REC(_HUB + """, st as (select src, dst, w / sum(w) over (partition by src) p from bw where src in (select src from bw group by 1 having sum(w) > 0)),
+  r(i, id, x) as (select 0, id, 1.0::double from hub union all select i + 1, id, sum(x) from (select r.i i, st.dst id, r.x * st.p * 0.85 x from r join st on st.src = r.id where r.i < 10 union all select z.i, hub.id, 0.15 from (select distinct i from r) z, hub where z.i < 10) group by 1, 2)
+  select id, round(x / (select max(x) from r where i = 10), 6) as score from r where i = 10 and id not in (select id from hub) order by 2 desc, 1 limit 20"""))
 def gr6_pagerank_top(t: Tables) -> DataFrame:
     """The twenty best nodes by PageRank from the hub, the hub left out."""
-    h = hub(t)
-    return G.pagerank(graph(t), h.withColumn("share", F.lit(1.0)), rounds=10).join(h, "id", "left_anti").select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+    g = shared_checkpoint(graph(t))
+    h = hub(t, g)
+    return G.pagerank(g, h.withColumn("share", F.lit(1.0)), rounds=10).join(h, "id", "left_anti").select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
-@R.add("with " + C.UPSERTED + ", ac as (select distinct least(source_id, target_id) s, greatest(source_id, target_id) t from connections where ingestion_time >= timestamp '2025-07-01 00:00:00' and source_id <> target_id) select case when weight < 1 then 'strengthened' else 'full' end as reason, count(*) as edges, round(sum(least(1.0, weight + 0.05) - weight), 6) as gained from up join ac using (s, t) group by 1")
+@R.add("with recursive " + C.UPSERTED + ACTIVE + " select case when weight < 1 then 'strengthened' else 'full' end as reason, count(*) as edges, round(sum(least(1.0, weight + 0.05) - weight), 6) as gained from up join ac using (s, t) group by 1")
 def dr16_audit(t: Tables) -> DataFrame:
     """What a strengthening would write to the audit log, by reason."""
     e = start(t).edges.join(active_pairs(t), ["s", "t"], "left_semi")

@@ -13,8 +13,10 @@ from recallgrid.operators import graph as G
 from recallgrid.operators import search
 from recallgrid.operators import sequential as Q
 from recallgrid.operators.components import connected_components
+from recallgrid.operators.skew import shared_checkpoint
 from recallgrid.plans import ctes as C
 from recallgrid.plans.base import Registry, Tables
+from recallgrid.plans.relational import st1_union_of_slices
 from recallgrid.plans.retrieval import relevant, semantic
 from recallgrid.plans.vectors_text import DIM, vecs
 
@@ -30,9 +32,9 @@ def graph(t: Tables) -> DataFrame:
     return E.both_ways(pairs(t))
 
 
-def hub(t: Tables) -> DataFrame:
-    """The node of the highest degree (ties: smallest id) as a one-row table."""
-    return graph(t).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
+def hub(t: Tables, g: DataFrame | None = None) -> DataFrame:
+    """The node of the highest degree (ties: smallest id) of the graph ``g`` as a one-row table."""
+    return (graph(t) if g is None else g).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
 
 
 _HUB = C.BOTH + ", hub as (select src id from bw group by 1 order by count(*) desc, src limit 1)"
@@ -47,7 +49,8 @@ def gr1_neighbours(t: Tables) -> DataFrame:
 @R.add(REC(_HUB + ", r(d, id, act) as (select 0, id, 1.0::double from hub union all select d + 1, id, max(act) from (select r.d d, b.dst id, r.act * b.w * 0.85 act from r join bw b on b.src = r.id where r.d < 3) where act >= 0.01 group by 1, 2) select id, round(max(act), 6) as activation from r where id not in (select id from hub) group by 1"))
 def gr2_spreading_activation(t: Tables) -> DataFrame:
     """From the hub over at most three edges; the best path to each node."""
-    return G.activation(graph(t), hub(t).withColumn("act", F.lit(1.0)), depth=3).select("id", F.round("act", 6).alias("activation"))
+    g = shared_checkpoint(graph(t))
+    return G.activation(g, hub(t, g).withColumn("act", F.lit(1.0)), depth=3).select("id", F.round("act", 6).alias("activation"))
 
 
 _SEEDS = """, sd as (select distinct src id from bw where src % 100 = 0), st as (select src, dst, w / sum(w) over (partition by src) p from bw where src in (select src from bw group by 1 having sum(w) > 0)), ns as (select count(*) n from sd)"""
@@ -57,16 +60,20 @@ _SEEDS = """, sd as (select distinct src id from bw where src % 100 = 0), st as
   union all select z.i, sd.id, 0.15 / ns.n from (select distinct i from r) z, sd, ns where z.i < 10) group by 1, 2) select id, round(x / (select max(x) from r where i = 10), 6) as score from r where i = 10"""))
 def gr5_personalised_pagerank(t: Tables) -> DataFrame:
     """Ten rounds over the whole graph, restarting at the nodes whose id is divisible by 100; the best scores 1."""
-    g = graph(t)
+    g = shared_checkpoint(graph(t))
     seeds = g.where(F.col("src") % 100 == 0).select(F.col("src").alias("id")).distinct()
-    n = seeds.count()
-    return G.pagerank(g, seeds.withColumn("share", F.lit(1.0 / max(n, 1))), rounds=10).select("id", F.round("score", 6).alias("score"))
+    n = seeds.agg((1.0 / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("share"))
+    return G.pagerank(g, seeds.join(F.broadcast(n)), rounds=10).select("id", F.round("score", 6).alias("score"))
+
+
+_PATHS = "with " + _HUB + ", l0 as (select id, 0 hop, [id] path from hub)" + "".join(f", l{d} as (select b.dst id, {d} hop, min(list_append(l.path, b.dst)) path from l{d - 1} l join bw b on b.src = l.id where {' and '.join(f'b.dst not in (select id from l{k})' for k in range(d))} group by 1)" for d in (1, 2, 3, 4))
 
 
-@R.add(REC(_HUB + ", r(id, hop) as (select id, 0 from hub union select b.dst, r.hop + 1 from r join bw b on b.src = r.id where r.hop < 4) select id, min(hop)::bigint as hop from r group by 1"))
-def gr8_shortest_hops(t: Tables) -> DataFrame:
-    """Fewest hops from the hub to every node within four."""
-    return G.hops(graph(t), hub(t), 4).groupBy("id").agg(F.min("hop").cast("long").alias("hop"))
+@R.add(_PATHS + " select id, hop::bigint as hop, path from (" + " union all ".join(f"select * from l{d}" for d in range(5)) + ")")
+def gr8_shortest_paths(t: Tables) -> DataFrame:
+    """A shortest path from the hub to every node within four edges."""
+    g = shared_checkpoint(graph(t))
+    return G.paths(g, hub(t, g), 4).select("id", F.col("hop").cast("long").alias("hop"), "path")
 
 
 @R.add(REC(_HUB + ", r(id, hop) as (select id, 0 from hub union select b.dst, r.hop + 1 from r join bw b on b.src = r.id where r.hop < 2), n as (select distinct id from r) select p.a, p.b, p.w as weight from pw p where p.a in (select id from n) and p.b in (select id from n)"))
@@ -157,26 +164,32 @@ def gr19_canonical_sweep(t: Tables) -> DataFrame:
 
 # Consolidation -------------------------------------------------------------------------------------------------------
 
-_ACTIVE = ", ac as (select distinct least(source_id, target_id) s, greatest(source_id, target_id) t from connections where ingestion_time >= timestamp '2025-07-01 00:00:00' and source_id <> target_id)"
+#: What the walks of the sample reach: ac (s, t); after ``ctes.UPSERTED``, in a recursive with.
+ACTIVE = C.BOTH[len(C.EDGES) :] + ", " + C.SAMPLE + C.walk("sp") + ", ac as (select distinct least(seed, id) s, greatest(seed, id) t from wk)"
 _STRONG = ", sg as (select up.s, up.t, up.edge_type, case when ac.s is not null then least(1.0, weight + 0.05) else weight end weight, up.weight old from up left join ac on ac.s = up.s and ac.t = up.t)"
 
 
+def sample(t: Tables) -> DataFrame:
+    """The ids that a cycle looks at, at most 2,000."""
+    return st1_union_of_slices(t).select("id")
+
+
 def active_pairs(t: Tables) -> DataFrame:
-    """The pairs that a cycle has walked: those written since July 2025."""
-    c = t("connections").where((F.col("ingestion_time") >= F.lit("2025-07-01 00:00:00").cast("timestamp_ntz")) & (F.col("source_id") != F.col("target_id")))
-    return c.select(F.least("source_id", "target_id").alias("s"), F.greatest("source_id", "target_id").alias("t")).distinct()
+    """The pairs that a cycle has walked: each row of its sample with the twenty best of its personalised PageRank."""
+    found = G.walks(graph(t), sample(t))
+    return found.select(F.least("seed", "id").alias("s"), F.greatest("seed", "id").alias("t")).distinct()
 
 
 def start(t: Tables) -> D.State:
     return D.State(t("memories"), E.upsert(E.clean_edges(t("connections"))).select("s", "t", "edge_type", "weight"))
 
 
-@R.add("with " + C.UPSERTED + _ACTIVE + _STRONG + ", wk as (select s, t, edge_type, case when weight > 0.05 then greatest(0, weight - 0.01) else weight end weight from sg) select s, t, edge_type, round(weight, 6) as weight from wk where weight >= 0.05 - 1e-12 or edge_type = 'supersedes'")
+@R.add("with recursive " + C.UPSERTED + ACTIVE + _STRONG + ", wd as (select s, t, edge_type, case when weight > 0.05 then greatest(0, weight - 0.01) else weight end weight from sg) select s, t, edge_type, round(weight, 6) as weight from wd where weight >= 0.05 - 1e-12 or edge_type = 'supersedes'")
 def dr3_nrem(t: Tables) -> DataFrame:
     return D.nrem(start(t), active_pairs(t)).edges.select("s", "t", "edge_type", F.round("weight", 6).alias("weight"))
 
 
-@R.add("with " + C.UPSERTED + _ACTIVE + _STRONG + " select s, t, edge_type, round(old, 6) as old_weight, round(weight, 6) as new_weight, 'strengthened' as reason from sg where weight <> old")
+@R.add("with recursive " + C.UPSERTED + ACTIVE + _STRONG + " select s, t, edge_type, round(old, 6) as old_weight, round(weight, 6) as new_weight, 'strengthened' as reason from sg where weight <> old")
 def dr4_history(t: Tables) -> DataFrame:
     return D.nrem(start(t), active_pairs(t)).history.select("s", "t", "edge_type", F.round("old_weight", 6).alias("old_weight"), F.round("new_weight", 6).alias("new_weight"), "reason")
 
@@ -198,14 +211,15 @@ def dr8_rem_bridges(t: Tables) -> DataFrame:
     return D.bridges(hits, start(t).edges)
 
 
-@R.add("with recursive " + C.VECTORS + """, sp as (select a.id a, b.id b, round(list_cosine_similarity(a.e, b.e), 6) sim from vec a join vec b on a.id <> b.id where a.id % 100 = 0), sm as (select * from (select *, row_number() over (partition by a order by sim desc, b) k from sp) where k <= 50 and sim >= 0.85),
+@R.add("with recursive " + C.VECTORS + ", " + C.SAMPLE + """, sm as (select a.id a, b.id b, round(list_cosine_similarity(a.e, b.e), 6) sim from vec a join vec b on a.id < b.id where a.id in (select id from sp) and b.id in (select id from sp) and round(list_cosine_similarity(a.e, b.e), 6) >= 0.85),
   n as (select id, created_at, list_sort(list_distinct(list_transform(regexp_extract_all(content, '\\$?\\d[\\d,]*(?:\\.\\d+)?'), lambda x: replace(x, ',', '')))) w from memories where content is not null),
   p as (select sm.*, x.created_at ta, y.created_at tb from sm join n x on x.id = a join n y on y.id = b where len(x.w) > 0 and len(y.w) > 0 and x.w <> y.w),
   o as (select case when ta < tb or (coalesce(ta = tb, true) and a < b) then a else b end s, case when ta < tb or (coalesce(ta = tb, true) and a < b) then b else a end t, sim from p) select distinct s, t, sim as weight from o""")
 def dr7_supersedes(t: Tables) -> DataFrame:
-    """Superseding edges of all pairs of 0.85 and more whose numbers differ; sets of numbers are compared by a 64-bit hash."""
+    """Superseding edges of the pairs of a cycle's sample of 0.85 and more whose numbers differ; sets of numbers are compared by a 64-bit hash."""
     numbers = X.numeric_tokens(F.col("content"))
-    rows = t("memories").where(F.size(numbers) > 0).withColumns({"numbers": F.xxhash64(numbers), "timed": F.col("created_at").isNotNull().cast("long"), "at": F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0))})
+    rows = t("memories").join(F.broadcast(sample(t)), "id", "left_semi").where(F.size(numbers) > 0)  # at most 2,000 ids
+    rows = rows.withColumns({"numbers": F.xxhash64(numbers), "timed": F.col("created_at").isNotNull().cast("long"), "at": F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0))})
     carry = ("numbers", "timed", "at")
     p = search.similar_links(search.usable(rows, "id", "embedding", DIM, *carry), DIM, 0.85, carry).where(F.col("a_numbers") != F.col("b_numbers"))
     at = lambda e: F.when(F.col(f"{e}_timed") == 1, F.col(f"{e}_at"))
@@ -268,25 +282,39 @@ def dr21_decay(t: Tables) -> DataFrame:
     return e.where(F.col("weight") * 0.999 >= 0.01).select("s", "t", "edge_type", F.round(F.col("weight") * 0.999, 9).alias("weight"))
 
 
-@R.add("with m as (select id, label, trim(content) c, lead(trim(content)) over (partition by label order by id) nc, lead(id) over (partition by label order by id) ni from memories where label is not null and content is not null) select id as old_id, ni as new_id, label, c = nc as same from m where ni is not null")
-def dr22_label_conflicts(t: Tables) -> DataFrame:
-    """Rows that are followed by another of the same label: candidates for fusion."""
+_CLEAN = "trim(" + "replace(" * len(X.MARKERS) + "{}" + "".join(f", '{m}', '')" for m in X.MARKERS) + ")"
+
+
+@R.add("with " + C.VECTORS + """, m as (select m.id, label, content c, v.e from memories m left join vec v using (id) where label is not null and content is not null), w as (select label, id as new_id, c nc, e ne, lag(id) over k old_id, lag(c) over k oc, lag(e) over k oe from m window k as (partition by label order by id)),
+  x as (select *, """ + _CLEAN.format("oc") + """ cl, case when trim(oc) = trim(nc) then 'existing' when oe is not null and ne is not null and round(list_cosine_similarity(oe, ne), 9) >= 0.85 then 'fused' else 'stored' end act from w where old_id is not null)
+  select old_id, new_id, label, act as action, case when act = 'fused' then '[CANONICAL] ' || trim(nc) || chr(10) || '[PREVIOUSLY] ' || case when length(cl) > 1200 then substr(cl, 1, 1200) || ' ...[truncated]' else cl end end as content, case when act = 'fused' then 'conflict_fusion' end as reason from x""")
+def dr22_conflict_fusion(t: Tables) -> DataFrame:
+    """What a write does to the row of its label before it: returns it if the contents are equal, fuses both where they are similar, else stores a new row."""
     from pyspark.sql import Window as W
 
     w = W.partitionBy("label").orderBy("id")
-    m = t("memories").where(F.col("label").isNotNull() & F.col("content").isNotNull()).select("id", "label", F.trim("content").alias("c"))
-    return m.select(F.col("id").alias("old_id"), F.lead("id").over(w).alias("new_id"), "label", (F.col("c") == F.lead("c").over(w)).alias("same")).where(F.col("new_id").isNotNull())
+    v = vecs(t).select("id", V.doubles(F.col("vec")).alias("vec"))
+    m = t("memories").where(F.col("label").isNotNull() & F.col("content").isNotNull()).select("id", "label", "content").join(v, "id", "left")
+    x = m.withColumn("old", F.lag(F.struct("id", "content", "vec")).over(w)).where(F.col("old").isNotNull())
+    near = F.coalesce(F.round(V.cosine(F.col("old.vec"), F.col("vec")), 9) >= 0.85, F.lit(False))
+    action = F.when(F.trim("old.content") == F.trim("content"), "existing").when(near, "fused").otherwise("stored")
+    x = x.select(F.col("old.id").alias("old_id"), F.col("id").alias("new_id"), "label", action.alias("action"), X.fuse(F.col("old.content"), F.col("content")).alias("both"))
+    fused = F.col("action") == "fused"
+    return x.select("old_id", "new_id", "label", "action", F.when(fused, F.col("both")).alias("content"), F.when(fused, "conflict_fusion").alias("reason"))
 
 
-_AUTO = "with recursive " + C.VECTORS + ", sp as (select a.id a, b.id b, round(list_cosine_similarity(a.e, b.e), 6) sim from vec a join vec b on a.id <> b.id where a.id % 100 = 0), sm as (select * from (select *, row_number() over (partition by a order by sim desc, b) k from sp) where k <= 50 and sim > 0.7)"
+_AUTO = "with recursive " + C.VECTORS + ", sp as (select a.id a, b.id b, round(list_cosine_similarity(a.e, b.e), 6) sim from vec a join vec b on a.id <> b.id), sm as (select * from (select *, row_number() over (partition by a order by sim desc, b) k from sp) where k <= 64 and sim > 0.7), pr as (select least(a, b) a, greatest(a, b) b, max(sim) sim from sm group by 1, 2)"
 
 
-@R.add(_AUTO + f""" select least(a, b) as s, greatest(a, b) as t, max(case when regexp_matches(lower(concat_ws(' ', x.content, y.content)), '{"|".join(X.CAUSAL_WORDS)}') then 'causal' when regexp_matches(lower(concat_ws(' ', x.content, y.content)), '{"|".join(X.SUPERSEDING_WORDS)}') then 'supersedes' else 'similar' end) as edge_type,
-  max(sim) as weight from sm join memories x on x.id = a join memories y on y.id = b group by 1, 2""")
+@R.add(_AUTO + f""" select a as s, b as t, case when regexp_matches(lower(concat_ws(' ', x.content, y.content)), '{"|".join(X.CAUSAL_WORDS)}') then 'causal' when regexp_matches(lower(concat_ws(' ', x.content, y.content)), '{"|".join(X.SUPERSEDING_WORDS)}') then 'supersedes' else 'similar' end as edge_type,
+  sim as weight from pr join memories x on x.id = a join memories y on y.id = b""")
 def dr23_auto_connect(t: Tables) -> DataFrame:
-    """Edges between all pairs of rows with a cosine above 0.7, typed by their words."""
-    flags = X.edge_words(F.col("content"))
-    p = search.similar_links(search.usable(t("memories").withColumn("words", flags), "id", "embedding", DIM, "words"), DIM, 0.7, ("words",)).where(F.col("sim") > 0.7)
+    """Edges from every row to those of its 64 nearest with a cosine above 0.7, typed by their words: what writing the rows one by one would connect."""
+    near = search.nearest(vecs(t), DIM, 64, 6).where(F.col("sim") > 0.7)
+    p = near.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max("sim").alias("sim"))
+    words = t("memories").select("id", X.edge_words(F.col("content")).alias("words"))
+    end = lambda e: words.select(F.col("id").alias(e), F.col("words").alias(f"{e}_words"))
+    p = p.join(end("a"), "a").join(end("b"), "b")
     return p.select(F.col("a").alias("s"), F.col("b").alias("t"), X.edge_type_of_words(F.col("a_words"), F.col("b_words")).alias("edge_type"), F.col("sim").alias("weight"))
 
 
@@ -305,6 +333,19 @@ def tx15_sentence_chunks(t: Tables) -> DataFrame:
     return Q.sentence_chunks(t("documents"), "doc_id", "text")
 
 
-@R.add()
+def fact_notes(t: Tables) -> DataFrame:
+    """(doc_id, source, note): what is known of each document as a markdown note, one heading and four bullets."""
+    d = t("documents").where(F.col("doc_kind").isNotNull() & F.col("n_chars").isNotNull())
+    lines = (F.concat(F.lit("## **"), F.col("doc_kind"), F.lit("**")), F.concat(F.lit("- **Size**: "), F.col("n_chars"), F.lit(" KB")), F.lit("- Note: it takes 5 km"), F.concat(F.lit("- Stored Under: Ann Lee "), F.col("doc_id")), F.lit("- **Mood**: plain prose"), F.concat(F.lit("**Source ** - "), F.col("doc_id"), F.lit(" GB; and more")))
+    return d.select("doc_id", "source", F.concat_ws("\n", *lines).alias("note"))
+
+
+FACTS_SQL = """with d as (select doc_id, source, doc_kind k, n_chars n from documents where doc_kind is not null and n_chars is not null),
+  f as (select doc_id, source, 0 as no, k entity, 'Size' predicate, n || ' KB' as value, k || ', Size: ' || n || ' KB' as text from d
+  union all select doc_id, source, 1, k, 'Stored Under', 'Ann Lee ' || doc_id, k || ', Stored Under: Ann Lee ' || doc_id from d union all select doc_id, source, 2, 'Source', null, doc_id || ' GB', 'Source: ' || doc_id || ' GB' from d)"""
+
+
+@R.add(FACTS_SQL + " select doc_id, no, entity, predicate, value, text from f")
 def tx16_markdown_facts(t: Tables) -> DataFrame:
-    return t("documents").where(F.char_length("text") >= 500).select("doc_id", F.posexplode(Q.markdown_facts(F.col("text"))).alias("no", "f")).select("doc_id", "no", "f.*")
+    """Atomic facts of markdown notes; bullets without a measure or a name and empty keys state nothing."""
+    return fact_notes(t).select("doc_id", F.posexplode(Q.markdown_facts(F.col("note"))).alias("no", "f")).select("doc_id", "no", "f.*")

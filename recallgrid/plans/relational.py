@@ -405,21 +405,21 @@ def tk7_heaviest_edges(t: Tables) -> DataFrame:
 
 @R.add("""with s as (select id, 1 slice, row_number() over (order by created_at desc nulls last, id) pos from memories union all select id, 2, row_number() over (order by md5(concat(id, ':', 42)), id) from memories
   union all select id, 3, row_number() over (order by salience nulls last, last_accessed nulls first, id) from memories),
-  c as (select * from s where (slice = 1 and pos <= 100) or (slice = 2 and pos <= 60) or (slice = 3 and pos <= 40)),
-  f as (select id, min(slice * 1000000 + pos) o from c group by id) select id, (o // 1000000)::bigint as slice from f order by o limit 180""")
+  c as (select * from s where (slice = 1 and pos <= 1000) or (slice = 2 and pos <= 600) or (slice = 3 and pos <= 400)),
+  f as (select id, min(slice * 1000000 + pos) o from c group by id) select id, (o // 1000000)::bigint as slice from f order by o limit 2000""")
 def st1_union_of_slices(t: Tables) -> DataFrame:
-    """Recent, random and least salient rows; of a row in several slices the earliest slice counts."""
+    """The sample of a cycle: recent, random and least salient rows; of a row in several slices the earliest slice counts."""
     m = t("memories")
 
     def take(slice_no: int, n: int, *order) -> DataFrame:
         top = m.orderBy(*order).limit(n).select("id", "created_at", "salience", "last_accessed")
         return top.select("id", F.row_number().over(W.orderBy(*order)).alias("pos"), F.lit(slice_no).alias("slice"))  # at most n rows
 
-    recent = take(1, 100, F.desc_nulls_last("created_at"), F.asc("id"))
-    some = take(2, 60, F.md5(F.concat(F.col("id").cast("string"), F.lit(":42"))), F.asc("id"))
-    low = take(3, 40, F.asc_nulls_last("salience"), F.asc_nulls_first("last_accessed"), F.asc("id"))
+    recent = take(1, 1000, F.desc_nulls_last("created_at"), F.asc("id"))
+    some = take(2, 600, F.md5(F.concat(F.col("id").cast("string"), F.lit(":42"))), F.asc("id"))
+    low = take(3, 400, F.asc_nulls_last("salience"), F.asc_nulls_first("last_accessed"), F.asc("id"))
     first = recent.unionByName(some).unionByName(low).groupBy("id").agg(F.min(F.col("slice") * 1000000 + F.col("pos")).alias("o"))
-    return first.orderBy("o").limit(180).select("id", F.floor(F.col("o") / 1000000).alias("slice"))
+    return first.orderBy("o").limit(2000).select("id", F.floor(F.col("o") / 1000000).alias("slice"))
 
 
 @R.add("select distinct memory_id as id from memory_revisions where memory_id not in (select id from memories)")

@@ -14,6 +14,7 @@ from recallgrid.functions import text as X
 from recallgrid.operators import edges as E
 from recallgrid.operators import search
 from recallgrid.operators.index import bm25
+from recallgrid.operators.skew import shared_checkpoint
 from recallgrid.plans import ctes as C
 from recallgrid.plans.base import Registry, Tables
 from recallgrid.plans.vectors_text import DIM, asking, now, vecs
@@ -146,15 +147,24 @@ def rt12_multi_query(t: Tables) -> DataFrame:
 _BW = C.BOTH
 
 
-@R.add(_V + _SEM + ", " + C.BOTH.replace("ce0 as", "ce0 as") + """, h0 as (select query_id, id, score from sem where rank <= 10), h1 as (select h.query_id, b.dst id, max(0.3 * h.score * b.w) score from h0 h join bw b on b.src = h.id where not exists (select 1 from h0 z where z.query_id = h.query_id and z.id = b.dst) group by 1, 2)
-  select query_id, id, round(score, 9) as score, 'seed' as via from h0 union all select query_id, id, round(score, 9), 'hop1' from h1""")
+@R.add(_V + _SEM + ", " + C.BOTH + """, h0 as (select query_id, id, score from sem where rank <= 10), h1 as (select h.query_id, b.dst id, max(0.3 * h.score * b.w) score from h0 h join bw b on b.src = h.id where not exists (select 1 from h0 z where z.query_id = h.query_id and z.id = b.dst) group by 1, 2),
+  k as (select query_id, id from h0 union all select query_id, id from h1), h2 as (select h.query_id, b.dst id, max(0.3 * h.score * b.w) score from h1 h join bw b on b.src = h.id where not exists (select 1 from k z where z.query_id = h.query_id and z.id = b.dst) group by 1, 2),
+  al as (select *, 'direct' via from h0 union all select *, 'neighbor:hop1' from h1 union all select *, 'neighbor:hop2' from h2), rk as (select *, row_number() over (partition by query_id order by round(score, 8) desc, id) rank from al)
+  select query_id, id, round(score, 8) as score, via, rank from rk where rank <= 20""")
 def rt13_with_neighbours(t: Tables) -> DataFrame:
-    """Seeds and the rows one edge away, at 0.3 of the seed's score times the weight, the best over all parents."""
+    """Seeds and the rows one and two edges away, at 0.3 of the score before times the weight, the best over all parents; twenty a query."""
     seeds = semantic(t, 10).select("query_id", "id", "score")
     e = E.both_ways(E.pair_weights(E.clean_edges(t("connections"))))
-    one = seeds.withColumnRenamed("id", "src").join(e, "src").groupBy("query_id", F.col("dst").alias("id")).agg(F.max(0.3 * F.col("score") * F.col("w")).alias("score"))
-    one = one.join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    return seeds.withColumn("via", F.lit("seed")).unionByName(one.withColumn("via", F.lit("hop1"))).select("query_id", "id", F.round("score", 9).alias("score"), "via")
+
+    def beyond(front: DataFrame, known: DataFrame) -> DataFrame:
+        step = front.withColumnRenamed("id", "src").join(e, "src").groupBy("query_id", F.col("dst").alias("id")).agg(F.max(0.3 * F.col("score") * F.col("w")).alias("score"))
+        return shared_checkpoint(step.join(known.select("query_id", "id"), ["query_id", "id"], "left_anti"))
+
+    one = beyond(seeds, seeds)
+    two = beyond(one, seeds.unionByName(one))
+    found = seeds.withColumn("via", F.lit("direct")).unionByName(one.withColumn("via", F.lit("neighbor:hop1"))).unionByName(two.withColumn("via", F.lit("neighbor:hop2")))
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("score", F.round("score", 8)).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= 20).select("query_id", "id", "score", "via", "rank")
 
 
 @R.add(_FUSED + """, w as (select 'all' cfg, 1.0 s, 0.9 l, 1.2 r union all select 'no_semantic', 0, 0.9, 1.2 union all select 'no_bm25', 1.0, 0, 1.2 union all select 'no_recency', 1.0, 0.9, 0),

@@ -39,7 +39,7 @@ def tk1_cosine_top10(t: Tables) -> DataFrame:
     return search.top_k(asking(t), vecs(t), 10, DIM)
 
 
-@R.add(_HITS + " select query_id, count(*) as n, min(sim) as least from h where sim >= 0.3 group by 1")
+@R.add("with " + C.VECTORS + ", p as (select a.id query_id, round(list_cosine_similarity(a.e, b.e), 6) sim from vec a join vec b on a.id <> b.id) select query_id, count(*) as n, min(sim) as least from p where sim >= 0.3 group by 1")
 def jn8_similar_above_threshold(t: Tables) -> DataFrame:
     """How many others each row reaches at a threshold: counted per pair of blocks, no list of pairs."""
     return search.similar_counts(vecs(t), DIM, 0.3).withColumnRenamed("id", "query_id")

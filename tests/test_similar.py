@@ -77,15 +77,6 @@ def best(ids, x, k=5):
     return {(int(ids[i]), r + 1, int(ids[j])) for i in range(len(ids)) for r, j in enumerate(np.lexsort((ids, -s[i]))[: min(k, len(ids) - 1)])}
 
 
-def test_p6_neighbours_has_five_of_every_row(spark, tmp_path):
-    from recallgrid.llm.neighbours import p6_neighbours
-
-    ids, x = collection(10)
-    frame(spark, ids, x).write.parquet(str(tmp_path / "memories.parquet"))
-    got = {(r.id, r.rank, r.other) for r in p6_neighbours(spark, str(tmp_path)).collect()}
-    assert got == best(ids, x) and len(got) == 5 * len(ids)
-
-
 @pytest.mark.parametrize("size, block", [(286, 40), (286, 130), (3, 1000), (1, 1000)])
 def test_nearest_across_blocks(spark, size, block):
     ids, x = collection(11)
@@ -96,7 +87,7 @@ def test_nearest_across_blocks(spark, size, block):
     assert {(r.id, r.rank, r.other) for r in search.nearest(rows, 64, 5, block=block).collect()} == best(ids, x)
 
 
-def test_dr7_dr23_link_every_pair(spark):
+def test_dr7_links_pairs_of_the_sample_and_dr23_the_64_nearest(spark):
     import datetime as dt
 
     from recallgrid.functions import text as X
@@ -107,7 +98,9 @@ def test_dr7_dr23_link_every_pair(spark):
     said = ["it cost 5", "it cost 7", "because of 5", "replaces 9", "no number", None, "so it is due", "to us"]
     times = [dt.datetime(2025, 1, 1), None, dt.datetime(2024, 6, 1)]
     rows = [(int(i), [float(a) for a in v], said[n % 8], times[n % 3]) for n, (i, v) in enumerate(zip(ids, x, strict=True))]
-    t = spark.createDataFrame(rows, SCHEMA + ", content string, created_at timestamp_ntz")
+    t = spark.createDataFrame([(*r, 0.5, None) for r in rows], SCHEMA + ", content string, created_at timestamp_ntz, salience double, last_accessed timestamp_ntz")
+    off = np.where(np.eye(len(ids), dtype=bool), -2.0, s)
+    near = [set(np.lexsort((ids, -off[i]))[:64].tolist()) for i in range(len(ids))]
     numbers = lambda c: set(w for w in (c or "").split() if w.isdigit())
     newer, linked = set(), set()
     for i in range(len(ids)):
@@ -116,7 +109,7 @@ def test_dr7_dr23_link_every_pair(spark):
             if s[i, j] >= 0.85 and numbers(ca) and numbers(cb) and numbers(ca) != numbers(cb):
                 later = (ta is not None and tb is not None and ta < tb) or ((ta is None or tb is None or ta == tb) and a < b)
                 newer.add((a, b) if later else (b, a))
-            if s[i, j] > 0.7:
+            if s[i, j] > 0.7 and (j in near[i] or i in near[j]):
                 text = " ".join(c for c in (ca, cb) if c is not None)
                 kind = "causal" if any(w in text for w in X.CAUSAL_WORDS) else "supersedes" if any(w in text for w in X.SUPERSEDING_WORDS) else "similar"
                 linked.add((a, b, kind, float(s[i, j])))
