@@ -94,6 +94,30 @@ def test_neighbours_against_brute_force(spark):
     assert len(few & want) >= 0.97 * len(want)
 
 
+def test_p6_neighbours_has_five_of_every_row(spark, tmp_path):
+    x = collection(10)
+    frame(spark, x).write.parquet(str(tmp_path / "memories.parquet"))
+    ids = 100 + 3 * np.arange(len(x))
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -2)
+    want = {(int(ids[i]), r + 1, int(ids[j])) for i in range(len(ids)) for r, j in enumerate(np.lexsort((ids, -s[i]))[:5])}
+    got = {(r.id, r.rank, r.other) for r in N.p6_neighbours(spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 5 * len(ids)
+
+
+def test_cell_loads_are_those_of_all_rows(spark):
+    x = collection(12)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    books = (N.codebook(u[:, :32], 4), N.codebook(u[:, 32:], 4))
+    vecs = frame(spark, x).where("id >= 100").select("id", "embedding")
+    got = N.cell_loads(vecs, spark.sparkContext.broadcast(books), 16, 6)
+    want = np.zeros(16, int)
+    for row in N.cells_of(u, books, 6):
+        want[np.unique(row)] += 1
+    assert got.tolist() == want.tolist()
+
+
 def test_hot_cells_meet_in_blocks(spark, monkeypatch):
     x = collection(3, singles=20, groups=(300,))
     monkeypatch.setattr(N, "CELL_ROWS", 60)
