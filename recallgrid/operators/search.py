@@ -1,8 +1,8 @@
 """Exact top-k cosine search of a set of queries over a collection, in blocks.
 
-Queries are handed out in blocks of at most ``BLOCK`` vectors, one broadcast each, whatever their number; every partition
-of the collection is multiplied with a block at once and keeps its best k per query, so that k rows per query and
-partition are shuffled and no pair is.
+Queries are handed out in blocks of at most ``BLOCK`` vectors, one broadcast and one scan of the collection each, whatever
+their number; every partition of the collection is multiplied with ``PART`` of them at once and keeps its best k per
+query, so that k rows per query and partition are shuffled and no pair is.
 
 Self-joins by similarity (``similar_links``, ``similar_groups``, ``similar_counts``, ``nearest``) compare every pair of rows: hashed
 blocks of the collection meet pairwise, one task per pair of blocks.  No index and no cap leaves a pair out, so the work
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+BLOCK, PART = 1 << 16, 2048
 #: Rows of a block of a self-join, and rows of it that are multiplied at once.
 JOIN_ROWS, JOIN_CHUNK = 16_384, 512
 
@@ -56,20 +56,29 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, dim: int, exclude_self:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
-            best_s, best_i = np.full((len(qid), 0), -2.0), np.zeros((len(qid), 0), np.int64)
+            best = {lo: (np.full((len(qid[lo : lo + PART]), 0), -2.0), np.zeros((len(qid[lo : lo + PART]), 0), np.int64)) for lo in range(0, len(qid), PART)}
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                s = np.round(q @ _matrix(batch.column(1), dim).T, decimals)
-                if exclude_self:
-                    s[qid[:, None] == ids[None, :]] = -2.0
-                s = np.concatenate([best_s, s], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(ids, (len(qid), len(ids)))], axis=1)
-                o = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
-            r, c = np.nonzero(best_s > (-1.5 if least is None else least - 1e-12))
-            yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(best_i[r, c]), pa.array(best_s[r, c])], names=["query_id", "id", "sim"])
+                ids, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), dim).T
+                for lo, (best_s, best_i) in best.items():
+                    some = qid[lo : lo + PART]
+                    s = np.round(q[lo : lo + PART] @ x, decimals)
+                    if exclude_self:
+                        s[some[:, None] == ids[None, :]] = -2.0
+                    if s.shape[1] > 2 * k:  # what can't be among the best k isn't sorted
+                        edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                        wide = int((s >= edge[:, None]).sum(1).max())
+                        o = np.argpartition(-s, wide - 1, axis=1)[:, :wide] if wide < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+                        s, i = np.take_along_axis(s, o, 1), ids[o]
+                    else:
+                        i = np.broadcast_to(ids, s.shape)
+                    s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, i], axis=1)
+                    o = np.lexsort((i, -s), axis=1)[:, :k]
+                    best[lo] = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
+            for lo, (best_s, best_i) in best.items():
+                r, c = np.nonzero(best_s > (-1.5 if least is None else least - 1e-12))
+                yield pa.RecordBatch.from_arrays([pa.array(qid[lo : lo + PART][r]), pa.array(best_i[r, c]), pa.array(best_s[r, c])], names=["query_id", "id", "sim"])
 
         hits = corpus.select("id", "vec").mapInArrow(run, "query_id long, id long, sim double")
         out = hits if out is None else out.unionByName(hits)

@@ -19,7 +19,7 @@ from recallgrid.operators.skew import shared_checkpoint
 from recallgrid.plans import ctes as C
 from recallgrid.plans.base import Registry, Tables
 from recallgrid.plans.graph_dream import ACTIVE, active_pairs, graph, hub, start
-from recallgrid.plans.retrieval import channels, fuse, semantic
+from recallgrid.plans.retrieval import _ALL, _CHANNELS, channels, rerank, semantic
 from recallgrid.plans.vectors_text import DIM, asking, now, vecs
 
 R = Registry()
@@ -110,24 +110,24 @@ def rt15_canonical_prior(t: Tables) -> DataFrame:
 
 @R.add("with " + _SEM + " select query_id, id, round(0.35 * score / max(score) over (partition by query_id) + 0.65 / (1 + exp(-(case when contains(lower(coalesce(m.content, '')), 'cache') then 1.0 else -1.0 end))), 6) as score from sem join memories m using (id) where rank <= 12")
 def rt6_rerank_blend(t: Tables) -> DataFrame:
-    """The head of the hits blended with the score of a pluggable reranker; a word test stands in for the model."""
-    head = semantic(t).where(F.col("rank") <= 12).join(t("memories").select("id", "content"), "id")
+    """The head of the hits blended with the score of a reranker; here a word test is what is plugged in."""
+    head = semantic(t).join(t("memories").select("id", "content"), "id")
     model = F.when(F.contains(F.lower(F.coalesce("content", F.lit(""))), F.lit("cache")), 1.0).otherwise(-1.0)
-    top = F.max("score").over(W.partitionBy("query_id"))
-    return head.select("query_id", "id", F.round(0.35 * F.col("score") / top + 0.65 * S.sigmoid(model), 6).alias("score"))
+    return rerank(head, model, 12).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@R.add()
+_MODES = {"semantic": {"semantic": 1.0}, "hybrid": {n: w for n, _, w in _CHANNELS}, "lean": {n: w for n, _, w in _CHANNELS if n not in ("bm25", "temporal")}, "trim": {n: w for n, _, w in _CHANNELS}}
+
+
+@R.add(_ALL + ", a as (" + " union all ".join(f"select '{m}' as mode, query_id, id, {ws[n]} / (60 + rank) p from {c}" for m, ws in _MODES.items() for n, c, _ in _CHANNELS if n in ws) + """),
+  g as (select mode, query_id, id, round(sum(p), 9) f from a group by 1, 2, 3), k as (select *, row_number() over (partition by mode, query_id order by f desc, id) k from g) select mode, query_id, id, k as rank from k where k <= 5""")
 def rt4_modes(t: Tables) -> DataFrame:
     """The fused top five under each retrieval mode's channel weights."""
-    modes = {"semantic": {"semantic": 1.0, "bm25": 0.0, "recency": 0.0}, "hybrid": S.CHANNEL_WEIGHTS, "lean": {**S.CHANNEL_WEIGHTS, "bm25": 0.0, "temporal": 0.0, "salience": 0.0}, "trim": {**S.CHANNEL_WEIGHTS, "salience": 0.0}}
-    found, out = channels(t), None
-    for name, weights in modes.items():
-        x = fuse(found, weights).where(F.col("fused") > 0)
-        w = W.partitionBy("query_id").orderBy(F.desc(F.round("fused", 9)), "id")
-        x = x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5).select(F.lit(name).alias("mode"), "query_id", "id", "rank")
-        out = x if out is None else out.unionByName(x)
-    return out
+    rows = [(m, n, w) for m, ws in _MODES.items() for n, w in ws.items()]
+    weights = F.broadcast(t.spark.createDataFrame(rows, "mode string, channel string, weight double"))
+    x = channels(t).join(weights, "channel").groupBy("mode", "query_id", "id").agg(F.round(F.sum(S.rrf(F.col("rank"), F.col("weight"))), 9).alias("f"))
+    w = W.partitionBy("mode", "query_id").orderBy(F.desc("f"), "id")
+    return x.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= 5).select("mode", "query_id", "id", "rank")
 
 
 _HUB = C.BOTH + ", hub as (select src id from bw group by 1 order by count(*) desc, src limit 1)"

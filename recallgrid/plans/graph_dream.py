@@ -318,6 +318,30 @@ def dr23_auto_connect(t: Tables) -> DataFrame:
     return p.select(F.col("a").alias("s"), F.col("b").alias("t"), X.edge_type_of_words(F.col("a_words"), F.col("b_words")).alias("edge_type"), F.col("sim").alias("weight"))
 
 
+_WEAK = ", wd as (select s, t, edge_type, case when weight > 0.05 then greatest(0, weight - 0.01) else weight end weight from sg), pn as (select * from wd where weight >= 0.05 - 1e-12 or edge_type = 'supersedes')"
+_CYCLE = "with recursive " + C.UPSERTED + ACTIVE + _STRONG + _WEAK + _TOP.replace(", sp as", ", tp as").replace("from sp)", "from tp)") + """, nw as (select least(query_id, id) s, greatest(query_id, id) t, max(round(0.3 * sim, 3)) weight from sm where sim between 0.3 and 0.95 group by 1, 2),
+  br as (select * from nw where not exists (select 1 from pn where least(pn.s, pn.t) = nw.s and greatest(pn.s, pn.t) = nw.t)),
+  e as (select s, t from pn where weight >= 0.05 and edge_type <> 'derived_from' union all select s, t from br where weight >= 0.05), eb as (select s src, t dst from e union select t, s from e),
+  rr(id, root) as (select distinct src, src from eb union select b.dst, rr.root from rr join eb b on b.src = rr.id where rr.root < b.dst), cc as (select id, min(root) root from rr group by 1),
+  ig as (select min(id) anchor, count(*) size from cc group by root having count(*) >= 10), ix as (select * from ig where anchor not in (select source_memory_id from dream_insights where source_memory_id is not null and created_at >= timestamp '2025-12-30 18:00:00') order by size desc, anchor limit 50)"""
+
+
+@R.add(_CYCLE + " select 'strengthened' as phase, count(*) as n, round(sum(weight - old), 6) as amount from sg where weight <> old union all select 'edges', count(*), round(sum(weight), 6) from pn union all select 'bridges', count(*), round(sum(weight), 6) from br union all select 'insights', count(*), round(sum(least(size / 10.0, 1.0)), 6) from ix")
+def dr25_dream_cycle(t: Tables) -> DataFrame:
+    """One whole cycle, phase after phase on the state that the one before left: walks and strengthening, weakening and
+    pruning, bridges, insights (at most fifty, none of an anchor of the last six hours)."""
+    s = D.nrem(start(t), active_pairs(t))
+    edges = s.edges
+    hits = semantic(t).select("query_id", "id", F.col("score").alias("sim"))
+    new = shared_checkpoint(D.bridges(hits, edges))
+    s = D.State(s.memories, edges.unionByName(new, allowMissingColumns=True), s.history)
+    recent = t("dream_insights").where(F.col("created_at") >= F.lit("2025-12-30 18:00:00").cast("timestamp_ntz")).select(F.col("source_memory_id").alias("anchor"))
+    found = D.insights(D.communities(s.edges)).join(recent, "anchor", "left_anti").orderBy(F.desc("size"), "anchor").limit(50)
+    row = lambda df, phase, amount: df.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(amount), 6).alias("amount")).select(F.lit(phase).alias("phase"), "n", "amount")
+    parts = (row(s.history, "strengthened", F.col("new_weight") - F.col("old_weight")), row(edges, "edges", F.col("weight")), row(new, "bridges", F.col("weight")), row(found, "insights", F.col("confidence")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 # Sequential by nature ------------------------------------------------------------------------------------------------
 
 

@@ -46,6 +46,25 @@ def recent(t: Tables, k: int = POOL) -> DataFrame:
     return search.top_k(asking(t), search.usable(pool, "id", "embedding", DIM), k, DIM).select("query_id", "id", F.lit("recency").alias("channel"), "rank", F.col("sim").alias("score"))
 
 
+def entity(t: Tables, k: int = POOL) -> DataFrame:
+    """Rows by the share of the names in the query row's content that they hold as words."""
+    q = t("memories").where((F.col("id") % 100 == 0) & F.col("content").isNotNull()).select(F.col("id").alias("query_id"), X.search_entities(F.col("content")).alias("e")).where(F.size("e") > 0)
+    asked = q.select("query_id", F.size("e").alias("n"), F.explode("e").alias("term"))
+    text = F.lower(F.concat_ws(" ", "label", "content"))
+    held = t("memories").where(F.col("content").isNotNull()).select("id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([a-z0-9][a-z0-9_\-]+)"), 1))).alias("term"))
+    hits = held.join(asked, "term").where(F.col("id") != F.col("query_id")).groupBy("query_id", "id").agg(F.round(F.count(F.lit(1)) / F.max("n"), 6).alias("score"))
+    return _ranked(hits, "entity", k)
+
+
+def temporal(t: Tables, k: int = POOL) -> DataFrame:
+    """The newest rows of the time that the query row's content asks for; rows and times meet by day."""
+    q = t("memories").where((F.col("id") % 100 == 0) & F.col("content").isNotNull()).select(F.col("id").alias("query_id"), X.time_bounds(F.col("content"), now()).alias("b")).where(F.col("b").isNotNull())
+    asked = q.select("query_id", "b", F.explode(F.sequence(F.to_date("b.lo"), F.to_date("b.hi"))).alias("day"))
+    rows = t("memories").where(F.col("created_at").isNotNull()).select("id", F.col("created_at").cast("timestamp").alias("at"))
+    hits = rows.withColumn("day", F.to_date("at")).join(asked, "day").where(F.col("at").between(F.col("b.lo"), F.col("b.hi")) & (F.col("id") != F.col("query_id")))
+    return _ranked(hits.select("query_id", "id", F.unix_micros("at").cast("double").alias("score")), "temporal", k)
+
+
 def fuse(channels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(query_id, id, fused, channels): the sum of the channels' weighted reciprocal ranks."""
     w = F.create_map(*[F.lit(x) for kv in (weights or S.CHANNEL_WEIGHTS).items() for x in kv])
@@ -64,12 +83,24 @@ _LEX = """, d as (select id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+
 _REC = """, pool as (select m.id, v.e from memories m join vec v using (id) where m.created_at is not null order by m.created_at desc, m.id limit 200),
   rp as (select a.id query_id, b.id, round(list_cosine_similarity(a.e, b.e), 6) score from vec a join pool b on a.id <> b.id where a.id % 100 = 0),
   rec as (select * from (select *, row_number() over (partition by query_id order by score desc, id) rank from rp) where rank <= 50)"""
-_FUSED = _V + _SEM + _LEX + _REC + """, ch as (select query_id, id, 1.0 / (60 + rank) p from sem union all select query_id, id, 0.9 / (60 + rank) from lex union all select query_id, id, 1.2 / (60 + rank) from rec),
-  fu as (select query_id, id, sum(p) fused from ch group by 1, 2)"""
+_ENT = r""", qe as (select id query_id, regexp_extract_all(content, '\b[A-Za-z][A-Za-z0-9_\-]{2,}\b') w, regexp_extract_all(content, '\b[A-Za-z0-9_\-]{6,}\b') l from memories where id % 100 = 0 and content is not null),
+  qf as (select query_id, l, list_filter(w, lambda x: regexp_matches(x, '^[A-Z]') or regexp_matches(x, '[0-9]') or regexp_matches(x, '[a-z][A-Z]')) e from qe), qg as (select query_id, l, e, list_transform(e, lambda x: lower(x)) f from qf),
+  qh as (select query_id, case when len(e) > 0 then list_slice(list_filter(f, lambda x, i: list_position(f, x) = i), 1, 8) else list_distinct(list_transform(list_slice(l, 1, 5), lambda x: lower(x))) end e from qg),
+  qt as (select query_id, len(e) n, unnest(e) term from qh), dt as (select id, unnest(list_distinct(regexp_extract_all(lower(concat_ws(' ', label, content)), '[a-z0-9][a-z0-9_\-]+'))) term from memories where content is not null),
+  eh as (select query_id, id, round(count(*)::double / max(n), 6) score from qt join dt using (term) where query_id <> id group by 1, 2), ent as (select * from (select *, row_number() over (partition by query_id order by score desc, id) rank from eh) where rank <= 50)"""
+_CUES = "case " + " ".join(f"when contains(lower(content), '{c}') then {s}" for c, s in X.TIME_CUES) + " end"
+_TMP = rf""", tq as (select id query_id, try_cast(nullif(regexp_extract(content, '\b(\d{{4}}-\d{{2}}-\d{{2}})\b', 1), '') as timestamp) d, {_CUES} s from memories where id % 100 = 0 and content is not null),
+  tb as (select query_id, case when d is not null then d - interval 1 day else {C.NOW} - to_seconds(s) end lo, case when d is not null then d + interval 1 day when s = 172800 then {C.NOW} - interval 1 day else {C.NOW} end hi from tq where d is not null or s is not null),
+  tmp as (select * from (select query_id, id, created_at score, row_number() over (partition by query_id order by created_at desc, id) rank from tb join memories m on m.created_at between lo and hi where id <> query_id) where rank <= 50)"""
+#: Each channel's table in SQL and its weight.
+_CHANNELS = (("semantic", "sem", 1.0), ("bm25", "lex", 0.9), ("recency", "rec", 1.2), ("entity", "ent", 1.0), ("temporal", "tmp", 0.35))
+_ALL = _V + _SEM + _LEX + _REC + _ENT + _TMP
+_FUSED = _ALL + ", ch as (" + " union all ".join(f"select query_id, id, '{n}' c, {w} / (60 + rank) p from {c}" for n, c, w in _CHANNELS) + "), fu as (select query_id, id, sum(p) fused, string_agg(c, ',' order by c) channels from ch group by 1, 2)"
 
 
 def channels(t: Tables) -> DataFrame:
-    return semantic(t).unionByName(lexical(t)).unionByName(recent(t))
+    """The five channels of a query: query_id, id, channel, rank, score."""
+    return semantic(t).unionByName(lexical(t)).unionByName(recent(t)).unionByName(entity(t)).unionByName(temporal(t))
 
 
 @R.add(_V + _LEX + " select query_id, id, rank, score from lex")
@@ -82,13 +113,24 @@ def rt2_recency_channel(t: Tables) -> DataFrame:
     return recent(t).select("query_id", "id", "rank", "score")
 
 
-@R.add(_FUSED + " select query_id, id, round(fused, 9) as fused from fu")
+@R.add(_V + _ENT + " select query_id, id, rank, score from ent")
+def rt2_entity_channel(t: Tables) -> DataFrame:
+    return entity(t).select("query_id", "id", "rank", "score")
+
+
+@R.add(_V + _TMP + " select query_id, id, rank from tmp")
+def rt2_temporal_channel(t: Tables) -> DataFrame:
+    return temporal(t).select("query_id", "id", "rank")
+
+
+@R.add(_FUSED + " select query_id, id, round(fused, 9) as fused, channels from fu")
 def rt3_weighted_rrf(t: Tables) -> DataFrame:
-    return fuse(channels(t)).select("query_id", "id", F.round("fused", 9).alias("fused"))
+    """The fused score of each candidate and the channels that found it."""
+    return fuse(channels(t)).select("query_id", "id", F.round("fused", 9).alias("fused"), F.array_join(F.map_keys("channels"), ",").alias("channels"))
 
 
 _REL = _FUSED + f""", re as (select fu.query_id, fu.id, round(fused + 0.2 * 0.1 * exp(-ln(2) * (greatest(0.0, coalesce(epoch_us({C.NOW}) - epoch_us(m.created_at), 0) / 1e6) / 3600) / 168)
-  + 0.25 * 0.05 * greatest(0.1, least(2.0, case when m.salience is null or m.salience = 0 then 1 else m.salience end * exp(-0.03 * greatest(0.0, coalesce(epoch_us({C.NOW}) - epoch_us(m.created_at), 0) / 1e6) / 86400) + ln(1 + coalesce(m.access_count, 0)) * 0.05)), 6) relevance, m.label
+  + 0.25 * 0.05 * greatest(0.1, least(2.0, case when m.salience is null or m.salience = 0 then 1 else m.salience end * exp(-0.03 * greatest(0.0, coalesce(epoch_us({C.NOW}) - epoch_us(m.created_at), 0) / 1e6) / 86400) + ln(1 + coalesce(m.access_count, 0)) * 0.05)), 6) relevance, m.label, fu.channels
   from fu join memories m on m.id = fu.id where not coalesce(regexp_matches(m.label, '(^|:)u(:p[0-9]+)?$'), false))"""
 
 
@@ -97,14 +139,7 @@ def relevant(t: Tables) -> DataFrame:
     m = t("memories").select("id", "label", "salience", "access_count", "created_at")
     x = fuse(channels(t)).join(m, "id").where(~X.is_echo(F.col("label")))
     score = F.col("fused") + 0.2 * 0.1 * S.temporal_score(now(), F.col("created_at")) + 0.25 * 0.05 * S.effective_salience(F.col("salience"), F.col("access_count"), F.col("created_at"), now())
-    return x.select("query_id", "id", "label", F.round(score, 6).alias("relevance"))
-
-
-@R.add(_REL + " select query_id, id, relevance, rank from (select query_id, id, relevance, row_number() over (partition by query_id order by relevance desc, id) rank from re) where rank <= 10")
-def rt1_recall(t: Tables) -> DataFrame:
-    """The whole retrieval: three channels, fusion, relevance, the best ten of each query."""
-    w = W.partitionBy("query_id").orderBy(F.desc("relevance"), "id")
-    return relevant(t).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= 10).select("query_id", "id", "relevance", "rank")
+    return x.select("query_id", "id", "label", F.round(score, 6).alias("relevance"), F.array_join(F.map_keys("channels"), ",").alias("channels"))
 
 
 @R.add(_REL + ", k as (select *, row_number() over (partition by query_id order by relevance desc, id) k, count(*) over (partition by query_id) n from re where relevance >= 0.02) select query_id, id, relevance from k where k <= greatest(1, round_even(n * 0.5, 0))")
@@ -116,25 +151,89 @@ def flt8_floor_and_percentile(t: Tables) -> DataFrame:
     return x.where(F.col("k") <= F.greatest(F.lit(1.0), F.bround(F.col("n") * 0.5, 0))).select("query_id", "id", "relevance")
 
 
-_SUP = ", su as (select distinct source_id o, target_id n from connections where lower(trim(edge_type)) = 'supersedes' and source_id <> target_id)"
+_KIND = "lower(trim(edge_type)) = 'supersedes' and source_id <> target_id"
+_SUP = f", su as (select distinct source_id o, target_id n from connections where {_KIND})"
+_SUP_NOW = f", su as (select distinct source_id o, target_id n from connections where {_KIND} and coalesce(valid_from, event_time, created_at, timestamp '1970-01-01 00:00:00') <= {C.NOW} and (valid_to is null or valid_to >= {C.NOW}))"
+_ADJUST = """, old as (select distinct re.query_id, su.o id from re join su on su.o = re.id), hit as (select re.query_id, su.n id, max(re.relevance) r from re join su on su.o = re.id group by 1, 2),
+  allr as (select query_id, id, relevance, channels from re union all select h.query_id, h.id, 0, 'supersedes' from hit h where not exists (select 1 from re where re.query_id = h.query_id and re.id = h.id)),
+  adj as (select a.query_id, a.id, a.channels, round(greatest(case when o.id is not null then greatest(0, a.relevance - 0.5) else a.relevance end, coalesce(h.r + 0.01, 0)), 6) relevance from allr a left join old o on o.query_id = a.query_id and o.id = a.id left join hit h on h.query_id = a.query_id and h.id = a.id)"""
 
 
-@R.add(_REL + _SUP + """, old as (select distinct re.query_id, su.o id from re join su on su.o = re.id), hit as (select re.query_id, su.n id, max(re.relevance) r from re join su on su.o = re.id group by 1, 2),
-  allr as (select query_id, id, relevance from re union all select h.query_id, h.id, 0 from hit h where not exists (select 1 from re where re.query_id = h.query_id and re.id = h.id)),
-  adj as (select a.query_id, a.id, greatest(case when o.id is not null then greatest(0, a.relevance - 0.5) else a.relevance end, coalesce(h.r + 0.01, 0)) relevance from allr a left join old o on o.query_id = a.query_id and o.id = a.id left join hit h on h.query_id = a.query_id and h.id = a.id)
-  select query_id, id, round(relevance, 6) as relevance from adj""")
-def rt10_supersession(t: Tables) -> DataFrame:
-    """Superseded rows lose half a point, the rows that replace them come right before; missing ones are put in."""
-    kind = F.lower(F.trim("edge_type"))
-    su = t("connections").where((kind == "supersedes") & (F.col("source_id") != F.col("target_id"))).select(F.col("source_id").alias("o"), F.col("target_id").alias("n")).distinct()
-    re = relevant(t).select("query_id", "id", "relevance")
-    pairs = re.join(su, re.id == su.o)
+def superseded(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """found (query_id, id, relevance, channels) after the superseding ``edges`` (o, n): old rows lose half a point, the
+    rows that replace them come right before; missing ones are put in."""
+    found = shared_checkpoint(found)  # read three times
+    pairs = found.join(edges, F.col("id") == F.col("o"))
     old = pairs.select("query_id", "id").distinct().withColumn("is_old", F.lit(True))
     hit = pairs.groupBy("query_id", F.col("n").alias("id")).agg(F.max("relevance").alias("r"))
-    rows = re.join(hit, ["query_id", "id"], "full").join(old, ["query_id", "id"], "left")
+    rows = found.join(hit, ["query_id", "id"], "full").join(old, ["query_id", "id"], "left")
     own = F.coalesce("relevance", F.lit(0.0))
     lowered = F.when(F.col("is_old"), F.greatest(F.lit(0.0), own - 0.5)).otherwise(own)
-    return rows.select("query_id", "id", F.round(F.greatest(lowered, F.coalesce(F.col("r") + 0.01, F.lit(0.0))), 6).alias("relevance"))
+    return rows.select("query_id", "id", F.round(F.greatest(lowered, F.coalesce(F.col("r") + 0.01, F.lit(0.0))), 6).alias("relevance"), F.coalesce("channels", F.lit("supersedes")).alias("channels"))
+
+
+def superseding_edges(t: Tables, at=None) -> DataFrame:
+    """(o, n): what superseded what; with ``at`` only by edges that are valid then."""
+    c = t("connections").where((F.lower(F.trim("edge_type")) == "supersedes") & (F.col("source_id") != F.col("target_id")))
+    c = c if at is None else c.where(E.valid_at(at))
+    return c.select(F.col("source_id").alias("o"), F.col("target_id").alias("n")).distinct()
+
+
+@R.add(_REL + _SUP + _ADJUST + " select query_id, id, relevance from adj")
+def rt10_supersession(t: Tables) -> DataFrame:
+    """Superseded rows lose half a point, the rows that replace them come right before; missing ones are put in."""
+    return superseded(relevant(t).drop("label"), superseding_edges(t)).select("query_id", "id", "relevance")
+
+
+def rerank(hits: DataFrame, scorer, head: int = 12) -> DataFrame:
+    """The first ``head`` hits (query_id, id, rank, score and what ``scorer`` reads) with 0.65 of a model's score and 0.35 of their own.
+
+    scorer: a Column of the rows' columns, for instance of an Arrow function around a cross-encoder.
+    """
+    top = F.max("score").over(W.partitionBy("query_id"))
+    return hits.where(F.col("rank") <= head).withColumn("score", 0.35 * F.col("score") / top + 0.65 * S.sigmoid(scorer))
+
+
+def recall(t: Tables, k: int = 10, at=None, floor: float | None = None, keep: float | None = None, lam: float | None = None, scorer=None) -> DataFrame:
+    """(query_id, id, relevance, channels, rank): the whole retrieval.
+
+    Five channels are fused, time and salience added, users' echoes left out and superseded rows lowered, by edges that are
+    valid at ``at``.  Then, where they are given: only rows of at least ``floor``, the better part ``keep`` of them, a
+    model's ``scorer`` (a Column over id, label and content) blended into the head, and an order of maximal marginal
+    relevance with ``lam``.
+    """
+    found = superseded(relevant(t).drop("label"), superseding_edges(t, now() if at is None else at))
+    if floor is not None:
+        found = found.where(F.col("relevance") >= floor)
+    w = W.partitionBy("query_id")
+    order = w.orderBy(F.desc("relevance"), "id")
+    if keep is not None:
+        found = found.withColumn("k", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(w))
+        found = found.where(F.col("k") <= F.greatest(F.lit(1.0), F.bround(F.col("n") * keep, 0))).drop("k", "n")
+    if scorer is not None:
+        ranked = found.withColumn("rank", F.row_number().over(order)).withColumnRenamed("relevance", "score")
+        texts = t("memories").select("id", "label", "content")
+        head = rerank(ranked.join(texts, "id"), scorer, min(POOL, max(3 * k, k, 12)))
+        found = head.select("query_id", "id", F.round("score", 6).alias("relevance"), "channels")
+    if lam is not None:
+        from recallgrid.operators.sequential import mmr
+
+        picked = mmr(found.select("query_id", "id", "relevance").join(vecs(t), "id"), k, lam).where(F.col("rank") <= k)
+        return picked.join(found, ["query_id", "id"]).select("query_id", "id", "relevance", "channels", "rank")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "id", "relevance", "channels", "rank")
+
+
+@R.add(_REL + _SUP_NOW + _ADJUST + """, fl as (select *, row_number() over (partition by query_id order by relevance desc, id) k, count(*) over (partition by query_id) n from adj where relevance >= 0.01)
+  select query_id, id, relevance, channels, k as rank from fl where k <= greatest(1, round_even(n * 0.75, 0)) and k <= 10""")
+def rt1_recall(t: Tables) -> DataFrame:
+    """The whole retrieval with a floor and the better three quarters, ten rows a query."""
+    return recall(t, 10, floor=0.01, keep=0.75)
+
+
+@R.add()
+def rt1_recall_diverse(t: Tables) -> DataFrame:
+    """The whole retrieval in the order of maximal marginal relevance."""
+    return recall(t, 10, lam=0.7)
 
 
 @R.add(_V + _SEM + ", f as (select (query_id // 1000) as grp, id, sum(1.0 / (60 + rank - 1)) s, min(rank) r from sem where rank <= 20 group by 1, 2) select grp, id, round(s, 9) as score, r as best_rank from f")
@@ -167,13 +266,14 @@ def rt13_with_neighbours(t: Tables) -> DataFrame:
     return found.withColumn("score", F.round("score", 8)).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= 20).select("query_id", "id", "score", "via", "rank")
 
 
-@R.add(_FUSED + """, w as (select 'all' cfg, 1.0 s, 0.9 l, 1.2 r union all select 'no_semantic', 0, 0.9, 1.2 union all select 'no_bm25', 1.0, 0, 1.2 union all select 'no_recency', 1.0, 0.9, 0),
-  a as (select cfg, query_id, id, s / (60 + rank) p from sem, w union all select cfg, query_id, id, l / (60 + rank) from lex, w union all select cfg, query_id, id, r / (60 + rank) from rec, w),
-  g as (select cfg, query_id, id, round(sum(p), 9) f from a group by 1, 2, 3 having sum(p) > 0), k as (select *, row_number() over (partition by cfg, query_id order by f desc, id) k from g) select cfg, query_id, id, k as rank from k where k <= 5""")
+_CONFIGS = {"all": {n: w for n, _, w in _CHANNELS}, **{f"no_{left}": {n: w for n, _, w in _CHANNELS if n != left} for left, _, _ in _CHANNELS}}
+
+
+@R.add(_ALL + ", a as (" + " union all ".join(f"select '{cfg}' cfg, query_id, id, {ws[n]} / (60 + rank) p from {c}" for cfg, ws in _CONFIGS.items() for n, c, _ in _CHANNELS if n in ws) + """),
+  g as (select cfg, query_id, id, round(sum(p), 9) f from a group by 1, 2, 3), k as (select *, row_number() over (partition by cfg, query_id order by f desc, id) k from g) select cfg, query_id, id, k as rank from k where k <= 5""")
 def rt17_ablation(t: Tables) -> DataFrame:
     """The fused top five with each channel left out in turn: the channels are read once."""
-    full = {"semantic": 1.0, "bm25": 0.9, "recency": 1.2}
-    configs = {"all": full, **{f"no_{c}": {**full, c: 0.0} for c in full}}
+    configs = _CONFIGS
     rows = [(cfg, c, w) for cfg, ws in configs.items() for c, w in ws.items() if w > 0]
     table_of = F.broadcast(t.spark.createDataFrame(rows, "cfg string, channel string, weight double"))
     x = channels(t).join(table_of, "channel").groupBy("cfg", "query_id", "id").agg(F.round(F.sum(S.rrf(F.col("rank"), F.col("weight"))), 9).alias("f"))

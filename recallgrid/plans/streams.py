@@ -48,9 +48,29 @@ def sm3_counting_trigger(t: Tables) -> DataFrame:
     return fired.groupBy("user_id").agg(F.sum("fired").alias("fired"))
 
 
-@R.add("select turn_id, case when lower(trim(role)) = 'user' then 'user-msg' else 'asst-msg' end as label, case when lower(trim(role)) = 'user' then 'Q: ' else 'A: ' end || substr(content, 1, 500) as content from turns where length(trim(content)) >= 20")
+_SAID = "md5(trim(regexp_replace(lower(content), '[^\\p{L}\\p{N}]+', ' ', 'g')))"
+
+
+@R.add(f"select distinct case when lower(trim(role)) = 'user' then 'user-msg' else 'asst-msg' end as label, {_SAID} as said from turns where length(trim(content)) >= 20")
 def sm1_absorb_turns(t: Tables) -> DataFrame:
-    return settle(S.absorbed(stream(t.spark, t.root, "turns")), "append")
+    """What an ingest has taken in; which of several equal turns it was depends on their arrival, so the check compares what was said."""
+    return settle(S.absorbed(stream(t.spark, t.root, "turns")), "append").select("label", "said")
+
+
+@R.add("select user_id, ts + interval 6 hours as run_at from (select user_id, ts, lead(ts) over (partition by user_id order by ts) nx from events) where nx is null or nx - ts >= interval 6 hours")
+def sm3_idle_trigger(t: Tables) -> DataFrame:
+    """When a cycle may run: six hours after the last event of a burst."""
+    x = settle(S.idle_runs(events(t), "6 hours", "3650 days"))
+    return x.select("user_id", F.col("run_at").cast("timestamp_ntz").alias("run_at"))
+
+
+@R.add("select 'memories' as tab, id as row_id, 'memory.added' as kind, created_at as at from memories union all select 'connections', id, 'edge.changed', ingestion_time from connections union all select 'dream_sessions', id, case when finished_at is null then 'phase.started' else 'phase.finished' end, started_at from dream_sessions")
+def sm2_event_feed(t: Tables) -> DataFrame:
+    """Three tables as one feed of events, each row once; the offsets in the query's checkpoint are the high-water marks."""
+    of = lambda name: stream(t.spark, t.root, name)
+    feed = S.changes(of("memories"), "memories", F.lit("memory.added"), "created_at").unionByName(S.changes(of("connections"), "connections", F.lit("edge.changed"), "ingestion_time"))
+    feed = feed.unionByName(S.changes(of("dream_sessions"), "dream_sessions", F.when(F.col("finished_at").isNull(), "phase.started").otherwise("phase.finished"), "started_at"))
+    return settle(feed, "append").withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 @R.add("select 'memory.added' as kind, count(*) as n from memories union all select 'edge.changed', count(*) from connections union all select 'phase.' || case when finished_at is null then 'started' else 'finished' end, count(*) from dream_sessions group by finished_at is null")
@@ -62,9 +82,15 @@ def sm2_change_feed(t: Tables) -> DataFrame:
     return settle(feed.groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
 
 
-@R.add("select event_type, max(ts) as last_at, count(*) as n from events where ts >= (select max(ts) from events) - interval 7 days group by 1")
-def sm5_retention(t: Tables) -> DataFrame:
-    """What a state with a time to live of seven days still holds at the end of the events."""
-    e = t("events")
-    last = e.agg(F.max("ts")).first()[0]
-    return e.where(F.col("ts") >= F.lit(last).cast("timestamp_ntz") - F.expr("interval 7 days")).groupBy("event_type").agg(F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("n"))
+@R.add("select event_type, max(ts) as last_at from events group by 1")
+def sm5_state_with_ttl(t: Tables) -> DataFrame:
+    """The last event of each type, out of a state that expires seven days after it."""
+    x = settle(S.last_seen(events(t), 7 * 86_400_000), "append")
+    return x.groupBy("event_type").agg(F.max("last_at").alias("at")).select("event_type", F.col("at").cast("timestamp_ntz").alias("last_at"))
+
+
+@R.add("select greatest((select max(id) from memories), 0) as memories, greatest((select max(id) from connections), 0) as connections, (select count(*) from memories) as n_memories, (select count(*) from connections) as n_connections")
+def sm6_drift_marks(t: Tables) -> DataFrame:
+    """What a process compares to see that another has written: the largest id and the number of rows of each table."""
+    mark = lambda name: t(name).agg(F.greatest(F.max("id"), F.lit(0)).alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
+    return mark("memories").join(mark("connections")).select("memories", "connections", "n_memories", "n_connections")  # one row each

@@ -40,8 +40,44 @@ def every_nth(events: DataFrame, n: int) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, fired long", "seen long", "append", GroupStateTimeout.NoTimeout)
 
 
-def absorbed(turns: DataFrame) -> DataFrame:
-    """Rows that an ingest keeps of arriving turns: long enough, with the text as it is stored."""
+def absorbed(turns: DataFrame, late: str = "3650 days") -> DataFrame:
+    """Rows that an ingest keeps of arriving turns: long enough, with the text as it is stored, and none that says what
+    another has said already (case, marks and blanks aside), as far as the watermark reaches back."""
     c = F.trim("content")
     role = F.lower(F.trim("role"))
-    return turns.where(F.char_length(c) >= 20).select("turn_id", F.when(role == "user", "user-msg").otherwise("asst-msg").alias("label"), F.concat(F.when(role == "user", "Q: ").otherwise("A: "), F.substring("content", 1, 500)).alias("content"))
+    said = F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N}]+", " ")
+    kept = turns.where(F.char_length(c) >= 20).select("turn_id", F.when(role == "user", "user-msg").otherwise("asst-msg").alias("label"), F.concat(F.when(role == "user", "Q: ").otherwise("A: "), F.substring("content", 1, 500)).alias("content"), F.md5(F.trim(said)).alias("said"), F.coalesce(F.col("created_at").cast("timestamp"), F.timestamp_seconds(F.lit(1704067200))).alias("at"))
+    return kept.withWatermark("at", late).dropDuplicatesWithinWatermark(["label", "said"]).drop("at")
+
+
+def changes(rows: DataFrame, tab: str, kind, at: str) -> DataFrame:
+    """An event per arriving row: tab, row_id, kind, at.  Offsets of the source are the high-water mark."""
+    return rows.select(F.lit(tab).alias("tab"), F.col("id").alias("row_id"), kind.alias("kind"), F.col(at).cast("timestamp").alias("at"))
+
+
+def idle_runs(events: DataFrame, idle: str, late: str = "1 day") -> DataFrame:
+    """(user_id, run_at): when a user has been idle for ``idle`` after a burst of events, which is when a cycle may run."""
+    w = F.session_window("ts", idle)
+    return events.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.end").alias("run_at"), "n")
+
+
+def last_seen(events: DataFrame, ttl_ms: int, late: str = "1 day") -> DataFrame:
+    """(event_type, last_at, expired): a state per type that expires when event time has passed its last event by ``ttl_ms``.
+
+    A type gives a row when its state is written (expired is false) and one when it times out.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"event_type": [key[0]], "last_at": [pd.Timestamp(last, unit="us", tz="UTC")], "expired": [True]})
+            return
+        last = state.get[0] if state.exists else 0
+        for b in batches:
+            last = max(last, int(b["ts"].max().as_unit("ns").value // 1000))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_type": [key[0]], "last_at": [pd.Timestamp(last, unit="us", tz="UTC")], "expired": [False]})
+
+    return events.withWatermark("ts", late).groupBy("event_type").applyInPandasWithState(step, "event_type string, last_at timestamp, expired boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
