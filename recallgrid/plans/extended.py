@@ -42,9 +42,11 @@ def src12_access_log(t: Tables) -> DataFrame:
     return I.through_json_lines(t("events").select("event_id", "user_id", "event_type", "value"))
 
 
-@R.add("select vec_id, label from embeddings")
+@R.add("select vec_id, label, len(embedding) as dim, round(list_sum(embedding::double[]), 5) as total, round(embedding[1]::double, 6) as first from embeddings")
 def src13_snapshot(t: Tables) -> DataFrame:
-    return I.through_snapshot(t("embeddings").select("vec_id", "label"))
+    """A snapshot of the vectors, written and read again; the check compares what the vectors hold."""
+    x = I.through_snapshot(t("embeddings").select("vec_id", "label", "embedding"))
+    return x.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"), F.round(V.total(V.doubles(F.col("embedding"))), 5).alias("total"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
 
 
 @R.add("select 'pulse:' || id as label, '[finding] ' || trim(content) as content, coalesce(salience, 1.0) as salience from memories where content is not null and trim(content) <> ''")
@@ -134,9 +136,14 @@ _SIGNALS = "with " + C.PAIRS + ", " + _SEM + """, c as (select s.*, m.last_acces
 @R.add(_SIGNALS + " select query_id, id, round(0.5 * score + 0.2 * exp(-ln(2) * coalesce((epoch_us(ref) - epoch_us(la)) / 1e6, 0) / 3600 / 24) + 0.15 * case when top > 0 then log2(1 + n) / log2(1 + top) else 0 end + 0.15 * case when linked then 0.5 else 0 end, 9) as score from w")
 def vx10_multi_signal(t: Tables) -> DataFrame:
     """Cosine, recency of use, frequency and nearness in the graph of each query's fifty nearest rows."""
+    return multi_signal(t, semantic(t))
+
+
+def multi_signal(t: Tables, hits: DataFrame) -> DataFrame:
+    """hits (query_id, id, score) scored by several signals: half their score, recency of use, frequency, nearness in the graph."""
     m = t("memories").select("id", "last_accessed", F.coalesce("access_count", F.lit(0)).alias("n"))
     linked = pairs(t).select(F.inline(F.array(F.struct(F.col("a").alias("query_id"), F.col("b").alias("id")), F.struct(F.col("b").alias("query_id"), F.col("a").alias("id"))))).distinct().withColumn("linked", F.lit(0.5))
-    x = semantic(t).join(m, "id").join(linked, ["query_id", "id"], "left")
+    x = hits.join(m, "id").join(linked, ["query_id", "id"], "left")
     w = W.partitionBy("query_id")
     x = x.withColumn("ref", F.max("last_accessed").over(w)).withColumn("top", F.max("n").over(w).cast("double"))
     age = F.coalesce(S.seconds_between(F.col("ref"), F.col("last_accessed")), F.lit(0.0)) / 3600

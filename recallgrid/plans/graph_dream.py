@@ -251,11 +251,11 @@ def dr10_derived_rows(t: Tables) -> DataFrame:
 
 @R.add("with " + C.BOTH + ", " + C.VECTORS + """, nb as (select b.src id, b.w, v.e, row_number() over (partition by b.src order by b.w desc, b.dst) k from bw b join vec v on v.id = b.dst), tp as (select * from nb where k <= 20),
   ws as (select id, sum(w) s from tp group by 1 having sum(w) > 0), x as (select tp.id, i, sum(w * e[i]) v from tp, (select unnest(range(1, 65)) i) group by 1, 2), mx as (select vec.id, x.i, 0.4 * vec.e[x.i] + 0.6 * x.v / ws.s m from vec join ws using (id) join x using (id)),
-  ln as (select id, sqrt(sum(m * m)) l from mx group by 1) select mx.id, round(mx.m / ln.l, 5) as first from mx join ln using (id) where i = 1 union all select id, round(e[1], 5) from vec where id not in (select id from ws)""")
+  ln as (select id, sqrt(sum(m * m)) l from mx group by 1) select mx.id, mx.i::bigint as i, round(mx.m / ln.l, 5) as value from mx join ln using (id) union all select id, x.i, round(e[x.i], 5) from vec, (select unnest(range(1, 65)) i) x where id not in (select id from ws)""")
 def dr13_smoothed_vectors(t: Tables) -> DataFrame:
-    """Neighbourhood-smoothed embeddings; the first component stands for the vector in the check."""
+    """Neighbourhood-smoothed embeddings, one row per component."""
     rows = vecs(t).select("id", V.doubles(F.col("vec")).alias("vec"))
-    return D.smoothed(rows, graph(t)).select("id", F.round(F.element_at("vec", 1), 5).alias("first"))
+    return D.smoothed(rows, graph(t)).select("id", F.posexplode("vec").alias("at", "v")).select("id", (F.col("at") + 1).cast("long").alias("i"), F.round("v", 5).alias("value"))
 
 
 @R.add("select s.id, date_diff('second', s.started_at, s.finished_at) as seconds, count(i.id) as insights, s.finished_at is null as aborted from dream_sessions s left join dream_insights i on i.session_id = s.id group by s.id, s.started_at, s.finished_at")

@@ -102,11 +102,13 @@ def snk8_latest_value(t: Tables) -> DataFrame:
     return t("memory_revisions").groupBy("memory_id").agg(F.max_by(F.struct("new_content"), F.struct(F.col("created_at").isNotNull(), "created_at", "id")).alias("v")).select("memory_id", F.col("v.new_content").alias("value"))
 
 
-@R.add("select (select count(*) from memories) as kept, (select count(distinct r.memory_id) from memory_revisions r where not exists (select 1 from memories m where m.id = r.memory_id)) as added")
+@R.add("select id, label, content, 'kept' as origin from memories union all select memory_id, null, max_by(coalesce(new_content, old_content), r.id), 'copied' from memory_revisions r where memory_id is not null and not exists (select 1 from memories m where m.id = r.memory_id) group by 1")
 def snk10_copy_missing(t: Tables) -> DataFrame:
-    m = t("memories").select("id")
-    added = t("memory_revisions").select(F.col("memory_id").alias("id")).distinct().join(m, "id", "left_anti")
-    return m.withColumn("k", F.lit("kept")).unionByName(added.where(F.col("id").isNotNull()).withColumn("k", F.lit("added"))).agg(F.count_if(F.col("k") == "kept").alias("kept"), F.count_if(F.col("k") == "added").alias("added"))
+    """A copy that adds only rows whose id is missing in the target, each with what its latest revision says."""
+    m = t("memories").select("id", "label", "content")
+    r = t("memory_revisions").where(F.col("memory_id").isNotNull()).groupBy(F.col("memory_id").alias("id")).agg(F.max_by(F.coalesce("new_content", "old_content"), "id").alias("content"))
+    added = r.join(m.select("id"), "id", "left_anti").select("id", F.lit(None).cast("string").alias("label"), "content", F.lit("copied").alias("origin"))
+    return m.withColumn("origin", F.lit("kept")).unionByName(added)
 
 
 # Filters -------------------------------------------------------------------------------------------------------------
