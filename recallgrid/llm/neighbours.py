@@ -178,7 +178,7 @@ def neighbours(memories: DataFrame, top: int = TOP, threshold: float = THRESHOLD
     spark = memories.sparkSession
     vecs = vectors(memories)
     n = vecs.count()
-    sample = bounded_sample(vecs)
+    sample = bounded_sample(vecs, n_rows=n)
     if not len(sample):
         return spark.createDataFrame([], "id long, other long, cosine double, rank int")
     k = centroids_per_half(n)

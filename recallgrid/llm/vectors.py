@@ -53,10 +53,17 @@ def tasks_for(rows: int) -> int:
     return max(4, -(-rows // TASK_ROWS))
 
 
-def bounded_sample(vecs: DataFrame, size: int = SAMPLE) -> np.ndarray:
-    """At most ``size`` of the vectors, chosen by the hash of their ids, as unit rows."""
-    rows = vecs.select("id", "embedding", F.xxhash64("id", F.lit("sample")).alias("h")).orderBy("h", "id").limit(size).select("embedding").toArrow()
-    return unit(matrix(rows.column(0))) if rows.num_rows else np.zeros((0, DIM))
+def bounded_sample(vecs: DataFrame, size: int = SAMPLE, n_rows: int | None = None) -> np.ndarray:
+    """At most ``size`` of the vectors, those with the least hashes of their ids, as unit rows.
+
+    n_rows: how many vectors there are.  Then each partition hands over its share only: rows beyond twice the hash that
+    ``size`` rows are expected to stay below are left out at once.
+    """
+    rows = vecs.select("id", "embedding", F.xxhash64("id", F.lit("sample")).alias("h"))
+    if n_rows and n_rows > 4 * size:
+        rows = rows.where(F.col("h") < -(1 << 63) + int((1 << 64) * (2 * size / n_rows)))
+    got = rows.orderBy("h", "id").limit(size).select("embedding").toArrow()
+    return unit(matrix(got.column(0))) if got.num_rows else np.zeros((0, DIM))
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
