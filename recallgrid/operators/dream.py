@@ -85,9 +85,17 @@ def communities(edges: DataFrame, floor: float = 0.05) -> DataFrame:
     return connected_components(edges.where((F.col("weight") >= floor) & (F.col("edge_type") != "derived_from")).select(F.col("s").alias("a"), F.col("t").alias("b")))
 
 
-def insights(members: DataFrame, least: int = 10) -> DataFrame:
-    """One insight per community (id, root) of at least ``least`` members: anchor, size, confidence min(size / 10, 1)."""
-    return members.groupBy("root").agg(F.min("id").alias("anchor"), F.count(F.lit(1)).alias("size")).where(F.col("size") >= least).select("anchor", "size", F.least(F.col("size") / 10.0, F.lit(1.0)).alias("confidence"))
+def insights(members: DataFrame, least: int = 10, seen: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """One insight per community (id, root) of at least ``least`` members: anchor, size, confidence min(size / 10, 1).
+
+    Communities whose anchor, the smallest id, is in ``seen`` (anchor) give none; ``most`` keeps the largest of the others.
+    """
+    found = members.groupBy("root").agg(F.min("id").alias("anchor"), F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
+    if seen is not None:
+        found = found.join(seen.select("anchor").distinct(), "anchor", "left_anti")
+    if most is not None:
+        found = found.orderBy(F.desc("size"), "anchor").limit(most)
+    return found.select("anchor", "size", F.least(F.col("size") / 10.0, F.lit(1.0)).alias("confidence"))
 
 
 def bridge_nodes(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -72,6 +72,18 @@ def vx5_top_tokens(t: Tables) -> DataFrame:
     return places.select("doc", F.col("place").cast("long").alias("place"), "vec_id")
 
 
+@R.add("""with e as (select vec_id, vec_id // 10 as seq, (vec_id % 10)::int p, embedding::double[] v from embeddings), u as (select *, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) n from e),
+  r as (select seq, p, list_concat(n[65 - p : 64], n[1 : 64 - p]) r from u), s as (select seq, i, sum(r[i]) x from r, (select unnest(range(1, 65)) i) group by 1, 2), l as (select seq, sqrt(sum(x * x)) l from s group by 1) select s.seq, s.i::bigint as i, round(s.x / l.l, 6) as value from s join l using (seq)""")
+def vx9_sequences(t: Tables) -> DataFrame:
+    """Sequences of ten vectors each as one: every vector rotated by its place, summed up and scaled to length 1."""
+    u = t("embeddings").select(F.floor(F.col("vec_id") / 10).cast("long").alias("seq"), (F.col("vec_id") % 10).alias("p"), V.normalize(V.doubles(F.col("embedding"))).alias("v"))
+    at = F.posexplode("v").alias("j", "x")
+    moved = u.select("seq", "p", at).select("seq", (F.pmod(F.col("j") + F.col("p"), F.lit(DIM)) + 1).cast("long").alias("i"), "x")
+    s = moved.groupBy("seq", "i").agg(F.sum("x").alias("x"))
+    length = s.groupBy("seq").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
+    return s.join(length, "seq").select("seq", "i", F.round(F.col("x") / F.col("l"), 6).alias("value"))
+
+
 @R.add()
 def vx8_associative_recall(t: Tables) -> DataFrame:
     """The stored vector that each asked row settles on, with confidence, entropy and steps."""

@@ -299,14 +299,15 @@ def gr20_remove_nodes(t: Tables) -> DataFrame:
     return pairs(t).join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", F.col("w").alias("weight"))
 
 
-@R.add("with " + C.BOTH + ", dg as (select m.id, m.salience, m.created_at, coalesce(d.n, 0) n from memories m left join (select src, count(*) n from bw group by 1) d on d.src = m.id), lo as (select * from dg where n < 3), s as (select id, 1 sl, row_number() over (order by created_at desc nulls last, id) p from lo union all select id, 2, row_number() over (order by salience nulls last, id) from lo) select id, min(sl)::bigint as slice from s where (sl = 1 and p <= 40) or (sl = 2 and p <= 20) group by id")
+@R.add("with " + C.BOTH + ", dg as (select m.id, m.salience, m.created_at, coalesce(d.n, 0) n from memories m left join (select src, count(*) n from bw group by 1) d on d.src = m.id), lo as (select * from dg where n < 3), s as (select id, 1 sl, row_number() over (order by created_at desc nulls last, id) p from lo union all select id, 2, row_number() over (order by salience nulls last, id) from lo union all select id, 3, row_number() over (order by md5(concat(id, ':', 42)), id) from lo) select id, min(sl)::bigint as slice from s where (sl = 1 and p <= 40) or (sl = 2 and p <= 20) or (sl = 3 and p <= 20) group by id")
 def dr2_isolated_sample(t: Tables) -> DataFrame:
-    """Of the rows with fewer than three neighbours the newest and the least salient."""
+    """Of the rows with fewer than three neighbours the newest, the least salient and some at random (by a hash)."""
     deg = graph(t).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     low = t("memories").select("id", "salience", "created_at").join(deg, "id", "left").where(F.coalesce("n", F.lit(0)) < 3)
     new = low.orderBy(F.desc_nulls_last("created_at"), "id").limit(40).select("id", F.lit(1).cast("long").alias("slice"))
     dull = low.orderBy(F.asc_nulls_last("salience"), "id").limit(20).select("id", F.lit(2).cast("long").alias("slice"))
-    return new.unionByName(dull).groupBy("id").agg(F.min("slice").alias("slice"))
+    some = low.orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(":42"))), "id").limit(20).select("id", F.lit(3).cast("long").alias("slice"))
+    return new.unionByName(dull).unionByName(some).groupBy("id").agg(F.min("slice").alias("slice"))
 
 
 @R.add("with " + C.UPSERTED + " select -1::bigint as s, -1::bigint as t, count(*) as edges, round(sum(weight), 6) as old_weight, round(sum(greatest(0, weight - 0.01)), 6) as new_weight from up where weight > 0.05")

@@ -82,20 +82,25 @@ def gr9_subgraph(t: Tables) -> DataFrame:
     return pairs(t).join(near.select(F.col("id").alias("a")), "a", "left_semi").join(near.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", F.col("w").alias("weight"))
 
 
-@R.add("with " + C.BOTH + """, dg as (select src, count(*) d from bw group by 1), cn as (select x.dst query_id, y.dst id, count(*) common, sum(case when d > 1 then 1 / ln(d) else 0 end) aa from bw x join bw y on x.src = y.src and x.dst <> y.dst join dg on dg.src = x.src where x.dst % 100 = 0 group by 1, 2),
-  sc as (select cn.query_id, cn.id, common, round(0.3 * common / least(da.d, db.d) + 0.4 * aa, 6) score from cn join dg da on da.src = cn.query_id join dg db on db.src = cn.id where not exists (select 1 from bw where bw.src = cn.query_id and bw.dst = cn.id)),
-  r as (select *, row_number() over (partition by query_id order by score desc, id) rank from sc) select query_id, id, common, score, rank from r where rank <= 10""")
+@R.add("with " + C.BOTH + ", " + C.VECTORS + """, dg as (select src, count(*) d from bw group by 1), cn as (select x.dst query_id, y.dst id, count(*) common, sum(case when d > 1 then 1 / ln(d) else 0 end) aa from bw x join bw y on x.src = y.src and x.dst <> y.dst join dg on dg.src = x.src where x.dst % 100 = 0 group by 1, 2),
+  pt as (select cn.query_id, cn.id, common, common / least(da.d, db.d)::double cs, aa, coalesce(list_cosine_similarity(u.e, v.e), 0) emb from cn join dg da on da.src = cn.query_id join dg db on db.src = cn.id left join vec u on u.id = cn.query_id left join vec v on v.id = cn.id where not exists (select 1 from bw where bw.src = cn.query_id and bw.dst = cn.id)),
+  sc as (select query_id, id, common, round(0.3 * cs + 0.4 * aa + 0.3 * emb, 6) score, case when aa >= cs and aa >= emb then 'adamic_adar' when emb >= cs then 'embedding' else 'common_neighbors' end as method from pt),
+  r as (select *, row_number() over (partition by query_id order by score desc, id) rank from sc where score > 0.1) select query_id, id, common, score, method, rank from r where rank <= 10""")
 def gr10_link_prediction(t: Tables) -> DataFrame:
-    """For each node whose id is divisible by 100 its ten likeliest missing links, by common neighbours and Adamic-Adar."""
+    """For each node whose id is divisible by 100 its ten likeliest missing links, by common neighbours, Adamic-Adar and cosine."""
     from pyspark.sql import Window as W
 
-    g = graph(t)
+    g = shared_checkpoint(graph(t))
     deg = g.groupBy(F.col("src").alias("n")).agg(F.count(F.lit(1)).alias("d"))
     c = G.two_hop(g, g.where(F.col("src") % 100 == 0).select(F.col("src").alias("id")))
     c = c.join(deg.select(F.col("n").alias("query_id"), F.col("d").alias("da")), "query_id").join(deg.select(F.col("n").alias("id"), F.col("d").alias("db")), "id")
-    s = F.round(0.3 * F.col("common") / F.least("da", "db") + 0.4 * F.col("aa"), 6)
+    v = vecs(t).select("id", V.doubles(F.col("vec")).alias("v"))
+    c = c.join(v.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id", "left").join(v, "id", "left")
+    c = c.select("query_id", "id", "common", "aa", (F.col("common") / F.least("da", "db")).alias("cs"), F.coalesce(V.cosine(F.col("q"), F.col("v")), F.lit(0.0)).alias("emb"))
+    s = F.round(0.3 * F.col("cs") + 0.4 * F.col("aa") + 0.3 * F.col("emb"), 6)
+    method = F.when((F.col("aa") >= F.col("cs")) & (F.col("aa") >= F.col("emb")), "adamic_adar").when(F.col("emb") >= F.col("cs"), "embedding").otherwise("common_neighbors")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return c.select("query_id", "id", "common", s.alias("score")).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= 10)
+    return c.select("query_id", "id", "common", s.alias("score"), method.alias("method")).where(F.col("score") > 0.1).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= 10)
 
 
 @R.add("with " + C.BOTH + """, dg as (select src, count(*) d from bw group by 1), cn as (select x.dst a, y.dst b, count(*) common from bw x join bw y on x.src = y.src and x.dst < y.dst group by 1, 2)
@@ -229,9 +234,16 @@ def dr7_supersedes(t: Tables) -> DataFrame:
 _BIG = REC(C.EDGES + ", e as (select s, t from ce where weight >= 0.05 and edge_type <> 'derived_from'), bw as (select s src, t dst from e union select t, s from e), r(id, root) as (select distinct src, src from bw union select b.dst, r.root from r join bw b on b.src = r.id where r.root < b.dst), c as (select id, min(root) root from r group by 1)")
 
 
-@R.add(_BIG + " select min(id) as anchor, count(*) as size, least(count(*) / 10.0, 1.0)::double as confidence from c group by root having count(*) >= 10")
+def recent_anchors(t: Tables) -> DataFrame:
+    """(anchor): what insights of the last six hours are about."""
+    return t("dream_insights").where(F.col("created_at") >= F.lit("2025-12-30 18:00:00").cast("timestamp_ntz")).select(F.col("source_memory_id").alias("anchor"))
+
+
+@R.add(_BIG + """, g as (select min(id) anchor, count(*) size from c group by root having count(*) >= 10) select anchor, size, least(size / 10.0, 1.0)::double as confidence from g
+  where anchor not in (select source_memory_id from dream_insights where source_memory_id is not null and created_at >= timestamp '2025-12-30 18:00:00') order by size desc, anchor limit 50""")
 def dr9_insights(t: Tables) -> DataFrame:
-    return D.insights(D.communities(E.clean_edges(t("connections"))))
+    """The fifty largest communities of ten and more members, but those that the last six hours' insights are about."""
+    return D.insights(D.communities(E.clean_edges(t("connections"))), seen=recent_anchors(t), most=50)
 
 
 @R.add("""with m as (select id, split_part(label, ':', 1) g, row_number() over (partition by split_part(label, ':', 1) order by id) k, count(*) over (partition by split_part(label, ':', 1)) n from memories where label is not null)
@@ -335,8 +347,7 @@ def dr25_dream_cycle(t: Tables) -> DataFrame:
     hits = semantic(t).select("query_id", "id", F.col("score").alias("sim"))
     new = shared_checkpoint(D.bridges(hits, edges))
     s = D.State(s.memories, edges.unionByName(new, allowMissingColumns=True), s.history)
-    recent = t("dream_insights").where(F.col("created_at") >= F.lit("2025-12-30 18:00:00").cast("timestamp_ntz")).select(F.col("source_memory_id").alias("anchor"))
-    found = D.insights(D.communities(s.edges)).join(recent, "anchor", "left_anti").orderBy(F.desc("size"), "anchor").limit(50)
+    found = D.insights(D.communities(s.edges), seen=recent_anchors(t), most=50)
     row = lambda df, phase, amount: df.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(amount), 6).alias("amount")).select(F.lit(phase).alias("phase"), "n", "amount")
     parts = (row(s.history, "strengthened", F.col("new_weight") - F.col("old_weight")), row(edges, "edges", F.col("weight")), row(new, "bridges", F.col("weight")), row(found, "insights", F.col("confidence")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -138,10 +138,10 @@ def flt5_weight_band(t: Tables) -> DataFrame:
     return t("connections").where((w >= 0.3) & (w <= 0.95) & ~F.isnan(w)).select("id", "weight")
 
 
-@R.add("select turn_id from turns where content is null or length(trim(content)) < 20 or regexp_matches(lower(content), 'remind me|not yet')")
+@R.add("select turn_id from turns where content is null or length(trim(content)) < 20 or " + " or ".join(f"contains(lower(content), '{p}')" for p in (*X.GARBAGE, "dream cycle")))
 def flt6_garbage_texts(t: Tables) -> DataFrame:
-    c = F.col("content")
-    return t("turns").where(c.isNull() | (F.char_length(F.trim(c)) < 20) | F.lower(c).rlike("remind me|not yet")).select("turn_id")
+    """Texts that say nothing; the names of a product's own tools are a parameter."""
+    return t("turns").where(X.is_garbage(F.col("content"), ("dream cycle",))).select("turn_id")
 
 
 @R.add("select turn_id from turns where content is not null and not regexp_matches(substr(lower(content), 1, 300), '" + "|".join(X.NON_ANSWERS).replace("'", "''") + "')")

@@ -155,6 +155,17 @@ def tx2_bm25(t: Tables) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")).where(F.col("rank") <= 20)
 
 
+@R.add(_BM.replace("sum(ln(1", "count(*) k, sum(ln(1") + """, qn as (select query_id, count(*) n from q group by 1), st as (select distinct sc.query_id from sc join qn using (query_id) where k = n), kept as (select sc.* from sc join qn using (query_id) where k = n or query_id not in (select query_id from st)),
+  r as (select query_id, id, round(score, 6) score, row_number() over (partition by query_id order by round(score, 6) desc, id) rank from kept) select query_id, id, score, rank from r where rank <= 20""")
+def tx2_bm25_all_then_any(t: Tables) -> DataFrame:
+    """BM25 over the documents that hold all words of a query, over those that hold any where there are none."""
+    from pyspark.sql import Window as W
+
+    terms = t("eval_items").where(F.col("item_text").isNotNull()).select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(X.words(F.col("item_text")))).alias("term"))
+    s = bm25(terms, t("documents"), "doc_id", "text", all_first=True).withColumn("score", F.round("score", 6))
+    return s.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")).where(F.col("rank") <= 20)
+
+
 @R.add("""with q as (select item_id, list_distinct(regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+')) w from eval_items where item_text is not null), a as (select list_distinct(regexp_extract_all(lower(answer), '[\\p{L}\\p{N}]+')) w, item_id from eval_items where answer is not null)
   select item_id, round(len(list_intersect(a.w, q.w)) / len(a.w)::double, 6) as overlap from q join a using (item_id) where len(a.w) > 0""")
 def tx3_lexical_overlap(t: Tables) -> DataFrame:

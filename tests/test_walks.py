@@ -153,3 +153,14 @@ def test_entities_and_searched_ones(spark):
     text = "Zofka met zofka at Port9 and camelCase; the ZOFKA node."
     r = spark.createDataFrame([(text,), ("nothing named but something longish",)], "t string").select(X.entities(F.col("t")).alias("e"), X.search_entities(F.col("t")).alias("s")).collect()
     assert r[0].e == ["Zofka", "Port9", "camelCase"] and r[0].s == ["zofka", "port9", "camelcase"] and r[1].e == [] and r[1].s == ["nothing", "something", "longish"]
+
+
+def test_views_for_ad_hoc_sql(spark, tmp_path):
+    from recallgrid.sources.tables import register_views
+
+    spark.createDataFrame([(1, 5, 6, 0.5, "similar"), (2, 6, 5, 0.7, "Similar ")], "id long, source_id long, target_id long, weight double, edge_type string").selectExpr(
+        "*", "timestamp_ntz'2024-01-01' created_at", "timestamp_ntz'2024-01-01' event_time", "timestamp_ntz'2024-01-01' ingestion_time", "timestamp_ntz'2024-01-01' valid_from", "cast(null as timestamp_ntz) valid_to"
+    ).write.parquet(f"{tmp_path}/connections.parquet")
+    assert register_views(spark, str(tmp_path), ("connections",)) == ["connections", "edges", "graph"]
+    assert [tuple(r) for r in spark.sql("select src, dst, w from graph order by src").collect()] == [(5, 6, 0.7), (6, 5, 0.7)]
+    assert spark.sql("select count(*) from edges join connections on source_id = s").first()[0] == 1
