@@ -40,7 +40,7 @@ def snk9_upsert_vectors(t: Tables) -> DataFrame:
     return v.select("id", "replaced", F.round(V.total(F.col("v")), 5).alias("total"), F.round(F.element_at("v", DIM), 5).alias("last"))
 
 
-_FACADE = T._REL + T._SUP_NOW + T._ADJUST + ", fac as (select * from (select query_id, id, relevance score, row_number() over (partition by query_id order by relevance desc, id) k from adj) where k <= 30), " + C.PAIRS + """,
+_FACADE = T._REL + T._SUP_NOW + T._ADJUST + """, fac as (select * from (select query_id, id, relevance score, row_number() over (partition by query_id order by relevance desc, id) k from adj) where k <= 30),
   sg as (select s.*, m.last_accessed la, coalesce(m.access_count, 0) n, p.a is not null linked from fac s join memories m on m.id = s.id left join pw p on p.a = least(s.query_id, s.id) and p.b = greatest(s.query_id, s.id)),
   sw as (select *, max(la) over (partition by query_id) ref, max(n) over (partition by query_id) top from sg),
   sx as (select query_id, id, round(0.5 * score + 0.2 * exp(-ln(2) * coalesce((epoch_us(ref) - epoch_us(la)) / 1e6, 0) / 3600 / 24) + 0.15 * case when top > 0 then log2(1 + n) / log2(1 + top) else 0 end + 0.15 * case when linked then 0.5 else 0 end, 9) as score from sw)"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from recallgrid.functions import scoring as S
 from recallgrid.functions import text as X
 from recallgrid.operators import edges as E
+from recallgrid.operators import graph as G
 from recallgrid.operators import search
 from recallgrid.operators.index import bm25
 from recallgrid.operators.skew import shared_checkpoint
@@ -65,6 +66,14 @@ def temporal(t: Tables, k: int = POOL) -> DataFrame:
     return _ranked(hits.select("query_id", "id", F.unix_micros("at").cast("double").alias("score")), "temporal", k)
 
 
+def associated(t: Tables, k: int = POOL) -> DataFrame:
+    """Rows that walks from a query's five nearest reach, by the best of their personalised PageRank."""
+    hit = shared_checkpoint(semantic(t, 5).select("query_id", "id"))
+    walk = G.walks(E.both_ways(E.pair_weights(E.clean_edges(t("connections")))), hit.select("id").distinct()).select("seed", "id", "score")
+    found = hit.select("query_id", F.col("id").alias("seed")).join(walk, "seed").where(F.col("id") != F.col("query_id")).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return _ranked(found, "ppr", k)
+
+
 def fuse(channels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(query_id, id, fused, channels): the sum of the channels' weighted reciprocal ranks."""
     w = F.create_map(*[F.lit(x) for kv in (weights or S.CHANNEL_WEIGHTS).items() for x in kv])
@@ -92,15 +101,17 @@ _CUES = "case " + " ".join(f"when contains(lower(content), '{c}') then {s}" for
 _TMP = rf""", tq as (select id query_id, try_cast(nullif(regexp_extract(content, '\b(\d{{4}}-\d{{2}}-\d{{2}})\b', 1), '') as timestamp) d, {_CUES} s from memories where id % 100 = 0 and content is not null),
   tb as (select query_id, case when d is not null then d - interval 1 day else {C.NOW} - to_seconds(s) end lo, case when d is not null then d + interval 1 day when s = 172800 then {C.NOW} - interval 1 day else {C.NOW} end hi from tq where d is not null or s is not null),
   tmp as (select * from (select query_id, id, created_at score, row_number() over (partition by query_id order by created_at desc, id) rank from tb join memories m on m.created_at between lo and hi where id <> query_id) where rank <= 50)"""
+_PPR = ", " + C.BOTH + ", h5 as (select query_id, id from sem where rank <= 5), sd as (select distinct id from h5)" + C.walk("sd") + """,
+  pa as (select h5.query_id, wk.id, max(wk.s) score from h5 join wk on wk.seed = h5.id where wk.id <> h5.query_id group by 1, 2), ppr as (select * from (select *, row_number() over (partition by query_id order by score desc, id) rank from pa) where rank <= 50)"""
 #: Each channel's table in SQL and its weight.
-_CHANNELS = (("semantic", "sem", 1.0), ("bm25", "lex", 0.9), ("recency", "rec", 1.2), ("entity", "ent", 1.0), ("temporal", "tmp", 0.35))
-_ALL = _V + _SEM + _LEX + _REC + _ENT + _TMP
+_CHANNELS = (("semantic", "sem", 1.0), ("bm25", "lex", 0.9), ("recency", "rec", 1.2), ("entity", "ent", 1.0), ("temporal", "tmp", 0.35), ("ppr", "ppr", 0.55))
+_ALL = _V + _SEM + _LEX + _REC + _ENT + _TMP + _PPR
 _FUSED = _ALL + ", ch as (" + " union all ".join(f"select query_id, id, '{n}' c, {w} / (60 + rank) p from {c}" for n, c, w in _CHANNELS) + "), fu as (select query_id, id, sum(p) fused, string_agg(c, ',' order by c) channels from ch group by 1, 2)"
 
 
 def channels(t: Tables) -> DataFrame:
-    """The five channels of a query: query_id, id, channel, rank, score."""
-    return semantic(t).unionByName(lexical(t)).unionByName(recent(t)).unionByName(entity(t)).unionByName(temporal(t))
+    """The six channels of a query: query_id, id, channel, rank, score."""
+    return semantic(t).unionByName(lexical(t)).unionByName(recent(t)).unionByName(entity(t)).unionByName(temporal(t)).unionByName(associated(t))
 
 
 @R.add(_V + _LEX + " select query_id, id, rank, score from lex")
@@ -123,6 +134,11 @@ def rt2_temporal_channel(t: Tables) -> DataFrame:
     return temporal(t).select("query_id", "id", "rank")
 
 
+@R.add(_V + _SEM + _PPR + " select query_id, id, rank, score from ppr")
+def rt2_associated_channel(t: Tables) -> DataFrame:
+    return associated(t).select("query_id", "id", "rank", "score")
+
+
 @R.add(_FUSED + " select query_id, id, round(fused, 9) as fused, channels from fu")
 def rt3_weighted_rrf(t: Tables) -> DataFrame:
     """The fused score of each candidate and the channels that found it."""
@@ -197,7 +213,7 @@ def rerank(hits: DataFrame, scorer, head: int = 12) -> DataFrame:
 def recall(t: Tables, k: int = 10, at=None, floor: float | None = None, keep: float | None = None, lam: float | None = None, scorer=None) -> DataFrame:
     """(query_id, id, relevance, channels, rank): the whole retrieval.
 
-    Five channels are fused, time and salience added, users' echoes left out and superseded rows lowered, by edges that are
+    Six channels are fused, time and salience added, users' echoes left out and superseded rows lowered, by edges that are
     valid at ``at``.  Then, where they are given: only rows of at least ``floor``, the better part ``keep`` of them, a
     model's ``scorer`` (a Column over id, label and content) blended into the head, and an order of maximal marginal
     relevance with ``lam``.
