@@ -29,7 +29,7 @@ from recallgrid.sources.tables import table
 
 KINDS = ("email", "phone", "id", "address", "name")
 #: The share of the seeds' mean score that an instance needs to be believed, by round.
-ROUNDS = (0.15, 0.2, 0.3, 0.4, 0.5, 0.5)
+ROUNDS = (0.15, 0.3, 0.5, 0.5)
 #: The score of a pattern that no believed instance stands in, and the one from which a pattern is believed.
 FLOOR, SURE = 0.005, 0.5
 #: The score from which a shape needs no believed context.
