@@ -154,6 +154,16 @@ class Index:
         return False
 
 
+_HELD: list = [None, None]
+
+
+def index_of(rows: list[tuple[int, str]]) -> Index:
+    """The index of a block of items, built once per worker: a broadcast gives the same list to all tasks of a worker."""
+    if _HELD[0] is not rows:
+        _HELD[:] = [rows, Index(rows)]
+    return _HELD[1]
+
+
 def leaks(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id) of each document that carries a passage of at least ``WINDOW`` words of an item, once.
 
@@ -170,7 +180,7 @@ def leaks(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) ->
         shared = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            index = index_of(shared.value)
             for batch in batches:
                 found = [(d, i) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i in index.leaked(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["doc_id", "item_id"])

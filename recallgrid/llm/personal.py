@@ -182,14 +182,13 @@ class Spans:
         insort(self.spans, (a, b))
 
 
-@dataclass
+@dataclass(slots=True)
 class Shaped:
     kind: str
     start: int
     end: int
     seed: bool
     typed: bool  # by an expression of its kind; else a loose candidate
-    inst: str
     shape: str
     core: int = -1  # of an address the end of the street, before the town
 
@@ -226,7 +225,7 @@ def shaped(text: str) -> list[Shaped]:
             taken[kind].add(a, b)
             if seed:
                 seeds.add(a, b)
-            out.append(Shaped(kind, a, b, seed, typed, re.sub(r"\W+", "", text[a:b].lower()), "S|" + shape, b if core < 0 else core))
+            out.append(Shaped(kind, a, b, seed, typed, "S|" + shape, b if core < 0 else core))
 
     if signs:
         for m in EMAIL.finditer(text):
@@ -362,8 +361,9 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             taken = [(s.start, s.end) for s in found if s.typed]
             owners = owner_words(text, found)
             for s in found:
+                inst = re.sub(r"\W+", "", text[s.start : s.end].lower())
                 for p in (_left(text, s.start), _right(text, s.end), s.shape):
-                    seen[s.kind, s.inst, s.seed, p] += 1
+                    seen[s.kind, inst, s.seed, p] += 1
             for a, b, strong, names in name_candidates(text, taken):
                 strong = strong or any(n[2:] in owners for n in names)
                 for p in (_left(text, a), _right(text, b)):
