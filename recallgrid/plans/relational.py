@@ -74,7 +74,8 @@ def snk2_bulk_insert_ids(t: Tables) -> DataFrame:
 
     last = t("memories").agg(F.max("id")).first()[0] or 0
     new = t("documents").where(F.trim("text") != "").select("doc_id", "text")
-    return global_order(new, ["doc_id"]).select((F.col("pos") + 1 + last).alias("id"), F.concat(F.lit("doc:"), "doc_id").alias("label"), F.col("text").alias("content"))
+    place = global_order(new.select("doc_id"), ["doc_id"])  # keys only: texts aren't ordered
+    return new.join(place, "doc_id").select((F.col("pos") + 1 + last).alias("id"), F.concat(F.lit("doc:"), "doc_id").alias("label"), F.col("text").alias("content"))
 
 
 @R.add("""with last as (select memory_id, new_content, row_number() over (partition by memory_id order by created_at desc nulls last, id desc) k from memory_revisions where new_content is not null)
