@@ -18,7 +18,7 @@ from recallgrid.operators import search
 from recallgrid.operators.skew import shared_checkpoint
 from recallgrid.plans import ctes as C
 from recallgrid.plans.base import Registry, Tables
-from recallgrid.plans.graph_dream import ACTIVE, active_pairs, graph, hub, start
+from recallgrid.plans.graph_dream import ACTIVE, SMOOTHED, active_pairs, graph, hub, start
 from recallgrid.plans.retrieval import _ALL, _CHANNELS, channels, rerank, semantic
 from recallgrid.plans.vectors_text import DIM, asking, now, vecs
 
@@ -87,7 +87,9 @@ def tx18_extraction_stage(t: Tables) -> DataFrame:
     return t("memories").select("id", F.coalesce(n >= 500, F.lit(False)).alias("takes_part"), F.when(n.isNull(), "none").when(n >= 500, "structure").otherwise("short").alias("stage"))
 
 
-@R.add()
+@R.add(SMOOTHED + """, sv as (select mx.id, list(mx.m / ln.l order by mx.i)::double[] e from mx join ln using (id) group by 1 union all select id, e from vec where id not in (select id from ws)),
+  sp as (select a.id query_id, b.id, round(list_cosine_similarity(a.e, b.e), 6) sim from vec a join sv b on a.id <> b.id where a.id % 100 = 0), rk as (select *, row_number() over (partition by query_id order by sim desc, id) rank from sp where sim >= 0)
+  select query_id, id, rank, round(1.0 / (60 + rank), 9) as gain from rk where rank <= 50""")
 def rt8_smoothed_channel(t: Tables) -> DataFrame:
     """The contribution of neighbourhood-smoothed vectors: each query's nearest rows among them, as reciprocal ranks."""
     rows = vecs(t).select("id", V.doubles(F.col("vec")).alias("vec"))

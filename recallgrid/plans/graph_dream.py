@@ -145,7 +145,10 @@ def gr13_louvain(t: Tables) -> DataFrame:
     return Q.louvain(p, connected_components(p.select("a", "b")))
 
 
-@R.add()
+_LP = "with " + C.BOTH + ", l0 as (select distinct src id, src label from bw)" + "".join(f", v{k} as (select b.src id, l.label, round(sum(b.w), 9) v from bw b join l{k - 1} l on l.id = b.dst group by 1, 2), l{k} as (select id, label from (select *, row_number() over (partition by id order by v desc, label) r from v{k}) where r = 1)" for k in range(1, 6))
+
+
+@R.add(_LP + " select id, label from l5")
 def gr16_label_propagation(t: Tables) -> DataFrame:
     return G.label_propagation(graph(t), rounds=5)
 
@@ -261,9 +264,12 @@ def dr10_derived_rows(t: Tables) -> DataFrame:
     return ids.join(n, "g").select("g", F.concat(F.lit("derived:cluster:"), F.substring(F.sha2(text, 256), 1, 12)).alias("label"), "size")
 
 
-@R.add("with " + C.BOTH + ", " + C.VECTORS + """, nb as (select b.src id, b.w, v.e, row_number() over (partition by b.src order by b.w desc, b.dst) k from bw b join vec v on v.id = b.dst), tp as (select * from nb where k <= 20),
-  ws as (select id, sum(w) s from tp group by 1 having sum(w) > 0), x as (select tp.id, i, sum(w * e[i]) v from tp, (select unnest(range(1, 65)) i) group by 1, 2), mx as (select vec.id, x.i, 0.4 * vec.e[x.i] + 0.6 * x.v / ws.s m from vec join ws using (id) join x using (id)),
-  ln as (select id, sqrt(sum(m * m)) l from mx group by 1) select mx.id, mx.i::bigint as i, round(mx.m / ln.l, 5) as value from mx join ln using (id) union all select id, x.i, round(e[x.i], 5) from vec, (select unnest(range(1, 65)) i) x where id not in (select id from ws)""")
+#: Neighbourhood-smoothed vectors in SQL: mx (id, i, m) and ln (id, l); ws has the ids that have neighbours.
+SMOOTHED = "with " + C.BOTH + ", " + C.VECTORS + """, nb as (select b.src id, b.w, v.e, row_number() over (partition by b.src order by b.w desc, b.dst) k from bw b join vec v on v.id = b.dst), tp as (select * from nb where k <= 20),
+  ws as (select id, sum(w) s from tp group by 1 having sum(w) > 0), x as (select tp.id, i, sum(w * e[i]) v from tp, (select unnest(range(1, 65)) i) group by 1, 2), mx as (select vec.id, x.i, 0.4 * vec.e[x.i] + 0.6 * x.v / ws.s m from vec join ws using (id) join x using (id)), ln as (select id, sqrt(sum(m * m)) l from mx group by 1)"""
+
+
+@R.add(SMOOTHED + """ select mx.id, mx.i::bigint as i, round(mx.m / ln.l, 5) as value from mx join ln using (id) union all select id, x.i, round(e[x.i], 5) from vec, (select unnest(range(1, 65)) i) x where id not in (select id from ws)""")
 def dr13_smoothed_vectors(t: Tables) -> DataFrame:
     """Neighbourhood-smoothed embeddings, one row per component."""
     rows = vecs(t).select("id", V.doubles(F.col("vec")).alias("vec"))
