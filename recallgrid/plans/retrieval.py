@@ -14,7 +14,7 @@ from recallgrid.functions import text as X
 from recallgrid.operators import edges as E
 from recallgrid.operators import graph as G
 from recallgrid.operators import search
-from recallgrid.operators.index import bm25
+from recallgrid.operators.index import bm25, share_top_k
 from recallgrid.operators.skew import shared_checkpoint
 from recallgrid.plans import ctes as C
 from recallgrid.plans.base import Registry, Tables
@@ -49,11 +49,10 @@ def recent(t: Tables, k: int = POOL) -> DataFrame:
 
 def entity(t: Tables, k: int = POOL) -> DataFrame:
     """Rows by the share of the names in the query row's content that they hold as words."""
-    q = t("memories").where((F.col("id") % 100 == 0) & F.col("content").isNotNull()).select(F.col("id").alias("query_id"), X.search_entities(F.col("content")).alias("e")).where(F.size("e") > 0)
-    asked = q.select("query_id", F.size("e").alias("n"), F.explode("e").alias("term"))
+    q = t("memories").where((F.col("id") % 100 == 0) & F.col("content").isNotNull()).select(F.col("id").alias("query_id"), X.search_entities(F.col("content")).alias("terms"))
     text = F.lower(F.concat_ws(" ", "label", "content"))
-    held = t("memories").where(F.col("content").isNotNull()).select("id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([a-z0-9][a-z0-9_\-]+)"), 1))).alias("term"))
-    hits = held.join(asked, "term").where(F.col("id") != F.col("query_id")).groupBy("query_id", "id").agg(F.round(F.count(F.lit(1)) / F.max("n"), 6).alias("score"))
+    held = t("memories").where(F.col("content").isNotNull()).select("id", F.regexp_extract_all(text, F.lit(r"([a-z0-9][a-z0-9_\-]+)"), 1).alias("terms"))
+    hits = share_top_k(q, held, k).select("query_id", "id", F.round(F.col("held") / F.col("n"), 6).alias("score"))
     return _ranked(hits, "entity", k)
 
 
