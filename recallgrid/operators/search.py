@@ -245,21 +245,24 @@ def _take(best_s: np.ndarray, best_i: np.ndarray, ids: np.ndarray, x: np.ndarray
     best_i[touched[row[fine]], rank[fine]] = other[fine]
 
 
-def offer(best_s: np.ndarray, best_i: np.ndarray, s: np.ndarray, ids: np.ndarray) -> None:
-    """Merge the scores ``s`` (queries, rows) of the rows ``ids`` into each query's best, in place; ties to the smaller id.
+def offer(best_s: np.ndarray, best_i: np.ndarray, s: np.ndarray, ids: np.ndarray, decimals: int | None = None) -> None:
+    """Merge the scores ``s`` (queries, rows; 0 is no hit) of the rows ``ids`` into each query's best, in place; ties to the smaller id.
 
-    Scores that aren't above the least number that ``best_s`` began with never enter.
+    ``best_s`` begins with zeros.  With ``decimals`` the scores count as rounded; only those that may enter are.
     """
     k, last, last_i = best_s.shape[1], best_s[:, -1:], best_i[:, -1:]
-    fine = s > last
-    if ids.min() < last_i.max():
-        fine |= (s == last) & (ids[None, :] < last_i)
+    if decimals is not None:
+        fine = s > np.maximum(last - 10.0**-decimals, 0)
+    else:
+        fine = s > last
+        if ids.min() < last_i.max():
+            fine |= (s == last) & (ids[None, :] < last_i)
     i, j = np.nonzero(fine)
     if not len(i):
         return
     touched, row = np.unique(i, return_inverse=True)
     row = np.concatenate([row, np.repeat(np.arange(len(touched)), k)])
-    v = np.concatenate([s[i, j], best_s[touched].ravel()])
+    v = np.concatenate([s[i, j] if decimals is None else np.round(s[i, j], decimals), best_s[touched].ravel()])
     other = np.concatenate([ids[j], best_i[touched].ravel()])
     o = np.lexsort((other, -v.astype(np.float64), row))
     row, v, other = row[o], v[o], other[o]

@@ -14,7 +14,7 @@ from recallgrid.functions import text as X
 from recallgrid.operators import edges as E
 from recallgrid.operators import graph as G
 from recallgrid.operators import search
-from recallgrid.operators.index import bm25, share_top_k
+from recallgrid.operators.index import bm25_top_k, share_top_k
 from recallgrid.operators.skew import shared_checkpoint
 from recallgrid.plans import ctes as C
 from recallgrid.plans.base import Registry, Tables
@@ -36,9 +36,9 @@ def _ranked(scored: DataFrame, channel: str, k: int = POOL) -> DataFrame:
 def lexical(t: Tables, k: int = POOL) -> DataFrame:
     """BM25 with the query row's label as text."""
     q = t("memories").where((F.col("id") % 100 == 0) & F.col("label").isNotNull())
-    terms = q.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(X.words(F.col("label")))).alias("term"))
-    hits = bm25(terms, t("memories").select("id", "content")).where(F.col("id") != F.col("query_id"))
-    return _ranked(hits.withColumn("score", F.round("score", 6)), "bm25", k)
+    terms = q.select(F.col("id").alias("query_id"), F.array_distinct(X.words(F.col("label"))).alias("terms"))
+    docs = t("memories").where(F.col("content").isNotNull()).select("id", X.words(F.col("content")).alias("terms"))
+    return _ranked(bm25_top_k(terms, docs, k), "bm25", k)
 
 
 def recent(t: Tables, k: int = POOL) -> DataFrame:
@@ -65,9 +65,10 @@ def temporal(t: Tables, k: int = POOL) -> DataFrame:
     return _ranked(hits.select("query_id", "id", F.unix_micros("at").cast("double").alias("score")), "temporal", k)
 
 
-def associated(t: Tables, k: int = POOL) -> DataFrame:
-    """Rows that walks from a query's five nearest reach, by the best of their personalised PageRank."""
-    hit = shared_checkpoint(semantic(t, 5).select("query_id", "id"))
+def associated(t: Tables, k: int = POOL, near: DataFrame | None = None) -> DataFrame:
+    """Rows that walks from a query's five nearest reach, by the best of their personalised PageRank; near: the semantic channel."""
+    hit = semantic(t, 5) if near is None else near.where(F.col("rank") <= 5)
+    hit = shared_checkpoint(hit.select("query_id", "id"))
     walk = G.walks(E.both_ways(E.pair_weights(E.clean_edges(t("connections")))), hit.select("id").distinct()).select("seed", "id", "score")
     found = hit.select("query_id", F.col("id").alias("seed")).join(walk, "seed").where(F.col("id") != F.col("query_id")).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return _ranked(found, "ppr", k)
@@ -110,7 +111,8 @@ _FUSED = _ALL + ", ch as (" + " union all ".join(f"select query_id, id, '{n}' c,
 
 def channels(t: Tables) -> DataFrame:
     """The six channels of a query: query_id, id, channel, rank, score."""
-    return semantic(t).unionByName(lexical(t)).unionByName(recent(t)).unionByName(entity(t)).unionByName(temporal(t)).unionByName(associated(t))
+    near = shared_checkpoint(semantic(t))  # read twice
+    return near.unionByName(lexical(t)).unionByName(recent(t)).unionByName(entity(t)).unionByName(temporal(t)).unionByName(associated(t, near=near))
 
 
 @R.add(_V + _LEX + " select query_id, id, rank, score from lex")

@@ -62,3 +62,21 @@ def test_entity_channel_shuffles_no_pairs_and_no_words(spark):
 def test_entities_end_at_letters_beyond_ascii(spark):
     df = spark.createDataFrame([("¿Quién usa Wren?",), ("请检查heron-gateway是否",)], "c string")
     assert [r[0] for r in df.select(X.search_entities(F.col("c"))).collect()] == [["qui", "wren"], ["heron-gateway"]]
+
+
+def test_lexical_channel_shuffles_no_pairs_and_equals_bm25(spark):
+    from recallgrid.operators.index import bm25
+
+    words = ["l0", "l1", "l2", "l3", "ash", "birch"]
+    rows = [(i, f"l{i % 7} ash", " ".join(words[(i * j) % 6] for j in range(1, i % 11))) for i in range(1, 601)] + [(700, "ash l1", None)]
+    m = spark.createDataFrame(rows, "id long, label string, content string").repartition(3)
+    hits = T.lexical(lambda _: m, 5)
+    assert exchanged_rows(hits) <= 7 * 5 * 4 + 7 + 100
+    terms = m.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.explode(F.array_distinct(X.words(F.col("label")))).alias("term"))
+    every, want = bm25(terms, m).where("query_id <> id").collect(), {}
+    for r in every:
+        want.setdefault(r.query_id, []).append((-round(r.score, 6), r.id))
+    got = {}
+    for r in hits.collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.id))
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v)[:5] for q, v in want.items()}
