@@ -269,18 +269,31 @@ _BW = C.BOTH
   select query_id, id, round(score, 8) as score, via, rank from rk where rank <= 20""")
 def rt13_with_neighbours(t: Tables) -> DataFrame:
     """Seeds and the rows one and two edges away, at 0.3 of the score before times the weight, the best over all parents; twenty a query."""
-    seeds = semantic(t, 10).select("query_id", "id", "score")
-    e = E.both_ways(E.pair_weights(E.clean_edges(t("connections"))))
+    return with_neighbours(semantic(t, 10).select("query_id", "id", "score"), E.both_ways(E.pair_weights(E.clean_edges(t("connections")))))
+
+
+def with_neighbours(seeds: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+    """(query_id, id, score, via, rank): the best ``most`` of seeds (query_id, id, score) and the rows one and two ``edges`` away.
+
+    A second step that ends below the ``most``-th best of seeds and first steps can't be among the best; it isn't taken,
+    so that a hub one edge away doesn't bring all its neighbours to each query.
+    """
+    seeds, e = shared_checkpoint(seeds), shared_checkpoint(edges)  # read several times
+    score = 0.3 * F.col("score") * F.col("w")
 
     def beyond(front: DataFrame, known: DataFrame) -> DataFrame:
-        step = front.withColumnRenamed("id", "src").join(e, "src").groupBy("query_id", F.col("dst").alias("id")).agg(F.max(0.3 * F.col("score") * F.col("w")).alias("score"))
+        step = front.withColumnRenamed("id", "src").join(e, "src").where(score >= F.col("least") - 1e-8).groupBy("query_id", F.col("dst").alias("id")).agg(F.max(score).alias("score"))
         return shared_checkpoint(step.join(known.select("query_id", "id"), ["query_id", "id"], "left_anti"))
 
-    one = beyond(seeds, seeds)
-    two = beyond(one, seeds.unionByName(one))
+    one = beyond(seeds.withColumn("least", F.lit(float("-inf"))), seeds)
+    known = seeds.unionByName(one)
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score")))
+    least = known.withColumn("k", place).where(F.col("k") <= most).where(F.col("k") == most).select("query_id", F.col("score").alias("least"))
+    front = one.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    two = beyond(front.where(0.3 * F.greatest("score", F.lit(0.0)) >= F.col("least") - 1e-8), known)
     found = seeds.withColumn("via", F.lit("direct")).unionByName(one.withColumn("via", F.lit("neighbor:hop1"))).unionByName(two.withColumn("via", F.lit("neighbor:hop2")))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("score", F.round("score", 8)).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= 20).select("query_id", "id", "score", "via", "rank")
+    return found.withColumn("score", F.round("score", 8)).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most).select("query_id", "id", "score", "via", "rank")
 
 
 _CONFIGS = {"all": {n: w for n, _, w in _CHANNELS}, **{f"no_{left}": {n: w for n, _, w in _CHANNELS if n != left} for left, _, _ in _CHANNELS}}

@@ -80,3 +80,18 @@ def test_lexical_channel_shuffles_no_pairs_and_equals_bm25(spark):
     for r in hits.collect():
         got.setdefault(r.query_id, []).append((-r.score, r.id))
     assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v)[:5] for q, v in want.items()}
+
+
+def test_second_steps_through_a_hub_are_not_formed(spark, monkeypatch):
+    seeds = [(q, 1000 * q + i, 0.9 - i / 100) for q in range(5) for i in range(10)]
+    pairs = [(s, 1, 0.9) for _, s, _ in seeds] + [(s, s + 500 + j, 0.5) for _, s, _ in seeds for j in (0, 100)] + [(1, 100_000 + n, 1.0) for n in range(2000)]
+    few = [(9, 50, 0.8)]
+    pairs += [(50, 51, 0.5), (51, 52, 0.4), (52, 53, 0.9)]
+    e = spark.createDataFrame([(a, b, w) for x, y, w in pairs for a, b in ((x, y), (y, x))], "src long, dst long, w double")
+    sizes, real = [], T.shared_checkpoint
+    monkeypatch.setattr(T, "shared_checkpoint", lambda df: sizes.append((out := real(df)).count()) or out)
+    got = T.with_neighbours(spark.createDataFrame(seeds + few, "query_id long, id long, score double"), e).collect()
+    assert sizes[-1] < 200  # five queries times two thousand neighbours of the hub
+    best = sorted(((r["rank"], r.id, r.via, r.score) for r in got if r.query_id == 9))
+    assert best == [(1, 50, "direct", 0.8), (2, 51, "neighbor:hop1", 0.12), (3, 52, "neighbor:hop2", 0.0144)]
+    assert all(sum(r.query_id == q for r in got) == 20 for q in range(5))
