@@ -4,9 +4,9 @@ A vector's token set is the set of its nearest landmarks (a bounded sample of th
 are similar).  MinHash draws one token of the set for each of ``BANDS`` bands of one row; vectors that share a drawn
 token are candidates (in which band it was drawn doesn't matter to a band of one row).  In a token's bucket exact Jaccard
 of the token sets verifies candidates, and exact cosine those that pass, since clusters are defined by cosine.  A
-bucket links its rows to its leaders, to all of them within reach; input partitions are thinned out in the same way
-before anything is shuffled, so that a group with a third of all rows reaches a bucket as a few rows.  Connected
-components of the links form the groups.  A group in which some two members aren't similar is loose and split around
+bucket links its rows to its leaders, to all of them within reach, and to each other where that joins what the leaders
+don't; every row goes to the buckets of its tokens, since one left out for its leader's sake would take its links along.
+Connected components of the links form the groups.  A group in which some two members aren't similar is loose and split around
 its medoid of highest degree, until none is.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.llm.vectors import bounded_sample, leaders, leading, matrix, pack, similar, tasks_for, unit, unpack, vectors
 from recallgrid.operators.components import connected_components
+from recallgrid.operators.search import _merge
 from recallgrid.operators.skew import lookup_join, shared_checkpoint
 from recallgrid.sources.tables import table
 
@@ -29,7 +30,6 @@ MIN_SIZE = 3
 BANDS, NEAREST = 16, 8
 #: Token sets of similar vectors have at least two of their tokens in common: 2 of 14.
 JACCARD = 0.14
-BLOCK_ROWS = 20_000
 #: Members of a group that are compared at once; larger groups meet block by block.
 GROUP_BLOCK = 4096
 
@@ -61,48 +61,26 @@ def minhash_tokens(sets: np.ndarray, n_tokens: int, bands: int = BANDS, seed: in
     return out
 
 
-def _thin(marks, threshold: float):
-    """Stage 1: rows of an input partition as (id, leader, also, vec, tokens, sets).
-
-    also: further leaders within reach; only leaders carry the tokens drawn.
-    """
+def _tokened(marks):
+    """Stage 1: rows of an input partition as (id, vec, tokens, sets); every row goes on to the buckets of its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-
-        def flush() -> pa.RecordBatch:
-            ids = np.concatenate([h[0] for h in held])
-            raw = np.concatenate([h[1] for h in held])
-            u = unit(raw)
-            sets = token_sets(u, marks.value)
-            tokens = minhash_tokens(sets, len(marks.value))
-            lead = np.arange(len(u))
-            order = np.argsort(tokens[:, 0], kind="stable")
-            also: list[list[int]] = [[] for _ in u]
-            for group in np.split(order, np.flatnonzero(np.diff(tokens[order, 0])) + 1):
-                if len(group) > 1:
-                    first, row, other = leading(u[group], threshold)
-                    lead[group] = group[first]
-                    for r, o in zip(group[row].tolist(), ids[group[other]].tolist(), strict=True):
-                        also[r].append(o)
-            own = lead == np.arange(len(u))
-            lists = [np.unique(tokens[i]).tolist() if own[i] else None for i in range(len(u))]
-            cols = [pa.array(ids), pa.array(ids[lead]), pa.array([x or None for x in also], pa.list_(pa.int64())), pack(raw), pa.array(lists, pa.list_(pa.int32())), pack16(sets)]
-            return pa.RecordBatch.from_arrays(cols, names=["id", "leader", "also", "vec", "tokens", "sets"])
-
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))))
-                rows += batch.num_rows
-            if rows >= BLOCK_ROWS:
-                yield flush()
-                held, rows = [], 0
-        if held:
-            yield flush()
+                raw = matrix(batch.column(1))
+                sets = token_sets(unit(raw), marks.value)
+                lists = [np.unique(x).tolist() for x in minhash_tokens(sets, len(marks.value))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pack(raw), pa.array(lists, pa.list_(pa.int32())), pack16(sets)], names=["id", "vec", "tokens", "sets"])
 
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pack(matrix(batch.column(1)))], names=["id", "vec"])
+
+
 def pack16(sets: np.ndarray) -> pa.Array:
     """Token sets as binary, two bytes a token (there are at most 8,192 landmarks)."""
     x = np.ascontiguousarray(sets, dtype=np.uint16)
@@ -114,14 +92,45 @@ def _unpack16(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint16).reshape(len(rows), -1)
 
 
+def _alike(sets: np.ndarray, a: np.ndarray, b: np.ndarray, part: int = 1 << 16) -> np.ndarray:
+    """Whether the token sets of the rows ``a`` and ``b`` have a Jaccard of ``JACCARD`` or more."""
+    fine = np.zeros(len(a), bool)
+    for lo in range(0, len(a), part):
+        both = (sets[a[lo : lo + part]][:, :, None] == sets[b[lo : lo + part]][:, None, :]).sum((1, 2))
+        fine[lo : lo + part] = both / (2 * sets.shape[1] - both) >= JACCARD
+    return fine
+
+
 def verified_links(u: np.ndarray, sets: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leader) of a bucket: leaders within ``threshold`` whose token set has a Jaccard of ``JACCARD`` or more."""
+    """(a, b) of a bucket: links that join the same rows as all pairs within ``threshold`` with a Jaccard of ``JACCARD`` or more.
+
+    Rows are linked to all leaders within reach.  What that leaves out are followers of two leaders that are similar to
+    each other; those are looked for where the angles to a leader allow them and no link joins them yet.
+    """
     lead, row, other = leading(u, threshold)
     far = np.flatnonzero(lead != np.arange(len(lead)))
     a, b = np.concatenate([far, row]), np.concatenate([lead[far], other])
-    both = (sets[a][:, :, None] == sets[b][:, None, :]).sum((1, 2))
-    fine = both / (2 * sets.shape[1] - both) >= JACCARD
-    return a[fine], b[fine]
+    fine = _alike(sets, a, b)
+    found, root = [(a[fine], b[fine])], np.arange(len(u))
+    _merge(root, a[fine], b[fine])
+    heads, place = np.unique(lead[far], return_inverse=True)
+    reach = np.arccos(np.clip((u[far] * u[lead[far]]).sum(1), -1, 1))
+    widest = np.zeros(len(heads))
+    np.maximum.at(widest, place, reach)
+    least = np.cos(np.minimum(widest + np.arccos(threshold), np.pi)) - 1e-6
+    for lo in range(0, len(heads), 64):
+        near = u[far] @ u[heads[lo : lo + 64]].T >= least[lo : lo + 64]
+        for h in np.flatnonzero((near & (root[far][:, None] != root[heads[lo : lo + 64]])).any(0)):
+            mine, theirs = far[place == lo + h], far[near[:, h] & (place != lo + h)]
+            for at in range(0, len(mine), GROUP_BLOCK):
+                x = mine[at : at + GROUP_BLOCK]
+                y = theirs[~np.isin(root[theirs], root[x])] if (root[x] == root[x[0]]).all() else theirs
+                i, j = np.nonzero(similar(u[x], u[y], threshold) & (root[x][:, None] != root[y]))
+                i, j = x[i], y[j]
+                fine = _alike(sets, i, j)
+                found.append((i[fine], j[fine]))
+                _merge(root, i[fine], j[fine])
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _bucket_links(threshold: float):
@@ -136,7 +145,7 @@ def _bucket_links(threshold: float):
             return pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(i[b])], names=["a", "b"])
 
         current = None
-        for batch in batches:  # sorted by token: a bucket is held at a time, in parts of BLOCK_ROWS at most
+        for batch in batches:  # sorted by token: a bucket is held at a time
             k = batch.column(0).to_numpy(zero_copy_only=False)
             i, v, t = batch.column(1).to_numpy(zero_copy_only=False), unpack(batch.column(2)), _unpack16(batch.column(3)) if batch.num_rows else None
             for lo, hi in zip(*(lambda c: (np.r_[0, c], np.r_[c, len(k)]))(np.flatnonzero(np.diff(k)) + 1), strict=True):
@@ -266,12 +275,12 @@ def groups(memories: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not len(marks):
         return spark.createDataFrame([], "root long, id long, vec binary")
     shared = spark.sparkContext.broadcast(marks)
-    thin = shared_checkpoint(vecs.mapInArrow(_thin(shared, threshold), "id long, leader long, also array<long>, vec binary, tokens array<int>, sets binary"))
-    buckets = thin.where(F.col("tokens").isNotNull()).select(F.explode("tokens").alias("token"), "id", "vec", "sets")
+    rows = vecs.mapInArrow(_tokened(shared), "id long, vec binary, tokens array<int>, sets binary")
+    buckets = rows.select(F.explode("tokens").alias("token"), "id", "vec", "sets")
     links = buckets.repartition(tasks_for(n * NEAREST), "token").sortWithinPartitions("token", "id").mapInArrow(_bucket_links(threshold), "a long, b long")
-    across = thin.where(F.col("also").isNotNull()).select("leader", F.explode("also").alias("o")).distinct()
-    roots = connected_components(links.unionByName(across.select(F.col("leader").alias("a"), F.col("o").alias("b"))))
-    joined = thin.select("leader", "id", "vec").join(roots.select(F.col("id").alias("leader"), "root"), "leader", "left").select(F.coalesce("root", "leader").alias("root"), "id", "vec")
+    roots = connected_components(links)
+    packed = vecs.mapInArrow(_packed, "id long, vec binary")
+    joined = packed.join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), "id", "vec")
     return joined
 
 

@@ -85,6 +85,25 @@ def test_rows_within_reach_of_two_leaders_join_them():
     assert lead.tolist() == [0, 1, 0, 0] and set(zip(row.tolist(), other.tolist())) == {(2, 1), (3, 1)}
 
 
+def test_a_group_whose_link_is_a_follower_in_another_partition(spark):
+    x = np.zeros((4, 64), np.float32)
+    for n, degrees in enumerate((0, 30, 60, 62)):  # the second follows the first and is all that joins it to the others
+        x[n, :2] = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    rows = [(n, v.tolist()) for n, v in enumerate(x, 1)]
+    parts = [spark.createDataFrame(r, "id long, embedding array<float>").coalesce(1) for r in (rows[:2], rows[2:])]
+    assert {r.id for r in C.clusters(parts[0].unionByName(parts[1])).collect()} == {2, 3, 4}
+
+
+def test_followers_of_two_leaders_join_them_in_a_bucket():
+    x = np.zeros((4, 64))
+    for n, degrees in enumerate((0, 108, 36, 72)):
+        x[n, :2] = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    s = x @ x.T
+    assert s[0, 2] >= 0.8 and s[1, 3] >= 0.8 and s[2, 3] >= 0.8 and max(s[0, 1], s[0, 3], s[1, 2]) < 0.8
+    a, b = C.verified_links(x, np.zeros((4, 8), np.uint16) + np.arange(8, dtype=np.uint16), 0.8)
+    assert {frozenset(p) for p in zip(a.tolist(), b.tolist())} == {frozenset(p) for p in ((0, 2), (1, 3), (2, 3))}
+
+
 def test_neighbours_against_brute_force(spark):
     x = collection(2)
     got = {tuple(r) for r in N.pairs(N.neighbours(frame(spark, x), probes=16)).collect()}
