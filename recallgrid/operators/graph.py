@@ -87,11 +87,12 @@ def walks(edges: DataFrame, seeds: DataFrame, top: int = 20, rounds: int = 3, al
     """(seed, id, score, rank): the ``top`` nodes of a personalised PageRank of each seed (id), the seed left out.
 
     The walks of all seeds are taken together, ``rounds`` steps far; a step that carries less than ``least`` of a seed's
-    mass is not taken, so that a seed keeps at most 1 / ``least`` nodes a round, whatever the degrees it meets.
+    mass is not taken, so that a seed keeps at most 1 / ``least`` nodes a round, whatever the degrees it meets.  No seed
+    has a mass above 1, so edges that carry less of a whole are left out before: a hub's don't meet each seed beside it.
     """
     from pyspark.sql import Window as W
 
-    step = shared_checkpoint(_transitions(edges))
+    step = shared_checkpoint(_transitions(edges).where(F.col("p") * (1 - alpha) >= least))
     mass = seeds.select(F.col("id").alias("seed"), "id", F.lit(1.0).alias("m"))
     reached = None
     for _ in range(rounds):

@@ -56,29 +56,26 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, dim: int, exclude_self:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
-            best = {lo: (np.full((len(qid[lo : lo + PART]), 0), -2.0), np.zeros((len(qid[lo : lo + PART]), 0), np.int64)) for lo in range(0, len(qid), PART)}
+            low, weakest = q.astype(np.float32), -1.5 if least is None else least - 1e-12
+            room = 10.0**-decimals + 2.5e-7 * dim  # for rounding and the error of single precision
+            best_s, best_i = np.full((len(qid), k), -2.0), np.zeros((len(qid), k), np.int64)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                ids, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), dim).T
-                for lo, (best_s, best_i) in best.items():
-                    some = qid[lo : lo + PART]
-                    s = np.round(q[lo : lo + PART] @ x, decimals)
+                ids, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), dim)
+                low_x = x.astype(np.float32).T
+                for lo in range(0, len(qid), PART):
+                    some, part_s, part_i = qid[lo : lo + PART], best_s[lo : lo + PART], best_i[lo : lo + PART]
+                    s = low[lo : lo + PART] @ low_x
                     if exclude_self:
-                        s[some[:, None] == ids[None, :]] = -2.0
-                    if s.shape[1] > 2 * k:  # what can't be among the best k isn't sorted
-                        edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                        wide = int((s >= edge[:, None]).sum(1).max())
-                        o = np.argpartition(-s, wide - 1, axis=1)[:, :wide] if wide < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-                        s, i = np.take_along_axis(s, o, 1), ids[o]
-                    else:
-                        i = np.broadcast_to(ids, s.shape)
-                    s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, i], axis=1)
-                    o = np.lexsort((i, -s), axis=1)[:, :k]
-                    best[lo] = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
-            for lo, (best_s, best_i) in best.items():
-                r, c = np.nonzero(best_s > (-1.5 if least is None else least - 1e-12))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[lo : lo + PART][r]), pa.array(best_i[r, c]), pa.array(best_s[r, c])], names=["query_id", "id", "sim"])
+                        own = np.flatnonzero(np.isin(ids, some))
+                        r, c = np.nonzero(some[:, None] == ids[own][None, :])
+                        s[r, own[c]] = -2.0
+                    edge = np.maximum(np.maximum(_bound_of_rows(s, k, max(64, k)), part_s[:, -1]), weakest) - room
+                    i, j = np.nonzero(s >= np.maximum(edge, -1.5).astype(np.float32)[:, None])
+                    _take(part_s, part_i, ids, q[lo : lo + PART], x, i, j, decimals)
+            r, c = np.nonzero(best_s > weakest)
+            yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(best_i[r, c]), pa.array(best_s[r, c])], names=["query_id", "id", "sim"])
 
         hits = corpus.select("id", "vec").mapInArrow(run, "query_id long, id long, sim double")
         out = hits if out is None else out.unionByName(hits)
@@ -220,22 +217,22 @@ def _bound_of_rows(s: np.ndarray, k: int, groups: int = 64) -> np.ndarray:
     return np.partition(best, groups - k, axis=1)[:, groups - k]
 
 
-def _exact(x: np.ndarray, i: np.ndarray, j: np.ndarray, decimals: int, part: int = 1 << 16) -> np.ndarray:
-    """Rounded products of rows ``i`` and ``j`` of ``x`` in double precision."""
+def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, decimals: int, part: int = 1 << 16) -> np.ndarray:
+    """Rounded products of rows ``i`` of ``x`` and ``j`` of ``y`` in double precision."""
     out = np.empty(len(i))
     for lo in range(0, len(i), part):
-        out[lo : lo + part] = np.einsum("ij,ij->i", x[i[lo : lo + part]], x[j[lo : lo + part]])
+        out[lo : lo + part] = np.einsum("ij,ij->i", x[i[lo : lo + part]], y[j[lo : lo + part]])
     return np.round(out, decimals)
 
 
-def _take(best_s: np.ndarray, best_i: np.ndarray, ids: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, decimals: int) -> None:
-    """Merge the candidates ``j`` of the rows ``i`` into the rows' best, in place."""
+def _take(best_s: np.ndarray, best_i: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, decimals: int) -> None:
+    """Merge the candidates ``j`` (rows of ``y``) of the rows ``i`` of ``x`` into the rows' best, in place."""
     k = best_s.shape[1]
     touched, row = np.unique(i, return_inverse=True)
     if not len(touched):
         return
     row = np.concatenate([row, np.repeat(np.arange(len(touched)), k)])
-    v = np.concatenate([_exact(x, i, j, decimals), best_s[touched].ravel()])
+    v = np.concatenate([_exact(x, y, i, j, decimals), best_s[touched].ravel()])
     other = np.concatenate([ids[j], best_i[touched].ravel()])
     o = np.lexsort((other, -v, row))
     row, v, other = row[o], v[o], other[o]
@@ -289,11 +286,11 @@ def nearest(rows: DataFrame, dim: int, k: int, decimals: int = 12, block: int =
                 s[np.arange(len(s)), lo + np.arange(len(s))] = -2.0
             least = np.maximum(np.maximum(_bound_of_rows(s, k), best_s[lo : lo + len(s), -1]), -1.5).astype(np.float32) - np.float32(1e-5)
             i, j = np.nonzero(s >= least[:, None])
-            _take(best_s, best_i, ids, x, i + lo, j + from_b, decimals)
+            _take(best_s, best_i, ids, x, x, i + lo, j + from_b, decimals)
             if b is not None:
                 least = np.maximum(np.maximum(_bound(s, k), best_s[n:, -1]), -1.5).astype(np.float32) - np.float32(1e-5)
                 i, j = np.nonzero(s >= least[None, :])
-                _take(best_s, best_i, ids, x, j + from_b, i + lo, decimals)
+                _take(best_s, best_i, ids, x, x, j + from_b, i + lo, decimals)
         r, c = np.nonzero(best_s > -1.5)
         yield ids[r], best_i[r, c], best_s[r, c]
 

@@ -164,3 +164,17 @@ def test_views_for_ad_hoc_sql(spark, tmp_path):
     assert register_views(spark, str(tmp_path), ("connections",)) == ["connections", "edges", "graph"]
     assert [tuple(r) for r in spark.sql("select src, dst, w from graph order by src").collect()] == [(5, 6, 0.7), (6, 5, 0.7)]
     assert spark.sql("select count(*) from edges join connections on source_id = s").first()[0] == 1
+
+
+def test_edges_that_carry_too_little_are_left_out_before_seeds_meet_them(spark, monkeypatch):
+    """None of the 3,000 edges of a hub carries a thousandth, so no seed beside it may meet them; light ends keep theirs."""
+    from recallgrid.operators import graph as G
+
+    kept = []
+    monkeypatch.setattr(G, "shared_checkpoint", lambda df, *a: kept.append(df) or df)
+    pairs = [(0, n) for n in range(1, 3001)] + [(n, n + 1) for n in range(1, 40, 2)]
+    e = spark.createDataFrame([x for a, b in pairs for x in ((a, b, 1.0), (b, a, 1.0))], "src long, dst long, w double")
+    got = {(r.seed, r.id): r.score for r in G.walks(e, spark.createDataFrame([(1,), (50,)], "id long")).collect()}
+    assert kept[0].where("src = 0").count() == 0 and kept[0].where("src > 0").count() == 3040
+    m = 0.85 / 2
+    assert got == {(1, 0): round((m + m**2 + m**3) * 0.15, 9), (1, 2): round((m + m**3) * 0.15, 9), (50, 0): round(0.85 * 0.15, 9)}
