@@ -5,6 +5,8 @@ The queries are the rows of ``memories`` whose id is divisible by 100; every cha
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -176,13 +178,25 @@ _ADJUST = """, old as (select distinct re.query_id, su.o id from re join su on s
   adj as (select a.query_id, a.id, a.channels, round(greatest(case when o.id is not null then greatest(0, a.relevance - 0.5) else a.relevance end, coalesce(h.r + 0.01, 0)), 6) relevance from allr a left join old o on o.query_id = a.query_id and o.id = a.id left join hit h on h.query_id = a.query_id and h.id = a.id)"""
 
 
-def superseded(found: DataFrame, edges: DataFrame) -> DataFrame:
+def superseded(found: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """found (query_id, id, relevance, channels) after the superseding ``edges`` (o, n): old rows lose half a point, the
-    rows that replace them come right before; missing ones are put in."""
-    found = shared_checkpoint(found)  # read three times
-    pairs = found.join(edges, F.col("id") == F.col("o"))
-    old = pairs.select("query_id", "id").distinct().withColumn("is_old", F.lit(True))
-    hit = pairs.groupBy("query_id", F.col("n").alias("id")).agg(F.max("relevance").alias("r"))
+    rows that replace them come right before; missing ones are put in.
+
+    most: put in at least the first that the ``most`` best rows of a query hold, not all.  What replaces the same row comes
+    in with the same relevance, so that beyond the first ``most`` of it by id none can be among them; of those, only rows
+    that are found anyhow are looked up.  A row that a whole table replaces then doesn't bring it to each query.
+    """
+    found, edges = shared_checkpoint(found), shared_checkpoint(edges)  # read several times
+    got = found.select("query_id", F.col("id").alias("o"), F.col("relevance").alias("r"))
+    old = got.join(edges.select("o").distinct(), "o", "left_semi").select("query_id", F.col("o").alias("id"), F.lit(True).alias("is_old"))
+    if most is None:
+        hits = got.join(edges, "o").select("query_id", F.col("n").alias("id"), "r")
+    else:
+        placed = edges.withColumn("k", F.row_number().over(W.partitionBy("o").orderBy("n")))
+        hits = got.join(placed.where(F.col("k") <= most), "o").select("query_id", F.col("n").alias("id"), "r")
+        beyond = found.select("query_id", F.col("id").alias("n")).join(placed.where(F.col("k") > most), "n")
+        hits = hits.unionByName(beyond.join(got, ["query_id", "o"]).select("query_id", F.col("n").alias("id"), "r"))
+    hit = hits.groupBy("query_id", "id").agg(F.max("r").alias("r"))
     rows = found.join(hit, ["query_id", "id"], "full").join(old, ["query_id", "id"], "left")
     own = F.coalesce("relevance", F.lit(0.0))
     lowered = F.when(F.col("is_old"), F.greatest(F.lit(0.0), own - 0.5)).otherwise(own)
@@ -219,7 +233,11 @@ def recall(t: Tables, k: int = 10, at=None, floor: float | None = None, keep: fl
     model's ``scorer`` (a Column over id, label and content) blended into the head, and an order of maximal marginal
     relevance with ``lam``.
     """
-    found = superseded(relevant(t).drop("label"), superseding_edges(t, now() if at is None else at))
+    head = min(POOL, max(3 * k, k, 12))
+    most = k if scorer is None else head
+    if keep is not None:  # so many that the better part of them has ``most`` rows
+        most = ceil((most + 1) / keep) + 1 if keep > 0 else most
+    found = superseded(relevant(t).drop("label"), superseding_edges(t, now() if at is None else at), most if lam is None else None)
     if floor is not None:
         found = found.where(F.col("relevance") >= floor)
     w = W.partitionBy("query_id")
@@ -230,8 +248,7 @@ def recall(t: Tables, k: int = 10, at=None, floor: float | None = None, keep: fl
     if scorer is not None:
         ranked = found.withColumn("rank", F.row_number().over(order)).withColumnRenamed("relevance", "score")
         texts = t("memories").select("id", "label", "content")
-        head = rerank(ranked.join(texts, "id"), scorer, min(POOL, max(3 * k, k, 12)))
-        found = head.select("query_id", "id", F.round("score", 6).alias("relevance"), "channels")
+        found = rerank(ranked.join(texts, "id"), scorer, head).select("query_id", "id", F.round("score", 6).alias("relevance"), "channels")
     if lam is not None:
         from recallgrid.operators.sequential import mmr
 

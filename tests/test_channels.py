@@ -95,3 +95,16 @@ def test_second_steps_through_a_hub_are_not_formed(spark, monkeypatch):
     best = sorted(((r["rank"], r.id, r.via, r.score) for r in got if r.query_id == 9))
     assert best == [(1, 50, "direct", 0.8), (2, 51, "neighbor:hop1", 0.12), (3, 52, "neighbor:hop2", 0.0144)]
     assert all(sum(r.query_id == q for r in got) == 20 for q in range(5))
+
+
+def test_rows_that_a_whole_table_replaces_are_put_in_as_far_as_the_best_need(spark):
+    """The best eight with ``most`` are the best eight of all, and a row with 400 successors brings few to each query."""
+    found = [(q, i, round(((q * 7 + i * 13) % 29) / 20, 6), "semantic") for q in range(100, 1000, 100) for i in range(1, 40 - q // 50)]
+    edges = [(2, n) for n in range(-100, 300)] + [(7, n) for n in range(20, 60)] + [(n, 2) for n in range(1, 50) if n != 2] + [(11, 900), (900, 901)]
+    f = spark.createDataFrame(found, "query_id long, id long, relevance double, channels string")
+    e = spark.createDataFrame(edges, "o long, n long")
+    whole, some = ([tuple(r) for r in T.superseded(f, e, m).collect()] for m in (None, 8))
+    assert len(some) < len(whole) / 4
+    for q in range(100, 1000, 100):
+        first = lambda rows: sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))[:8]  # noqa: B023, E731
+        assert first(some) == first(whole)
