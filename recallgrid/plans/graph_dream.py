@@ -13,6 +13,7 @@ from recallgrid.operators import graph as G
 from recallgrid.operators import search
 from recallgrid.operators import sequential as Q
 from recallgrid.operators.components import connected_components
+from recallgrid.operators.linking import missing_links
 from recallgrid.operators.skew import shared_checkpoint
 from recallgrid.plans import ctes as C
 from recallgrid.plans.base import Registry, Tables
@@ -91,16 +92,9 @@ def gr10_link_prediction(t: Tables) -> DataFrame:
     from pyspark.sql import Window as W
 
     g = shared_checkpoint(graph(t))
-    deg = g.groupBy(F.col("src").alias("n")).agg(F.count(F.lit(1)).alias("d"))
-    c = G.two_hop(g, g.where(F.col("src") % 100 == 0).select(F.col("src").alias("id")))
-    c = c.join(deg.select(F.col("n").alias("query_id"), F.col("d").alias("da")), "query_id").join(deg.select(F.col("n").alias("id"), F.col("d").alias("db")), "id")
-    v = vecs(t).select("id", V.doubles(F.col("vec")).alias("v"))
-    c = c.join(v.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id", "left").join(v, "id", "left")
-    c = c.select("query_id", "id", "common", "aa", (F.col("common") / F.least("da", "db")).alias("cs"), F.coalesce(V.cosine(F.col("q"), F.col("v")), F.lit(0.0)).alias("emb"))
-    s = F.round(0.3 * F.col("cs") + 0.4 * F.col("aa") + 0.3 * F.col("emb"), 6)
-    method = F.when((F.col("aa") >= F.col("cs")) & (F.col("aa") >= F.col("emb")), "adamic_adar").when(F.col("emb") >= F.col("cs"), "embedding").otherwise("common_neighbors")
+    links = missing_links(g, g.where(F.col("src") % 100 == 0).select(F.col("src").alias("id")), vecs(t), DIM, 10, 0.1)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return c.select("query_id", "id", "common", s.alias("score"), method.alias("method")).where(F.col("score") > 0.1).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= 10)
+    return links.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= 10)
 
 
 @R.add("with " + C.BOTH + """, dg as (select src, count(*) d from bw group by 1), cn as (select x.dst a, y.dst b, count(*) common from bw x join bw y on x.src = y.src and x.dst < y.dst group by 1, 2)

@@ -248,3 +248,30 @@ def test_smoothed_vectors(spark):
 def test_mmr_per_query(spark):
     hits = spark.createDataFrame(pd.DataFrame({"query_id": [1, 1, 1, 2], "id": [5, 6, 7, 5], "relevance": [1.0, 0.9, 0.5, 1.0], "vec": [[1.0, 0.0], [1.0, 0.01], [0.0, 1.0], [1.0, 0.0]]}))
     assert {(r.query_id, r["rank"]): r.id for r in Q.mmr(hits, 2, 0.5).collect()} == {(1, 1): 5, (1, 2): 7, (1, 3): 6, (2, 1): 5}
+
+
+def test_missing_links_through_hubs_are_those_of_all_pairs(spark):
+    """Whatever counts as a hub, the ten best are the same; the neighbours of a hub aren't paired as rows."""
+    from recallgrid.operators.linking import missing_links
+
+    rng = np.random.default_rng(5)
+    e = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 300, (500, 2)).tolist() if a != b} | {(1, k) for k in range(2, 200)} | {(2, k) for k in range(100, 290)}
+    x = {i: v / np.linalg.norm(v) for i, v in enumerate(rng.normal(size=(280, 8)))}
+    near = {n: {b for a, b in e if a == n} | {a for a, b in e if b == n} for n in range(300)}
+    want = {}
+    for q in range(0, 300, 7):
+        rows = []
+        for i in range(300):
+            if i != q and i not in near[q] and (both := near[q] & near[i]):
+                part, aa = len(both) / min(len(near[q]), len(near[i])), sum(1 / np.log(len(near[m])) for m in both)
+                emb = float(x[q] @ x[i]) if q in x and i in x else 0.0
+                rows.append((-round(0.3 * part + 0.4 * aa + 0.3 * emb, 6), i, len(both), "adamic_adar" if aa >= part and aa >= emb else "embedding" if emb >= part else "common_neighbors"))
+        want[q] = [r for r in sorted(rows) if -r[0] > 0.1][:5]
+    g = spark.createDataFrame([p for a, b in e for p in ((a, b), (b, a))], "src long, dst long").repartition(3)
+    v = spark.createDataFrame([(i, [float(a) for a in u]) for i, u in x.items()], "id long, vec array<double>")
+    asked = g.where("src % 7 = 0").select(F.col("src").alias("id"))
+    for degree, block in ((10_000, 1 << 16), (100, 1 << 16), (12, 9)):
+        got = {}
+        for r in missing_links(g, asked, v, 8, 5, 0.1, 0.0, degree, block).collect():
+            got.setdefault(r.query_id, []).append((-r.score, r.id, r.common, r.method))
+        assert {q: sorted(rows)[:5] for q, rows in got.items()} == {q: rows for q, rows in want.items() if rows}
