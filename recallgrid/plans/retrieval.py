@@ -45,8 +45,8 @@ def lexical(t: Tables, k: int = POOL) -> DataFrame:
 
 def recent(t: Tables, k: int = POOL) -> DataFrame:
     """The nearest of the 200 newest rows."""
-    pool = t("memories").where(F.col("created_at").isNotNull()).join(vecs(t).select("id"), "id", "left_semi").orderBy(F.desc("created_at"), "id").limit(200).select("id", "embedding")
-    return search.top_k(asking(t), search.usable(pool, "id", "embedding", DIM), k, DIM).select("query_id", "id", F.lit("recency").alias("channel"), "rank", F.col("sim").alias("score"))
+    pool = search.usable(t("memories").where(F.col("created_at").isNotNull()), "id", "embedding", DIM, "created_at").orderBy(F.desc("created_at"), "id").limit(200).select("id", "vec")
+    return search.top_k(asking(t), pool, k, DIM).select("query_id", "id", F.lit("recency").alias("channel"), "rank", F.col("sim").alias("score"))
 
 
 def entity(t: Tables, k: int = POOL) -> DataFrame:

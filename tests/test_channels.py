@@ -108,3 +108,9 @@ def test_rows_that_a_whole_table_replaces_are_put_in_as_far_as_the_best_need(spa
     for q in range(100, 1000, 100):
         first = lambda rows: sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))[:8]  # noqa: B023, E731
         assert first(some) == first(whole)
+
+
+def test_the_newest_rows_are_found_without_a_shuffle_of_vectors(spark):
+    t = {"memories": memories(spark, [(i, "x") for i in range(1, 801)]).repartition(3)}
+    assert exchanged_rows(T.recent(lambda n: t[n], 4)) <= 800 + 8 * 4
+    assert {r.id for r in T.recent(lambda n: t[n], 200).where("query_id = 100").collect()} == set(range(601, 801))
