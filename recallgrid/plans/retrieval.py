@@ -178,19 +178,29 @@ _ADJUST = """, old as (select distinct re.query_id, su.o id from re join su on s
   adj as (select a.query_id, a.id, a.channels, round(greatest(case when o.id is not null then greatest(0, a.relevance - 0.5) else a.relevance end, coalesce(h.r + 0.01, 0)), 6) relevance from allr a left join old o on o.query_id = a.query_id and o.id = a.id left join hit h on h.query_id = a.query_id and h.id = a.id)"""
 
 
-def superseded(found: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+#: A row that more rows than this replace brings them to each query in lists.
+MANY, LIST = 1024, 16_384
+
+
+def superseded(found: DataFrame, edges: DataFrame, most: int | None = None, many: int = MANY) -> DataFrame:
     """found (query_id, id, relevance, channels) after the superseding ``edges`` (o, n): old rows lose half a point, the
     rows that replace them come right before; missing ones are put in.
 
     most: put in at least the first that the ``most`` best rows of a query hold, not all.  What replaces the same row comes
     in with the same relevance, so that beyond the first ``most`` of it by id none can be among them; of those, only rows
     that are found anyhow are looked up.  A row that a whole table replaces then doesn't bring it to each query.
+
+    Without it, what replaces a row that more than ``many`` replace is put in from lists, where a query is met by no other
+    row of the same id; those rows are neither shuffled nor grouped.
     """
     found, edges = shared_checkpoint(found), shared_checkpoint(edges)  # read several times
     got = found.select("query_id", F.col("id").alias("o"), F.col("relevance").alias("r"))
     old = got.join(edges.select("o").distinct(), "o", "left_semi").select("query_id", F.col("o").alias("id"), F.lit(True).alias("is_old"))
+    listed = None
     if most is None:
-        hits = got.join(edges, "o").select("query_id", F.col("n").alias("id"), "r")
+        hot = edges.groupBy("o").count().where(F.col("count") > many).select("o")
+        hits = got.join(edges.join(hot, "o", "left_anti"), "o").select("query_id", F.col("n").alias("id"), "r")
+        hits, listed = _listed(found, got, hits, edges.join(hot, "o", "left_semi"))
     else:
         placed = edges.withColumn("k", F.row_number().over(W.partitionBy("o").orderBy("n")))
         hits = got.join(placed.where(F.col("k") <= most), "o").select("query_id", F.col("n").alias("id"), "r")
@@ -200,7 +210,30 @@ def superseded(found: DataFrame, edges: DataFrame, most: int | None = None) -> D
     rows = found.join(hit, ["query_id", "id"], "full").join(old, ["query_id", "id"], "left")
     own = F.coalesce("relevance", F.lit(0.0))
     lowered = F.when(F.col("is_old"), F.greatest(F.lit(0.0), own - 0.5)).otherwise(own)
-    return rows.select("query_id", "id", F.round(F.greatest(lowered, F.coalesce(F.col("r") + 0.01, F.lit(0.0))), 6).alias("relevance"), F.coalesce("channels", F.lit("supersedes")).alias("channels"))
+    score = lambda own, r: F.round(F.greatest(own, F.coalesce(r + 0.01, F.lit(0.0))), 6).alias("relevance")
+    out = rows.select("query_id", "id", score(lowered, F.col("r")), F.coalesce("channels", F.lit("supersedes")).alias("channels"))
+    return out if listed is None else out.unionByName(listed.select("query_id", "id", score(F.lit(0.0), F.col("r")), F.lit("supersedes").alias("channels")))
+
+
+def _listed(found: DataFrame, got: DataFrame, hits: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``hits`` (query_id, id, r) with those of the ``edges`` (o, n) of hot rows that meet a row found or hit, and all other hits of these edges.
+
+    Rows that replace the same hot rows form lists; a query that found some of those gets the whole list, less what met.
+    """
+    spark = found.sparkSession
+    kinds = shared_checkpoint(edges.groupBy("n").agg(F.array_sort(F.collect_list("o")).alias("os")))
+    spread = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sets = kinds.select("os").distinct()
+    reach = shared_checkpoint(got.join(sets.select("os", F.explode("os").alias("o")), "o").groupBy("query_id", "os").agg(F.max("r").alias("r")))
+    met = found.select("query_id", F.col("id").alias("n")).unionByName(hits.select("query_id", F.col("id").alias("n"))).join(kinds, "n").distinct()
+    met = shared_checkpoint(met.join(reach, ["query_id", "os"]))
+    lists = kinds.groupBy("os", F.pmod(F.xxhash64("n"), F.lit(kinds.count() // LIST + 1)).alias("part")).agg(F.collect_list("n").alias("ns"))
+    lists = lists.select("os", "ns", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt")).repartition(spread, "os", "salt")
+    less = met.groupBy("query_id", "os").agg(F.collect_list("n").alias("less"))
+    asked = reach.join(less, ["query_id", "os"], "left").withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(spread)).cast("int"))
+    none = F.array().cast("array<bigint>")
+    listed = asked.repartition(spread, "os", "salt").join(lists, ["os", "salt"]).select("query_id", "r", F.explode(F.array_except("ns", F.coalesce("less", none))).alias("id"))
+    return hits.unionByName(met.select("query_id", F.col("n").alias("id"), "r")), listed
 
 
 def superseding_edges(t: Tables, at=None) -> DataFrame:

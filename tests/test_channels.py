@@ -110,6 +110,17 @@ def test_rows_that_a_whole_table_replaces_are_put_in_as_far_as_the_best_need(spa
         assert first(some) == first(whole)
 
 
+def test_rows_that_a_whole_table_replaces_come_from_lists(spark):
+    """The same rows whatever counts as many, and what a hot row brings to each query isn't shuffled."""
+    found = [(q, i, round(((q * 7 + i * 13) % 29) / 20, 6), "semantic") for q in range(100, 4000, 100) for i in range(1, 20)]
+    edges = [(2, n) for n in range(-400, 300)] + [(7, n) for n in range(250, 600)] + [(n, 2) for n in range(1, 50) if n != 2] + [(11, 900), (900, 901), (3, -5), (4, 599)]
+    f = spark.createDataFrame(found, "query_id long, id long, relevance double, channels string")
+    e = spark.createDataFrame(edges, "o long, n long")
+    whole, lists = (T.superseded(f, e, many=m) for m in (10_000, 30))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, lists.collect()))
+    assert exchanged_rows(lists) < exchanged_rows(whole) / 3
+
+
 def test_the_newest_rows_are_found_without_a_shuffle_of_vectors(spark):
     t = {"memories": memories(spark, [(i, "x") for i in range(1, 801)]).repartition(3)}
     assert exchanged_rows(T.recent(lambda n: t[n], 4)) <= 800 + 8 * 4
