@@ -142,8 +142,9 @@ def vx10_multi_signal(t: Tables) -> DataFrame:
 def multi_signal(t: Tables, hits: DataFrame) -> DataFrame:
     """hits (query_id, id, score) scored by several signals: half their score, recency of use, frequency, nearness in the graph."""
     m = t("memories").select("id", "last_accessed", F.coalesce("access_count", F.lit(0)).alias("n"))
-    linked = pairs(t).select(F.inline(F.array(F.struct(F.col("a").alias("query_id"), F.col("b").alias("id")), F.struct(F.col("b").alias("query_id"), F.col("a").alias("id"))))).distinct().withColumn("linked", F.lit(0.5))
-    x = hits.join(m, "id").join(linked, ["query_id", "id"], "left")
+    ends = (F.least("query_id", "id"), F.greatest("query_id", "id"))
+    linked = E.clean_edges(t("connections")).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct().withColumn("linked", F.lit(0.5))
+    x = hits.join(m, "id").withColumns({"a": ends[0], "b": ends[1]}).join(linked, ["a", "b"], "left")
     w = W.partitionBy("query_id")
     x = x.withColumn("ref", F.max("last_accessed").over(w)).withColumn("top", F.max("n").over(w).cast("double"))
     age = F.coalesce(S.seconds_between(F.col("ref"), F.col("last_accessed")), F.lit(0.0)) / 3600

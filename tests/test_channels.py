@@ -125,3 +125,17 @@ def test_the_newest_rows_are_found_without_a_shuffle_of_vectors(spark):
     t = {"memories": memories(spark, [(i, "x") for i in range(1, 801)]).repartition(3)}
     assert exchanged_rows(T.recent(lambda n: t[n], 4)) <= 800 + 8 * 4
     assert {r.id for r in T.recent(lambda n: t[n], 200).where("query_id = 100").collect()} == set(range(601, 801))
+
+
+def test_links_of_hits_shuffle_the_edges_once(spark):
+    from recallgrid.plans.extended import multi_signal
+
+    e = [(i, 1 + i % 40, 50 + i, 0.5, "similar") for i in range(1200)] + [(5000, 60, 3, 0.5, "similar"), (5001, 3, 60, None, "similar")]
+    c = spark.createDataFrame(e, "id long, source_id long, target_id long, weight double, edge_type string")
+    c = c.withColumns({k: F.lit(None).cast("timestamp_ntz") for k in ("created_at", "event_time", "ingestion_time", "valid_from", "valid_to")})
+    m = spark.createDataFrame([(i, None, 0) for i in range(1, 90)], "id long, last_accessed timestamp_ntz, access_count long")
+    t = {"connections": c, "memories": m}
+    hits = spark.createDataFrame([(3, 60, 0.5), (60, 3, 0.5), (3, 61, 0.5), (3, 3, 0.5)], "query_id long, id long, score double")
+    got = multi_signal(lambda n: t[n], hits)
+    assert exchanged_rows(got) < 2 * 1200
+    assert {(r.query_id, r.id): r.score for r in got.collect()} == {(3, 60): 0.525, (60, 3): 0.525, (3, 61): 0.45, (3, 3): 0.45}
