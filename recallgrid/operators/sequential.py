@@ -50,6 +50,62 @@ def mmr(hits: DataFrame, k: int = 10, lam: float = 0.7) -> DataFrame:
     return hits.groupBy("query_id").applyInPandas(one, "query_id long, id long, rank long")
 
 
+def mmr_of_lists(hits: DataFrame, reach: DataFrame, lists: DataFrame, vectors: DataFrame, k: int = 10, lam: float = 0.7, queries: int = 512) -> DataFrame:
+    """(query_id, id, relevance, rank): the first ``k`` of ``mmr`` over hits (query_id, id, relevance) and the rows of whole lists.
+
+    reach: the lists that a query gets beside its hits, and their relevance (query_id, kind, relevance); lists: (kind, id).
+    A row of a list that is a hit of the query anyhow counts as the hit.  Queries that get the same lists meet them about
+    ``queries`` at a time, so that a list is shipped once for those and not to each.
+    """
+    gets = reach.groupBy("query_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).withColumn("combo", F.xxhash64("kinds"))
+    salts = max(12, -(-gets.count() // queries))
+    salt = F.pmod(F.xxhash64("query_id"), F.when(F.col("combo") == 0, 1 << 12).otherwise(salts)).alias("salt")
+    of_query = gets.select("query_id", "combo")
+    own = hits.join(of_query, "query_id", "left").withColumn("combo", F.coalesce("combo", F.lit(0).cast("long"))).join(vectors.select("id", "vec"), "id")
+    own = own.select("combo", salt, "query_id", F.lit(False).alias("listed"), "id", "relevance", "vec")
+    whole = reach.join(of_query, "query_id").select("combo", salt, "query_id", F.lit(True).alias("listed"), F.col("kind").alias("id"), "relevance", F.lit(None).cast(own.schema["vec"].dataType).alias("vec"))
+    held = gets.select("combo", "kinds").distinct().select("combo", F.explode("kinds").alias("kind")).join(lists.join(vectors.select("id", "vec"), "id"), "kind")
+    held = held.select("combo", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("list_salt"), "kind", "id", "vec")
+    held = held.select(F.col("combo").alias("list_combo"), "list_salt", *[F.col(c).alias(f"list_{c}") for c in ("kind", "id", "vec")])
+
+    def unit(column: pd.Series) -> np.ndarray:
+        x = np.stack(column.to_list()).astype(float)
+        return x / np.sqrt((x * x).sum(1))[:, None]
+
+    def pick(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        list_id, list_kind = right["list_id"].to_numpy(), right["list_kind"].to_numpy()
+        list_u, out = unit(right["list_vec"]) if len(right) else None, []
+        for q, g in left.groupby("query_id"):
+            mine, got = g[~g["listed"]], g[g["listed"]]
+            ids, rel, parts = mine["id"].to_numpy(), mine["relevance"].to_numpy(float), [unit(mine["vec"])] if len(mine) else []
+            free = np.ones(len(ids), bool)
+            if len(got) and len(right):
+                of_list = np.full(len(list_id), -np.inf)
+                for kind, r in zip(got["id"], got["relevance"], strict=True):
+                    of_list[list_kind == kind] = r
+                free = np.concatenate([free, np.isfinite(of_list) & ~np.isin(list_id, ids)])
+                ids, rel, parts = np.concatenate([ids, list_id]), np.concatenate([rel, of_list]), [*parts, list_u]
+            if not free.any():
+                continue
+            best_rel = rel[free].max()
+            r = np.where(free, rel / best_rel if best_rel > 0 else rel, 0)
+            s, closest, starts = np.where(free, rel, -np.inf), None, np.cumsum([0, *(len(p) for p in parts)])
+            for rank in range(1, min(k, int(free.sum())) + 1):
+                if closest is not None:
+                    s = np.where(free, np.round(lam * r - (1 - lam) * closest, 9), -np.inf)
+                tied = np.flatnonzero(s == s.max())
+                best = tied[np.lexsort((ids[tied], -rel[tied]))[0]]
+                free[best] = False
+                out.append((q, ids[best], rel[best], rank))
+                part = int(np.searchsorted(starts, best, side="right")) - 1
+                near = np.concatenate([p @ parts[part][best - starts[part]] for p in parts])
+                closest = near if closest is None else np.maximum(closest, near)
+        return pd.DataFrame(out, columns=["query_id", "id", "relevance", "rank"])
+
+    both = own.unionByName(whole).groupBy("combo", "salt").cogroup(held.groupBy("list_combo", "list_salt"))
+    return both.applyInPandas(pick, "query_id long, id long, relevance double, rank long")
+
+
 def fitting_runs(lengths: np.ndarray, size: int) -> list[tuple[int, int]]:
     """(first, count) of the runs into which items of these lengths go, joined by one character, at most ``size`` each.
 

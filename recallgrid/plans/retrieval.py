@@ -182,7 +182,7 @@ _ADJUST = """, old as (select distinct re.query_id, su.o id from re join su on s
 MANY, LIST = 1024, 16_384
 
 
-def superseded(found: DataFrame, edges: DataFrame, most: int | None = None, many: int = MANY) -> DataFrame:
+def superseded(found: DataFrame, edges: DataFrame, most: int | None = None, many: int = MANY, apart: bool = False):
     """found (query_id, id, relevance, channels) after the superseding ``edges`` (o, n): old rows lose half a point, the
     rows that replace them come right before; missing ones are put in.
 
@@ -191,7 +191,8 @@ def superseded(found: DataFrame, edges: DataFrame, most: int | None = None, many
     that are found anyhow are looked up.  A row that a whole table replaces then doesn't bring it to each query.
 
     Without it, what replaces a row that more than ``many`` replace is put in from lists, where a query is met by no other
-    row of the same id; those rows are neither shuffled nor grouped.
+    row of the same id; those rows are neither shuffled nor grouped.  With ``apart`` those lists come beside the other rows,
+    as what each query gets (query_id, kind, relevance) and the lists (kind, id), which hold the ids of other rows too.
     """
     found, edges = shared_checkpoint(found), shared_checkpoint(edges)  # read several times
     got = found.select("query_id", F.col("id").alias("o"), F.col("relevance").alias("r"))
@@ -200,7 +201,8 @@ def superseded(found: DataFrame, edges: DataFrame, most: int | None = None, many
     if most is None:
         hot = edges.groupBy("o").count().where(F.col("count") > many).select("o")
         hits = got.join(edges.join(hot, "o", "left_anti"), "o").select("query_id", F.col("n").alias("id"), "r")
-        hits, listed = _listed(found, got, hits, edges.join(hot, "o", "left_semi"))
+        hits, kinds, reach, met = _hot_hits(found, got, hits, edges.join(hot, "o", "left_semi"))
+        listed = None if apart else _listed(kinds, reach, met)
     else:
         placed = edges.withColumn("k", F.row_number().over(W.partitionBy("o").orderBy("n")))
         hits = got.join(placed.where(F.col("k") <= most), "o").select("query_id", F.col("n").alias("id"), "r")
@@ -212,28 +214,32 @@ def superseded(found: DataFrame, edges: DataFrame, most: int | None = None, many
     lowered = F.when(F.col("is_old"), F.greatest(F.lit(0.0), own - 0.5)).otherwise(own)
     score = lambda own, r: F.round(F.greatest(own, F.coalesce(r + 0.01, F.lit(0.0))), 6).alias("relevance")
     out = rows.select("query_id", "id", score(lowered, F.col("r")), F.coalesce("channels", F.lit("supersedes")).alias("channels"))
+    if apart:
+        kind = F.xxhash64("os").alias("kind")
+        return out, reach.select("query_id", kind, score(F.lit(0.0), F.col("r"))), kinds.select(kind, F.col("n").alias("id"))
     return out if listed is None else out.unionByName(listed.select("query_id", "id", score(F.lit(0.0), F.col("r")), F.lit("supersedes").alias("channels")))
 
 
-def _listed(found: DataFrame, got: DataFrame, hits: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``hits`` (query_id, id, r) with those of the ``edges`` (o, n) of hot rows that meet a row found or hit, and all other hits of these edges.
-
-    Rows that replace the same hot rows form lists; a query that found some of those gets the whole list, less what met.
-    """
-    spark = found.sparkSession
+def _hot_hits(found: DataFrame, got: DataFrame, hits: DataFrame, edges: DataFrame) -> tuple[DataFrame, ...]:
+    """``hits`` (query_id, id, r) with those of the ``edges`` (o, n) of hot rows that meet a row found or hit; of the others
+    the hot rows that each row replaces (n, os), what each query gets of them (query_id, os, r) and what met (query_id, os, n, r)."""
     kinds = shared_checkpoint(edges.groupBy("n").agg(F.array_sort(F.collect_list("o")).alias("os")))
-    spread = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = kinds.select("os").distinct()
     reach = shared_checkpoint(got.join(sets.select("os", F.explode("os").alias("o")), "o").groupBy("query_id", "os").agg(F.max("r").alias("r")))
     met = found.select("query_id", F.col("id").alias("n")).unionByName(hits.select("query_id", F.col("id").alias("n"))).join(kinds, "n").distinct()
     met = shared_checkpoint(met.join(reach, ["query_id", "os"]))
+    return hits.unionByName(met.select("query_id", F.col("n").alias("id"), "r")), kinds, reach, met
+
+
+def _listed(kinds: DataFrame, reach: DataFrame, met: DataFrame) -> DataFrame:
+    """(query_id, r, id): rows that replace the same hot rows form lists; a query gets whole lists, less what met."""
+    spread = max(64, int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lists = kinds.groupBy("os", F.pmod(F.xxhash64("n"), F.lit(kinds.count() // LIST + 1)).alias("part")).agg(F.collect_list("n").alias("ns"))
     lists = lists.select("os", "ns", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt")).repartition(spread, "os", "salt")
     less = met.groupBy("query_id", "os").agg(F.collect_list("n").alias("less"))
     asked = reach.join(less, ["query_id", "os"], "left").withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(spread)).cast("int"))
     none = F.array().cast("array<bigint>")
-    listed = asked.repartition(spread, "os", "salt").join(lists, ["os", "salt"]).select("query_id", "r", F.explode(F.array_except("ns", F.coalesce("less", none))).alias("id"))
-    return hits.unionByName(met.select("query_id", F.col("n").alias("id"), "r")), listed
+    return asked.repartition(spread, "os", "salt").join(lists, ["os", "salt"]).select("query_id", "r", F.explode(F.array_except("ns", F.coalesce("less", none))).alias("id"))
 
 
 def superseding_edges(t: Tables, at=None) -> DataFrame:
@@ -270,7 +276,10 @@ def recall(t: Tables, k: int = 10, at=None, floor: float | None = None, keep: fl
     most = k if scorer is None else head
     if keep is not None:  # so many that the better part of them has ``most`` rows
         most = ceil((most + 1) / keep) + 1 if keep > 0 else most
-    found = superseded(relevant(t).drop("label"), superseding_edges(t, now() if at is None else at), most if lam is None else None)
+    first, edges = relevant(t).drop("label"), superseding_edges(t, now() if at is None else at)
+    if lam is not None and keep is None and scorer is None:
+        return _diverse(t, *superseded(first, edges, apart=True), k, lam, floor)
+    found = superseded(first, edges, most if lam is None else None)
     if floor is not None:
         found = found.where(F.col("relevance") >= floor)
     w = W.partitionBy("query_id")
@@ -290,6 +299,16 @@ def recall(t: Tables, k: int = 10, at=None, floor: float | None = None, keep: fl
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "id", "relevance", "channels", "rank")
 
 
+def _diverse(t: Tables, found: DataFrame, reach: DataFrame, lists: DataFrame, k: int, lam: float, floor: float | None) -> DataFrame:
+    from recallgrid.operators.sequential import mmr_of_lists
+
+    found = shared_checkpoint(found)
+    fine = F.lit(True) if floor is None else F.col("relevance") >= floor
+    picked = mmr_of_lists(found.where(fine).select("query_id", "id", "relevance"), reach.where(fine), lists, vecs(t), k, lam)
+    known = found.select("query_id", "id", "channels")
+    return picked.join(known, ["query_id", "id"], "left").select("query_id", "id", "relevance", F.coalesce("channels", F.lit("supersedes")).alias("channels"), "rank")
+
+
 @R.add(_REL + _SUP_NOW + _ADJUST + """, fl as (select *, row_number() over (partition by query_id order by relevance desc, id) k, count(*) over (partition by query_id) n from adj where relevance >= 0.01)
   select query_id, id, relevance, channels, k as rank from fl where k <= greatest(1, round_even(n * 0.75, 0)) and k <= 10""")
 def rt1_recall(t: Tables) -> DataFrame:

@@ -139,3 +139,22 @@ def test_links_of_hits_shuffle_the_edges_once(spark):
     got = multi_signal(lambda n: t[n], hits)
     assert exchanged_rows(got) < 2 * 1200
     assert {(r.query_id, r.id): r.score for r in got.collect()} == {(3, 60): 0.525, (60, 3): 0.525, (3, 61): 0.45, (3, 3): 0.45}
+
+
+def test_diverse_picks_among_lists_are_those_of_all_rows(spark):
+    import numpy as np
+
+    from recallgrid.operators.sequential import mmr, mmr_of_lists
+
+    rng = np.random.default_rng(2)
+    found = [(q, i, round(((q * 7 + i * 13) % 29) / 20, 6), "semantic") for q in range(100, 2000, 100) for i in range(1 + q // 1000, 20)]
+    edges = [(2, n) for n in range(-400, 300)] + [(7, n) for n in range(250, 600)] + [(1, n) for n in range(500, 560)] + [(n, 2) for n in range(3, 50)]
+    f = spark.createDataFrame(found, "query_id long, id long, relevance double, channels string")
+    e = spark.createDataFrame(edges, "o long, n long")
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(-390, 590)], "id long, vec array<float>")
+    whole = T.superseded(f, e, many=10_000)
+    want = mmr(whole.select("query_id", "id", "relevance").join(v, "id"), 6, 0.7).where("rank <= 6").join(whole, ["query_id", "id"]).select("query_id", "id", "relevance", "rank")
+    rows, reach, lists = T.superseded(f, e, many=30, apart=True)
+    got = mmr_of_lists(rows.select("query_id", "id", "relevance"), reach, lists, v, 6, 0.7, 4)
+    assert rows.count() < whole.count() / 4
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
