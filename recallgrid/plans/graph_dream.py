@@ -12,6 +12,7 @@ from recallgrid.operators import edges as E
 from recallgrid.operators import graph as G
 from recallgrid.operators import search
 from recallgrid.operators import sequential as Q
+from recallgrid.operators.above import links_above
 from recallgrid.operators.components import connected_components
 from recallgrid.operators.linking import missing_links
 from recallgrid.operators.skew import shared_checkpoint
@@ -322,12 +323,9 @@ _AUTO = "with recursive " + C.VECTORS + ", sp as (select a.id a, b.id b, round(l
   sim as weight from pr join memories x on x.id = a join memories y on y.id = b""")
 def dr23_auto_connect(t: Tables) -> DataFrame:
     """Edges from every row to those of its 64 nearest with a cosine above 0.7, typed by their words: what writing the rows one by one would connect."""
-    near = search.nearest(vecs(t), DIM, 64, 6).where(F.col("sim") > 0.7)
-    p = near.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max("sim").alias("sim"))
-    words = t("memories").select("id", X.edge_words(F.col("content")).alias("words"))
-    end = lambda e: words.select(F.col("id").alias(e), F.col("words").alias(f"{e}_words"))
-    p = p.join(end("a"), "a").join(end("b"), "b")
-    return p.select(F.col("a").alias("s"), F.col("b").alias("t"), X.edge_type_of_words(F.col("a_words"), F.col("b_words")).alias("edge_type"), F.col("sim").alias("weight"))
+    words = t("memories").withColumn("words", X.edge_words(F.col("content")))
+    p = links_above(search.usable(words, "id", "embedding", DIM, "words"), DIM, 64, 0.7, "words")
+    return p.select(F.col("a").alias("s"), F.col("b").alias("t"), X.edge_type_of_words(F.col("a_carried"), F.col("b_carried")).alias("edge_type"), F.col("sim").alias("weight"))
 
 
 _WEAK = ", wd as (select s, t, edge_type, case when weight > 0.05 then greatest(0, weight - 0.01) else weight end weight from sg), pn as (select * from wd where weight >= 0.05 - 1e-12 or edge_type = 'supersedes')"

@@ -1,7 +1,9 @@
 """Similarity self-joins against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from recallgrid.operators import search
 from recallgrid.plans import extended, vectors_text
@@ -116,3 +118,27 @@ def test_dr7_links_pairs_of_the_sample_and_dr23_the_64_nearest(spark):
     got = [tuple(r)[:2] for r in graph_dream.dr7_supersedes(lambda _: t).select("s", "t").collect()]
     assert set(got) == newer and len(got) == len(newer) > 1000
     assert {(r.s, r.t, r.edge_type, round(r.weight, 6)) for r in graph_dream.dr23_auto_connect(lambda _: t).collect()} == linked
+
+
+@pytest.mark.parametrize("block, k", [(40, 64), (130, 5), (1000, 64)])
+def test_links_above_find_all_and_multiply_few(spark, block, k):
+    """Every row's k best above the threshold across blocks; singles aren't multiplied with the rows of a far group."""
+    from recallgrid.operators import above
+
+    ids, x = collection(17)
+    x[-1] = x[0]  # copies
+    x[len(x) // 2] = x[0]
+    off = np.where(np.eye(len(ids), dtype=bool), -2.0, cosines(x))
+    want = {}
+    for i in range(len(ids)):
+        for j in np.lexsort((ids, -off[i]))[:k]:
+            if off[i, j] > 0.7:
+                want[tuple(sorted((int(ids[i]), int(ids[j]))))] = float(off[i, j])
+    rows = search.usable(frame(spark, ids, x), "id", "embedding", 64).withColumn("tag", F.col("id") * 2)
+    got = above.links_above(rows, 64, k, 0.7, "tag", block=block).collect()
+    assert {(r.a, r.b): round(r.sim, 6) for r in got} == want and len(got) == len(want)
+    assert all((r.a_carried, r.b_carried) == (2 * r.a, 2 * r.b) for r in got)
+    unit = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    table = pa.table({"id": ids, "carried": ids, "grp": above._groups(unit), "vec": pa.array([v.tobytes() for v in x], pa.binary())})
+    one = above.Block(table, 64, "<f4")
+    assert len(one.n) < 170 and above._meet(one, one, True, above.Best(len(ids), k), 0.7, 6) < len(ids) ** 2 / 3
