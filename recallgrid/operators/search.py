@@ -1,8 +1,8 @@
 """Exact top-k cosine search of a set of queries over a collection, in blocks.
 
 Queries are handed out in blocks of at most ``BLOCK`` vectors, one broadcast and one scan of the collection each, whatever
-their number; every partition of the collection is multiplied with ``PART`` of them at once and keeps its best k per
-query, so that k rows per query and partition are shuffled and no pair is.
+their number; the collection comes in as many partitions as tasks run at once, each is multiplied with ``PART`` of them at
+once and keeps its best k per query, so that k rows per query and partition are shuffled and no pair is.
 
 Self-joins by similarity (``similar_links``, ``similar_groups``, ``similar_counts``, ``nearest``) compare every pair of rows: hashed
 blocks of the collection meet pairwise, one task per pair of blocks.  No index and no cap leaves a pair out, so the work
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recallgrid.operators.skew import by_slots
+
 BLOCK, PART = 1 << 16, 2048
 #: Rows of a block of a self-join, and rows of it that are multiplied at once.
 JOIN_ROWS, JOIN_CHUNK = 16_384, 512
@@ -77,7 +79,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, dim: int, exclude_self:
             r, c = np.nonzero(best_s > weakest)
             yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(best_i[r, c]), pa.array(best_s[r, c])], names=["query_id", "id", "sim"])
 
-        hits = corpus.select("id", "vec").mapInArrow(run, "query_id long, id long, sim double")
+        hits = by_slots(corpus.select("id", "vec")).mapInArrow(run, "query_id long, id long, sim double")
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         out = spark.createDataFrame([], "query_id long, id long, sim double")

@@ -125,9 +125,11 @@ _MODES = {"semantic": {"semantic": 1.0}, "hybrid": {n: w for n, _, w in _CHANNEL
   g as (select mode, query_id, id, round(sum(p), 9) f from a group by 1, 2, 3), k as (select *, row_number() over (partition by mode, query_id order by f desc, id) k from g) select mode, query_id, id, k as rank from k where k <= 5""")
 def rt4_modes(t: Tables) -> DataFrame:
     """The fused top five under each retrieval mode's channel weights."""
-    rows = [(m, n, w) for m, ws in _MODES.items() for n, w in ws.items()]
-    weights = F.broadcast(t.spark.createDataFrame(rows, "mode string, channel string, weight double"))
-    x = channels(t).join(weights, "channel").groupBy("mode", "query_id", "id").agg(F.round(F.sum(S.rrf(F.col("rank"), F.col("weight"))), 9).alias("f"))
+    gain = lambda ws: F.sum(F.coalesce(*[F.when(F.col("channel") == n, S.rrf(F.col("rank"), F.lit(w))) for n, w in ws.items()]))
+    # by query only: the sums and the ranks need no further shuffle
+    x = channels(t).select("query_id", "id", "channel", "rank").repartition("query_id")
+    x = x.groupBy("query_id", "id").agg(*[F.round(gain(ws), 9).alias(m) for m, ws in _MODES.items()])
+    x = x.select("query_id", "id", F.inline(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("f")) for m in _MODES]))).where(F.col("f").isNotNull())
     w = W.partitionBy("mode", "query_id").orderBy(F.desc("f"), "id")
     return x.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= 5).select("mode", "query_id", "id", "rank")
 

@@ -158,3 +158,34 @@ def test_diverse_picks_among_lists_are_those_of_all_rows(spark):
     got = mmr_of_lists(rows.select("query_id", "id", "relevance"), reach, lists, v, 6, 0.7, 4)
     assert rows.count() < whole.count() / 4
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_what_is_handed_over_does_not_grow_with_the_splits_of_a_table(spark):
+    """rt4_modes: a table in 32 splits gives no more candidates of each query than slots have."""
+    most = 8 * 4 * spark.sparkContext.defaultParallelism
+    t = {"memories": memories(spark, [(i, f"The Alpha met Beta number{i % 3} here, l{i % 7}") for i in range(1, 801)]).repartition(32)}
+    for channel in (T.semantic, T.lexical, T.entity):
+        hits = channel(lambda n: t[n], 4)
+        assert 32 <= exchanged_rows(hits) - (800 if channel is not T.lexical else 0) <= most, channel  # 800: the split itself
+        assert hits.count() == 32
+
+
+def test_modes_sum_what_each_of_them_weighs(spark, monkeypatch):
+    """rt4_modes: a row that no channel of a mode found is not in it, and candidates are shuffled once, not once per mode."""
+    from recallgrid.plans import further
+
+    found = [(q, 10 * i + r, c, r) for q in (100, 200) for i, c in enumerate(("semantic", "bm25", "recency", "entity", "temporal", "ppr")) for r in range(1, 4)]
+    found += [(100, 1, "bm25", 1), (100, 1, "recency", 3)]
+    rows = spark.createDataFrame(found, "query_id long, id long, channel string, rank long")
+    monkeypatch.setattr(further, "channels", lambda t: rows)
+    want = set()
+    for m, ws in further._MODES.items():
+        for q in (100, 200):
+            f = {}
+            for query, i, c, r in found:
+                if query == q and c in ws:
+                    f[i] = f.get(i, 0) + ws[c] / (60 + r)
+            want |= {(m, q, i, n + 1) for n, i in enumerate(sorted(f, key=lambda i: (-round(f[i], 9), i))[:5])}
+    df = further.rt4_modes(type("T", (), {"spark": spark})())
+    assert exchanged_rows(df) <= len(found)
+    assert {(r.mode, r.query_id, r.id, r["rank"]) for r in df.collect()} == want
